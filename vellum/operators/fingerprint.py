@@ -110,15 +110,25 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return s4.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, ln: acc + ln["w"]))
 
 
+def explode_rows(df: DataFrame, arr, alias: str, *keep: str, pos: str | None = None) -> DataFrame:
+    """``explode`` of a computed array without Catalyst's inferred ``size(arr) > 0`` filter: that filter would
+    be pushed below a repartition and evaluate the whole (expensive) array expression a second time."""
+    if pos is None:
+        out = df.select(*keep, F.explode_outer(arr).alias(alias))
+        return out.where(F.col(alias).isNotNull())
+    out = df.select(*keep, F.posexplode_outer(arr).alias(pos, alias))
+    return out.where(F.col(pos).isNotNull())
+
+
 def print_tokens(prints: DataFrame) -> DataFrame:
     """Kept nodes of every document as ``(doc_id, level, h, cnt, w)`` (level 1 = line, 2 = sentence),
     one row per distinct hash per document with its multiplicity ``cnt`` and recomputed weight ``w``."""
-    lines = prints.select("doc_id", F.explode("lines").alias("ln"))
+    lines = explode_rows(prints, F.col("lines"), "ln", "doc_id")
     l1 = lines.groupBy("doc_id", F.col("ln.h").alias("h")).agg(
         F.count(F.lit(1)).alias("cnt"), F.first("ln.w").alias("w")
     ).withColumn("level", F.lit(1))
     l2 = (
-        lines.select("doc_id", F.explode("ln.sents").alias("h"))
+        explode_rows(lines, F.col("ln.sents"), "h", "doc_id")
         .groupBy("doc_id", "h")
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("w", F.lit(1))
@@ -132,9 +142,9 @@ def line_children(prints: DataFrame) -> DataFrame:
 
     A line hash determines its subtree, so this is a global table (distinct over all documents; a line
     repeated in a third of the corpus collapses map-side to one entry)."""
-    lines = prints.select(F.explode("lines").alias("ln")).select(F.col("ln.h").alias("lh"), "ln.sents").distinct()
+    lines = explode_rows(prints, F.col("lines"), "ln").select(F.col("ln.h").alias("lh"), "ln.sents").distinct()
     return (
-        lines.select("lh", F.posexplode("sents").alias("pos", "sh"))
+        explode_rows(lines, F.col("sents"), "sh", "lh", pos="pos")
         .groupBy("lh", "sh")
         .agg(F.count(F.lit(1)).alias("k"))
     )
@@ -241,7 +251,7 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lit("root").alias("kind"),
         F.lit(True).alias("commutative"),
     )
-    lines = base.select("doc_id", F.posexplode("t").alias("li", "sents"))
+    lines = explode_rows(base, F.col("t"), "sents", "doc_id", pos="li")
     line_id = (F.col("li") + 1).cast("bigint") * F.lit(10**10)
     line_rows = lines.select(
         "doc_id",
@@ -252,7 +262,8 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lit("line").alias("kind"),
         F.lit(False).alias("commutative"),
     )
-    sents = lines.select("doc_id", line_id.alias("lid"), F.posexplode("sents").alias("si", "words"))
+    sents = explode_rows(lines.select("doc_id", line_id.alias("lid"), "sents"), F.col("sents"), "words", "doc_id", "lid",
+                         pos="si")
     sent_id = F.col("lid") + (F.col("si") + 1).cast("bigint") * F.lit(10**5)
     sent_rows = sents.select(
         "doc_id",
@@ -263,7 +274,8 @@ def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.lit("sentence").alias("kind"),
         F.lit(False).alias("commutative"),
     )
-    words = sents.select("doc_id", sent_id.alias("sid"), F.posexplode("words").alias("wi", "word"))
+    words = explode_rows(sents.select("doc_id", sent_id.alias("sid"), "words"), F.col("words"), "word", "doc_id", "sid",
+                         pos="wi")
     word_rows = words.select(
         "doc_id",
         (F.col("sid") + F.col("wi") + 1).alias("node_id"),

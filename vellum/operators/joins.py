@@ -23,11 +23,18 @@ def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def semi_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df LEFT SEMI JOIN keys``; the key side is broadcast only when proven small."""
-    return df.join(maybe_broadcast(keys, max_rows), on, "left_semi")
+def semi_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], checked: bool = False,
+                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df LEFT SEMI JOIN keys``.
 
+    By default no hint: the planner broadcasts the key side only when its estimated size is under
+    ``spark.sql.autoBroadcastJoinThreshold``, and AQE re-plans from the measured shuffle size (both are
+    size checks). ``checked=True`` adds an explicit bounded count first (costs one extra pass over ``keys``,
+    worth it only when ``keys`` is cheap to compute, e.g. a filtered dimension table)."""
+    return df.join(maybe_broadcast(keys, max_rows) if checked else keys, on, "left_semi")
 
-def anti_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df LEFT ANTI JOIN keys`` (NOT EXISTS)."""
-    return df.join(maybe_broadcast(keys, max_rows), on, "left_anti")
+
+def anti_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], checked: bool = False,
+                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df LEFT ANTI JOIN keys`` (NOT EXISTS); broadcast as in :func:`semi_join_ids`."""
+    return df.join(maybe_broadcast(keys, max_rows) if checked else keys, on, "left_anti")

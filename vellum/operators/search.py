@@ -33,10 +33,11 @@ def regex_lines(entities: DataFrame, pattern: str, flags: int = 0, keep_empty: b
 def regex_line_hits(entities: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
     """F9 in long form: ``(entity_id, line, hits)``, one row per line holding at least one match start."""
     pat = with_flags(pattern, flags)
+    from vellum.operators.fingerprint import explode_rows
+
+    hits = explode_rows(entities.where(F.col("program").rlike(pat)), line_hits(F.col("program"), pat), "h", "entity_id")
     return (
-        entities.where(F.col("program").rlike(pat))
-        .select("entity_id", F.explode(line_hits(F.col("program"), pat)).alias("h"))
-        .select("entity_id", F.col("h.line").cast("int").alias("line"), F.col("h.hits").cast("int").alias("hits"))
+        hits.select("entity_id", F.col("h.line").cast("int").alias("line"), F.col("h.hits").cast("int").alias("hits"))
     )
 
 
@@ -70,8 +71,10 @@ def per_line_matches(entities: DataFrame, pattern: str, flags: int = 0) -> DataF
         .when(trimmed == "", F.array().cast("array<string>"))
         .otherwise(F.split(trimmed, "\n", -1))
     )
+    from vellum.operators.fingerprint import explode_rows
+
     return (
-        entities.select("entity_id", F.posexplode(lines).alias("line_index", "line"))
+        explode_rows(entities, lines, "line", "entity_id", pos="line_index")
         .where(F.col("line").rlike(pat))
         .select("entity_id", F.col("line_index").cast("int").alias("line_index"))
     )

@@ -1,37 +1,130 @@
 """Structural near-duplicate detection.
 
-Matching (P7), level-wise and order-independent: two trees match whole when their root prints are equal.
-Otherwise kept nodes are matched 1:1 level by level: at the line level every hash matches
-``min(count_a, count_b)`` times, each match covering the line's recomputed weight; lines left unmatched on
-either side hand their kept sentences to the sentence level, where hashes again match ``min(pool_a, pool_b)``
-times. The matched weight ``m`` is the same seen from both sides; the percentages divide it by each side's
-total (0.0 for an empty tree).
+Trees are compared section by section (a program has several top-level sections; a document has one).
+Matching (P7), level-wise and order-independent: a section matches whole when both section roots have the
+same print. Otherwise kept nodes are matched 1:1 level by level: at level 1 (children of the root) every hash
+matches ``min(count_a, count_b)`` times, each match covering that node's recomputed weight; nodes left
+unmatched on either side hand their kept children to the next level, where hashes again match
+``min(pool_a, pool_b)`` times, and so on. A hash determines its whole subtree, so "children of an unmatched
+node" come from one global table ``hash -> child hashes``. The matched weight ``m`` is the same seen from
+both sides; percentages divide it by each side's total (0.0 for an empty tree).
 
 Candidate pairs (no all-pairs within any group):
 
-* exact structural copies are collapsed first (group by root print; combines map-side, so a print held by a
-  third of the corpus becomes one row) and reported as copy groups, never as pairs;
-* every decision (P9) needs ``m >= 0.7 * min(total_a, total_b)``. A covered node's hash always occurs in the
-  other tree, so the smaller tree must share a hash with the other tree within its first
-  ``total - ceil(0.7 * total) + 1`` nodes when nodes are ordered rarest-hash-first (prefix filter, exact).
-  Only those prefix nodes are joined against the token index; frequent hashes sit at the end of every order
-  and are probed only by trees made almost entirely of frequent material.
+* exact structural copies are collapsed first (group by the whole print; combines map-side, so a print held by
+  a third of the corpus becomes one row) and reported as copy groups, never as pairs;
+* every decision (P9) needs ``m >= t * min(total_a, total_b)`` over some section set (t = 70 %, or 99 % for the
+  subset rule). A covered node's hash always occurs in the same section of the other tree, so the smaller
+  tree must share a ``(section, hash)`` with the other within its first ``total - ceil(t * total) + 1`` nodes,
+  in any order; nodes are ordered rarest hash first (prefix filter, exact). Only prefix nodes are joined
+  against the token index, so frequent hashes are probed only by trees made almost entirely of them;
 * every candidate is then verified exactly.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.fingerprint import line_children, print_tokens
+from vellum.session import cut_lineage
 
 # ---------------------------------------------------------------------------------------------
-# Fixed values (decision thresholds, in percent).
+# Fixed values (decision thresholds in percent; section names of generated-program similarity).
 # ---------------------------------------------------------------------------------------------
 SUBSET_THRESHOLD = 99.0
 DIRECT_MATCH_THRESHOLD = 70.0
 GENERATED_MATCH_THRESHOLD = 70.0
+METHOD_SECTIONS = ("method", "function")
+PREAMBLE_SECTIONS = ("domain", "field", "predicate", "extension")
+DOC_SECTION = "text"
+
+
+@dataclass(frozen=True)
+class PrintSet:
+    """Prints with their derived tables, each materialised once (reliable checkpoint) and reused:
+
+    ``docs``     (doc_id, print, total, n_methods, n_functions, + pass-through columns such as blocking keys)
+    ``sections`` (doc_id, section, root_hash, total)
+    ``tokens``   (doc_id, section, level, h, cnt, w)  kept non-root nodes, one row per distinct hash
+    ``kids``     (lh, sh, k, sw)                       kept children of a kept node with hash lh
+    """
+
+    docs: DataFrame
+    sections: DataFrame
+    tokens: DataFrame
+    kids: DataFrame
+
+    @property
+    def max_level(self) -> int:
+        return int(self.tokens.agg(F.max("level")).first()[0] or 0)
+
+
+def from_document_prints(prints: DataFrame) -> PrintSet:
+    """Print set of :func:`vellum.operators.fingerprint.document_prints` output (one section ``text``)."""
+    extra = [c for c in prints.columns if c not in ("doc_id", "root_hash", "weight", "total", "lines")]
+    docs = prints.select(
+        "doc_id", F.col("root_hash").alias("print"), F.col("total").cast("bigint").alias("total"),
+        F.lit(0).alias("n_methods"), F.lit(0).alias("n_functions"), *extra,
+    )
+    sections = prints.select("doc_id", F.lit(DOC_SECTION).alias("section"), "root_hash",
+                             F.col("total").cast("bigint").alias("total"))
+    tokens = print_tokens(prints).select(
+        "doc_id", F.lit(DOC_SECTION).alias("section"), "level", "h", "cnt", "w"
+    )
+    kids = line_children(prints).withColumn("sw", F.lit(1))
+    return PrintSet(docs, sections, tokens, kids)
+
+
+def from_node_prints(np_: DataFrame, extra: DataFrame | None = None) -> PrintSet:
+    """Print set of :func:`vellum.operators.fingerprint.node_table_prints` output (any depth, any sections).
+
+    ``extra``: optional ``(doc_id, ...)`` columns passed through to ``docs`` (blocking keys, loc).
+    """
+    kept = np_.where("kept")
+    roots = np_.where(F.col("parent_id").isNull())
+    sections = roots.select("doc_id", "section", F.col("hash").alias("root_hash"),
+                            (F.col("tweight") - 1).cast("bigint").alias("total"))
+    counts = np_.where(F.col("depth") == 1).groupBy("doc_id").agg(
+        F.count_if(F.col("section") == METHOD_SECTIONS[0]).alias("n_methods"),
+        F.count_if(F.col("section") == METHOD_SECTIONS[1]).alias("n_functions"),
+    )
+    docs = sections.groupBy("doc_id").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "section", "root_hash"))), ","), 256)
+        .alias("print"),
+        F.sum("total").cast("bigint").alias("total"),
+    ).join(counts, "doc_id", "left").fillna(0, subset=["n_methods", "n_functions"])
+    if extra is not None:
+        docs = docs.join(extra, "doc_id")
+    body = kept.where(F.col("parent_id").isNotNull())
+    tokens = body.groupBy("doc_id", "section", F.col("depth").alias("level"), F.col("hash").alias("h")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("tweight").cast("int").alias("w")
+    )
+    parents = kept.select("doc_id", "section", F.col("node_id").alias("parent_id"), F.col("hash").alias("lh"))
+    per_parent = body.join(parents, ["doc_id", "section", "parent_id"]).groupBy(
+        "doc_id", "section", "parent_id", "lh", F.col("hash").alias("sh")
+    ).agg(F.count(F.lit(1)).alias("k"), F.max("tweight").cast("int").alias("sw"))
+    kids = per_parent.select("lh", "sh", "k", "sw").distinct()
+    return PrintSet(docs, sections, tokens, kids)
+
+
+def prepare(x: DataFrame | PrintSet) -> PrintSet:
+    """Materialise a print set once (document prints or node-table prints are recognised by their columns)."""
+    if isinstance(x, PrintSet):
+        return x
+    ps = from_document_prints(x) if "lines" in x.columns else from_node_prints(x)
+    return PrintSet(cut_lineage(ps.docs), cut_lineage(ps.sections), cut_lineage(ps.tokens), cut_lineage(ps.kids))
+
+
+def subset(ps: PrintSet, ids: DataFrame) -> PrintSet:
+    """The print set restricted to ``ids`` (column ``doc_id``); the child table stays global."""
+    keep = ids.select("doc_id")
+    return PrintSet(
+        ps.docs.join(keep, "doc_id", "left_semi"), ps.sections.join(keep, "doc_id", "left_semi"),
+        ps.tokens.join(keep, "doc_id", "left_semi"), ps.kids,
+    )
 
 
 def match_pct(matched: Column, total: Column) -> Column:
@@ -40,23 +133,25 @@ def match_pct(matched: Column, total: Column) -> Column:
 
 
 def is_match(pct_a: Column, pct_b: Column, same_counts: Column | None = None,
-             threshold: float = DIRECT_MATCH_THRESHOLD) -> Column:
-    """``(same counts and both directions >= threshold) or either direction >= 99``."""
+             threshold: float = DIRECT_MATCH_THRESHOLD, subset_a: Column | None = None,
+             subset_b: Column | None = None) -> Column:
+    """``(same counts and both directions >= threshold) or either direction >= 99`` (the subset test uses
+    the total percentages ``subset_a/b`` when given, Q17)."""
     same = F.lit(True) if same_counts is None else same_counts
+    sa = pct_a if subset_a is None else subset_a
+    sb = pct_b if subset_b is None else subset_b
     both = same & (pct_a >= F.lit(threshold)) & (pct_b >= F.lit(threshold))
-    return both | (pct_a >= F.lit(SUBSET_THRESHOLD)) | (pct_b >= F.lit(SUBSET_THRESHOLD))
+    return both | (sa >= F.lit(SUBSET_THRESHOLD)) | (sb >= F.lit(SUBSET_THRESHOLD))
 
 
-def copy_groups(prints: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Exact structural copies: ``(doc_id, rep_id, n_copies)``; rep = smallest id with the same root print
-    (and the same blocking keys)."""
+def copy_groups(docs: DataFrame | PrintSet, keys: list[str] | None = None) -> DataFrame:
+    """Exact structural copies: ``(doc_id, rep_id, n_copies)``; rep = smallest id with the same whole print
+    (and the same blocking keys). Accepts a print set or a frame with ``doc_id`` and ``print``/``root_hash``."""
     keys = keys or []
-    grp = prints.groupBy("root_hash", *keys).agg(
-        F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies")
-    )
-    return prints.select("doc_id", "root_hash", *keys).join(grp, ["root_hash", *keys]).select(
-        "doc_id", "rep_id", "n_copies"
-    )
+    d = docs.docs if isinstance(docs, PrintSet) else docs
+    pcol = "print" if "print" in d.columns else "root_hash"
+    grp = d.groupBy(pcol, *keys).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
+    return d.select("doc_id", pcol, *keys).join(grp, [pcol, *keys]).select("doc_id", "rep_id", "n_copies")
 
 
 def _need(total: Column, threshold: float) -> Column:
@@ -66,74 +161,104 @@ def _need(total: Column, threshold: float) -> Column:
     return ((total.cast("bigint") * F.lit(t) + F.lit(9999)) / F.lit(10000)).cast("bigint")
 
 
+def _scoped(ps: PrintSet, sections: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
+    """Tokens and per-document totals restricted to a section set (all sections when None)."""
+    if sections is None:
+        return ps.tokens, ps.docs.select("doc_id", "total")
+    toks = ps.tokens.where(F.col("section").isin(list(sections)))
+    tot = ps.sections.where(F.col("section").isin(list(sections))).groupBy("doc_id").agg(
+        F.sum("total").alias("total")
+    )
+    return toks, tot
+
+
 def _prefix_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, threshold: float) -> DataFrame:
     """Prefix nodes per document, rarest first: those with fewer than ``total - need + 1`` nodes before them.
 
     Any order is exact (the argument only counts nodes); rarest-first keeps the join against the index small.
     The window is one document's distinct hashes, bounded by the document size.
     """
-    t = tokens.join(df_h, "h", "left").fillna(0, subset=["df"]).join(totals, "doc_id")
+    t = tokens.join(df_h, ["section", "h"], "left").fillna(0, subset=["df"]).join(totals, "doc_id")
     p = F.col("total") - _need(F.col("total"), threshold) + 1
-    w = Window.partitionBy("doc_id").orderBy("df", "h", "level").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("doc_id").orderBy("df", "section", "h", "level").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("cnt").over(w), F.lit(0))
-    return t.withColumn("before", before).where(F.col("before") < p).select("doc_id", "h", "total")
+    return t.withColumn("before", before).where((F.col("before") < p) & (F.col("total") > 0)).select(
+        "doc_id", "section", "h", "total"
+    )
 
 
-def _hits(probe: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
-    """``(a, total_a, b, total_b)`` where a prefix node of ``a`` (from ``probe``) occurs in ``b`` (``index``)."""
-    tok_p = print_tokens(probe)
-    tok_i = print_tokens(index)
-    df_h = tok_i.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    pre = _prefix_tokens(tok_p, probe.select("doc_id", "total"), df_h, threshold).select(
-        F.col("doc_id").alias("a"), "h", F.col("total").alias("total_a")
+def _hits(probe: PrintSet, index: PrintSet, threshold: float, block: list[str],
+          sections: tuple[str, ...] | None) -> DataFrame:
+    """``(a, total_a, b, total_b)``: a prefix node of ``a`` (probe) occurs in the same section of ``b`` (index).
+
+    With blocking keys the index join is on ``(section, h, keys...)``: a frequent hash is split by key, and
+    pairs that the keys exclude are never formed."""
+    ptok, ptot = _scoped(probe, sections)
+    itok, itot = _scoped(index, sections)
+    df_h = itok.groupBy("section", "h").agg(F.count(F.lit(1)).alias("df"))
+    pre = _prefix_tokens(ptok, ptot, df_h, threshold).select(
+        F.col("doc_id").alias("a"), "section", "h", F.col("total").alias("total_a")
     )
-    idx = tok_i.select(F.col("doc_id").alias("b"), "h").join(
-        index.select(F.col("doc_id").alias("b"), F.col("total").alias("total_b")), "b"
+    idx = itok.select(F.col("doc_id").alias("b"), "section", "h").join(
+        itot.select(F.col("doc_id").alias("b"), F.col("total").alias("total_b")), "b"
     )
-    return pre.join(idx, "h").select("a", "total_a", "b", "total_b")
-
+    if block:
+        pre = pre.join(probe.docs.select(F.col("doc_id").alias("a"), *block), "a")
+        idx = idx.join(index.docs.select(F.col("doc_id").alias("b"), *block), "b")
+    return pre.join(idx, ["section", "h", *block]).select("a", "total_a", "b", "total_b")
 
-def candidate_pairs(prints: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
-                    band: tuple[float, float] | None = None, other: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs that can reach ``m >= threshold% * min(total)``.
 
-    Self mode (``other`` is None): ``(a_id, b_id)`` with ``a_id < b_id`` within ``prints``.
-    Two-sided mode: ``a_id`` from ``prints``, ``b_id`` from ``other`` (the smaller side of each pair probes).
-    ``block``: columns that must be equal (J4 equi-keys); ``band``: ``(lo, hi)`` factors for the J4 size band on
-    column ``loc``: the stored item's loc within ``[int(lo * probe.loc), int(hi * probe.loc)]``, where the probe is
-    the later item in self mode and the ``prints`` side in two-sided mode.
-    """
-    block = block or []
-    if other is None:
-        hits = _hits(prints, prints, threshold).where(
+def _candidates(ps: PrintSet, os_: PrintSet | None, threshold: float, block: list[str],
+                sections: tuple[str, ...] | None) -> DataFrame:
+    if os_ is None:
+        hits = _hits(ps, ps, threshold, block, sections).where(
             (F.col("a") != F.col("b"))
             & ((F.col("total_a") < F.col("total_b")) | ((F.col("total_a") == F.col("total_b")) & (F.col("a") < F.col("b"))))
         )
-        pairs = hits.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id")).distinct()
-        right = prints
-    else:
-        h1 = _hits(prints, other, threshold).where(F.col("total_a") <= F.col("total_b"))
-        h2 = _hits(other, prints, threshold).where(F.col("total_a") > F.col("total_b"))
-        pairs = h1.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).unionByName(
-            h2.select(F.col("b").alias("a_id"), F.col("a").alias("b_id"))
-        ).distinct()
-        right = other
-    if block or band:
-        extra = block + (["loc"] if band else [])
-        ka = prints.select(F.col("doc_id").alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in extra])
-        kb = right.select(F.col("doc_id").alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in extra])
-        pairs = pairs.join(ka, "a_id").join(kb, "b_id")
-        cond = F.lit(True)
-        for c in block:
-            cond = cond & (F.col(f"a_{c}") == F.col(f"b_{c}"))
-        if band:
-            # The probe is the later item (b in self mode, ids in arrival order) or the probe side (a).
-            lo, hi = band
-            if other is None:
-                cond = cond & in_band(F.col("b_loc"), F.col("a_loc"), lo, hi)
-            else:
-                cond = cond & in_band(F.col("a_loc"), F.col("b_loc"), lo, hi)
-        pairs = pairs.where(cond).select("a_id", "b_id")
+        return hits.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"))
+    h1 = _hits(ps, os_, threshold, block, sections).where(F.col("total_a") <= F.col("total_b"))
+    h2 = _hits(os_, ps, threshold, block, sections).where(F.col("total_a") > F.col("total_b"))
+    return h1.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).unionByName(
+        h2.select(F.col("b").alias("a_id"), F.col("a").alias("b_id"))
+    )
+
+
+def candidate_pairs(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD,
+                    block: list[str] | None = None, band: tuple[float, float] | None = None,
+                    other: DataFrame | PrintSet | None = None, rule: str = "direct") -> DataFrame:
+    """Candidate pairs that can pass P9.
+
+    Self mode (``other`` is None): ``(a_id, b_id)`` with ``a_id < b_id``. Two-sided mode: ``a_id`` from
+    ``prints``, ``b_id`` from ``other``. ``rule``: ``direct`` (total percentages), ``generated`` (method and
+    function sections, plus the 99 % subset test on totals) or ``any`` (both).
+    ``block``: docs columns that must be equal (J4 equi-keys). ``band``: ``(lo, hi)`` factors for the J4 size
+    band on docs column ``loc``: the stored item's loc within ``[int(lo * probe.loc), int(hi * probe.loc)]``,
+    where the probe is the later item in self mode and the ``prints`` side in two-sided mode.
+    """
+    block = block or []
+    ps = prepare(prints)
+    os_ = None if other is None else prepare(other)
+    parts = []
+    if rule in ("direct", "any"):
+        parts.append(_candidates(ps, os_, threshold, block, None))
+    if rule in ("generated", "any"):
+        parts.append(_candidates(ps, os_, GENERATED_MATCH_THRESHOLD, block, METHOD_SECTIONS))
+        if rule == "generated":
+            parts.append(_candidates(ps, os_, SUBSET_THRESHOLD, block, None))
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pairs = pairs.distinct()
+    if band:
+        right = ps if os_ is None else os_
+        ka = ps.docs.select(F.col("doc_id").alias("a_id"), F.col("loc").alias("a_loc"))
+        kb = right.docs.select(F.col("doc_id").alias("b_id"), F.col("loc").alias("b_loc"))
+        lo, hi = band
+        if os_ is None:
+            cond = in_band(F.col("b_loc"), F.col("a_loc"), lo, hi)
+        else:
+            cond = in_band(F.col("a_loc"), F.col("b_loc"), lo, hi)
+        pairs = pairs.join(ka, "a_id").join(kb, "b_id").where(cond).select("a_id", "b_id")
     return pairs
 
 
@@ -142,74 +267,112 @@ def in_band(probe_loc: Column, other_loc: Column, lo: float = 0.5, hi: float = 2
     return other_loc.between((probe_loc * F.lit(lo)).cast("int"), (probe_loc * F.lit(hi)).cast("int"))
 
 
-def matched_weight(pairs: DataFrame, prints: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    """P7/P8 for given pairs ``(a_id, b_id)`` (``b_id`` from ``other`` when given):
-    ``(a_id, b_id, matched, total_a, total_b)``."""
-    other = prints if other is None else other
-    toks = print_tokens(prints).where("level = 1").select("doc_id", "h", "cnt", "w")
-    toks_b = toks if other is prints else print_tokens(other).where("level = 1").select("doc_id", "h", "cnt", "w")
-    kids = line_children(prints if other is prints else prints.select("lines").unionByName(other.select("lines")))
-    side_a = pairs.join(toks.withColumnRenamed("doc_id", "a_id"), "a_id").select(
-        "a_id", "b_id", "h", F.col("cnt").alias("ca"), F.lit(0).cast("bigint").alias("cb"), "w"
-    )
-    side_b = pairs.join(toks_b.withColumnRenamed("doc_id", "b_id"), "b_id").select(
-        "a_id", "b_id", "h", F.lit(0).cast("bigint").alias("ca"), F.col("cnt").alias("cb"), "w"
+def section_matches(pairs: DataFrame, prints: DataFrame | PrintSet, other: DataFrame | PrintSet | None = None,
+                    max_level: int | None = None) -> DataFrame:
+    """P7/P8 per section: ``(a_id, b_id, section, matched, total_a, total_b)`` for the given pairs."""
+    pa = prepare(prints)
+    pb = pa if other is None else prepare(other)
+    kids = pa.kids if pb is pa else pa.kids.unionByName(pb.kids).distinct()
+    depth = max_level if max_level is not None else max(pa.max_level, pb.max_level)
+    ta = pa.tokens.where("level = 1").select(F.col("doc_id").alias("a_id"), "section", "h", "cnt", "w")
+    tb = pb.tokens.where("level = 1").select(F.col("doc_id").alias("b_id"), "section", "h", "cnt", "w")
+    keys = ["a_id", "b_id", "section"]
+    cur = pairs.join(ta, "a_id").select(*keys, "h", F.col("cnt").alias("ca"), F.lit(0).cast("bigint").alias("cb"), "w")
+    cur = cur.unionByName(
+        pairs.join(tb, "b_id").select(*keys, "h", F.lit(0).cast("bigint").alias("ca"), F.col("cnt").alias("cb"), "w")
     )
-    lines = side_a.unionByName(side_b).groupBy("a_id", "b_id", "h").agg(
-        F.sum("ca").alias("ca"), F.sum("cb").alias("cb"), F.max("w").alias("w")
-    )
-    lines = lines.withColumn("m", F.least("ca", "cb"))
-    m1 = lines.groupBy("a_id", "b_id").agg(F.sum(F.col("m") * F.col("w")).alias("m1"))
-    left = lines.where((F.col("ca") > F.col("m")) | (F.col("cb") > F.col("m"))).select(
-        "a_id", "b_id", F.col("h").alias("lh"), (F.col("ca") - F.col("m")).alias("la"), (F.col("cb") - F.col("m")).alias("lb")
-    )
-    pools = left.join(kids, "lh").groupBy("a_id", "b_id", "sh").agg(
-        F.sum(F.col("la") * F.col("k")).alias("pa"), F.sum(F.col("lb") * F.col("k")).alias("pb")
-    )
-    m2 = pools.groupBy("a_id", "b_id").agg(F.sum(F.least("pa", "pb")).alias("m2"))
-    out = (
-        pairs.join(m1, ["a_id", "b_id"], "left")
-        .join(m2, ["a_id", "b_id"], "left")
-        .join(prints.select(F.col("doc_id").alias("a_id"), F.col("total").alias("total_a"),
-                            F.col("root_hash").alias("ra")), "a_id")
-        .join(other.select(F.col("doc_id").alias("b_id"), F.col("total").alias("total_b"),
-                           F.col("root_hash").alias("rb")), "b_id")
-    )
-    matched = F.when(F.col("ra") == F.col("rb"), F.col("total_a")).otherwise(
-        F.coalesce("m1", F.lit(0)) + F.coalesce("m2", F.lit(0))
+    per_level = []
+    for level in range(1, max(depth, 1) + 1):
+        cur = cur.groupBy(*keys, "h").agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"), F.max("w").alias("w"))
+        cur = cur.withColumn("m", F.least("ca", "cb"))
+        per_level.append(cur.groupBy(*keys).agg(F.sum(F.col("m") * F.col("w")).alias("mw")))
+        if level >= depth:
+            break
+        left = cur.where((F.col("ca") > F.col("m")) | (F.col("cb") > F.col("m"))).select(
+            *keys, F.col("h").alias("lh"), (F.col("ca") - F.col("m")).alias("la"), (F.col("cb") - F.col("m")).alias("lb")
+        )
+        cur = left.join(kids, "lh").select(
+            *keys, F.col("sh").alias("h"), (F.col("la") * F.col("k")).alias("ca"), (F.col("lb") * F.col("k")).alias("cb"),
+            F.col("sw").alias("w"),
+        )
+    m = per_level[0]
+    for p in per_level[1:]:
+        m = m.unionByName(p)
+    m = m.groupBy(*keys).agg(F.sum("mw").alias("m"))
+    sa = pa.sections.select(F.col("doc_id").alias("a_id"), "section", F.col("root_hash").alias("ra"),
+                            F.col("total").alias("total_a"))
+    sb = pb.sections.select(F.col("doc_id").alias("b_id"), "section", F.col("root_hash").alias("rb"),
+                            F.col("total").alias("total_b"))
+    both = pairs.join(sa, "a_id").join(sb, ["b_id", "section"])
+    out = both.join(m, keys, "left")
+    matched = F.when(F.col("ra") == F.col("rb"), F.col("total_a")).otherwise(F.coalesce("m", F.lit(0)))
+    return out.select(*keys, matched.cast("bigint").alias("matched"), F.col("total_a").cast("bigint").alias("total_a"),
+                      F.col("total_b").cast("bigint").alias("total_b"))
+
+
+def matched_weight(pairs: DataFrame, prints: DataFrame | PrintSet, other: DataFrame | PrintSet | None = None) -> DataFrame:
+    """P8 summed over sections: ``(a_id, b_id, matched, total_a, total_b, matched_mf, total_mf_a, total_mf_b,
+    same_counts)`` (``mf`` = method and function sections)."""
+    pa = prepare(prints)
+    pb = pa if other is None else prepare(other)
+    per = section_matches(pairs, pa, pb)
+    mf = F.col("section").isin(list(METHOD_SECTIONS))
+    agg = per.groupBy("a_id", "b_id").agg(
+        F.sum("matched").cast("bigint").alias("matched"),
+        F.sum("total_a").cast("bigint").alias("total_a"),
+        F.sum("total_b").cast("bigint").alias("total_b"),
+        F.coalesce(F.sum(F.when(mf, F.col("matched"))), F.lit(0)).cast("bigint").alias("matched_mf"),
+        F.coalesce(F.sum(F.when(mf, F.col("total_a"))), F.lit(0)).cast("bigint").alias("total_mf_a"),
+        F.coalesce(F.sum(F.when(mf, F.col("total_b"))), F.lit(0)).cast("bigint").alias("total_mf_b"),
     )
-    return out.select(
-        "a_id", "b_id", matched.cast("bigint").alias("matched"), F.col("total_a").cast("bigint").alias("total_a"),
-        F.col("total_b").cast("bigint").alias("total_b"),
+    ca = pa.docs.select(F.col("doc_id").alias("a_id"), F.col("n_methods").alias("ma"), F.col("n_functions").alias("fa"))
+    cb = pb.docs.select(F.col("doc_id").alias("b_id"), F.col("n_methods").alias("mb"), F.col("n_functions").alias("fb"))
+    return (
+        pairs.join(agg, ["a_id", "b_id"]).join(ca, "a_id").join(cb, "b_id")
+        .withColumn("same_counts", (F.col("ma") == F.col("mb")) & (F.col("fa") == F.col("fb")))
+        .drop("ma", "mb", "fa", "fb")
     )
 
 
-def with_decision(scored: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
-    """Adds ``pct_a, pct_b, pct_min, pct_max`` (A9) and ``is_match`` (P9) to matched weights."""
+def with_decision(scored: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD,
+                  direct: Column | bool = True) -> DataFrame:
+    """Adds ``pct_a, pct_b, pct_min, pct_max`` (A9, totals) and ``is_match``.
+
+    ``direct``: the item came straight from a verifier (total percentages); otherwise the method and function
+    sections decide and the counts must agree; the 99 % subset test always uses totals (Q17)."""
     pa = match_pct(F.col("matched"), F.col("total_a"))
     pb = match_pct(F.col("matched"), F.col("total_b"))
-    return scored.withColumn("pct_a", pa).withColumn("pct_b", pb).withColumn(
+    out = scored.withColumn("pct_a", pa).withColumn("pct_b", pb).withColumn(
         "pct_min", F.least("pct_a", "pct_b")
-    ).withColumn("pct_max", F.greatest("pct_a", "pct_b")).withColumn(
-        "is_match", is_match(F.col("pct_a"), F.col("pct_b"), threshold=threshold)
-    )
+    ).withColumn("pct_max", F.greatest("pct_a", "pct_b"))
+    direct_col = F.lit(direct) if isinstance(direct, bool) else direct
+    if "matched_mf" in scored.columns:
+        ga = match_pct(F.col("matched_mf"), F.col("total_mf_a"))
+        gb = match_pct(F.col("matched_mf"), F.col("total_mf_b"))
+        gen = is_match(ga, gb, F.col("same_counts"), GENERATED_MATCH_THRESHOLD, F.col("pct_a"), F.col("pct_b"))
+        same = F.col("same_counts")
+    else:
+        gen = F.lit(False)
+        same = None
+    dec = F.when(direct_col, is_match(F.col("pct_a"), F.col("pct_b"), same, threshold)).otherwise(gen)
+    return out.withColumn("is_match", dec)
 
 
-def near_duplicate_pairs(prints: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
+def near_duplicate_pairs(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
     """Matching pairs among distinct structures (copy-group representatives), ``a_id < b_id``:
     ``(a_id, b_id, matched, total_a, total_b)``. Copies of a representative are in :func:`copy_groups`."""
-    reps = prints.join(
-        copy_groups(prints).where(F.col("doc_id") == F.col("rep_id")).select("doc_id"), "doc_id", "left_semi"
-    )
+    ps = prepare(prints)
+    reps = subset(ps, copy_groups(ps).where(F.col("doc_id") == F.col("rep_id")))
     scored = with_decision(matched_weight(candidate_pairs(reps, threshold), reps), threshold)
     return scored.where("is_match").select("a_id", "b_id", "matched", "total_a", "total_b")
 
 
-def duplicate_members(prints: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
+def duplicate_members(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
     """Every document that matches some other document (copy of another, or near-duplicate pair
     member, including the copies of such a member)."""
-    groups = copy_groups(prints)
-    pairs = near_duplicate_pairs(prints, threshold)
+    ps = prepare(prints)
+    groups = copy_groups(ps)
+    pairs = near_duplicate_pairs(ps, threshold)
     in_pair = pairs.select(F.explode(F.array("a_id", "b_id")).alias("rep_id")).distinct()
     via_pair = groups.join(in_pair, "rep_id", "left_semi").select("doc_id")
     copies = groups.where(F.col("n_copies") > 1).select("doc_id")
@@ -217,7 +380,7 @@ def duplicate_members(prints: DataFrame, threshold: float = DIRECT_MATCH_THRESHO
 
 
 def similarity_report(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per expected class, mean and sample stdev of both percentages and of their min / max.
+    """Per expected class, mean and sample stdev of the smaller and larger percentage.
 
     ``labels``: ``(a_id, b_id, expected boolean)``; ``scored`` from :func:`with_decision`.
     """
@@ -244,20 +407,20 @@ def match_report(scored: DataFrame) -> DataFrame:
     )
 
 
-def similar_pairs_between(probe_prints: DataFrame, stored_prints: DataFrame,
+def similar_pairs_between(probe_prints: DataFrame | PrintSet, stored_prints: DataFrame | PrintSet,
                           threshold: float = DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
                           band: tuple[float, float] | None = None) -> DataFrame:
-    """P10-style decision between a probe set and a stored set: ``(a_id, b_id, matched, total_a, total_b,
-    pct_a, pct_b, ..., is_match)`` for all candidate pairs (probe ``a_id``, stored ``b_id``)."""
-    cand = candidate_pairs(probe_prints, threshold, block, band, other=stored_prints)
-    return with_decision(matched_weight(cand, probe_prints, stored_prints), threshold)
+    """P10-style decision between a probe set and a stored set for all candidate pairs (probe ``a_id``,
+    stored ``b_id``)."""
+    pp, sp = prepare(probe_prints), prepare(stored_prints)
+    cand = candidate_pairs(pp, threshold, block, band, other=sp)
+    return with_decision(matched_weight(cand, pp, sp), threshold)
 
 
-def exists_similar(probe_prints: DataFrame, stored_prints: DataFrame,
+def exists_similar(probe_prints: DataFrame | PrintSet, stored_prints: DataFrame | PrintSet,
                    threshold: float = DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
                    band: tuple[float, float] | None = None) -> DataFrame:
     """Probe ids for which some stored item is similar (early-exit semantics = left semi)."""
-    hits = similar_pairs_between(probe_prints, stored_prints, threshold, block, band).where("is_match")
-    return probe_prints.select("doc_id").join(
-        hits.select(F.col("a_id").alias("doc_id")), "doc_id", "left_semi"
-    )
+    pp = prepare(probe_prints)
+    hits = similar_pairs_between(pp, stored_prints, threshold, block, band).where("is_match")
+    return pp.docs.select("doc_id").join(hits.select(F.col("a_id").alias("doc_id")), "doc_id", "left_semi")

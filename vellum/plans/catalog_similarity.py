@@ -115,8 +115,7 @@ SELECT a_id, b_id, round(pct_a, 4) AS pct_a, round(pct_b, 4) AS pct_b,
        round(least(pct_a, pct_b), 4) AS pct_min, round(greatest(pct_a, pct_b), 4) AS pct_max FROM matches""",
 )
 def q_c10(spark, sf_dir):
-    p = doc_prints(spark, sf_dir)
-    pairs = SIM.near_duplicate_pairs(p)
+    pairs = SIM.near_duplicate_pairs(doc_prints(spark, sf_dir))
     s = SIM.with_decision(pairs)
     return s.select(
         "a_id", "b_id", *[F.round(c, 4).alias(c) for c in ("pct_a", "pct_b", "pct_min", "pct_max")]
@@ -182,8 +181,9 @@ def q_j4(spark, sf_dir):
     reps = ep.join(
         SIM.copy_groups(ep, keys).where(F.col("doc_id") == F.col("rep_id")).select("doc_id"), "doc_id", "left_semi"
     )
-    cand = SIM.candidate_pairs(reps, block=keys, band=BAND)
-    return SIM.with_decision(SIM.matched_weight(cand, reps)).where("is_match").select(
+    ps = SIM.prepare(reps)
+    cand = SIM.candidate_pairs(ps, block=keys, band=BAND)
+    return SIM.with_decision(SIM.matched_weight(cand, ps)).where("is_match").select(
         "a_id", "b_id", "matched", "total_a", "total_b"
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import loc
+from vellum.session import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
@@ -31,8 +32,14 @@ ERROR_TYPE = "array<struct<error_id:string,message:string>>"
 PHASE_TYPE = "array<struct<phase:string,millis:bigint>>"
 
 
+# Tables whose rows carry long texts: per-row work on them is CPU-heavy, so their scans are spread over
+# all cores when the files give too few partitions (see ``vellum.session.spread``).
+TEXT_TABLES = {"documents", "benchmark", "pages", "conversations"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _epoch_plus_seconds(epoch: str, secs: Column) -> Column:

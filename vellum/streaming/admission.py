@@ -55,18 +55,20 @@ def queue_to_entities(queue: DataFrame, existing_entities: DataFrame, stamp: Col
 # ------------------------------------------------------------------------------------------------
 # K3: greedy sequential admission
 # ------------------------------------------------------------------------------------------------
-def similarity_edges(prints: DataFrame, threshold: float = SIM.DIRECT_MATCH_THRESHOLD,
+def similarity_edges(prints: DataFrame | SIM.PrintSet, threshold: float = SIM.DIRECT_MATCH_THRESHOLD,
                      block: list[str] | None = None, band: tuple[float, float] | None = None,
                      extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges ``(e, l)``: earlier item ``e`` (smaller id = earlier arrival) is similar to later item ``l``.
 
     ``extra`` may further filter the scored pairs (K5: results of both back ends must agree too).
     """
-    cand = SIM.candidate_pairs(prints, threshold, block, band)
-    scored = SIM.with_decision(SIM.matched_weight(cand, prints), threshold).where("is_match")
+    ps = SIM.prepare(prints)
+    cand = SIM.candidate_pairs(ps, threshold, block, band)
+    scored = SIM.with_decision(SIM.matched_weight(cand, ps), threshold).where("is_match")
     if extra is not None:
         scored = extra(scored)
-    return scored.select(F.col("a_id").alias("e"), F.col("b_id").alias("l"))
+    # Materialised once: every greedy round reads the edges again.
+    return cut_lineage(scored.select(F.col("a_id").alias("e"), F.col("b_id").alias("l")))
 
 
 def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | None = None,
@@ -107,10 +109,11 @@ def admit(batch_prints: DataFrame, stored_prints: DataFrame | None = None,
     """
     block = block or []
     allp = batch_prints if stored_prints is None else batch_prints.unionByName(stored_prints.select(*batch_prints.columns))
-    groups = SIM.copy_groups(allp, block)
-    reps = allp.join(groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id"), "doc_id", "left_semi")
+    ps = SIM.prepare(allp)
+    groups = cut_lineage(SIM.copy_groups(ps, block))
+    reps = SIM.subset(ps, groups.where(F.col("doc_id") == F.col("rep_id")))
     edges = similarity_edges(reps, threshold, block, band, extra)
-    batch_reps = reps.join(batch_prints.select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    batch_reps = reps.docs.join(batch_prints.select("doc_id"), "doc_id", "left_semi").select("doc_id")
     stored_ids = None if stored_prints is None else stored_prints.select("doc_id")
     decided = greedy_admission(batch_reps, edges, stored_ids)
     later_copies = groups.where(F.col("doc_id") != F.col("rep_id")).join(

@@ -154,8 +154,7 @@ def q_c12(spark, sf_dir):
     return SIM.match_report(scored)
 
 
-@query(
-    "J4_similar_candidates",
+J4_SQL = (
     "WITH "
     + ENTITIES[: -0 or None]
     + ",\n"
@@ -173,8 +172,11 @@ pairs AS (
     AND ea.loc BETWEEN CAST(trunc(eb.loc * 0.5) AS INTEGER) AND CAST(trunc(eb.loc * 2.0) AS INTEGER)),
 """
     + MATCHED_CTES
-    + "\nSELECT a_id, b_id, matched, total_a, total_b FROM matches",
+    + "\nSELECT a_id, b_id, matched, total_a, total_b FROM matches"
 )
+
+
+@query("J4_similar_candidates", J4_SQL)
 def q_j4(spark, sf_dir):
     ep = entity_prints(spark, sf_dir)
     keys = ["frontend", "original_verifier", "parse_success"]

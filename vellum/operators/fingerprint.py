@@ -45,7 +45,8 @@ def _sentences(line: Column) -> Column:
     return F.filter(F.transform(parts, _words), lambda ws: F.size(ws) > 0)
 
 
-def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """P1-P6 for documents, one row per document:
 
     ``doc_id, root_hash, weight`` (untrimmed), ``total`` (kept nodes below the root = trimmed root weight - 1),
@@ -53,14 +54,16 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weight (1 + kept sentences) and ``sents`` the hashes of the kept sentences.
 
     Words are leaves (kind = lower-cased token), sentences and lines keep child order, the root is
-    commutative (line order does not matter).
+    commutative (line order does not matter). ``keep``: input columns passed through unchanged.
     """
+    keep = list(keep)
     text = F.regexp_replace(F.col(text_col), PIECE_SEP, "")
     # Stage 1: split into lines -> sentences -> words (array<array<array<string>>>).
-    s1 = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(text, "\n", -1), _sentences).alias("t"))
+    s1 = docs.select(F.col(id_col).alias("doc_id"), *keep, F.transform(F.split(text, "\n", -1), _sentences).alias("t"))
     # Stage 2: sentence prints (hash, weight) per line.
     s2 = s1.select(
         "doc_id",
+        *keep,
         F.transform(
             "t",
             lambda line: F.transform(
@@ -82,6 +85,7 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Stage 3: line prints.
     s3 = s2.select(
         "doc_id",
+        *keep,
         F.transform(
             "t",
             lambda sents: F.struct(
@@ -98,6 +102,7 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = F.filter("t", lambda ln: ln["w0"] > TRIM_WEIGHT)
     s4 = s3.select(
         "doc_id",
+        *keep,
         short_md5(F.concat(F.lit(KIND_ROOT), F.array_join(F.transform(ordered, lambda x: x["h"]), ","))).alias(
             "root_hash"
         ),

@@ -42,10 +42,8 @@ WHERE EXISTS (SELECT 1 FROM sig_s x JOIN sig_s y ON x.success = y.success AND x.
 def q_j4r(spark, sf_dir):
     """J4 + P10: print-similar candidate pairs whose results in both back ends are similar too (entity ids are
     shared between documents and the result tables)."""
-    ep = entity_prints(spark, sf_dir)
-    reps = ep.join(SIM.copy_groups(ep, KEYS).where(F.col("doc_id") == F.col("rep_id")).select("doc_id"), "doc_id",
-                   "left_semi")
-    ps = SIM.prepare(reps)
+    full = SIM.prepare(entity_prints(spark, sf_dir))
+    ps = SIM.subset(full, SIM.copy_groups(full, KEYS).where(F.col("doc_id") == F.col("rep_id")))
     scored = SIM.with_decision(SIM.matched_weight(SIM.candidate_pairs(ps, block=KEYS, band=BAND), ps)).where("is_match")
     keep = PG.pairs_with_similar_results(
         scored.select("a_id", "b_id"), T.results_silicon(spark, sf_dir, with_errors=True), T.results_carbon(spark, sf_dir)

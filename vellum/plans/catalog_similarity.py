@@ -19,11 +19,11 @@ def doc_prints(spark: SparkSession, sf_dir: str):
 
 
 def entity_prints(spark: SparkSession, sf_dir: str):
-    """Prints joined with the entity columns used for blocking."""
-    e = T.entities(spark, sf_dir).select(
-        F.col("entity_id").alias("doc_id"), "loc", "frontend", "original_verifier", "parse_success"
+    """Prints of the entities, carrying the columns used for blocking (J4) through the same projection."""
+    e = T.entities(spark, sf_dir)
+    return FP.document_prints(
+        e, id_col="entity_id", text_col="program", keep=["loc", "frontend", "original_verifier", "parse_success"]
     )
-    return doc_prints(spark, sf_dir).join(e, "doc_id")
 
 
 @query("S4_scan_prints", "WITH " + prints_ctes() + "\nSELECT doc_id, root_hash, weight, total FROM prints")
@@ -178,12 +178,9 @@ pairs AS (
 
 @query("J4_similar_candidates", J4_SQL)
 def q_j4(spark, sf_dir):
-    ep = entity_prints(spark, sf_dir)
     keys = ["frontend", "original_verifier", "parse_success"]
-    reps = ep.join(
-        SIM.copy_groups(ep, keys).where(F.col("doc_id") == F.col("rep_id")).select("doc_id"), "doc_id", "left_semi"
-    )
-    ps = SIM.prepare(reps)
+    full = SIM.prepare(entity_prints(spark, sf_dir))
+    ps = SIM.subset(full, SIM.copy_groups(full, keys).where(F.col("doc_id") == F.col("rep_id")))
     cand = SIM.candidate_pairs(ps, block=keys, band=BAND)
     return SIM.with_decision(SIM.matched_weight(cand, ps)).where("is_match").select(
         "a_id", "b_id", "matched", "total_a", "total_b"

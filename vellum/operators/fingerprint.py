@@ -106,13 +106,13 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         short_md5(F.concat(F.lit(KIND_ROOT), F.array_join(F.transform(ordered, lambda x: x["h"]), ","))).alias(
             "root_hash"
         ),
-        (F.aggregate("t", F.lit(0), lambda acc, ln: acc + ln["w0"]) + 1).alias("weight"),
+        (F.aggregate("t", F.lit(0), lambda acc, ln: acc + ln["w0"]) + 1).cast("bigint").alias("weight"),
         F.transform(
             kept,
             lambda ln: F.struct(ln["h"].alias("h"), (F.size(ln["sents"]) + 1).alias("w"), ln["sents"].alias("sents")),
         ).alias("lines"),
     )
-    return s4.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, ln: acc + ln["w"]))
+    return s4.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, ln: acc + ln["w"]).cast("bigint"))
 
 
 def explode_rows(df: DataFrame, arr, alias: str, *keep: str, pos: str | None = None) -> DataFrame:

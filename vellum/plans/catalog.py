@@ -382,9 +382,8 @@ def q_a14(spark, sf_dir):
   FROM results_silicon) WHERE rn = 1""",
 )
 def q_w1(spark, sf_dir):
-    return lookup.latest_per_entity(T.results_silicon(spark, sf_dir)).select(
-        "entity_id", "creation_date", "result_id", "runtime"
-    )
+    r = T.results_silicon(spark, sf_dir).select("entity_id", "creation_date", "result_id", "runtime")
+    return lookup.latest_per_entity(r).select("entity_id", "creation_date", "result_id", "runtime")
 
 
 @query(

@@ -22,27 +22,19 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def max_id(existing: DataFrame, id_col: str) -> DataFrame:
-    """One-row frame with the largest id (0 for an empty table)."""
-    return existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint").alias("_max"))
+def max_id(existing: DataFrame, id_col: str):
+    """The largest id (0 for an empty table) as a scalar-subquery column: evaluated once, no join."""
+    return existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
 
 
 def with_new_ids(existing: DataFrame, new: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """Ids for new rows = max(existing id) + 1, 2, ... following the total order ``order``.
 
     Deterministic and dense (unlike ``monotonically_increasing_id``); no single-task window (see
-    :func:`vellum.operators.sequences.dense_ids`). The max is a one-row global aggregate.
+    :func:`vellum.operators.sequences.dense_ids`). The max is a scalar subquery.
     """
     numbered = dense_ids(new, order, start=1, out="_seq")
-    return _add_base(numbered, max_id(existing, id_col), new.columns, id_col)
-
-
-def _add_base(numbered: DataFrame, base: DataFrame, cols: list[str], id_col: str) -> DataFrame:
-    # The base is one row; attach it through a constant key so the plan is an equi-join on a one-row side.
-    b = base.withColumn("_k", F.lit(1))
-    return numbered.withColumn("_k", F.lit(1)).join(F.broadcast(b), "_k").select(
-        *cols, (F.col("_max") + F.col("_seq")).cast("bigint").alias(id_col)
-    )
+    return numbered.select(*new.columns, (max_id(existing, id_col) + F.col("_seq")).cast("bigint").alias(id_col))
 
 
 def propagate_keys(parent: DataFrame, children: dict[str, DataFrame], temp_key: str, id_col: str) -> dict[str, DataFrame]:

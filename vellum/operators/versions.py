@@ -18,7 +18,8 @@ DEFAULT_TIME_FACTOR = 1.5
 
 def missing_version(entities: DataFrame, results: DataFrame, version_hash: str) -> DataFrame:
     """Entity ids without any result for ``version_hash`` (NOT EXISTS as a left anti join)."""
-    have = results.where(F.col("version_hash") == F.lit(version_hash)).select("entity_id")
+    # distinct first: an entity with a third of all results collapses map-side to one build-side row
+    have = results.where(F.col("version_hash") == F.lit(version_hash)).select("entity_id").distinct()
     return entities.select("entity_id").join(have, "entity_id", "left_anti")
 
 

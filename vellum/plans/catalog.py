@@ -87,15 +87,17 @@ def q_s1(spark, sf_dir):
 
 @query("S2_batched_scan", "SELECT doc_id AS entity_id, CAST(length(text) AS BIGINT) AS n_chars_counted FROM documents")
 def q_s2(spark, sf_dir):
-    """Cursor-style batch processing: Arrow batches of 1000 rows handed to pandas, one output per row."""
+    """Cursor-style processing in batches of at most 1000 rows (the reference's fetch size), in pandas."""
+    from vellum.sources.files import CURSOR_BATCH
 
     def per_batch(batches):
         for pdf in batches:
-            yield pd.DataFrame(
-                {"entity_id": pdf["entity_id"], "n_chars_counted": pdf["program"].str.len().astype("int64")}
-            )
+            for start in range(0, len(pdf), CURSOR_BATCH):
+                chunk = pdf.iloc[start:start + CURSOR_BATCH]
+                yield pd.DataFrame(
+                    {"entity_id": chunk["entity_id"], "n_chars_counted": chunk["program"].str.len().astype("int64")}
+                )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return (
         T.entities(spark, sf_dir)
         .select("entity_id", "program")

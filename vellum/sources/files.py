@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the Unicode replacement character produced when undecodable bytes are read as UTF-8.
-REPLACEMENT_CHAR = "�"
+# The Unicode replacement character produced when undecodable bytes are read as UTF-8, and the
+# number of rows handed over per batch by cursor-style scans.
+REPLACEMENT_CHAR = "\ufffd"
+CURSOR_BATCH = 1000
 
 
 def read_program_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

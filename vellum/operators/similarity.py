@@ -114,8 +114,11 @@ def prepare(x: DataFrame | PrintSet) -> PrintSet:
     """Materialise a print set once (document prints or node-table prints are recognised by their columns)."""
     if isinstance(x, PrintSet):
         return x
-    x = cut_lineage(x)  # the input is computed once; the four tables below read the materialised copy
-    ps = from_document_prints(x) if "lines" in x.columns else from_node_prints(x)
+    x = cut_lineage(x)  # the input is computed once; the tables below read the materialised copy
+    if "lines" in x.columns:
+        ps = from_document_prints(x)  # docs and sections are projections of x: no extra copy needed
+        return PrintSet(ps.docs, ps.sections, cut_lineage(ps.tokens), cut_lineage(ps.kids))
+    ps = from_node_prints(x)
     return PrintSet(cut_lineage(ps.docs), cut_lineage(ps.sections), cut_lineage(ps.tokens), cut_lineage(ps.kids))
 
 

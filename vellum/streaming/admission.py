@@ -195,10 +195,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
         good.select(F.col("submission_id").alias("doc_id"), *block), "doc_id"
     )
     corpus_path = os.path.join(out_dir, "corpus")
-    stored = None
-    if os.path.isdir(corpus_path) and any(n.startswith("batch_id=") for n in os.listdir(corpus_path)):
-        prev = spark.read.parquet(corpus_path).where(F.col("batch_id") < F.lit(batch_id))
-        stored = prev.drop("batch_id")
+    stored = _earlier_batches(spark, corpus_path, batch_id)
     decided = admit(prints, stored, threshold, block)
     decided = cut_lineage(decided)
     accepted = prints.join(decided.where("accepted").select("doc_id"), "doc_id", "left_semi")
@@ -212,6 +209,19 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
     status.write.mode("overwrite").parquet(os.path.join(out_dir, "status", part))
 
 
+def _earlier_batches(spark: SparkSession, corpus_path: str, batch_id: int) -> DataFrame | None:
+    """Items accepted by batches before ``batch_id`` (None when nothing was stored yet). Asks Spark, so it works
+    on any shared file system; a replayed batch never sees its own earlier output."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        prev = spark.read.parquet(corpus_path)
+    except AnalysisException:
+        return None
+    prev = prev.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
+    return prev if prev.limit(1).count() > 0 else None
+
+
 def start_admission_stream(spark: SparkSession, submissions_dir: str, out_dir: str, checkpoint_location: str,
                            threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
                            max_files_per_trigger: int | None = None):

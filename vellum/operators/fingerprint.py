@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.arrays import explode_rows
 from vellum.functions.scalars import short_md5
 from vellum.session import cut_lineage
 
@@ -115,16 +116,6 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return s4.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, ln: acc + ln["w"]).cast("bigint"))
 
 
-def explode_rows(df: DataFrame, arr, alias: str, *keep: str, pos: str | None = None) -> DataFrame:
-    """``explode`` of a computed array without Catalyst's inferred ``size(arr) > 0`` filter: that filter would
-    be pushed below a repartition and evaluate the whole (expensive) array expression a second time."""
-    if pos is None:
-        out = df.select(*keep, F.explode_outer(arr).alias(alias))
-        return out.where(F.col(alias).isNotNull())
-    out = df.select(*keep, F.posexplode_outer(arr).alias(pos, alias))
-    return out.where(F.col(pos).isNotNull())
-
-
 def print_tokens(prints: DataFrame) -> DataFrame:
     """Kept nodes of every document as ``(doc_id, level, h, cnt, w)`` (level 1 = line, 2 = sentence),
     one row per distinct hash per document with its multiplicity ``cnt`` and recomputed weight ``w``."""

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.arrays import explode_rows
 from vellum.functions.regex import line_hits, match_lines, with_flags
 
 
@@ -33,8 +34,6 @@ def regex_lines(entities: DataFrame, pattern: str, flags: int = 0, keep_empty: b
 def regex_line_hits(entities: DataFrame, pattern: str, flags: int = 0) -> DataFrame:
     """F9 in long form: ``(entity_id, line, hits)``, one row per line holding at least one match start."""
     pat = with_flags(pattern, flags)
-    from vellum.operators.fingerprint import explode_rows
-
     hits = explode_rows(entities.where(F.col("program").rlike(pat)), line_hits(F.col("program"), pat), "h", "entity_id")
     return (
         hits.select("entity_id", F.col("h.line").cast("int").alias("line"), F.col("h.hits").cast("int").alias("hits"))
@@ -71,8 +70,6 @@ def per_line_matches(entities: DataFrame, pattern: str, flags: int = 0) -> DataF
         .when(trimmed == "", F.array().cast("array<string>"))
         .otherwise(F.split(trimmed, "\n", -1))
     )
-    from vellum.operators.fingerprint import explode_rows
-
     return (
         explode_rows(entities, lines, "line", "entity_id", pos="line_index")
         .where(F.col("line").rlike(pat))

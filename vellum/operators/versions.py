@@ -62,9 +62,11 @@ def _v2_summary(b: DataFrame) -> DataFrame:
     )
 
 
-def version_diffs(results: DataFrame, v1: str, v2: str, time_factor: float = DEFAULT_TIME_FACTOR) -> DataFrame:
+def version_diffs(results: DataFrame, v1: str, v2: str, time_factor: float = DEFAULT_TIME_FACTOR,
+                  distinct: bool = False) -> DataFrame:
     """J6 in long form: ``(kind, entity_id, result_id)``, one row per v1 result that differs from some v2
-    result of the same entity; kinds ``success``, ``runtime`` (C15), ``errors``. Repeats kept (Q2)."""
+    result of the same entity; kinds ``success``, ``runtime`` (C15), ``errors``. An entity with several v1
+    results is listed once per result (Q2); ``distinct=True`` gives ``(kind, entity_id)`` once each."""
     a, b = _restricted(results, v1, v2)
     s = _v2_summary(b)
     k = F.lit(float(time_factor))
@@ -82,7 +84,8 @@ def version_diffs(results: DataFrame, v1: str, v2: str, time_factor: float = DEF
             F.when(error_diff, F.lit("errors")),
         ).alias("kinds"),
     )
-    return tagged.select(F.explode(F.array_compact("kinds")).alias("kind"), "entity_id", "result_id")
+    out = tagged.select(F.explode(F.array_compact("kinds")).alias("kind"), "entity_id", "result_id")
+    return out.select("kind", "entity_id").distinct() if distinct else out
 
 
 def version_diff_summary(results: DataFrame, v1: str, v2: str, time_factor: float = DEFAULT_TIME_FACTOR) -> DataFrame:

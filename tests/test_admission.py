@@ -81,3 +81,21 @@ def test_admission_equals_loop_over_brute_force_edges(spark):
     edges = {(r.a_id, r.b_id) for r in scored}
     assert got == K.sequential_admission_reference(ids, edges)
     assert sum(not v for v in got.values()) > 0  # some items are rejected on this data
+
+
+def test_stream_two_batches_probe_corpus(spark, tmp_path):
+    subs = str(tmp_path / "subs")
+    a = "One two three four five. Six seven eight nine ten.\nAlpha beta gamma delta epsilon. Zeta eta theta iota."
+    b = a + "\nKappa lambda mu nu xi. Omicron pi rho sigma tau."  # contains a: subset match
+    c = "Totally other words in here now. And more of them to see."
+    spark.createDataFrame([(1, a, "g", "s")], "submission_id long, program string, frontend string, original_verifier string") \
+        .coalesce(1).write.mode("append").parquet(subs)
+    spark.createDataFrame([(2, b, "g", "s"), (3, c, "g", "s"), (4, a.upper(), "g", "s")],
+                          "submission_id long, program string, frontend string, original_verifier string") \
+        .coalesce(1).write.mode("append").parquet(subs)
+    q = K.start_admission_stream(spark, subs, str(tmp_path / "out"), str(tmp_path / "ckpt"), max_files_per_trigger=1)
+    q.awaitTermination()
+    dec = {r.doc_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()}
+    assert dec == {1: True, 2: False, 3: True, 4: False}
+    status = spark.read.parquet(str(tmp_path / "out" / "status")).count()
+    assert status == 2

@@ -220,8 +220,9 @@ def _candidates(ps: PrintSet, os_: PrintSet | None, threshold: float, block: lis
             & ((F.col("total_a") < F.col("total_b")) | ((F.col("total_a") == F.col("total_b")) & (F.col("a") < F.col("b"))))
         )
         return hits.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"))
+    # the smaller tree of each pair probes: batch side when not larger, other side when strictly smaller
     h1 = _hits(ps, os_, threshold, block, sections).where(F.col("total_a") <= F.col("total_b"))
-    h2 = _hits(os_, ps, threshold, block, sections).where(F.col("total_a") > F.col("total_b"))
+    h2 = _hits(os_, ps, threshold, block, sections).where(F.col("total_a") < F.col("total_b"))
     return h1.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).unionByName(
         h2.select(F.col("b").alias("a_id"), F.col("a").alias("b_id"))
     )

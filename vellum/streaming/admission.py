@@ -100,26 +100,41 @@ def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | Non
     return out.select("doc_id", (F.col("st") == ACCEPTED).alias("accepted"))
 
 
-def admit(batch_prints: DataFrame, stored_prints: DataFrame | None = None,
+def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM.PrintSet | None = None,
           threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
           band: tuple[float, float] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """K3/K4/K5: ``(doc_id, accepted)`` for a batch (ids in arrival order, all after the stored ones).
 
     K4 = print similarity only (``block``/``band`` from J5); K5 = with ``extra`` result checks (P10).
+    The stored corpus is only probed (two-sided candidates batch x corpus) - never re-fingerprinted, and
+    pairs inside the corpus are never formed.
     """
     block = block or []
-    allp = batch_prints if stored_prints is None else batch_prints.unionByName(stored_prints.select(*batch_prints.columns))
-    ps = SIM.prepare(allp)
-    groups = cut_lineage(SIM.copy_groups(ps, block))
-    reps = SIM.subset(ps, groups.where(F.col("doc_id") == F.col("rep_id")))
+    b = SIM.prepare(batch_prints)
+    c = None if stored_prints is None else SIM.prepare(stored_prints)
+    groups = cut_lineage(SIM.copy_groups(b, block))
+    later_copies = groups.where(F.col("doc_id") != F.col("rep_id")).select("doc_id")
+    rep_ids = groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id")
+    if c is not None:
+        # exact structural copies of stored items are rejected without pairing
+        pkeys = ["print", *block]
+        copies_of_stored = b.docs.join(c.docs.select(*pkeys).distinct(), pkeys, "left_semi").select("doc_id")
+        later_copies = later_copies.unionByName(copies_of_stored).distinct()
+        rep_ids = rep_ids.join(copies_of_stored, "doc_id", "left_anti")
+    rep_ids = cut_lineage(rep_ids)
+    reps = SIM.subset(b, rep_ids)
     edges = similarity_edges(reps, threshold, block, band, extra)
-    batch_reps = reps.docs.join(batch_prints.select("doc_id"), "doc_id", "left_semi").select("doc_id")
-    stored_ids = None if stored_prints is None else stored_prints.select("doc_id")
-    decided = greedy_admission(batch_reps, edges, stored_ids)
-    later_copies = groups.where(F.col("doc_id") != F.col("rep_id")).join(
-        batch_prints.select("doc_id"), "doc_id", "left_semi"
-    ).select("doc_id", F.lit(False).alias("accepted"))
-    return decided.unionByName(later_copies)
+    stored_ids = None
+    if c is not None:
+        cand = SIM.candidate_pairs(reps, threshold, block, band, other=c)
+        scored = SIM.with_decision(SIM.matched_weight(cand, reps, c), threshold).where("is_match")
+        if extra is not None:
+            scored = extra(scored)
+        cross = cut_lineage(scored.select(F.col("b_id").alias("e"), F.col("a_id").alias("l")))
+        edges = edges.unionByName(cross)
+        stored_ids = cross.select(F.col("e").alias("doc_id")).distinct()
+    decided = greedy_admission(rep_ids, edges, stored_ids)
+    return decided.unionByName(later_copies.select("doc_id", F.lit(False).alias("accepted")))
 
 
 def sequential_admission_reference(ids: list[int], edges: set[tuple[int, int]]) -> dict[int, bool]:
@@ -181,25 +196,31 @@ SUBMISSION_SCHEMA = T.StructType([
 ])
 
 
+PRINT_TABLES = ("docs", "sections", "tokens", "kids")
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
                   threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None) -> None:
-    """One micro-batch: quarantine malformed rows (K7), fingerprint, admit against items accepted by earlier
-    batches (K3), write accepted items, decisions and a status row under ``batch_id=<n>`` (overwrite)."""
+    """One micro-batch: quarantine malformed rows (K7), fingerprint the batch, admit it against the items
+    accepted by earlier batches (K3), and write under ``batch_id=<n>`` (overwrite, so replays are idempotent):
+    the decisions, a status row, and the print tables of the accepted items (the corpus index later batches
+    probe; the corpus is never fingerprinted twice)."""
     block = block or []
     part = f"batch_id={batch_id}"
     stamped = accept_submissions(batch)
     bad = stamped.where(F.col("program").isNull() | F.col("submission_id").isNull())
     good = stamped.where(F.col("program").isNotNull() & F.col("submission_id").isNotNull())
     bad.write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", part))
-    prints = document_prints(good, id_col="submission_id", text_col="program").join(
-        good.select(F.col("submission_id").alias("doc_id"), *block), "doc_id"
-    )
-    corpus_path = os.path.join(out_dir, "corpus")
-    stored = _earlier_batches(spark, corpus_path, batch_id)
-    decided = admit(prints, stored, threshold, block)
-    decided = cut_lineage(decided)
-    accepted = prints.join(decided.where("accepted").select("doc_id"), "doc_id", "left_semi")
-    accepted.write.mode("overwrite").parquet(os.path.join(corpus_path, part))
+    prints = document_prints(good, id_col="submission_id", text_col="program", keep=block)
+    b = SIM.prepare(prints)
+    stored = _earlier_batches(spark, os.path.join(out_dir, "corpus"), batch_id)
+    decided = cut_lineage(admit(b, stored, threshold, block))
+    accepted = decided.where("accepted").select("doc_id")
+    for name in PRINT_TABLES:
+        tab = getattr(b, name)
+        if name != "kids":
+            tab = tab.join(accepted, "doc_id", "left_semi")
+        tab.write.mode("overwrite").parquet(os.path.join(out_dir, "corpus", name, part))
     decided.write.mode("overwrite").parquet(os.path.join(out_dir, "decisions", part))
     status = decided.select(
         F.lit(batch_id).cast("bigint").alias("batch_id"),
@@ -209,17 +230,21 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
     status.write.mode("overwrite").parquet(os.path.join(out_dir, "status", part))
 
 
-def _earlier_batches(spark: SparkSession, corpus_path: str, batch_id: int) -> DataFrame | None:
-    """Items accepted by batches before ``batch_id`` (None when nothing was stored yet). Asks Spark, so it works
-    on any shared file system; a replayed batch never sees its own earlier output."""
+def _earlier_batches(spark: SparkSession, corpus_path: str, batch_id: int) -> SIM.PrintSet | None:
+    """Print tables of the items accepted by batches before ``batch_id`` (None when nothing is stored yet).
+    Asks Spark, so it works on any shared file system; a replayed batch never sees its own earlier output."""
     from pyspark.errors import AnalysisException
 
-    try:
-        prev = spark.read.parquet(corpus_path)
-    except AnalysisException:
+    tabs = {}
+    for name in PRINT_TABLES:
+        try:
+            t = spark.read.parquet(os.path.join(corpus_path, name))
+        except AnalysisException:
+            return None
+        tabs[name] = t.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
+    if tabs["docs"].limit(1).count() == 0:
         return None
-    prev = prev.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
-    return prev if prev.limit(1).count() > 0 else None
+    return SIM.PrintSet(tabs["docs"], tabs["sections"], tabs["tokens"], tabs["kids"].distinct())
 
 
 def start_admission_stream(spark: SparkSession, submissions_dir: str, out_dir: str, checkpoint_location: str,

@@ -42,7 +42,7 @@ def test_evaluator_captures_errors(spark):
             raise RuntimeError("boom")
         return {"success": True, "runtime": 5}
 
-    rows = {r.entity_id: r for r in K.evaluate(df, ev, "silicon").collect()}
+    rows = {r.entity_id: r for r in K.evaluate(df, ev, "symbolic").collect()}
     assert rows[1].success and rows[1].runtime == 5
     assert not rows[2].success and rows[2].error_ids == ["evaluator:RuntimeError"]
 

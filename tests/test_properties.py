@@ -66,7 +66,7 @@ def test_strip_options_matches_fold(spark, batch):
     got = [r.x for r in df.select(S.strip_options("a").alias("x")).collect()]
     want = []
     for a in batch:
-        for f in S.STRIP_FLAGS_SILICON:
+        for f in S.STRIP_FLAGS_SYMBOLIC:
             a = py_filter_args(a, f)
         want.append(a)
     assert got == want

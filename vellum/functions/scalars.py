@@ -20,7 +20,7 @@ BUDGET_MAX_SECONDS = 600
 # Length of the hex digest kept for a node hash (first 16 of the 32 MD5 hex characters).
 HASH_HEX_CHARS = 16
 # Back-end options stripped from argument lists before a re-run.
-STRIP_FLAGS_SILICON = (
+STRIP_FLAGS_SYMBOLIC = (
     "--timeout",
     "--cvc5Exe",
     "--enableTempDirectory",
@@ -35,7 +35,7 @@ STRIP_FLAGS_SILICON = (
     "--z3Exe",
     "--z3LogFile",
 )
-STRIP_FLAGS_CARBON = ("--timeout", "--boogieExe", "--proverLog", "--z3Exe")
+STRIP_FLAGS_VCGEN = ("--timeout", "--boogieExe", "--proverLog", "--z3Exe")
 
 
 def _col(c: Column | str) -> Column:
@@ -84,7 +84,7 @@ def _strip_expr(acc: Column, f: Column) -> Column:
     return F.when(pos == 0, acc).otherwise(F.concat(before, after))
 
 
-def strip_options(args: Column | str, flags: Sequence[str] = STRIP_FLAGS_SILICON) -> Column:
+def strip_options(args: Column | str, flags: Sequence[str] = STRIP_FLAGS_SYMBOLIC) -> Column:
     """C4: fold :func:`strip_option` over a list of flags with ``aggregate`` (no nested expression blow-up)."""
     flag_arr = F.array(*[F.lit(f) for f in flags])
     return F.aggregate(flag_arr, _col(args), _strip_expr)
@@ -95,7 +95,7 @@ def rerun_args(
     args: Column | str,
     from_backend: Column,
     timeout_seconds: Column | None = None,
-    flags: Sequence[str] = STRIP_FLAGS_SILICON,
+    flags: Sequence[str] = STRIP_FLAGS_SYMBOLIC,
 ) -> Column:
     """Extra args, plus the original args only when the entity came from this back end, stripped (C4);
     then ``--timeout n`` appended when a timeout is given."""

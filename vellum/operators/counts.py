@@ -50,7 +50,7 @@ def frontend_count_by_ids(entities: DataFrame, ids: DataFrame) -> DataFrame:
 def feature_count(feature_entries: DataFrame, feature_name: str, include_const: bool = False) -> DataFrame:
     """Entries of a feature in back end A plus back end B; constants are not counted
     (reference behaviour) unless ``include_const``."""
-    kinds = ["silicon", "carbon"] + (["const"] if include_const else [])
+    kinds = ["symbolic", "vcgen"] + (["const"] if include_const else [])
     return feature_entries.where(
         (F.col("feature_name") == F.lit(feature_name)) & F.col("ref_kind").isin(kinds)
     ).select(F.lit(feature_name).alias("feature_name"), F.count(F.lit(1)).alias("n"))

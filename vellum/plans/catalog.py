@@ -18,9 +18,9 @@ from vellum.plans.oracle_views import (
     ENTITIES,
     EVENT_QUEUE,
     ORDER_ERRORS,
-    RESULTS_CARBON,
-    RESULTS_SILICON,
-    RESULTS_SILICON_ERR,
+    RESULTS_VCGEN,
+    RESULTS_SYMBOLIC,
+    RESULTS_SYMBOLIC_ERR,
     SUBMISSIONS,
     with_,
 )
@@ -133,55 +133,55 @@ def q_f2(spark, sf_dir):
 
 @query(
     "F2_results_for_ids",
-    with_(RESULTS_SILICON)
-    + "SELECT result_id, entity_id, success FROM results_silicon WHERE entity_id IN "
+    with_(RESULTS_SYMBOLIC)
+    + "SELECT result_id, entity_id, success FROM results_symbolic WHERE entity_id IN "
     "(SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
 )
 def q_f2b(spark, sf_dir):
     ids = T.read(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    return lookup.by_ids(T.results_silicon(spark, sf_dir), ids).select("result_id", "entity_id", "success")
+    return lookup.by_ids(T.results_symbolic(spark, sf_dir), ids).select("result_id", "entity_id", "success")
 
 
 @query(
     "F4_results_for_entity",
-    with_(RESULTS_SILICON) + "SELECT result_id, creation_date, success, runtime FROM results_silicon WHERE entity_id = 10",
+    with_(RESULTS_SYMBOLIC) + "SELECT result_id, creation_date, success, runtime FROM results_symbolic WHERE entity_id = 10",
 )
 def q_f4(spark, sf_dir):
-    return lookup.results_for_entity(T.results_silicon(spark, sf_dir), 10).select(
+    return lookup.results_for_entity(T.results_symbolic(spark, sf_dir), 10).select(
         "result_id", "creation_date", "success", "runtime"
     )
 
 
 @query(
     "F5_results_for_version",
-    with_(RESULTS_SILICON)
-    + f"SELECT result_id, entity_id, success, did_timeout, runtime FROM results_silicon WHERE version_hash = '{V1}'",
+    with_(RESULTS_SYMBOLIC)
+    + f"SELECT result_id, entity_id, success, did_timeout, runtime FROM results_symbolic WHERE version_hash = '{V1}'",
 )
 def q_f5(spark, sf_dir):
-    return lookup.results_for_version(T.results_silicon(spark, sf_dir), V1).select(
+    return lookup.results_for_version(T.results_symbolic(spark, sf_dir), V1).select(
         "result_id", "entity_id", "success", "did_timeout", "runtime"
     )
 
 
 @query(
     "F6_ids_by_result_data",
-    with_(RESULTS_SILICON)
-    + "SELECT DISTINCT entity_id FROM results_silicon WHERE success = true AND did_timeout = false "
+    with_(RESULTS_SYMBOLIC)
+    + "SELECT DISTINCT entity_id FROM results_symbolic WHERE success = true AND did_timeout = false "
     "AND runtime >= 100000 AND runtime <= 300000",
 )
 def q_f6(spark, sf_dir):
     return lookup.entity_ids_by_result_data(
-        T.results_silicon(spark, sf_dir), success=True, did_timeout=False, min_runtime=100000, max_runtime=300000
+        T.results_symbolic(spark, sf_dir), success=True, did_timeout=False, min_runtime=100000, max_runtime=300000
     )
 
 
 @query(
-    "F6_ids_by_carbon_data",
-    with_(RESULTS_CARBON)
-    + "SELECT DISTINCT entity_id FROM results_carbon WHERE success = false AND did_timeout = true",
+    "F6_ids_by_vcgen_data",
+    with_(RESULTS_VCGEN)
+    + "SELECT DISTINCT entity_id FROM results_vcgen WHERE success = false AND did_timeout = true",
 )
 def q_f6b(spark, sf_dir):
-    return lookup.entity_ids_by_result_data(T.results_carbon(spark, sf_dir), success=False, did_timeout=True)
+    return lookup.entity_ids_by_result_data(T.results_vcgen(spark, sf_dir), success=False, did_timeout=True)
 
 
 @query("F8_find_term", with_(ENTITIES) + "SELECT entity_id FROM entities WHERE contains(program, 'the ')")
@@ -279,8 +279,8 @@ def q_c3(spark, sf_dir):
     "A1_table_counts",
     """SELECT 'submissions' AS table_name, count(*) AS n_rows FROM benchmark
 UNION ALL SELECT 'entities', count(*) FROM documents
-UNION ALL SELECT 'silicon_results', count(*) FROM orders
-UNION ALL SELECT 'carbon_results', count(*) FROM events
+UNION ALL SELECT 'symbolic_results', count(*) FROM orders
+UNION ALL SELECT 'vcgen_results', count(*) FROM events
 UNION ALL SELECT 'const_features', count(*) * 2 FROM labels""",
 )
 def q_a1(spark, sf_dir):
@@ -289,15 +289,15 @@ def q_a1(spark, sf_dir):
     return counts.table_counts(
         submissions=T.submissions(spark, sf_dir),
         entities=T.entities(spark, sf_dir),
-        silicon_results=T.results_silicon(spark, sf_dir),
-        carbon_results=T.results_carbon(spark, sf_dir),
+        symbolic_results=T.results_symbolic(spark, sf_dir),
+        vcgen_results=T.results_vcgen(spark, sf_dir),
         const_features=label_features(spark, sf_dir),
     )
 
 
 @query("A2_distinct_entities", "SELECT count(DISTINCT o_custkey) AS n_entities FROM orders")
 def q_a2(spark, sf_dir):
-    return counts.distinct_entity_count(T.results_silicon(spark, sf_dir))
+    return counts.distinct_entity_count(T.results_symbolic(spark, sf_dir))
 
 
 @query(
@@ -318,47 +318,47 @@ def q_a3(spark, sf_dir):
 
 @query(
     "A3_result_counts",
-    with_(RESULTS_SILICON, RESULTS_CARBON)
-    + """SELECT (SELECT count(*) FROM results_silicon WHERE success) AS n_silicon_success,
-  (SELECT count(*) FROM results_carbon WHERE success) AS n_carbon_success""",
+    with_(RESULTS_SYMBOLIC, RESULTS_VCGEN)
+    + """SELECT (SELECT count(*) FROM results_symbolic WHERE success) AS n_symbolic_success,
+  (SELECT count(*) FROM results_vcgen WHERE success) AS n_vcgen_success""",
 )
 def q_a3b(spark, sf_dir):
-    a = counts.filtered_counts(T.results_silicon(spark, sf_dir), n_silicon_success=F.col("success"))
-    b = counts.filtered_counts(T.results_carbon(spark, sf_dir), n_carbon_success=F.col("success"))
+    a = counts.filtered_counts(T.results_symbolic(spark, sf_dir), n_symbolic_success=F.col("success"))
+    b = counts.filtered_counts(T.results_vcgen(spark, sf_dir), n_vcgen_success=F.col("success"))
     stacked = a.unionByName(b, allowMissingColumns=True)
-    return stacked.select(F.max("n_silicon_success").alias("n_silicon_success"), F.max("n_carbon_success").alias(
-        "n_carbon_success"))
+    return stacked.select(F.max("n_symbolic_success").alias("n_symbolic_success"), F.max("n_vcgen_success").alias(
+        "n_vcgen_success"))
 
 
 @query(
     "A4_range_counts",
-    with_(ENTITIES, RESULTS_SILICON, RESULTS_CARBON)
+    with_(ENTITIES, RESULTS_SYMBOLIC, RESULTS_VCGEN)
     + """SELECT (SELECT count(*) FROM entities WHERE loc BETWEEN 5 AND 50) AS n_loc,
-  (SELECT count(*) FROM results_silicon WHERE runtime BETWEEN 100000 AND 200000) AS n_silicon_runtime,
-  (SELECT count(*) FROM results_carbon WHERE runtime BETWEEN 1000 AND 5000) AS n_carbon_runtime""",
+  (SELECT count(*) FROM results_symbolic WHERE runtime BETWEEN 100000 AND 200000) AS n_symbolic_runtime,
+  (SELECT count(*) FROM results_vcgen WHERE runtime BETWEEN 1000 AND 5000) AS n_vcgen_runtime""",
 )
 def q_a4(spark, sf_dir):
     parts = [
         counts.filtered_counts(T.entities(spark, sf_dir), n_loc=counts.between("loc", 5, 50)),
         counts.filtered_counts(
-            T.results_silicon(spark, sf_dir), n_silicon_runtime=counts.between("runtime", 100000, 200000)
+            T.results_symbolic(spark, sf_dir), n_symbolic_runtime=counts.between("runtime", 100000, 200000)
         ),
-        counts.filtered_counts(T.results_carbon(spark, sf_dir), n_carbon_runtime=counts.between("runtime", 1000, 5000)),
+        counts.filtered_counts(T.results_vcgen(spark, sf_dir), n_vcgen_runtime=counts.between("runtime", 1000, 5000)),
     ]
     st = parts[0]
     for p in parts[1:]:
         st = st.unionByName(p, allowMissingColumns=True)
-    return st.select(*[F.max(c).alias(c) for c in ("n_loc", "n_silicon_runtime", "n_carbon_runtime")])
+    return st.select(*[F.max(c).alias(c) for c in ("n_loc", "n_symbolic_runtime", "n_vcgen_runtime")])
 
 
 @query(
     "A8_mean_stdev_by_version",
-    with_(RESULTS_SILICON)
+    with_(RESULTS_SYMBOLIC)
     + """SELECT version_hash, round(avg(runtime), 4) AS mean, round(stddev_samp(runtime), 4) AS stdev, count(*) AS n
-FROM results_silicon GROUP BY version_hash""",
+FROM results_symbolic GROUP BY version_hash""",
 )
 def q_a8(spark, sf_dir):
-    r = counts.mean_stdev_by(T.results_silicon(spark, sf_dir), "version_hash", "runtime")
+    r = counts.mean_stdev_by(T.results_symbolic(spark, sf_dir), "version_hash", "runtime")
     return r.select("version_hash", F.round("mean", 4).alias("mean"), F.round("stdev", 4).alias("stdev"), "n")
 
 
@@ -378,13 +378,13 @@ def q_a14(spark, sf_dir):
 # ----------------------------------------------------------------------------------------------------------
 @query(
     "W1_latest_result",
-    with_(RESULTS_SILICON)
+    with_(RESULTS_SYMBOLIC)
     + """SELECT entity_id, creation_date, result_id, runtime FROM (
   SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY creation_date DESC, result_id DESC) AS rn
-  FROM results_silicon) WHERE rn = 1""",
+  FROM results_symbolic) WHERE rn = 1""",
 )
 def q_w1(spark, sf_dir):
-    r = T.results_silicon(spark, sf_dir).select("entity_id", "creation_date", "result_id", "runtime")
+    r = T.results_symbolic(spark, sf_dir).select("entity_id", "creation_date", "result_id", "runtime")
     return lookup.latest_per_entity(r).select("entity_id", "creation_date", "result_id", "runtime")
 
 
@@ -430,39 +430,39 @@ def q_u4(spark, sf_dir):
 # ----------------------------------------------------------------------------------------------------------
 @query(
     "J3_missing_version",
-    with_(CUSTOMER_ENTITIES, RESULTS_SILICON)
+    with_(CUSTOMER_ENTITIES, RESULTS_SYMBOLIC)
     + f"""SELECT entity_id FROM customer_entities c WHERE NOT EXISTS (
-  SELECT 1 FROM results_silicon r WHERE r.entity_id = c.entity_id AND r.version_hash = '{V1}')""",
+  SELECT 1 FROM results_symbolic r WHERE r.entity_id = c.entity_id AND r.version_hash = '{V1}')""",
 )
 def q_j3(spark, sf_dir):
-    return versions.missing_version(T.customer_entities(spark, sf_dir), T.results_silicon(spark, sf_dir), V1)
+    return versions.missing_version(T.customer_entities(spark, sf_dir), T.results_symbolic(spark, sf_dir), V1)
 
 
 @query(
     "K6_rerun_backlog",
-    with_(CUSTOMER_ENTITIES, RESULTS_SILICON)
+    with_(CUSTOMER_ENTITIES, RESULTS_SYMBOLIC)
     + f"""SELECT entity_id, CAST(trunc(original_runtime * 5.0 / 1000) AS INTEGER) AS timeout_seconds
 FROM customer_entities c WHERE NOT EXISTS (
-  SELECT 1 FROM results_silicon r WHERE r.entity_id = c.entity_id AND r.version_hash = '{V1}')""",
+  SELECT 1 FROM results_symbolic r WHERE r.entity_id = c.entity_id AND r.version_hash = '{V1}')""",
 )
 def q_k6(spark, sf_dir):
-    return versions.rerun_backlog(T.customer_entities(spark, sf_dir), T.results_silicon(spark, sf_dir), V1)
+    return versions.rerun_backlog(T.customer_entities(spark, sf_dir), T.results_symbolic(spark, sf_dir), V1)
 
 
 @query(
     "J7_shared_entities",
-    with_(RESULTS_SILICON)
-    + f"""SELECT entity_id FROM (SELECT entity_id FROM results_silicon WHERE version_hash = '{V1}'
-  INTERSECT ALL SELECT entity_id FROM results_silicon WHERE version_hash = '{V2}')""",
+    with_(RESULTS_SYMBOLIC)
+    + f"""SELECT entity_id FROM (SELECT entity_id FROM results_symbolic WHERE version_hash = '{V1}'
+  INTERSECT ALL SELECT entity_id FROM results_symbolic WHERE version_hash = '{V2}')""",
 )
 def q_j7(spark, sf_dir):
-    return versions.shared_entities(T.results_silicon(spark, sf_dir), V1, V2)
+    return versions.shared_entities(T.results_symbolic(spark, sf_dir), V1, V2)
 
 
-_VERSION_SIDES = f""", a AS (SELECT * FROM results_silicon_err WHERE version_hash = '{V1}'
-  AND entity_id IN (SELECT entity_id FROM results_silicon WHERE version_hash = '{V2}')),
-b AS (SELECT * FROM results_silicon_err WHERE version_hash = '{V2}'
-  AND entity_id IN (SELECT entity_id FROM results_silicon WHERE version_hash = '{V1}')),
+_VERSION_SIDES = f""", a AS (SELECT * FROM results_symbolic_err WHERE version_hash = '{V1}'
+  AND entity_id IN (SELECT entity_id FROM results_symbolic WHERE version_hash = '{V2}')),
+b AS (SELECT * FROM results_symbolic_err WHERE version_hash = '{V2}'
+  AND entity_id IN (SELECT entity_id FROM results_symbolic WHERE version_hash = '{V1}')),
 diffs AS (
   SELECT 'success' AS kind, a.entity_id, a.result_id FROM a
     WHERE EXISTS (SELECT 1 FROM b WHERE b.entity_id = a.entity_id AND b.success <> a.success)
@@ -478,23 +478,23 @@ diffs AS (
 
 @query(
     "J6_version_diffs",
-    with_(RESULTS_SILICON, ORDER_ERRORS, RESULTS_SILICON_ERR)[:-1] + _VERSION_SIDES + "SELECT kind, entity_id, result_id FROM diffs",
+    with_(RESULTS_SYMBOLIC, ORDER_ERRORS, RESULTS_SYMBOLIC_ERR)[:-1] + _VERSION_SIDES + "SELECT kind, entity_id, result_id FROM diffs",
 )
 def q_j6(spark, sf_dir):
-    return versions.version_diffs(T.results_silicon(spark, sf_dir, with_errors=True), V1, V2, TIME_FACTOR)
+    return versions.version_diffs(T.results_symbolic(spark, sf_dir, with_errors=True), V1, V2, TIME_FACTOR)
 
 
 @query(
     "A7_version_summary",
-    with_(RESULTS_SILICON, ORDER_ERRORS, RESULTS_SILICON_ERR)[:-1]
+    with_(RESULTS_SYMBOLIC, ORDER_ERRORS, RESULTS_SYMBOLIC_ERR)[:-1]
     + _VERSION_SIDES
     + f""", ma AS (SELECT count(*) AS n, coalesce(sum(runtime::HUGEINT), 0) AS sx,
                  coalesce(sum(runtime::HUGEINT * runtime::HUGEINT), 0) AS sxx FROM a),
 mb AS (SELECT count(*) AS n, coalesce(sum(runtime::HUGEINT), 0) AS sx,
                  coalesce(sum(runtime::HUGEINT * runtime::HUGEINT), 0) AS sxx FROM b)
 SELECT '{V1}' AS v1, '{V2}' AS v2,
-  (SELECT count(*) FROM (SELECT entity_id FROM results_silicon WHERE version_hash = '{V1}'
-     INTERSECT ALL SELECT entity_id FROM results_silicon WHERE version_hash = '{V2}')) AS n_shared,
+  (SELECT count(*) FROM (SELECT entity_id FROM results_symbolic WHERE version_hash = '{V1}'
+     INTERSECT ALL SELECT entity_id FROM results_symbolic WHERE version_hash = '{V2}')) AS n_shared,
   (SELECT count(*) FROM diffs WHERE kind = 'success') AS n_success_diff,
   (SELECT count(*) FROM diffs WHERE kind = 'runtime') AS n_runtime_diff,
   (SELECT count(*) FROM diffs WHERE kind = 'errors') AS n_error_diff,
@@ -507,7 +507,7 @@ SELECT '{V1}' AS v1, '{V2}' AS v2,
 FROM ma, mb""",
 )
 def q_a7(spark, sf_dir):
-    return versions.version_diff_summary(T.results_silicon(spark, sf_dir, with_errors=True), V1, V2, TIME_FACTOR)
+    return versions.version_diff_summary(T.results_symbolic(spark, sf_dir, with_errors=True), V1, V2, TIME_FACTOR)
 
 
 # ----------------------------------------------------------------------------------------------------------
@@ -515,14 +515,14 @@ def q_a7(spark, sf_dir):
 # ----------------------------------------------------------------------------------------------------------
 @query(
     "C6_time_budget",
-    with_(RESULTS_CARBON)
+    with_(RESULTS_VCGEN)
     + """SELECT result_id, runtime,
   least(greatest(CAST(trunc(runtime * 5.0 / 1000) AS INTEGER), 10), 600) AS budget_seconds,
   CAST(trunc(runtime * 5.0 / 1000) AS INTEGER) AS rerun_seconds
-FROM results_carbon""",
+FROM results_vcgen""",
 )
 def q_c6(spark, sf_dir):
-    r = T.results_carbon(spark, sf_dir)
+    r = T.results_vcgen(spark, sf_dir)
     return r.select(
         "result_id", "runtime", S.time_budget("runtime").alias("budget_seconds"), S.rerun_budget("runtime").alias(
             "rerun_seconds")
@@ -542,12 +542,12 @@ def q_c8(spark, sf_dir):
 
 @query(
     "C15_runtime_differs",
-    with_(RESULTS_SILICON)
+    with_(RESULTS_SYMBOLIC)
     + f"""SELECT result_id,
   (runtime <= (runtime + 1000) / {TIME_FACTOR} OR runtime >= (runtime + 1000) * {TIME_FACTOR}) AS differs
-FROM results_silicon""",
+FROM results_symbolic""",
 )
 def q_c15(spark, sf_dir):
-    r = T.results_silicon(spark, sf_dir)
+    r = T.results_symbolic(spark, sf_dir)
     return r.select("result_id", S.runtime_differs(F.col("runtime"), F.col("runtime") + 1000, TIME_FACTOR).alias(
         "differs"))

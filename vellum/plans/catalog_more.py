@@ -13,7 +13,7 @@ from vellum.operators import programs as PG
 from vellum.operators import similarity as SIM
 from vellum.plans.catalog_similarity import BAND, J4_SQL, entity_prints
 from vellum.plans.catalog_tables import _C4_ARGS_SQL, _strip_sql
-from vellum.plans.oracle_views import ENTITIES, ORDER_ERRORS, RESULTS_SILICON, RESULTS_SILICON_ERR, prints_ctes, with_
+from vellum.plans.oracle_views import ENTITIES, ORDER_ERRORS, RESULTS_SYMBOLIC, RESULTS_SYMBOLIC_ERR, prints_ctes, with_
 from vellum.plans.registry import query
 from vellum.session import checkpoint_dir
 from vellum.sources import files as FS
@@ -22,11 +22,11 @@ from vellum.streaming import admission as K
 
 KEYS = ["frontend", "original_verifier", "parse_success"]
 
-_SIG_CTES = """sig_s AS (SELECT DISTINCT o_custkey AS entity_id, o_orderstatus = 'F' AS success,
+_SIG_CTES = """sig_sym AS (SELECT DISTINCT o_custkey AS entity_id, o_orderstatus = 'F' AS success,
                         coalesce(e.error_ids, []::VARCHAR[]) AS errs
           FROM orders o LEFT JOIN (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS error_ids
                                    FROM lineitem GROUP BY l_orderkey) e ON e.l_orderkey = o.o_orderkey),
-sig_c AS (SELECT DISTINCT user_id AS entity_id, value <= 100 AS success FROM events)"""
+sig_vcg AS (SELECT DISTINCT user_id AS entity_id, value <= 100 AS success FROM events)"""
 
 
 @query(
@@ -34,9 +34,9 @@ sig_c AS (SELECT DISTINCT user_id AS entity_id, value <= 100 AS success FROM eve
     J4_SQL.replace("SELECT a_id, b_id, matched, total_a, total_b FROM matches", "").rstrip()
     + ",\n" + _SIG_CTES + """
 SELECT a_id, b_id, matched, total_a, total_b FROM matches m
-WHERE EXISTS (SELECT 1 FROM sig_s x JOIN sig_s y ON x.success = y.success AND x.errs = y.errs
+WHERE EXISTS (SELECT 1 FROM sig_sym x JOIN sig_sym y ON x.success = y.success AND x.errs = y.errs
               WHERE x.entity_id = m.a_id AND y.entity_id = m.b_id)
-  AND EXISTS (SELECT 1 FROM sig_c x JOIN sig_c y ON x.success = y.success
+  AND EXISTS (SELECT 1 FROM sig_vcg x JOIN sig_vcg y ON x.success = y.success
               WHERE x.entity_id = m.a_id AND y.entity_id = m.b_id)""",
 )
 def q_j4r(spark, sf_dir):
@@ -46,7 +46,7 @@ def q_j4r(spark, sf_dir):
     ps = SIM.subset(full, SIM.copy_groups(full, KEYS).where(F.col("doc_id") == F.col("rep_id")))
     scored = SIM.with_decision(SIM.matched_weight(SIM.candidate_pairs(ps, block=KEYS, band=BAND), ps)).where("is_match")
     keep = PG.pairs_with_similar_results(
-        scored.select("a_id", "b_id"), T.results_silicon(spark, sf_dir, with_errors=True), T.results_carbon(spark, sf_dir)
+        scored.select("a_id", "b_id"), T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir)
     )
     return scored.join(keep, ["a_id", "b_id"], "left_semi").select("a_id", "b_id", "matched", "total_a", "total_b")
 
@@ -54,7 +54,7 @@ def q_j4r(spark, sf_dir):
 @query("K5_full_admission", None, note="iterative; admission with print, entity and result similarity")
 def q_k5(spark, sf_dir):
     ep = entity_prints(spark, sf_dir)
-    extra = PG.result_filter(T.results_silicon(spark, sf_dir, with_errors=True), T.results_carbon(spark, sf_dir))
+    extra = PG.result_filter(T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir))
     return K.admit(ep, None, block=KEYS, band=BAND, extra=extra)
 
 
@@ -125,8 +125,8 @@ def _c5_sql() -> str:
         "'--z3Exe', role],",
     ).replace("['--printMethodCFGs', '--randomFlag', '--cvc5Exe', '--timeout']) AS args",
               "['--printMethodCFGs', '--randomFlag', '--cvc5Exe', '--timeout']) ELSE []::VARCHAR[] END) AS args")
-    body = _strip_sql(S.STRIP_FLAGS_SILICON)
-    last = f"s{len(S.STRIP_FLAGS_SILICON)}"
+    body = _strip_sql(S.STRIP_FLAGS_SYMBOLIC)
+    last = f"s{len(S.STRIP_FLAGS_SYMBOLIC)}"
     body = body[: body.rindex("\nSELECT")] + (
         f"\nSELECT conv_id, turn, CAST(len(a) + 2 AS INTEGER) AS n_args, "
         f"md5(array_to_string(list_concat(a, ['--timeout', CAST(least(greatest(CAST(trunc(turn * 1000 * 5.0 / 1000) "
@@ -150,11 +150,11 @@ def q_c5(spark, sf_dir):
 
 @query(
     "C14_timeout_errors",
-    with_(RESULTS_SILICON, ORDER_ERRORS, RESULTS_SILICON_ERR)
-    + "SELECT result_id, contains(lower(array_to_string(errs, chr(1))), 'no') AS timed_out FROM results_silicon_err",
+    with_(RESULTS_SYMBOLIC, ORDER_ERRORS, RESULTS_SYMBOLIC_ERR)
+    + "SELECT result_id, contains(lower(array_to_string(errs, chr(1))), 'no') AS timed_out FROM results_symbolic_err",
 )
 def q_c14(spark, sf_dir):
-    r = T.results_silicon(spark, sf_dir, with_errors=True)
+    r = T.results_symbolic(spark, sf_dir, with_errors=True)
     return r.select("result_id", S.has_timeout_error("errors", "no").alias("timed_out"))
 
 
@@ -192,10 +192,10 @@ def q_s15(spark, sf_dir):
 
 @query(
     "S16_json_results",
-    with_(RESULTS_SILICON) + "SELECT result_id, entity_id, runtime, success FROM results_silicon",
+    with_(RESULTS_SYMBOLIC) + "SELECT result_id, entity_id, runtime, success FROM results_symbolic",
 )
 def q_s16(spark, sf_dir):
     path = os.path.join(checkpoint_dir(spark), f"json-{uuid.uuid4().hex}")
-    r = T.results_silicon(spark, sf_dir).select("result_id", "entity_id", "runtime", "success")
+    r = T.results_symbolic(spark, sf_dir).select("result_id", "entity_id", "runtime", "success")
     FS.write_json_results(r, path)
     return FS.read_json_results(spark, path, r.schema)

@@ -24,7 +24,7 @@ from vellum.streaming import admission as K
     "FROM events WHERE event_type = 'error'",
 )
 def q_s6(spark, sf_dir):
-    existing = T.results_silicon(spark, sf_dir).select("result_id")
+    existing = T.results_symbolic(spark, sf_dir).select("result_id")
     new = T.read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "ts")
     return M.with_new_ids(existing, new, "result_id", ["ts", "event_id"]).select("event_id", "result_id")
 
@@ -204,7 +204,7 @@ def q_k7(spark, sf_dir):
     subs = os.path.join(base, "submissions")
     T.read(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("submission_id"), F.col("text").alias("program"),
-        F.lit("Generic").alias("frontend"), F.lit("Silicon").alias("original_verifier"),
+        F.lit("Generic").alias("frontend"), F.lit("symbolic").alias("original_verifier"),
     ).repartition(4).write.parquet(subs)
     q = K.start_admission_stream(spark, subs, os.path.join(base, "out"), os.path.join(base, "ckpt"),
                                  max_files_per_trigger=2)
@@ -219,7 +219,7 @@ def q_u1(spark, sf_dir):
         return {"success": n <= 50, "did_timeout": False, "runtime": len(entity["program"]), "error_ids": []}
 
     ents = T.entities(spark, sf_dir).select("entity_id", "program", "loc", "args")
-    return K.evaluate(ents, line_budget_evaluator, "silicon")
+    return K.evaluate(ents, line_budget_evaluator, "symbolic")
 
 
 @query("P11_recreate_prints", "WITH " + prints_ctes() + "\nSELECT doc_id, root_hash, total FROM prints")
@@ -261,7 +261,7 @@ _C4_ARGS_SQL = """WITH a AS (SELECT conv_id, turn,
 """
 
 
-@query("C4_strip_options", _C4_ARGS_SQL + _strip_sql(S.STRIP_FLAGS_SILICON))
+@query("C4_strip_options", _C4_ARGS_SQL + _strip_sql(S.STRIP_FLAGS_SYMBOLIC))
 def q_c4(spark, sf_dir):
     c = T.read(spark, sf_dir, "conversations")
     args = F.concat(

@@ -30,7 +30,7 @@ SUBMISSIONS = f"""submissions AS (
          TIMESTAMP '2025-01-01 00:00:00' + to_seconds(item_id) AS submission_date,
          text AS program,
          CAST({loc_sql('text')} AS INTEGER) AS loc,
-         'Generic' AS frontend, 'Silicon' AS original_verifier, true AS success, CAST(1500 AS BIGINT) AS runtime
+         'Generic' AS frontend, 'symbolic' AS original_verifier, true AS success, CAST(1500 AS BIGINT) AS runtime
   FROM benchmark)"""
 
 EVENT_QUEUE = f"""event_queue AS (
@@ -38,7 +38,7 @@ EVENT_QUEUE = f"""event_queue AS (
          CAST({loc_sql('props')} AS INTEGER) AS loc, event_type AS frontend
   FROM events)"""
 
-RESULTS_SILICON = """results_silicon AS (
+RESULTS_SYMBOLIC = """results_symbolic AS (
   SELECT o_orderkey AS result_id, o_orderdate AS creation_date, o_orderpriority AS version_hash,
          o_custkey AS entity_id, o_orderstatus = 'F' AS success, o_orderstatus = 'P' AS did_timeout,
          CAST(floor(o_totalprice) AS BIGINT) AS runtime
@@ -48,11 +48,11 @@ ORDER_ERRORS = """order_errors AS (
   SELECT l_orderkey AS result_id, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS error_ids
   FROM lineitem GROUP BY l_orderkey)"""
 
-RESULTS_SILICON_ERR = """results_silicon_err AS (
+RESULTS_SYMBOLIC_ERR = """results_symbolic_err AS (
   SELECT r.*, coalesce(e.error_ids, []::VARCHAR[]) AS errs
-  FROM results_silicon r LEFT JOIN order_errors e USING (result_id))"""
+  FROM results_symbolic r LEFT JOIN order_errors e USING (result_id))"""
 
-RESULTS_CARBON = """results_carbon AS (
+RESULTS_VCGEN = """results_vcgen AS (
   SELECT event_id AS result_id, ts AS creation_date, event_type AS version_hash, user_id AS entity_id,
          value <= 100 AS success, value > 300 AS did_timeout, CAST(floor(value * 100) AS BIGINT) AS runtime
   FROM events)"""
@@ -63,11 +63,11 @@ CUSTOMER_ENTITIES = """customer_entities AS (
   FROM customer)"""
 
 FEATURE_ENTRIES = """feature_entries AS (
-  SELECT 'returnflag' AS feature_name, 'silicon' AS ref_kind, l_orderkey AS ref_id, l_returnflag AS value FROM lineitem
+  SELECT 'returnflag' AS feature_name, 'symbolic' AS ref_kind, l_orderkey AS ref_id, l_returnflag AS value FROM lineitem
   UNION ALL
-  SELECT 'linestatus', 'silicon', l_orderkey, l_linestatus FROM lineitem
+  SELECT 'linestatus', 'symbolic', l_orderkey, l_linestatus FROM lineitem
   UNION ALL
-  SELECT 'props_k', 'carbon', event_id, json_extract_string(props, '$.k') FROM events
+  SELECT 'props_k', 'vcgen', event_id, json_extract_string(props, '$.k') FROM events
   UNION ALL
   SELECT 'segment', 'const', c_custkey, c_mktsegment FROM customer)"""
 

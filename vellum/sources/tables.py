@@ -3,7 +3,7 @@
 Logical tables (see README):
   entities        accepted corpus items      <- documents
   submissions     intake queue               <- benchmark (texts), events (arrival order)
-  results         runs of two back ends      <- orders (+ lineitem error ids) as "silicon", events as "carbon"
+  results         runs of two back ends      <- orders (+ lineitem error ids) as "symbolic", events as "vcgen"
   feature_entries feature values             <- lineitem / events / customer
   label_features  constant features          <- labels
 
@@ -76,7 +76,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         loc("text").alias("loc"),
         F.lit("Generic").alias("frontend"),
         F.array(F.lit("--timeout"), F.lit("10")).alias("args"),
-        F.lit("Silicon").alias("original_verifier"),
+        F.lit("symbolic").alias("original_verifier"),
         F.lit(True).alias("success"),
         F.lit(1500).cast("bigint").alias("runtime"),
     )
@@ -92,7 +92,7 @@ def event_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         loc("props").alias("loc"),
         F.col("event_type").alias("frontend"),
         F.array().cast("array<string>").alias("args"),
-        F.lit("Carbon").alias("original_verifier"),
+        F.lit("vcgen").alias("original_verifier"),
         (F.col("value") <= 100).alias("success"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("runtime"),
     )
@@ -109,7 +109,7 @@ def order_error_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def results_silicon(spark: SparkSession, sf_dir: str, with_errors: bool = False) -> DataFrame:
+def results_symbolic(spark: SparkSession, sf_dir: str, with_errors: bool = False) -> DataFrame:
     """Back end A results from ``orders``.
 
     success = status F, did_timeout = status P, runtime = floor(totalprice), version = orderpriority.
@@ -118,7 +118,7 @@ def results_silicon(spark: SparkSession, sf_dir: str, with_errors: bool = False)
     o = read(spark, sf_dir, "orders")
     base = o.select(
         F.col("o_orderkey").alias("result_id"),
-        F.lit("silicon").alias("backend"),
+        F.lit("symbolic").alias("backend"),
         F.col("o_orderdate").alias("creation_date"),
         F.col("o_orderpriority").alias("version_hash"),
         F.col("o_custkey").alias("entity_id"),
@@ -145,7 +145,7 @@ def results_silicon(spark: SparkSession, sf_dir: str, with_errors: bool = False)
     )
 
 
-def results_carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results_vcgen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back end B results from ``events``.
 
     success = value <= 100, did_timeout = value > 300, runtime = floor(value * 100), version = event_type.
@@ -153,7 +153,7 @@ def results_carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("result_id"),
-        F.lit("carbon").alias("backend"),
+        F.lit("vcgen").alias("backend"),
         F.col("ts").alias("creation_date"),
         F.col("event_type").alias("version_hash"),
         F.col("user_id").alias("entity_id"),
@@ -168,8 +168,8 @@ def results_carbon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature values of three kinds (UNION ALL):
 
-    silicon: lineitem -> ('returnflag', l_orderkey, l_returnflag), ('linestatus', l_orderkey, l_linestatus)
-    carbon:  events   -> ('props_k', event_id, $.k of props)
+    symbolic: lineitem -> ('returnflag', l_orderkey, l_returnflag), ('linestatus', l_orderkey, l_linestatus)
+    vcgen:    events   -> ('props_k', event_id, $.k of props)
     const:   customer -> ('segment', c_custkey, c_mktsegment)
     """
     li = read(spark, sf_dir, "lineitem")
@@ -178,10 +178,10 @@ def feature_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("returnflag"),
         F.col("l_linestatus").alias("linestatus"),
     ).unpivot("ref_id", ["returnflag", "linestatus"], "feature_name", "value")
-    sil = sil.select("feature_name", F.lit("silicon").alias("ref_kind"), "ref_id", "value")
+    sil = sil.select("feature_name", F.lit("symbolic").alias("ref_kind"), "ref_id", "value")
     ev = read(spark, sf_dir, "events").select(
         F.lit("props_k").alias("feature_name"),
-        F.lit("carbon").alias("ref_kind"),
+        F.lit("vcgen").alias("ref_kind"),
         F.col("event_id").alias("ref_id"),
         F.get_json_object("props", "$.k").alias("value"),
     )
@@ -207,7 +207,7 @@ def label_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities for the result-side operators, from ``customer`` (results_silicon.entity_id = o_custkey).
+    """Entities for the result-side operators, from ``customer`` (results_symbolic.entity_id = o_custkey).
 
     original_runtime = floor(|c_acctbal| * 1000) stands in for the first recorded run time.
     """

@@ -58,7 +58,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     (for example one large file with a single row group). Large inputs made of many files are left as they
     are, so this never adds a shuffle at scale. Filters and column pruning still reach the scan."""
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as it is
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)

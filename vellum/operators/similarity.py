@@ -15,9 +15,10 @@ Candidate pairs (no all-pairs within any group):
   a third of the corpus becomes one row) and reported as copy groups, never as pairs;
 * every decision (P9) needs ``m >= t * min(total_a, total_b)`` over some section set (t = 70 %, or 99 % for the
   subset rule). A covered node's hash always occurs in the same section of the other tree, so the smaller
-  tree must share a ``(section, hash)`` with the other within its first ``total - ceil(t * total) + 1`` nodes,
-  in any order; nodes are ordered rarest hash first (prefix filter, exact). Only prefix nodes are joined
-  against the token index, so frequent hashes are probed only by trees made almost entirely of them;
+  tree must share a ``(section, hash)`` with the other among any ``total - ceil(t * total) + 1`` of its nodes
+  (the "prefix filter" of similarity joins; exact). The whole text is fingerprinted; only the choice of probe
+  nodes uses an order: rarest hash first, so frequent hashes are probed only by trees made almost entirely of
+  them. Only probe nodes are joined against the token index;
 * every candidate is then verified exactly.
 """
 
@@ -176,8 +177,8 @@ def _scoped(ps: PrintSet, sections: tuple[str, ...] | None) -> tuple[DataFrame,
     return toks, tot
 
 
-def _prefix_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, threshold: float) -> DataFrame:
-    """Prefix nodes per document, rarest first: those with fewer than ``total - need + 1`` nodes before them.
+def _probe_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, threshold: float) -> DataFrame:
+    """Probe nodes per document, rarest first: those with fewer than ``total - need + 1`` nodes before them.
 
     Any order is exact (the argument only counts nodes); rarest-first keeps the join against the index small.
     The window is one document's distinct hashes, bounded by the document size.
@@ -193,14 +194,14 @@ def _prefix_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, thresh
 
 def _hits(probe: PrintSet, index: PrintSet, threshold: float, block: list[str],
           sections: tuple[str, ...] | None) -> DataFrame:
-    """``(a, total_a, b, total_b)``: a prefix node of ``a`` (probe) occurs in the same section of ``b`` (index).
+    """``(a, total_a, b, total_b)``: a probe node of ``a`` occurs in the same section of ``b`` (index).
 
     With blocking keys the index join is on ``(section, h, keys...)``: a frequent hash is split by key, and
     pairs that the keys exclude are never formed."""
     ptok, ptot = _scoped(probe, sections)
     itok, itot = _scoped(index, sections)
     df_h = itok.groupBy("section", "h").agg(F.count(F.lit(1)).alias("df"))
-    pre = _prefix_tokens(ptok, ptot, df_h, threshold).select(
+    pre = _probe_tokens(ptok, ptot, df_h, threshold).select(
         F.col("doc_id").alias("a"), "section", "h", F.col("total").alias("total_a")
     )
     idx = itok.select(F.col("doc_id").alias("b"), "section", "h").join(

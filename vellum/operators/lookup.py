@@ -22,8 +22,8 @@ def by_id(entities: DataFrame, entity_id: int, id_col: str = "entity_id") -> Dat
 def by_ids(df: DataFrame, ids: DataFrame | Iterable[int], id_col: str = "entity_id") -> DataFrame:
     """F2 id-set look-up; the id list is de-duplicated first so each matching row is returned once.
 
-    A Python list becomes an ``isin`` predicate (pushed into the scan); a DataFrame of ids goes
-    through :func:`semi_join_ids`, which broadcasts it only when its size is proven small.
+    A Python list becomes an ``isin`` predicate (pushed into the scan); a DataFrame of ids becomes a left
+    semi join (broadcast only by Spark's own size checks, see :func:`semi_join_ids`).
     """
     if isinstance(ids, DataFrame):
         keys = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()
@@ -107,7 +107,7 @@ def find_term(entities: DataFrame, term: str) -> DataFrame:
 def latest_per_entity(results: DataFrame) -> DataFrame:
     """Latest result of every entity (creation date desc, result id desc as tie-break).
 
-    Expressed as ``max(struct(date, id, ...))`` per entity: a hash aggregate that combines map-side,
+    Expressed as ``max(struct(date, id, ...))`` per entity: an aggregate with a partial (map-side) step,
     so an entity holding a third of all results never lands whole in one task.
     """
     others = [c for c in results.columns if c not in ("entity_id", "creation_date", "result_id")]
@@ -133,9 +133,9 @@ def oldest(queue: DataFrame, date_col: str = "submission_date", id_col: str = "s
     return queue.orderBy(F.col(date_col).asc(), F.col(id_col).asc()).limit(1)
 
 
-def first_row(df: DataFrame, order_by: str) -> DataFrame:
-    """First row; an order is added so the answer is deterministic."""
-    return df.orderBy(order_by).limit(1)
+def first_row(df: DataFrame, order_by: str | list[str]) -> DataFrame:
+    """First row; an order is added so the answer is deterministic (distributed top-1)."""
+    return df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(1)
 
 
 def concat_all(*frames: DataFrame) -> DataFrame:

@@ -199,3 +199,33 @@ def q_s16(spark, sf_dir):
     r = T.results_symbolic(spark, sf_dir).select("result_id", "entity_id", "runtime", "success")
     FS.write_json_results(r, path)
     return FS.read_json_results(spark, path, r.schema)
+
+
+@query(
+    "F7_ids_of_answer",
+    with_(ENTITIES) + "SELECT entity_id FROM entities WHERE frontend = 'src3' AND loc BETWEEN 2 AND 60",
+)
+def q_f7(spark, sf_dir):
+    from vellum.operators import lookup
+
+    ans = lookup.metadata_filter(T.entities(spark, sf_dir), min_loc=2, max_loc=60, frontend="src3")
+    return lookup.ids_of(ans)
+
+
+@query(
+    "T3_first_row",
+    "SELECT o_orderkey AS result_id, o_orderdate AS creation_date FROM orders WHERE o_orderstatus = 'P' "
+    "ORDER BY o_orderdate, o_orderkey LIMIT 1",
+)
+def q_t3(spark, sf_dir):
+    from vellum.operators import lookup
+
+    r = T.results_symbolic(spark, sf_dir).where("did_timeout").select("result_id", "creation_date")
+    return lookup.first_row(r, ["creation_date", "result_id"])
+
+
+@query("A2_approx_distinct_entities", None, note="HyperLogLog estimate; compare against A2 within its error")
+def q_a2a(spark, sf_dir):
+    from vellum.operators import counts
+
+    return counts.approx_distinct_entity_count(T.results_symbolic(spark, sf_dir))

@@ -155,27 +155,30 @@ def count_hash(prints: DataFrame, h: str) -> DataFrame:
 # ------------------------------------------------------------------------------------------------------------
 # Generic node tables
 # ------------------------------------------------------------------------------------------------------------
-def node_table_prints(nodes: DataFrame, checkpoint_every: int = 4) -> DataFrame:
+def node_table_prints(nodes: DataFrame) -> DataFrame:
     """P4-P6 on a node table, bottom-up, one level per step (deepest first).
 
     Input columns: ``doc_id, section, node_id, parent_id, depth, ord, kind, commutative``.
     Output: the input plus ``weight`` (untrimmed), ``hash``, ``kept`` and ``tweight`` (weight after trim;
     null for trimmed nodes). A node's children are ordered by ``ord``, or by (weight, hash) descending when
     the node is commutative (T4).
+
+    Each level reads only the level below it (one aggregate by parent + one join) and is materialised once, so
+    the work is linear in the number of nodes and the lineage never grows with the depth.
     """
     keys = ["doc_id", "section"]
+    nodes = cut_lineage(nodes)  # every level below reads it; derive it once
     max_depth = nodes.agg(F.max("depth")).first()[0]
     if max_depth is None:
         return nodes.withColumn("weight", F.lit(None).cast("int")).withColumn("hash", F.lit(None).cast("string"))
-    done: DataFrame | None = None
-    # child summaries keyed by parent: (doc, section, parent_id) -> weight sum, ordered hash lists
+    levels: list[DataFrame] = []
+    prev: DataFrame | None = None
     for d in range(max_depth, -1, -1):
         level = nodes.where(F.col("depth") == d)
-        if done is None:
+        if prev is None:
             level = level.withColumn("weight", F.lit(1)).withColumn("child_text", F.lit(""))
         else:
-            kids = done.where(F.col("depth") == d + 1)
-            agg = kids.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(
+            agg = prev.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(
                 F.sum("weight").alias("cw"),
                 F.array_sort(F.collect_list(F.struct("ord", "hash"))).alias("by_ord"),
                 F.reverse(F.array_sort(F.collect_list(F.struct("weight", "hash")))).alias("by_fp"),
@@ -190,28 +193,32 @@ def node_table_prints(nodes: DataFrame, checkpoint_every: int = 4) -> DataFrame:
         level = level.withColumn(
             "hash", short_md5(F.concat(F.col("kind"), F.lit(":"), F.coalesce("child_text", F.lit(""))))
         ).drop("child_text")
-        done = level if done is None else done.unionByName(level)
-        if (max_depth - d + 1) % checkpoint_every == 0:
-            done = cut_lineage(done)
-    # Trim and recompute weights over kept nodes, bottom-up again on the (smaller) kept set.
-    kept = done.withColumn("kept", (F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull())
-    kept_only = kept.where("kept")
-    tw: DataFrame | None = None
-    for d in range(max_depth, -1, -1):
-        level = kept_only.where(F.col("depth") == d).select(*keys, "node_id", "parent_id", "depth")
-        if tw is None:
-            level = level.withColumn("tweight", F.lit(1))
+        prev = cut_lineage(level)
+        levels.append(prev)
+    # Trim (weight <= 3, the root always stays) and recompute weights over kept nodes, bottom-up again.
+    tw_prev: DataFrame | None = None
+    tws: list[DataFrame] = []
+    for level in levels:  # deepest first
+        kept = level.where((F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull()).select(
+            *keys, "node_id", "parent_id"
+        )
+        if tw_prev is None:
+            cur = kept.withColumn("tweight", F.lit(1))
         else:
-            kids = tw.where(F.col("depth") == d + 1).groupBy(*keys, F.col("parent_id").alias("node_id")).agg(
-                F.sum("tweight").alias("cw")
-            )
-            level = level.join(kids, [*keys, "node_id"], "left").select(
-                *keys, "node_id", "parent_id", "depth", (F.coalesce("cw", F.lit(0)) + 1).cast("int").alias("tweight")
+            kids = tw_prev.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.sum("tweight").alias("cw"))
+            cur = kept.join(kids, [*keys, "node_id"], "left").select(
+                *keys, "node_id", "parent_id", (F.coalesce("cw", F.lit(0)) + 1).cast("int").alias("tweight")
             )
-        tw = level if tw is None else tw.unionByName(level)
-        if (max_depth - d + 1) % checkpoint_every == 0:
-            tw = cut_lineage(tw)
-    return kept.join(tw.select(*keys, "node_id", "tweight"), [*keys, "node_id"], "left")
+        tw_prev = cut_lineage(cur)
+        tws.append(tw_prev)
+    done = levels[0]
+    for lv in levels[1:]:
+        done = done.unionByName(lv)
+    tw = tws[0]
+    for t in tws[1:]:
+        tw = tw.unionByName(t)
+    out = done.withColumn("kept", (F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull())
+    return out.join(tw.select(*keys, "node_id", "tweight"), [*keys, "node_id"], "left")
 
 
 def subtree_weights(nodes: DataFrame) -> DataFrame:

@@ -192,12 +192,18 @@ def _probe_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, thresho
     )
 
 
+def loc_bucket(loc: Column) -> Column:
+    """``floor(log2(loc))`` (-1 for 0): two items inside the J4 size band differ by at most one bucket."""
+    return F.when(loc <= 0, F.lit(-1)).otherwise(F.floor(F.log2(loc.cast("double")))).cast("int")
+
+
 def _hits(probe: PrintSet, index: PrintSet, threshold: float, block: list[str],
-          sections: tuple[str, ...] | None) -> DataFrame:
+          sections: tuple[str, ...] | None, banded: bool = False) -> DataFrame:
     """``(a, total_a, b, total_b)``: a probe node of ``a`` occurs in the same section of ``b`` (index).
 
     With blocking keys the index join is on ``(section, h, keys...)``: a frequent hash is split by key, and
-    pairs that the keys exclude are never formed."""
+    pairs that the keys exclude are never formed. With ``banded`` the size bucket joins too (the probe side
+    carries its bucket and both neighbours), an exact necessary condition of the size band."""
     ptok, ptot = _scoped(probe, sections)
     itok, itot = _scoped(index, sections)
     df_h = itok.groupBy("section", "h").agg(F.count(F.lit(1)).alias("df"))
@@ -207,23 +213,30 @@ def _hits(probe: PrintSet, index: PrintSet, threshold: float, block: list[str],
     idx = itok.select(F.col("doc_id").alias("b"), "section", "h").join(
         itot.select(F.col("doc_id").alias("b"), F.col("total").alias("total_b")), "b"
     )
-    if block:
-        pre = pre.join(probe.docs.select(F.col("doc_id").alias("a"), *block), "a")
-        idx = idx.join(index.docs.select(F.col("doc_id").alias("b"), *block), "b")
-    return pre.join(idx, ["section", "h", *block]).select("a", "total_a", "b", "total_b")
+    keys = list(block)
+    pcols = [*block]
+    icols = [*block]
+    if banded:
+        keys.append("bucket")
+        pcols.append(F.explode(F.sequence(loc_bucket(F.col("loc")) - 1, loc_bucket(F.col("loc")) + 1)).alias("bucket"))
+        icols.append(loc_bucket(F.col("loc")).alias("bucket"))
+    if keys:
+        pre = pre.join(probe.docs.select(F.col("doc_id").alias("a"), *pcols), "a")
+        idx = idx.join(index.docs.select(F.col("doc_id").alias("b"), *icols), "b")
+    return pre.join(idx, ["section", "h", *keys]).select("a", "total_a", "b", "total_b")
 
 
 def _candidates(ps: PrintSet, os_: PrintSet | None, threshold: float, block: list[str],
-                sections: tuple[str, ...] | None) -> DataFrame:
+                sections: tuple[str, ...] | None, banded: bool = False) -> DataFrame:
     if os_ is None:
-        hits = _hits(ps, ps, threshold, block, sections).where(
+        hits = _hits(ps, ps, threshold, block, sections, banded).where(
             (F.col("a") != F.col("b"))
             & ((F.col("total_a") < F.col("total_b")) | ((F.col("total_a") == F.col("total_b")) & (F.col("a") < F.col("b"))))
         )
         return hits.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id"))
     # the smaller tree of each pair probes: batch side when not larger, other side when strictly smaller
-    h1 = _hits(ps, os_, threshold, block, sections).where(F.col("total_a") <= F.col("total_b"))
-    h2 = _hits(os_, ps, threshold, block, sections).where(F.col("total_a") < F.col("total_b"))
+    h1 = _hits(ps, os_, threshold, block, sections, banded).where(F.col("total_a") <= F.col("total_b"))
+    h2 = _hits(os_, ps, threshold, block, sections, banded).where(F.col("total_a") < F.col("total_b"))
     return h1.select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).unionByName(
         h2.select(F.col("b").alias("a_id"), F.col("a").alias("b_id"))
     )
@@ -245,12 +258,13 @@ def candidate_pairs(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATC
     ps = prepare(prints)
     os_ = None if other is None else prepare(other)
     parts = []
+    banded = band is not None
     if rule in ("direct", "any"):
-        parts.append(_candidates(ps, os_, threshold, block, None))
+        parts.append(_candidates(ps, os_, threshold, block, None, banded))
     if rule in ("generated", "any"):
-        parts.append(_candidates(ps, os_, GENERATED_MATCH_THRESHOLD, block, METHOD_SECTIONS))
+        parts.append(_candidates(ps, os_, GENERATED_MATCH_THRESHOLD, block, METHOD_SECTIONS, banded))
         if rule == "generated":
-            parts.append(_candidates(ps, os_, SUBSET_THRESHOLD, block, None))
+            parts.append(_candidates(ps, os_, SUBSET_THRESHOLD, block, None, banded))
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)

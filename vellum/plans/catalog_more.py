@@ -15,7 +15,7 @@ from vellum.plans.catalog_similarity import BAND, J4_SQL, entity_prints
 from vellum.plans.catalog_tables import _C4_ARGS_SQL, _strip_sql
 from vellum.plans.oracle_views import ENTITIES, ORDER_ERRORS, RESULTS_SYMBOLIC, RESULTS_SYMBOLIC_ERR, prints_ctes, with_
 from vellum.plans.registry import query
-from vellum.session import checkpoint_dir
+from vellum.session import checkpoint_dir, cut_lineage
 from vellum.sources import files as FS
 from vellum.sources import tables as T
 from vellum.streaming import admission as K
@@ -45,6 +45,7 @@ def q_j4r(spark, sf_dir):
     full = SIM.prepare(entity_prints(spark, sf_dir))
     ps = SIM.subset(full, SIM.copy_groups(full, KEYS).where(F.col("doc_id") == F.col("rep_id")))
     scored = SIM.with_decision(SIM.matched_weight(SIM.candidate_pairs(ps, block=KEYS, band=BAND), ps)).where("is_match")
+    scored = cut_lineage(scored)
     keep = PG.pairs_with_similar_results(
         scored.select("a_id", "b_id"), T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir)
     )

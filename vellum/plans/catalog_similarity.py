@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import fingerprint as FP
 from vellum.operators import similarity as SIM
-from vellum.plans.oracle_views import ENTITIES, MATCHED_CTES, prints_ctes
+from vellum.plans.oracle_views import ENTITIES, MATCHED_CTES, matched_ctes, prints_ctes
 from vellum.plans.registry import query
 from vellum.sources import tables as T
 
@@ -192,22 +192,12 @@ def q_j4(spark, sf_dir):
     "WITH "
     + prints_ctes("documents")
     + ",\n"
-    + prints_ctes("benchmark", "item_id").replace("d_lines", "q_lines").replace("d_sents", "q_sents")
-    .replace("d_words", "q_words").replace("doc_sents", "qdoc_sents").replace("doc_lines", "qdoc_lines")
-    .replace("prints AS", "qprints AS").replace("FROM prints", "FROM qprints").replace("kept_lines", "qkept_lines")
-    .replace("kept_sents", "qkept_sents").replace("tokens AS", "qtokens AS").replace("line_kids AS", "qline_kids AS")
+    + prints_ctes("benchmark", "item_id", prefix="q_")
     + """,
-all_prints AS (SELECT doc_id * 2 AS doc_id, root_hash, total FROM qprints
-               UNION ALL SELECT doc_id * 2 + 1, root_hash, total FROM prints),
-all_tokens AS (SELECT doc_id * 2 AS doc_id, level, h, cnt, w FROM qtokens
-               UNION ALL SELECT doc_id * 2 + 1, level, h, cnt, w FROM tokens),
-all_kids AS (SELECT * FROM qline_kids UNION SELECT * FROM line_kids),
-pairs AS (SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM qtokens a JOIN tokens b ON a.h = b.h)
+all_kids AS (SELECT * FROM q_line_kids UNION SELECT * FROM line_kids),
+pairs AS (SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM q_tokens a JOIN tokens b ON a.h = b.h),
 """
-    + ", "
-    + MATCHED_CTES.replace("JOIN tokens t ON t.doc_id = p.a_id", "JOIN qtokens t ON t.doc_id = p.a_id")
-    .replace("JOIN line_kids ON line_kids.lh", "JOIN all_kids line_kids ON line_kids.lh")
-    .replace("JOIN prints pa ON", "JOIN qprints pa ON")
+    + matched_ctes(a="q_", b="", kids="all_kids")
     + "\nSELECT DISTINCT a_id AS doc_id FROM matches",
 )
 def q_j8(spark, sf_dir):

@@ -84,67 +84,71 @@ def with_(*ctes: str) -> str:
 # Document prints (root -> line -> sentence -> word), mirroring vellum.operators.fingerprint.document_prints.
 # Produces: doc_lines(doc_id, li, h, w0, nks), doc_sents(doc_id, li, si, h, w), prints(doc_id, root_hash, weight,
 # total), tokens(doc_id, level, h, cnt, w), line_kids(lh, sh, k).
-def prints_ctes(source: str = "documents", id_col: str = "doc_id", text_col: str = "text") -> str:
-    return f"""d_lines AS (
+def prints_ctes(source: str = "documents", id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> str:
+    """The CTEs below; with ``prefix`` every CTE name starts with it (two print sets in one query)."""
+    p = prefix
+    return f"""{p}d_lines AS (
   SELECT {id_col} AS doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS li
   FROM (SELECT {id_col}, string_split(replace({text_col}, chr(1), ''), chr(10)) AS ls FROM {source})),
-d_sents AS (
+{p}d_sents AS (
   SELECT doc_id, li, unnest(ps) AS sent, generate_subscripts(ps, 1) AS si
   FROM (SELECT doc_id, li, string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ps
-        FROM d_lines)),
-d_words AS (
+        FROM {p}d_lines)),
+{p}d_words AS (
   SELECT doc_id, li, si, word, wi FROM (
     SELECT doc_id, li, si, unnest(ws) AS word, generate_subscripts(ws, 1) AS wi
-    FROM (SELECT doc_id, li, si, string_split_regex(sent, '\\s+') AS ws FROM d_sents))
+    FROM (SELECT doc_id, li, si, string_split_regex(sent, '\\s+') AS ws FROM {p}d_sents))
   WHERE word <> ''),
-doc_sents AS (
+{p}doc_sents AS (
   SELECT doc_id, li, si,
          substr(md5('sentence:' || string_agg(substr(md5(lower(word) || ':'), 1, 16), ',' ORDER BY wi)), 1, 16) AS h,
          count(*) + 1 AS w
-  FROM d_words GROUP BY doc_id, li, si),
-doc_lines AS (
+  FROM {p}d_words GROUP BY doc_id, li, si),
+{p}doc_lines AS (
   SELECT l.doc_id, l.li,
          substr(md5('line:' || coalesce(string_agg(s.h, ',' ORDER BY s.si), '')), 1, 16) AS h,
          1 + coalesce(sum(s.w), 0) AS w0,
          count(s.h) FILTER (WHERE s.w > 3) AS nks
-  FROM d_lines l LEFT JOIN doc_sents s ON s.doc_id = l.doc_id AND s.li = l.li
+  FROM {p}d_lines l LEFT JOIN {p}doc_sents s ON s.doc_id = l.doc_id AND s.li = l.li
   GROUP BY l.doc_id, l.li),
-prints AS (
+{p}prints AS (
   SELECT doc_id,
          substr(md5('root:' || string_agg(h, ',' ORDER BY w0 DESC, h DESC)), 1, 16) AS root_hash,
          CAST(1 + sum(w0) AS BIGINT) AS weight,
          CAST(coalesce(sum(1 + nks) FILTER (WHERE w0 > 3), 0) AS BIGINT) AS total
-  FROM doc_lines GROUP BY doc_id),
-kept_lines AS (SELECT doc_id, li, h, 1 + nks AS w FROM doc_lines WHERE w0 > 3),
-kept_sents AS (
-  SELECT s.doc_id, s.li, s.si, s.h, k.h AS lh FROM doc_sents s
-  JOIN kept_lines k ON k.doc_id = s.doc_id AND k.li = s.li WHERE s.w > 3),
-tokens AS (
-  SELECT doc_id, 1 AS level, h, count(*) AS cnt, max(w) AS w FROM kept_lines GROUP BY doc_id, h
+  FROM {p}doc_lines GROUP BY doc_id),
+{p}kept_lines AS (SELECT doc_id, li, h, 1 + nks AS w FROM {p}doc_lines WHERE w0 > 3),
+{p}kept_sents AS (
+  SELECT s.doc_id, s.li, s.si, s.h, k.h AS lh FROM {p}doc_sents s
+  JOIN {p}kept_lines k ON k.doc_id = s.doc_id AND k.li = s.li WHERE s.w > 3),
+{p}tokens AS (
+  SELECT doc_id, 1 AS level, h, count(*) AS cnt, max(w) AS w FROM {p}kept_lines GROUP BY doc_id, h
   UNION ALL
-  SELECT doc_id, 2, h, count(*), 1 FROM kept_sents GROUP BY doc_id, h),
-line_kids AS (
+  SELECT doc_id, 2, h, count(*), 1 FROM {p}kept_sents GROUP BY doc_id, h),
+{p}line_kids AS (
   SELECT DISTINCT lh, sh, k FROM (
-    SELECT lh, doc_id, li, h AS sh, count(*) AS k FROM kept_sents GROUP BY lh, doc_id, li, h))"""
+    SELECT lh, doc_id, li, h AS sh, count(*) AS k FROM {p}kept_sents GROUP BY lh, doc_id, li, h))"""
 
 
-# Exact matched weight for a relation pairs(a_id, b_id), mirroring similarity.matched_weight.
-MATCHED_CTES = """pl AS (
-  SELECT p.a_id, p.b_id, t.h, t.cnt AS ca, 0 AS cb, t.w FROM pairs p JOIN tokens t ON t.doc_id = p.a_id AND t.level = 1
+# Exact matched weight for a relation pairs(a_id, b_id), mirroring similarity.matched_weight. ``a`` / ``b``: CTE
+# name prefixes of the print sets the two sides come from; ``kids``: the line-children table to use.
+def matched_ctes(a: str = "", b: str = "", kids: str = "line_kids") -> str:
+    return f"""pl AS (
+  SELECT p.a_id, p.b_id, t.h, t.cnt AS ca, 0 AS cb, t.w FROM pairs p JOIN {a}tokens t ON t.doc_id = p.a_id AND t.level = 1
   UNION ALL
-  SELECT p.a_id, p.b_id, t.h, 0, t.cnt, t.w FROM pairs p JOIN tokens t ON t.doc_id = p.b_id AND t.level = 1),
+  SELECT p.a_id, p.b_id, t.h, 0, t.cnt, t.w FROM pairs p JOIN {b}tokens t ON t.doc_id = p.b_id AND t.level = 1),
 plines AS (SELECT a_id, b_id, h, sum(ca) AS ca, sum(cb) AS cb, max(w) AS w, least(sum(ca), sum(cb)) AS m
            FROM pl GROUP BY a_id, b_id, h),
 m1 AS (SELECT a_id, b_id, sum(m * w) AS m1 FROM plines GROUP BY a_id, b_id),
 pools AS (SELECT a_id, b_id, sh, sum((ca - m) * k) AS pa, sum((cb - m) * k) AS pb
-          FROM plines JOIN line_kids ON line_kids.lh = plines.h GROUP BY a_id, b_id, sh),
+          FROM plines JOIN {kids} lk ON lk.lh = plines.h GROUP BY a_id, b_id, sh),
 m2 AS (SELECT a_id, b_id, sum(least(pa, pb)) AS m2 FROM pools GROUP BY a_id, b_id),
 scored AS (
   SELECT p.a_id, p.b_id,
          CAST(CASE WHEN pa.root_hash = pb.root_hash THEN pa.total
               ELSE coalesce(m1.m1, 0) + coalesce(m2.m2, 0) END AS BIGINT) AS matched,
          pa.total AS total_a, pb.total AS total_b
-  FROM pairs p JOIN prints pa ON pa.doc_id = p.a_id JOIN prints pb ON pb.doc_id = p.b_id
+  FROM pairs p JOIN {a}prints pa ON pa.doc_id = p.a_id JOIN {b}prints pb ON pb.doc_id = p.b_id
   LEFT JOIN m1 ON m1.a_id = p.a_id AND m1.b_id = p.b_id
   LEFT JOIN m2 ON m2.a_id = p.a_id AND m2.b_id = p.b_id),
 decided AS (
@@ -153,3 +157,6 @@ decided AS (
   FROM scored),
 matches AS (
   SELECT * FROM decided WHERE (pct_a >= 70.0 AND pct_b >= 70.0) OR pct_a >= 99.0 OR pct_b >= 99.0)"""
+
+
+MATCHED_CTES = matched_ctes()

@@ -116,21 +116,23 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return s4.withColumn("total", F.aggregate("lines", F.lit(0), lambda acc, ln: acc + ln["w"]).cast("bigint"))
 
 
-def print_tokens(prints: DataFrame) -> DataFrame:
-    """Kept nodes of every document as ``(doc_id, level, h, cnt, w)`` (level 1 = line, 2 = sentence),
-    one row per distinct hash per document with its multiplicity ``cnt`` and recomputed weight ``w``."""
-    lines = explode_rows(prints, F.col("lines"), "ln", "doc_id")
-    l1 = lines.groupBy("doc_id", F.col("ln.h").alias("h")).agg(
+def print_tokens(prints: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Kept nodes of every document as ``(doc_id, level, h, cnt, w, *carry)`` (level 1 = line, 2 = sentence),
+    one row per distinct hash per document with its multiplicity ``cnt`` and recomputed weight ``w``.
+    ``carry``: per-document columns kept on every row (grouped with the document id, no join needed later)."""
+    keys = ["doc_id", *carry]
+    lines = explode_rows(prints, F.col("lines"), "ln", *keys)
+    l1 = lines.groupBy(*keys, F.col("ln.h").alias("h")).agg(
         F.count(F.lit(1)).alias("cnt"), F.first("ln.w").alias("w")
     ).withColumn("level", F.lit(1))
     l2 = (
-        explode_rows(lines, F.col("ln.sents"), "h", "doc_id")
-        .groupBy("doc_id", "h")
+        explode_rows(lines, F.col("ln.sents"), "h", *keys)
+        .groupBy(*keys, "h")
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("w", F.lit(1))
         .withColumn("level", F.lit(2))
     )
-    return l1.unionByName(l2).select("doc_id", "level", "h", "cnt", F.col("w").cast("int").alias("w"))
+    return l1.unionByName(l2).select("doc_id", "level", "h", "cnt", F.col("w").cast("int").alias("w"), *carry)
 
 
 def line_children(prints: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ class PrintSet:
 
     ``docs``     (doc_id, print, total, n_methods, n_functions, + pass-through columns such as blocking keys)
     ``sections`` (doc_id, section, root_hash, total)
-    ``tokens``   (doc_id, section, level, h, cnt, w)  kept non-root nodes, one row per distinct hash
+    ``tokens``   (doc_id, section, level, h, cnt, w, total)  kept non-root nodes, one row per distinct hash
+                 (``total`` of the document rides along, so no later step joins it back)
     ``kids``     (lh, sh, k, sw)                       kept children of a kept node with hash lh
     """
 
@@ -72,8 +73,8 @@ def from_document_prints(prints: DataFrame) -> PrintSet:
     )
     sections = prints.select("doc_id", F.lit(DOC_SECTION).alias("section"), "root_hash",
                              F.col("total").cast("bigint").alias("total"))
-    tokens = print_tokens(prints).select(
-        "doc_id", F.lit(DOC_SECTION).alias("section"), "level", "h", "cnt", "w"
+    tokens = print_tokens(prints, carry=("total",)).select(
+        "doc_id", F.lit(DOC_SECTION).alias("section"), "level", "h", "cnt", "w", F.col("total").cast("bigint")
     )
     kids = line_children(prints).withColumn("sw", F.lit(1))
     return PrintSet(docs, sections, tokens, kids)
@@ -102,7 +103,7 @@ def from_node_prints(np_: DataFrame, extra: DataFrame | None = None) -> PrintSet
     body = kept.where(F.col("parent_id").isNotNull())
     tokens = body.groupBy("doc_id", "section", F.col("depth").alias("level"), F.col("hash").alias("h")).agg(
         F.count(F.lit(1)).alias("cnt"), F.max("tweight").cast("int").alias("w")
-    )
+    ).join(docs.select("doc_id", "total"), "doc_id")
     parents = kept.select("doc_id", "section", F.col("node_id").alias("parent_id"), F.col("hash").alias("lh"))
     per_parent = body.join(parents, ["doc_id", "section", "parent_id"]).groupBy(
         "doc_id", "section", "parent_id", "lh", F.col("hash").alias("sh")
@@ -166,24 +167,24 @@ def _need(total: Column, threshold: float) -> Column:
     return ((total.cast("bigint") * F.lit(t) + F.lit(9999)) / F.lit(10000)).cast("bigint")
 
 
-def _scoped(ps: PrintSet, sections: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
-    """Tokens and per-document totals restricted to a section set (all sections when None)."""
+def _scoped(ps: PrintSet, sections: tuple[str, ...] | None) -> DataFrame:
+    """Tokens with the document total, restricted to a section set (all sections when None; then the total
+    already rides on the tokens, otherwise the per-document total of those sections is joined once)."""
     if sections is None:
-        return ps.tokens, ps.docs.select("doc_id", "total")
-    toks = ps.tokens.where(F.col("section").isin(list(sections)))
+        return ps.tokens
     tot = ps.sections.where(F.col("section").isin(list(sections))).groupBy("doc_id").agg(
         F.sum("total").alias("total")
     )
-    return toks, tot
+    return ps.tokens.where(F.col("section").isin(list(sections))).drop("total").join(tot, "doc_id")
 
 
-def _probe_tokens(tokens: DataFrame, totals: DataFrame, df_h: DataFrame, threshold: float) -> DataFrame:
+def _probe_tokens(tokens: DataFrame, df_h: DataFrame, threshold: float) -> DataFrame:
     """Probe nodes per document, rarest first: those with fewer than ``total - need + 1`` nodes before them.
 
     Any order is exact (the argument only counts nodes); rarest-first keeps the join against the index small.
     The window is one document's distinct hashes, bounded by the document size.
     """
-    t = tokens.join(df_h, ["section", "h"], "left").fillna(0, subset=["df"]).join(totals, "doc_id")
+    t = tokens.join(df_h, ["section", "h"], "left").fillna(0, subset=["df"])
     p = F.col("total") - _need(F.col("total"), threshold) + 1
     w = Window.partitionBy("doc_id").orderBy("df", "section", "h", "level").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("cnt").over(w), F.lit(0))
@@ -204,15 +205,13 @@ def _hits(probe: PrintSet, index: PrintSet, threshold: float, block: list[str],
     With blocking keys the index join is on ``(section, h, keys...)``: a frequent hash is split by key, and
     pairs that the keys exclude are never formed. With ``banded`` the size bucket joins too (the probe side
     carries its bucket and both neighbours), an exact necessary condition of the size band."""
-    ptok, ptot = _scoped(probe, sections)
-    itok, itot = _scoped(index, sections)
+    ptok = _scoped(probe, sections)
+    itok = _scoped(index, sections)
     df_h = itok.groupBy("section", "h").agg(F.count(F.lit(1)).alias("df"))
-    pre = _probe_tokens(ptok, ptot, df_h, threshold).select(
+    pre = _probe_tokens(ptok, df_h, threshold).select(
         F.col("doc_id").alias("a"), "section", "h", F.col("total").alias("total_a")
     )
-    idx = itok.select(F.col("doc_id").alias("b"), "section", "h").join(
-        itot.select(F.col("doc_id").alias("b"), F.col("total").alias("total_b")), "b"
-    )
+    idx = itok.select(F.col("doc_id").alias("b"), "section", "h", F.col("total").alias("total_b"))
     keys = list(block)
     pcols = [*block]
     icols = [*block]

@@ -42,8 +42,17 @@ def metadata_filter(
     verifier: str | None = None,
     parse_success: bool | None = None,
 ) -> DataFrame:
-    """F3 + F15: all ranges inclusive; an absent option means no filter on that column."""
+    """F3 + F15: all ranges inclusive; an absent option means no filter on that column.
+
+    Predicates are combined cheapest first (plain column equalities, which also reach the parquet scan, then
+    date bounds, then the line count, which is computed from the text): Spark evaluates a conjunction left to
+    right, so rows failing a cheap test never pay for the expensive ones.
+    """
     conds: list[Column] = []
+    if frontend is not None:
+        conds.append(F.col("frontend") == F.lit(frontend))
+    if verifier is not None:
+        conds.append(F.col("original_verifier") == F.lit(verifier))
     if earliest is not None:
         conds.append(F.col("submission_date") >= F.lit(earliest).cast("timestamp_ntz"))
     if latest is not None:
@@ -52,16 +61,14 @@ def metadata_filter(
         conds.append(F.col("loc") >= F.lit(min_loc))
     if max_loc is not None:
         conds.append(F.col("loc") <= F.lit(max_loc))
-    if frontend is not None:
-        conds.append(F.col("frontend") == F.lit(frontend))
-    if verifier is not None:
-        conds.append(F.col("original_verifier") == F.lit(verifier))
     if parse_success is not None:
         conds.append(F.col("parse_success") == F.lit(parse_success))
-    out = entities
-    for c in conds:
-        out = out.where(c)
-    return out
+    if not conds:
+        return entities
+    cond = conds[0]
+    for c in conds[1:]:
+        cond = cond & c
+    return entities.where(cond)
 
 
 def results_for_entity(results: DataFrame, entity_id: int) -> DataFrame:

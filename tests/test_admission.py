@@ -99,3 +99,15 @@ def test_stream_two_batches_probe_corpus(spark, tmp_path):
     assert dec == {1: True, 2: False, 3: True, 4: False}
     status = spark.read.parquet(str(tmp_path / "out" / "status")).count()
     assert status == 2
+
+
+def test_chunked_admission_equals_unchunked(spark):
+    from vellum.plans.catalog_similarity import BAND, entity_prints
+
+    keys = ["frontend", "original_verifier", "parse_success"]
+    ep = entity_prints(spark, "/root/testdata/sf0.001")
+    whole = {r.doc_id: r.accepted for r in K.admit(ep, None, block=keys, band=BAND).collect()}
+    chunked = {r.doc_id: r.accepted for r in K.admit(ep, None, block=keys, band=BAND, chunk_rows=60).collect()}
+    assert chunked == whole
+    plain = {r.doc_id: r.accepted for r in K.admit(ep, None, chunk_rows=45).collect()}
+    assert plain == {r.doc_id: r.accepted for r in K.admit(ep, None).collect()}

@@ -56,7 +56,7 @@ def q_j4r(spark, sf_dir):
 def q_k5(spark, sf_dir):
     ep = entity_prints(spark, sf_dir)
     extra = PG.result_filter(T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir))
-    return K.admit(ep, None, block=KEYS, band=BAND, extra=extra)
+    return K.admit(ep, None, block=KEYS, band=BAND, extra=extra, chunk_rows=K.ADMISSION_CHUNK_ROWS)
 
 
 _KW = "|".join(PG.SECTION_KEYWORDS)

@@ -186,7 +186,8 @@ def q_k3(spark, sf_dir):
     from vellum.plans.catalog_similarity import BAND, entity_prints
 
     ep = entity_prints(spark, sf_dir)
-    return K.admit(ep, None, block=["frontend", "original_verifier", "parse_success"], band=BAND)
+    return K.admit(ep, None, block=["frontend", "original_verifier", "parse_success"], band=BAND,
+                   chunk_rows=K.ADMISSION_CHUNK_ROWS)
 
 
 @query("K4_store_only_admission", None, note="iterative; print similarity only, no blocking")

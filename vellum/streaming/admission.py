@@ -31,6 +31,8 @@ from vellum.operators.fingerprint import document_prints
 from vellum.session import cut_lineage
 
 ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
+# Arrival-ordered chunk size for batch admission (bounds pairing inside a near-copy cluster; see admit()).
+ADMISSION_CHUNK_ROWS = 1_000_000
 
 
 # ------------------------------------------------------------------------------------------------
@@ -100,41 +102,78 @@ def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | Non
     return out.select("doc_id", (F.col("st") == ACCEPTED).alias("accepted"))
 
 
+def _union_sets(a: SIM.PrintSet | None, b: SIM.PrintSet) -> SIM.PrintSet:
+    if a is None:
+        return b
+    return SIM.PrintSet(
+        a.docs.unionByName(b.docs), a.sections.unionByName(b.sections), a.tokens.unionByName(b.tokens),
+        a.kids.unionByName(b.kids).distinct(),
+    )
+
+
 def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM.PrintSet | None = None,
           threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
-          band: tuple[float, float] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+          band: tuple[float, float] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None,
+          chunk_rows: int | None = None) -> DataFrame:
     """K3/K4/K5: ``(doc_id, accepted)`` for a batch (ids in arrival order, all after the stored ones).
 
     K4 = print similarity only (``block``/``band`` from J5); K5 = with ``extra`` result checks (P10).
-    The stored corpus is only probed (two-sided candidates batch x corpus) - never re-fingerprinted, and
-    pairs inside the corpus are never formed.
+    The stored corpus is only probed (two-sided candidates batch x corpus), never re-fingerprinted; items
+    with an accepted similar stored item are rejected before any pairing inside the batch, and only the
+    survivors are paired with each other.
+
+    ``chunk_rows``: admit the batch in arrival-ordered chunks of about this many rows, each against everything
+    accepted before it. Accepted items are pairwise dissimilar, so a near-copy meets only its leader; pairs
+    inside one chunk are bounded by the chunk, which bounds the work of a huge near-copy cluster by
+    ``N * chunk_rows`` instead of ``N**2``. The result is identical for every chunk size.
     """
-    block = block or []
     b = SIM.prepare(batch_prints)
     c = None if stored_prints is None else SIM.prepare(stored_prints)
+    if chunk_rows is None:
+        return _admit_one(b, c, threshold, block or [], band, extra)
+    from vellum.operators.sequences import dense_ids
+
+    seq = dense_ids(b.docs.select("doc_id"), ["doc_id"], out="_seq")
+    chunked = cut_lineage(seq.select("doc_id", ((F.col("_seq") - 1) / F.lit(chunk_rows)).cast("bigint").alias("chunk")))
+    n_chunks = int(chunked.agg(F.max("chunk")).first()[0] or 0) + 1
+    decided_parts: list[DataFrame] = []
+    accepted = c
+    for k in range(n_chunks):
+        part = SIM.subset(b, chunked.where(F.col("chunk") == k))
+        dec = cut_lineage(_admit_one(part, accepted, threshold, block or [], band, extra))
+        decided_parts.append(dec)
+        accepted = _union_sets(accepted, SIM.subset(b, dec.where("accepted")))
+    out = decided_parts[0]
+    for d in decided_parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def _admit_one(b: SIM.PrintSet, c: SIM.PrintSet | None, threshold: float, block: list[str],
+               band: tuple[float, float] | None, extra: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     groups = cut_lineage(SIM.copy_groups(b, block))
-    later_copies = groups.where(F.col("doc_id") != F.col("rep_id")).select("doc_id")
+    rejected = groups.where(F.col("doc_id") != F.col("rep_id")).select("doc_id")
     rep_ids = groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id")
     if c is not None:
         # exact structural copies of stored items are rejected without pairing
         pkeys = ["print", *block]
         copies_of_stored = b.docs.join(c.docs.select(*pkeys).distinct(), pkeys, "left_semi").select("doc_id")
-        later_copies = later_copies.unionByName(copies_of_stored).distinct()
-        rep_ids = rep_ids.join(copies_of_stored, "doc_id", "left_anti")
-    rep_ids = cut_lineage(rep_ids)
-    reps = SIM.subset(b, rep_ids)
-    edges = similarity_edges(reps, threshold, block, band, extra)
-    stored_ids = None
-    if c is not None:
+        rep_ids = cut_lineage(rep_ids.join(copies_of_stored, "doc_id", "left_anti"))
+        # a similar accepted stored item rejects an item whatever happens inside the batch
+        reps = SIM.subset(b, rep_ids)
         cand = SIM.candidate_pairs(reps, threshold, block, band, other=c)
         scored = SIM.with_decision(SIM.matched_weight(cand, reps, c), threshold).where("is_match")
         if extra is not None:
             scored = extra(scored)
-        cross = cut_lineage(scored.select(F.col("b_id").alias("e"), F.col("a_id").alias("l")))
-        edges = edges.unionByName(cross)
-        stored_ids = cross.select(F.col("e").alias("doc_id")).distinct()
-    decided = greedy_admission(rep_ids, edges, stored_ids)
-    return decided.unionByName(later_copies.select("doc_id", F.lit(False).alias("accepted")))
+        hit = scored.select(F.col("a_id").alias("doc_id")).distinct()
+        rejected = rejected.unionByName(copies_of_stored).unionByName(hit).distinct()
+        rep_ids = cut_lineage(rep_ids.join(hit, "doc_id", "left_anti"))
+    else:
+        rep_ids = cut_lineage(rep_ids)
+    survivors = SIM.subset(b, rep_ids)
+    edges = similarity_edges(survivors, threshold, block, band, extra)
+    decided = greedy_admission(rep_ids, edges)
+    return decided.unionByName(rejected.select("doc_id", F.lit(False).alias("accepted")))
 
 
 def sequential_admission_reference(ids: list[int], edges: set[tuple[int, int]]) -> dict[int, bool]:

@@ -322,11 +322,15 @@ def section_matches(pairs: DataFrame, prints: DataFrame | PrintSet, other: DataF
                             F.col("total").alias("total_a"))
     sb = pb.sections.select(F.col("doc_id").alias("b_id"), "section", F.col("root_hash").alias("rb"),
                             F.col("total").alias("total_b"))
-    both = pairs.join(sa, "a_id").join(sb, ["b_id", "section"])
+    # a section present in only one tree still counts toward that tree's total (matched 0)
+    side_a = pairs.join(sa, "a_id")
+    side_b = pairs.join(sb, "b_id")
+    both = side_a.join(side_b, keys, "full")
     out = both.join(m, keys, "left")
     matched = F.when(F.col("ra") == F.col("rb"), F.col("total_a")).otherwise(F.coalesce("m", F.lit(0)))
-    return out.select(*keys, matched.cast("bigint").alias("matched"), F.col("total_a").cast("bigint").alias("total_a"),
-                      F.col("total_b").cast("bigint").alias("total_b"))
+    return out.select(*keys, matched.cast("bigint").alias("matched"),
+                      F.coalesce("total_a", F.lit(0)).cast("bigint").alias("total_a"),
+                      F.coalesce("total_b", F.lit(0)).cast("bigint").alias("total_b"))
 
 
 def matched_weight(pairs: DataFrame, prints: DataFrame | PrintSet, other: DataFrame | PrintSet | None = None) -> DataFrame:
@@ -353,6 +357,35 @@ def matched_weight(pairs: DataFrame, prints: DataFrame | PrintSet, other: DataFr
     )
 
 
+def section_percentages(per_section: DataFrame) -> DataFrame:
+    """C10 / A13 from :func:`section_matches` rows: per pair and direction, the percent matched over the
+    section sets methods, functions, methods+functions, preamble (domain, field, predicate, extension) and all.
+
+    Output ``(a_id, b_id, direction, methods, functions, methods_functions, preamble, total)`` with direction
+    ``ab`` (share of a's nodes found in b) and ``ba``."""
+    sets = {
+        "methods": ("method",),
+        "functions": ("function",),
+        "methods_functions": METHOD_SECTIONS,
+        "preamble": PREAMBLE_SECTIONS,
+    }
+    aggs = []
+    for name, secs in sets.items():
+        inside = F.col("section").isin(list(secs))
+        m = F.coalesce(F.sum(F.when(inside, F.col("matched"))), F.lit(0))
+        aggs += [m.alias(f"m_{name}"),
+                 F.coalesce(F.sum(F.when(inside, F.col("total_a"))), F.lit(0)).alias(f"ta_{name}"),
+                 F.coalesce(F.sum(F.when(inside, F.col("total_b"))), F.lit(0)).alias(f"tb_{name}")]
+    aggs += [F.sum("matched").alias("m_total"), F.sum("total_a").alias("ta_total"), F.sum("total_b").alias("tb_total")]
+    g = per_section.groupBy("a_id", "b_id").agg(*aggs)
+    names = [*sets, "total"]
+    ab = g.select("a_id", "b_id", F.lit("ab").alias("direction"),
+                  *[match_pct(F.col(f"m_{n}"), F.col(f"ta_{n}")).alias(n) for n in names])
+    ba = g.select("a_id", "b_id", F.lit("ba").alias("direction"),
+                  *[match_pct(F.col(f"m_{n}"), F.col(f"tb_{n}")).alias(n) for n in names])
+    return ab.unionByName(ba)
+
+
 def with_decision(scored: DataFrame, threshold: float = DIRECT_MATCH_THRESHOLD,
                   direct: Column | bool = True) -> DataFrame:
     """Adds ``pct_a, pct_b, pct_min, pct_max`` (A9, totals) and ``is_match``.

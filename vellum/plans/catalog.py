@@ -9,7 +9,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from vellum.functions import scalars as S
 from vellum.operators import counts, lookup, search, versions

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from vellum.functions import scalars as S
 from vellum.operators import maintenance as M
-from vellum.operators import similarity as SIM
 from vellum.operators.fingerprint import document_prints
-from vellum.plans.oracle_views import ENTITIES, SUBMISSIONS, prints_ctes, with_
+from vellum.plans.oracle_views import SUBMISSIONS, prints_ctes, with_
 from vellum.plans.registry import query
 from vellum.session import checkpoint_dir
 from vellum.sources import tables as T

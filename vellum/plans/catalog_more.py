@@ -13,7 +13,15 @@ from vellum.operators import programs as PG
 from vellum.operators import similarity as SIM
 from vellum.plans.catalog_similarity import BAND, J4_SQL, entity_prints
 from vellum.plans.catalog_tables import _C4_ARGS_SQL, _strip_sql
-from vellum.plans.oracle_views import ENTITIES, ORDER_ERRORS, RESULTS_SYMBOLIC, RESULTS_SYMBOLIC_ERR, prints_ctes, with_
+from vellum.plans.oracle_views import (
+    ENTITIES,
+    ORDER_ERRORS,
+    RESULTS_SYMBOLIC,
+    RESULTS_SYMBOLIC_ERR,
+    loc_sql,
+    prints_ctes,
+    with_,
+)
 from vellum.plans.registry import query
 from vellum.session import checkpoint_dir, cut_lineage
 from vellum.sources import files as FS
@@ -230,3 +238,17 @@ def q_a2a(spark, sf_dir):
     from vellum.operators import counts
 
     return counts.approx_distinct_entity_count(T.results_symbolic(spark, sf_dir))
+
+
+@query(
+    "K1_stream_accept",
+    "SELECT event_id AS submission_id, CAST(" + loc_sql("props")
+    + " AS INTEGER) AS loc, ts AS submission_date, event_type AS frontend FROM events",
+)
+def q_k1s(spark, sf_dir):
+    """Structured Streaming over the events file: every event becomes a queued submission."""
+    base = os.path.join(checkpoint_dir(spark), f"accept-{uuid.uuid4().hex}")
+    q = K.start_accept_stream(spark, sf_dir, os.path.join(base, "queue"), os.path.join(base, "ckpt"),
+                              glob="events.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "queue")).select("submission_id", "loc", "submission_date", "frontend")

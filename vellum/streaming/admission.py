@@ -310,3 +310,33 @@ def recreate_prints(spark: SparkSession, docs: DataFrame, out_path: str, id_col:
     """Recompute the prints of the whole corpus and overwrite the prints snapshot; returns the read-back."""
     document_prints(docs, id_col=id_col, text_col=text_col).write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
+
+
+# ------------------------------------------------------------------------------------------------
+# K1 as a stream: raw events -> stamped submissions appended to the queue table
+# ------------------------------------------------------------------------------------------------
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+    T.StructField("props", T.StringType()),
+])
+
+
+def start_accept_stream(spark: SparkSession, source_dir: str, queue_dir: str, checkpoint_location: str,
+                        glob: str = "*.parquet"):
+    """K1 as Structured Streaming: new event files under ``source_dir`` become submissions (payload ``props``,
+    arrival = event time, LOC computed) appended to the parquet queue at ``queue_dir``. The file sink and the
+    checkpoint make the append exactly-once across restarts. Runs with ``availableNow``; returns the query."""
+    src = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", glob).parquet(source_dir)
+    subs = accept_submissions(
+        src.select(F.col("event_id").alias("submission_id"), F.col("props").alias("program"),
+                   F.col("event_type").alias("frontend"), F.col("ts")),
+        stamp=F.col("ts"),
+    ).drop("ts")
+    return (
+        subs.writeStream.format("parquet").option("checkpointLocation", checkpoint_location)
+        .outputMode("append").trigger(availableNow=True).start(queue_dir)
+    )

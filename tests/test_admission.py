@@ -111,3 +111,14 @@ def test_chunked_admission_equals_unchunked(spark):
     assert chunked == whole
     plain = {r.doc_id: r.accepted for r in K.admit(ep, None, chunk_rows=45).collect()}
     assert plain == {r.doc_id: r.accepted for r in K.admit(ep, None).collect()}
+
+
+def test_accept_stream_is_exactly_once(spark, tmp_path):
+    src = "/root/testdata/sf0.001"
+    out, ck = str(tmp_path / "queue"), str(tmp_path / "ckpt")
+    K.start_accept_stream(spark, src, out, ck, glob="events.parquet").awaitTermination()
+    n1 = spark.read.parquet(out).count()
+    # a restart with the same checkpoint finds nothing new: no duplicates
+    K.start_accept_stream(spark, src, out, ck, glob="events.parquet").awaitTermination()
+    n2 = spark.read.parquet(out).count()
+    assert n1 == n2 == spark.read.parquet(f"{src}/events.parquet").count()

@@ -119,20 +119,23 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def print_tokens(prints: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Kept nodes of every document as ``(doc_id, level, h, cnt, w, *carry)`` (level 1 = line, 2 = sentence),
     one row per distinct hash per document with its multiplicity ``cnt`` and recomputed weight ``w``.
-    ``carry``: per-document columns kept on every row (grouped with the document id, no join needed later)."""
+    ``carry``: per-document columns kept on every row (grouped with the document id, no join needed later).
+
+    One pass: every kept line yields itself and its kept sentences as tokens, then one aggregate."""
     keys = ["doc_id", *carry]
-    lines = explode_rows(prints, F.col("lines"), "ln", *keys)
-    l1 = lines.groupBy(*keys, F.col("ln.h").alias("h")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.first("ln.w").alias("w")
-    ).withColumn("level", F.lit(1))
-    l2 = (
-        explode_rows(lines, F.col("ln.sents"), "h", *keys)
-        .groupBy(*keys, "h")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("w", F.lit(1))
-        .withColumn("level", F.lit(2))
+    per_doc = F.flatten(
+        F.transform(
+            "lines",
+            lambda ln: F.concat(
+                F.array(F.struct(F.lit(1).alias("level"), ln["h"].alias("h"), ln["w"].alias("w"))),
+                F.transform(ln["sents"], lambda sh: F.struct(F.lit(2).alias("level"), sh.alias("h"), F.lit(1).alias("w"))),
+            ),
+        )
     )
-    return l1.unionByName(l2).select("doc_id", "level", "h", "cnt", F.col("w").cast("int").alias("w"), *carry)
+    toks = explode_rows(prints, per_doc, "t", *keys)
+    return toks.groupBy(*keys, F.col("t.level").alias("level"), F.col("t.h").alias("h")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.max("t.w").cast("int").alias("w")
+    ).select("doc_id", "level", "h", "cnt", "w", *carry)
 
 
 def line_children(prints: DataFrame) -> DataFrame:

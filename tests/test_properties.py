@@ -117,3 +117,43 @@ def test_candidates_cover_brute_force(spark, docs):
     allp = spark.createDataFrame(list(itertools.combinations(range(len(docs)), 2)), "a_id long, b_id long")
     brute = SIM.with_decision(SIM.matched_weight(allp, ps)).where("is_match").collect()
     assert {(r.a_id, r.b_id) for r in brute} <= cand
+
+
+def test_version_diffs_match_nested_loops_with_hot_entity(spark):
+    import random
+
+    from vellum.operators import versions as V
+
+    rng = random.Random(11)
+    rows = []
+    for rid in range(300):
+        ent = 0 if rid % 3 == 0 else rng.randint(1, 40)
+        ver = rng.choice(["v1", "v2", "v3"])
+        errs = [(e, "") for e in sorted(rng.sample(["a", "b", "c"], rng.randint(0, 2)))]
+        rows.append((rid, ver, ent, rng.random() < 0.5, rng.randint(0, 400), errs))
+    df = spark.createDataFrame(rows, "result_id long, version_hash string, entity_id long, success boolean, "
+                                     "runtime long, errors array<struct<error_id:string,message:string>>")
+    k = 1.5
+    r1 = [r for r in rows if r[1] == "v1"]
+    r2 = [r for r in rows if r[1] == "v2"]
+    e1, e2 = [r[2] for r in r1], [r[2] for r in r2]
+    shared = set(e1) & set(e2)
+    a = [r for r in r1 if r[2] in shared]
+    b = [r for r in r2 if r[2] in shared]
+    errset = lambda r: sorted({e for e, _ in r[5]})
+    want = sorted(
+        [("success", x[2], x[0]) for x in a if any(y[2] == x[2] and y[3] != x[3] for y in b)]
+        + [("runtime", x[2], x[0]) for x in a if any(y[2] == x[2] and (x[4] <= y[4] / k or x[4] >= y[4] * k) for y in b)]
+        + [("errors", x[2], x[0]) for x in a if any(y[2] == x[2] and errset(y) != errset(x) for y in b)]
+    )
+    got = sorted((r.kind, r.entity_id, r.result_id) for r in V.version_diffs(df, "v1", "v2", k).collect())
+    assert got == want
+    s = V.version_diff_summary(df, "v1", "v2", k).first()
+    mean = lambda xs: sum(xs) // len(xs) if xs else 0
+    m1 = mean([x[4] for x in a])
+    var1 = int(sum((x[4] - m1) ** 2 for x in a) / len(a)) if a else 0
+    from collections import Counter
+
+    c1, c2 = Counter(e1), Counter(e2)
+    assert s.n_shared == sum((c1 & c2).values())
+    assert (s.avg_runtime1, s.var_runtime1) == (m1, var1)

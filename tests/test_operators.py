@@ -117,3 +117,25 @@ def test_integrity_report(spark):
     rep = {r.check_name: r.n_violations for r in M.integrity_report(
         {"p": p, "c": c}, {"p": ["k"]}, [("c", "pk", "p", "k")]).collect()}
     assert rep["not_null:p.k"] == 1 and rep["primary_key:p"] == 1 and rep["foreign_key:c.pk->p.k"] == 1
+
+
+def test_result_similarity_all_vs_latest(spark):
+    from vellum.operators import programs as PG
+
+    r = spark.createDataFrame(
+        [(1, "2024-01-01", 10, True, []), (2, "2024-01-02", 10, False, []),
+         (3, "2024-01-01", 20, True, []), (4, "2024-01-03", 20, True, [])],
+        "result_id long, creation_date string, entity_id long, success boolean, "
+        "errors array<struct<error_id:string,message:string>>",
+    ).withColumn("creation_date", F.col("creation_date").cast("timestamp_ntz"))
+    pairs = spark.createDataFrame([(10, 20)], "a_id long, b_id long")
+    # all results: entity 10 has a successful result like 20's -> similar (reference behaviour)
+    assert PG.pairs_with_similar_results(pairs, r).count() == 1
+    # latest only: 10's latest failed, 20's latest succeeded -> not similar
+    assert PG.pairs_with_similar_results(pairs, r, latest_only=True).count() == 0
+
+
+def test_version_diffs_distinct_option(spark):
+    r = results(spark, [(1, "v1", 1, True, 100, []), (2, "v1", 1, True, 100, []), (3, "v2", 1, False, 100, [])])
+    assert V.version_diffs(r, "v1", "v2").where("kind = 'success'").count() == 2
+    assert V.version_diffs(r, "v1", "v2", distinct=True).where("kind = 'success'").count() == 1

@@ -8,11 +8,13 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vellum") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vellum",
+                  event_log_dir: str | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench run.
 
     On a cluster the session comes from the platform; none of the library code relies on these
-    settings except ``spark.checkpoint.dir`` (see :func:`checkpoint_dir`).
+    settings except ``spark.checkpoint.dir`` (see :func:`checkpoint_dir`). ``event_log_dir`` turns on Spark's
+    event log (stage and task times) in a scratch folder; the web UI stays off.
     """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,6 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.eventLog.enabled", "true" if event_log_dir else "false")
+        .config("spark.eventLog.dir", event_log_dir or "file:/tmp")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -141,14 +141,16 @@ def print_tokens(prints: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 def line_children(prints: DataFrame) -> DataFrame:
     """For every kept line hash: its kept sentence hashes with multiplicity ``(lh, sh, k)``.
 
-    A line hash determines its subtree, so this is a global table (distinct over all documents; a line
-    repeated in a third of the corpus collapses map-side to one entry)."""
-    lines = explode_rows(prints, F.col("lines"), "ln").select(F.col("ln.h").alias("lh"), "ln.sents").distinct()
-    return (
-        explode_rows(lines, F.col("sents"), "sh", "lh", pos="pos")
-        .groupBy("lh", "sh")
-        .agg(F.count(F.lit(1)).alias("k"))
+    A line hash determines its subtree, so any one occurrence gives the children: one aggregate per line hash
+    (``first``, combined map-side, so a line repeated in a third of the corpus is one row early), then the
+    multiplicities are counted inside that row."""
+    lines = explode_rows(prints, F.col("lines"), "ln").select(F.col("ln.h").alias("lh"), F.col("ln.sents").alias("sents"))
+    per = lines.groupBy("lh").agg(F.first("sents").alias("sents"))
+    counted = F.transform(
+        F.array_distinct("sents"),
+        lambda sh: F.struct(sh.alias("sh"), F.size(F.filter("sents", lambda x: x == sh)).cast("bigint").alias("k")),
     )
+    return explode_rows(per, counted, "c", "lh").select("lh", F.col("c.sh").alias("sh"), F.col("c.k").alias("k"))
 
 
 def count_hash(prints: DataFrame, h: str) -> DataFrame:

@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, line_dedup, mixing, quality, simhash, url_filter, wavelet
+from vellum.llm import (decontam, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash,
+                        url_filter, wavelet)
 from vellum.llm.common import documents
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,16 @@ def token_files(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return wavelet.read_shards(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@register("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = secret_scan.secret_spans(documents(spark, sf_dir))
+    base = F.concat(*[secret_scan.tagged(k) for k in secret_scan.KINDS])
+    return v.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.concat(base, secret_scan.random_tagged())).alias("spans"))
+
+
 _STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -66,6 +77,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@register("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 @register("op6_decontamination")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item that it holds."""
@@ -127,3 +143,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_mixing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register("op10_licenses")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs found to be licences."""
+    return license_scan.scan(documents(spark, sf_dir))

@@ -37,6 +37,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +45,12 @@ from vellum.llm.common import text_key
 from vellum.session import checkpoint_dir
 
 END_ID = 1
-SHARD_TOKENS = 4 << 20
-PARTITION_CHARS = 64 << 20
+SHARD_TOKENS = 8 << 20
 BLOCK_BITS = 1 << 16
-CACHE_WORDS = 1 << 19
+PUNCTUATION = ".,;:!?"
+CACHE_WORDS = 1 << 19      # of each of two generations
+GROUP_BYTES = 16 << 20
+DENSE_IDS = 1 << 20
 MAGIC = b"WVM1"
 
 
@@ -58,11 +61,17 @@ def encode_shard(tokens: np.ndarray, starts: np.ndarray, doc_ids: list[int | Non
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
-    alphabet, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    if len(tokens) and int(tokens.max()) < DENSE_IDS:  # ids of a vocabulary: a table of counts
+        counts = np.bincount(tokens)
+        alphabet, ranks = np.flatnonzero(counts), tokens
+        counts, size = counts[alphabet], len(counts)
+    else:  # any 32-bit ids: sort
+        alphabet, ranks, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        size = len(alphabet)
     order = np.argsort(-counts, kind="stable")
-    place = np.empty(len(order), dtype=np.uint32)
-    place[order] = np.arange(len(order), dtype=np.uint32)
-    a = place[ranks].astype(np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    place = np.empty(size, dtype=np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    place[alphabet[order] if size > len(alphabet) else order] = np.arange(len(order))
+    a = place[ranks]
     levels = max(int(len(order) - 1).bit_length(), 1) if len(order) else 0
     sections = {"alphabet": pack(alphabet[order].astype("<u4").tobytes()),
                 "starts": pack(starts.astype("<u8").tobytes()),
@@ -70,10 +79,12 @@ def encode_shard(tokens: np.ndarray, starts: np.ndarray, doc_ids: list[int | Non
                 "null_ids": pack(np.packbits([d is None for d in doc_ids]).tobytes() if doc_ids else b"")}
     zeros, body = [], io.BytesIO()
     for level in range(levels - 1, -1, -1):
-        bits = (a >> level & 1).astype(bool)
-        low, high = a[~bits], a[bits]
+        if level == 7:  # bits above are done with: bytes are faster to move
+            a = a.astype(np.uint8)
+        bits = (a & a.dtype.type(1 << level)).astype(bool)
+        low, high = np.flatnonzero(~bits), np.flatnonzero(bits)  # unlike a mask, free of branches
         zeros.append(len(low))
-        a = np.concatenate([low, high])
+        a = np.concatenate([a.take(low), a.take(high)])
         ends, ones = [], [0]
         blob = io.BytesIO()
         for at in range(0, len(bits), BLOCK_BITS):
@@ -199,21 +210,38 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """All tokens, plane by plane from the lowest bit up."""
-        a = np.zeros(self.n, dtype=np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
+        a = np.zeros(self.n, dtype=np.uint8)  # wider as soon as a bit asks for it
         for level in range(self.levels - 1, -1, -1):
+            if self.levels - 1 - level in (8, 16):
+                a = a.astype(np.uint16 if self.levels - 1 - level == 8 else np.uint32)
             blocks = [self._block(level, k) for k in range(len(self._ends[level]))]
             bits = np.concatenate(blocks).view(bool) if blocks else np.zeros(0, dtype=bool)
             up, z = np.empty_like(a), self.zeros[level]
-            up[~bits] = a[:z]
-            up[bits] = a[z:] | a.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bits)] = a[:z]
+            up[np.flatnonzero(bits)] = a[z:] | a.dtype.type(1 << (self.levels - 1 - level))
             a = up
         return self.alphabet[a] if self.n else np.zeros(0, "<u4")
 
 
 # ---------------------------------------------------------------- tokens
 
+def _spread(table: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of a table that is cut into runs of ``sizes``, one after the other, and where each ends."""
+    lengths = sizes[at]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    shift = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
+    return table[np.repeat(shift, lengths) + np.arange(total)], ends
+
+
 class Encoder:
-    """Whole texts to ids by a vocabulary file of the tokenizers library."""
+    """Whole texts to ids by a vocabulary file of the tokenizers library.
+
+    Texts are cut at white space, and parts of letters with final punctuation into a word (A-Z in lower case, as the
+    normaliser has it) and its punctuation, which the splitter keeps apart. What is left is different words, looked up
+    among those seen before (two generations of at most ``CACHE_WORDS``: when the young one is full it becomes the old
+    one, so frequent words stay); new ones go to the library together.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -221,19 +249,70 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian uint32 ids, without the end id."""
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self._known
-        new = [w for w in set(parts) if w not in known]
+        self._old: dict[str, bytes] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self._tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self._ends = np.array(ends)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of ids of each text (without the end id)."""
+        whole = pc.fill_null(texts, "")
+        for c in "\n\t\r":
+            whole = pc.replace_substring(whole, c, " ")
+        split = pc.split_pattern(whole, " ")
+        counts = pc.list_value_length(split).to_numpy()
+        parts = split.flatten().dictionary_encode()
+        del whole, split
+        different = parts.dictionary
+        core = pc.utf8_rtrim(different, PUNCTUATION)
+        plain = pc.utf8_is_alpha(core)
+        word = pc.if_else(plain, pc.ascii_lower(core), different)
+        tail = pc.if_else(plain, pc.replace_substring_regex(different, f"^(?s:.*)[^{PUNCTUATION}]", ""), "")
+        pieces = pa.concat_arrays([word, tail]).dictionary_encode()
+        table, sizes = self._lookup(pieces.dictionary.to_pylist())
+        each, ends = _spread(table, sizes, pieces.indices.to_numpy().reshape(2, -1).T.ravel())
+        ids, last = _spread(each, np.diff(ends[1::2], prepend=0), parts.indices.to_numpy())
+        return ids, np.diff(last[np.cumsum(counts) - 1], prepend=0)
+
+    def _lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, one after the other, and the number of ids of each."""
+        got = list(map(self._known.get, words))
+        new = [k for k, ids in enumerate(got) if ids is None]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list(set(parts))
-            for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+            if len(self._known) > CACHE_WORDS:
+                self._old, self._known = self._known, {}
+            fresh = []
+            for k in new:
+                got[k] = self._old.get(words[k])
+                if got[k] is None:
+                    fresh.append(k)
+            for k, ids in zip(fresh, self._learn([words[k] for k in fresh]), strict=True):
+                got[k] = ids
+            self._known.update((words[k], got[k]) for k in new)
+        return np.frombuffer(b"".join(got), dtype="<u4"), np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        got = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words not seen before. Words of letters and runs of punctuation end with a word-end token each: they
+        are encoded as one text and cut there."""
+        simple = [k for k, w in enumerate(words) if w.isalpha() or w and not w.strip(PUNCTUATION)]
+        out = [b""] * len(words)
+        ids = np.frombuffer(b"".join(self._library([" ".join([words[k] for k in simple])])), dtype="<u4")
+        stops = (np.flatnonzero(self._ends[ids]) + 1) * 4
+        if len(stops) == len(simple):
+            raw, at = ids.tobytes(), 0
+            for k, stop in zip(simple, stops.tolist(), strict=True):
+                out[k] = raw[at:stop]
+                at = stop
+        else:  # a letter that the normaliser takes apart, or another kind of vocabulary
+            simple = []
+        done = set(simple)
+        other = [k for k in range(len(words)) if k not in done]
+        for k, found in zip(other, self._library([words[k] for k in other]), strict=True):
+            out[k] = found
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -256,46 +335,60 @@ def _put(folder: str, name: str, data: bytes) -> str:
     return f"{folder}/{name}"
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of about ``GROUP_BYTES`` together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = int(sizes[at - 1]) if at else 0
+        end = max(int(np.searchsorted(sizes, done + GROUP_BYTES, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, partitions: int | None = None,
                  shard_tokens: int = SHARD_TOKENS, end_id: int = END_ID) -> DataFrame:
     """Writes the files below ``folder`` (a URI that driver and executors share) and returns the manifest:
     (part, shard, path, docs, tokens, before), ``before`` being the tokens of earlier files of the same part."""
     spark = docs.sparkSession
-    if partitions is None:
-        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        partitions = int(chars // PARTITION_CHARS) + 1
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        end = struct.pack("<I", end_id)
-        state = {"before": 0, "shard": 0}
+        shard, before, held = 0, 0, 0
         ids: list[int | None] = []
-        rows: list[bytes] = []
-        held = 0
+        sizes: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(rows), dtype="<u4")
-            sizes = np.array([len(r) // 4 for r in rows], dtype=np.int64)
-            data = encode_shard(tokens, np.cumsum(sizes) - sizes, ids)
-            path = _put(f"{folder}/files", f"shard-{part:06d}-{state['shard']:05d}.wvm", data)
-            out = pa.RecordBatch.from_pydict({"part": [part], "shard": [state["shard"]], "path": [path], "docs": [len(ids)],
-                                              "tokens": [len(tokens)], "before": [state["before"]]}, schema=arrow)
-            state["before"] += len(tokens)
-            state["shard"] += 1
-            ids.clear()
-            rows.clear()
+            nonlocal shard, before, held
+            counts = np.concatenate(sizes)
+            data = encode_shard(np.concatenate(tokens), np.cumsum(counts) - counts, ids)
+            path = _put(f"{folder}/files", f"shard-{part:06d}-{shard:05d}.wvm", data)
+            out = pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "path": [path], "docs": [len(ids)],
+                                              "tokens": [held], "before": [before]}, schema=arrow)
+            shard, before, held = shard + 1, before + held, 0
+            for x in (ids, sizes, tokens):
+                x.clear()
             return out
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids.append(d)
-                rows.append(enc.encode(t.as_py()) + end)
-                held += len(rows[-1]) // 4
-                if held >= shard_tokens:
-                    yield close()
-                    held = 0
+            for group in _groups(b):
+                found, counts = enc.encode(group.column("text"))
+                found, counts = np.insert(found, np.cumsum(counts), end_id), counts + 1  # each document ends with it
+                names, ends, at = group.column("doc_id").to_pylist(), np.cumsum(counts), 0
+                while at < len(names):  # a shard ends with the document that fills it
+                    done = int(ends[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(ends, done + shard_tokens - held)) + 1, len(names))
+                    ids += names[at:to]
+                    sizes.append(counts[at:to])
+                    tokens.append(found[done:int(ends[to - 1])])
+                    held += len(tokens[-1])
+                    at = to
+                    if held >= shard_tokens:
+                        yield close()
         if ids:
             yield close()
 

@@ -88,10 +88,11 @@ def anchors(fps: DataFrame) -> DataFrame:
 
     flips = F.transform(
         F.filter(F.sequence(F.lit(1), F.lit(63)), lambda i: i.bitwiseXOR(F.col("s")) < i),
-        lambda i: F.col("fp").bitwiseXOR(bit(i)).bitwiseXOR(
+        lambda i: F.col("low").bitwiseXOR(bit(i)).bitwiseXOR(
             F.when(i == F.col("s"), F.lit(0).cast("long")).otherwise(bit(i.bitwiseXOR(F.col("s"))))))
-    at = F.when(F.col("s") == 0, F.array("fp")).otherwise(flips)
-    return fps.select("fp", _syndrome(F.col("fp")).alias("s")).select("fp", F.explode(at).alias("anchor"))
+    at = F.when(F.col("s") == 0, F.array("low")).otherwise(flips)
+    low = F.col("fp").bitwiseAND(F.lit((1 << 63) - 1).cast("long"))
+    return fps.select("fp", low.alias("low"), _syndrome(F.col("fp")).alias("s")).select("fp", F.explode(at).alias("anchor"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -130,6 +131,6 @@ def dedup(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = M
     again = (v.join(chosen, is_chosen, "left_semi").groupBy("doc_id", "k_text").agg(F.count(F.lit(1)).alias("n"))
              .where("n > 1").select(F.col("doc_id").alias("k_doc"), F.col("k_text")))
     # only rows that occur more than once go through an aggregate on whole rows
-    same = docs["doc_id"].eqNullSafe(F.col("k_doc")) & (text_key(docs["text"]) == F.col("k_text"))
+    same = kept["doc_id"].eqNullSafe(again["k_doc"]) & (text_key(kept["text"]) == again["k_text"])
     twice = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return drop_rows(kept, again).unionByName(twice)

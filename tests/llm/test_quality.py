@@ -1,0 +1,99 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from llm_fixtures import odd_rows, prose, table
+from pyspark.sql import functions as F
+
+from vellum.llm import quality
+from vellum.llm.queries import QUERIES
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def slow_counts(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if often[x] > 1 for k in range(5)}
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered),
+            len(w) < 10 or 100 * len(covered) > 20 * len(w))
+
+
+def slow_distances(x):
+    """The estimate and squared distances of one group, in plain numpy."""
+    target = np.diag((np.array(quality.TARGET_SD) * quality.UNIT) ** 2)
+
+    def edge_of(d2, share):
+        bins = np.sort(np.floor(np.log1p(d2) * quality.BINS))
+        return np.expm1((np.floor(np.quantile(bins, share)) + 1) / quality.BINS)
+
+    def dist(mean, cov):
+        z = x - mean
+        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov * (1 - quality.SHRINK) + target * quality.SHRINK), z)
+
+    mean, cov = np.floor(np.quantile(x, 0.5, axis=0)), np.zeros((x.shape[1],) * 2)
+    for _ in range(quality.STEPS):
+        d2 = dist(mean, cov)
+        near = x[d2 <= edge_of(d2, quality.SUPPORT)]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+    d2 = dist(mean, cov)
+    return d2 / max(edge_of(d2, 0.5), 1.0)
+
+
+def test_counts_of_odd_documents(spark):
+    rows = odd_rows() + [(200, "a b c d e a b c d e f g h i j k l", "en", "a"), (201, "x " * 40, "en", "a"),
+                         (202, "l1 #\nl1 #\n\n \nl2\nl1 #", "en", "a"), (203, "a b c d e f a b c d e f a b c d e", "en", "a")]
+    got = quality.quality_verdicts(table(spark, rows)).collect()
+    want = Counter((r[0], *slow_counts(r[1])) for r in rows)
+    assert Counter((r.doc_id, *[r[c] for c in COUNTS]) for r in got) == want
+    assert all(not r.kept for r in got if r.base_failed)
+
+
+def corpus():
+    rng = random.Random(11)
+    clean = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(rng.randrange(3, 30))), "en", "a") for i in range(300)]
+    junk = [(1000 + i, " ".join(w + "###" for w in prose(rng, 80).split()), "en", "a") for i in range(20)]
+    junk += [(1100 + i, prose(rng, 80).upper(), "en", "a") for i in range(20)]
+    return clean, junk
+
+
+def test_distances_against_plain_numpy_and_outliers(spark):
+    clean, junk = corpus()
+    docs = table(spark, clean + junk)
+    v = quality.quality_verdicts(docs).toPandas().set_index("doc_id")
+    x = quality.vectors(quality.base_stats(docs, "doc_id")).orderBy("doc_id").toPandas()
+    want = dict(zip(x["doc_id"], slow_distances(x[quality.X].to_numpy(float)), strict=True))
+    assert np.allclose(v["distance"], [want[d] for d in v.index], rtol=1e-6)
+    assert v.loc[[r[0] for r in clean], "kept"].all()
+    assert not v.loc[[r[0] for r in junk], "kept"].any()
+    kept = quality.quality_filter(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in clean}
+
+
+def test_small_groups_are_pooled_and_smaller_pools_give_no_verdict(spark):
+    clean, junk = corpus()
+    rows = [(d, t, "en", f"s{d % 40}") for d, t, *_ in clean + junk] + [(5000, clean[0][1], "xx", "z")]
+    g = {r.doc_id: r.g for r in quality.grouped(quality.vectors(quality.base_stats(table(spark, rows), "doc_id", "lang", "source"))).collect()}
+    assert set(g.values()) == {'{"k":"l","l":"en"}', None} and g[5000] is None
+    v = {r.doc_id: r for r in quality.quality_verdicts(table(spark, rows)).collect()}
+    assert v[5000].kept and v[5000].distance is None
+    assert not any(v[r[0]].kept for r in junk)
+
+
+def test_empty_table_and_repeated_rows(spark):
+    assert quality.quality_verdicts(table(spark, [])).count() == 0
+    assert quality.quality_filter(table(spark, [])).count() == 0
+    t = "one two three four five six seven eight nine ten eleven"
+    assert quality.quality_filter(table(spark, [(1, t, None, None)] * 3 + [(None, t, "en", "a"), (None, "", "en", "a")])).count() == 4
+
+
+def test_query_keeps_clean_and_rejects_junk(spark):
+    sf = "/root/testdata/sf0.01"
+    v = QUERIES["op8_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed")
+    share = {r.quality: r.s for r in v.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] == 1.0 and share[0] < 0.1

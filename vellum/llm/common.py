@@ -40,3 +40,13 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     k = dropped.select("k_doc", "k_text").distinct()
     on = docs["doc_id"].eqNullSafe(k["k_doc"]) & (text_key(docs["text"]) == k["k_text"])
     return docs.join(k, on, "left_anti")
+
+
+#: Rows of a few narrow columns that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a materialised table of narrow rows for broadcast if it has at most ``BROADCAST_ROWS`` rows (of which
+    one more is counted at most). Beyond that the engine's own join stands, which splits hot keys at run time."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import drop_rows, text_key, words
+from vellum.llm.common import drop_rows, small, text_key, words
 from vellum.session import cut_lineage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -125,7 +125,7 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the squared distance d2 by the group's estimate."""
-    j = rows.join(groups, "g")
+    j = rows.join(small(groups), "g")
     cov = [[F.col(f"l{i}{k}") for k in range(i + 1)] for i in range(DIMS)]
     z: list[str] = []
     for i in range(DIMS):  # one projection a step: otherwise the expressions double with each dimension
@@ -155,10 +155,10 @@ def estimates(rows: DataFrame) -> DataFrame:
     rows = rows.select("g", *X)
     mid = rows.groupBy("g").agg(*[F.floor(F.percentile(X[i], F.lit(0.5))).alias(f"m{i}") for i in range(DIMS)])
     zero = [F.lit(0.0).alias(f"v{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    groups = _factor(mid.select("*", *zero))
+    groups = cut_lineage(_factor(mid.select("*", *zero)))
     for _ in range(STEPS):
         d = _distance(rows, groups)
-        near = d.join(_quantile(d, SUPPORT, "edge"), "g").where("d2 <= edge")
+        near = d.join(small(cut_lineage(_quantile(d, SUPPORT, "edge"))), "g").where("d2 <= edge")
         groups = cut_lineage(_factor(_moments(near)))
     return groups
 
@@ -168,26 +168,26 @@ def grouped(vecs: DataFrame) -> DataFrame:
     own = F.to_json(F.struct(F.lit("s").alias("k"), F.col("lang").alias("l"), F.col("source").alias("s")))
     lang = F.to_json(F.struct(F.lit("l").alias("k"), F.col("lang").alias("l")))
     keyed = vecs.select("*", own.alias("g0"))
-    small = keyed.groupBy("g0", lang.alias("g1")).agg(F.count(F.lit(1)).alias("n0"))
+    sizes = keyed.groupBy("g0", lang.alias("g1")).agg(F.count(F.lit(1)).alias("n0"))
     # pools are sums of the sources that are too small on their own
-    pool = small.where(F.col("n0") < MIN_GROUP).groupBy("g1").agg(F.sum("n0").alias("n1"))
+    pool = sizes.where(F.col("n0") < MIN_GROUP).groupBy("g1").agg(F.sum("n0").alias("n1"))
     rest = pool.where(F.col("n1") < MIN_GROUP).agg(F.sum("n1").alias("n2")).select(F.lit("*").alias("all"), "n2")
-    m = small.join(pool, "g1", "left").select("*", F.lit("*").alias("all")).join(rest, "all", "left")
+    m = sizes.join(pool, "g1", "left").select("*", F.lit("*").alias("all")).join(rest, "all", "left")
     g = (F.when(F.col("n0") >= MIN_GROUP, F.col("g0")).when(F.col("n1") >= MIN_GROUP, F.col("g1"))
          .when(F.col("n2") >= MIN_GROUP, F.lit("{}")))
-    return keyed.join(m.select("g0", g.alias("g")), "g0").drop("g0")
+    return keyed.join(small(cut_lineage(m.select("g0", g.alias("g")))), "g0").drop("g0")
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row for each input row: doc_id, lang, source, k_text, the counts, base_failed, distance (squared, in
     medians of the group; null without an estimate) and kept."""
-    rows = cut_lineage(grouped(vectors(base_stats(docs, "doc_id", "lang", "source"))))
+    rows = grouped(cut_lineage(vectors(base_stats(docs, "doc_id", "lang", "source"))))
     sound = rows.where(F.col("g").isNotNull() & (F.col("n_words") >= MIN_WORDS))
     groups = estimates(sound)
     cols = [c for c in rows.columns if c not in (*X, "g")]
     d = _distance(sound.select("g", *X), groups)
-    groups = groups.join(_quantile(d, 0.5, "mid"), "g")
-    left = rows.join(groups, "g", "left")
+    groups = cut_lineage(groups.join(_quantile(d, 0.5, "mid"), "g"))
+    left = rows.join(small(groups), "g", "left")
     z: list[str] = []
     for i in range(DIMS):
         s = F.col(X[i]) - F.col(f"m{i}")

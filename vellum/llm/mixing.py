@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import text_key, words
+from vellum.llm.common import small, text_key, words
 from vellum.session import cut_lineage
 
 MAX_COPIES = 3
@@ -101,7 +101,7 @@ def source_plan(sizes: DataFrame) -> DataFrame:
     by_measure = [F.coalesce(F.max(F.when(F.col("measure") == m, F.col("e"))), F.lit(0.0)) for m in range(1, CLASSES + 1)]
     per = filled.groupBy("source").agg(F.array(*by_measure).alias("copies"),
                                        F.sum(F.col("words") * (F.col("e") - F.floor("e"))).alias("remaining"))
-    per = per.withColumnRenamed("source", "s")
+    per = small(cut_lineage(per.withColumnRenamed("source", "s")))
     ranked = sizes.where("size > 0").join(per, F.col("source").eqNullSafe(F.col("s")))
     p = F.element_at("copies", F.col("measure")) - F.floor(F.element_at("copies", F.col("measure")))
     ranked = ranked.withColumn("p", p).where("p > 0").withColumn("rank", _rank(F.col("h"), F.col("p")))
@@ -115,6 +115,7 @@ def source_plan(sizes: DataFrame) -> DataFrame:
             .select(F.col("source").alias("s"), F.col("x.class").alias("edge"), F.col("x.before").alias("before")))
     last = sums.groupBy("source").agg(F.max("class").alias("last"))
     # step 2: rows of that class in order; a row is taken if more than half of it is still wanted
+    edge = small(cut_lineage(edge))
     rows = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("edge")))
     order = Window.partitionBy("source").orderBy("rank", "h").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.col("before") + F.sum("size").over(order))
@@ -142,7 +143,7 @@ def _copies(size: Column, measure: Column, h: Column) -> Column:
 def plan(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row for each document."""
     sizes = cut_lineage(sized(docs))
-    by_source = source_plan(sizes).withColumnRenamed("source", "s")
+    by_source = small(cut_lineage(source_plan(sizes).withColumnRenamed("source", "s")))
     j = sizes.join(by_source, F.col("source").eqNullSafe(F.col("s")))
     n = _copies(F.col("size"), F.col("measure"), F.col("h"))
     out = j.select("doc_id", "source", "size", "source_size", "target", n.alias("n"))
@@ -153,15 +154,10 @@ def plan(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns stay, none is added."""
     by_source = cut_lineage(source_plan(cut_lineage(sized(docs))))
-    by_source = by_source.select(F.col("source").alias("k_source"), "copies", "cut", "below")
-    size = _size(docs["text"])
-    n = _copies(size, _measure(size), _hash(docs["doc_id"].cast("long"), docs["text"]))
-    plan_cols = [F.col(c) for c in ("copies", "cut", "below")]  # the plan's, not the input's
-    p = by_source.select("k_source", F.struct(*plan_cols).alias("k_plan"))
-    row = docs.select(F.struct(*docs.columns).alias("row"))
-    j = row.join(p, F.col("row.source").eqNullSafe(F.col("k_source"))).select("row", "k_plan.*")
-    size = _size(F.col("row.text"))
-    j = j.select("row", "copies", "cut", "below", size.alias("size"),
-                 _hash(F.col("row.doc_id").cast("long"), F.col("row.text")).alias("h"))
-    n = _copies(F.col("size"), _measure(F.col("size")), F.col("h"))
-    return j.select("row", n.alias("n")).where("n > 0").select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")
+    by_source = small(by_source.select(F.col("source").alias("k_source"), "copies", "cut", "below"))
+    # sizes and hashes are columns of the join's input: what is filtered and repeated after it never computes them again
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _size(F.col("text")).alias("k_size"),
+                       _hash(F.col("doc_id").cast("long"), F.col("text")).alias("k_hash"))
+    j = rows.join(by_source, F.col("row.source").eqNullSafe(F.col("k_source")))
+    n = _copies(F.col("k_size"), _measure(F.col("k_size")), F.col("k_hash"))
+    return j.select("row", n.alias("n")).select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")

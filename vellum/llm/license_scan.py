@@ -180,9 +180,13 @@ def _words(text: Column) -> Column:
 
 
 def sample_negatives(docs: DataFrame, limit: int = MAX_NEGATIVES) -> list[str]:
-    """Paragraphs of least hash, one from each document: a sample of bounded size, equal in every run."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 20)
-    first = docs.where(F.col("text").isNotNull()).select(F.get(F.filter(lines, lambda x: F.length(x) <= 2000), F.lit(0)).alias("p"))
+    """Paragraphs of least hash among the first ones (of 20 to 1,000 characters) of documents picked by the hash of
+    their text: a sample of bounded size, equal in every run. Picking some ``4 * limit`` documents first keeps what
+    tasks send to the driver bounded however many they are."""
+    n = docs.count()
+    share = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < int(min(1.0, 4 * limit / max(n, 1)) * (1 << 20)) + 1
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) >= 20) & (F.length(x) <= 1000))
+    first = docs.where(F.col("text").isNotNull() & share).select(F.get(lines, F.lit(0)).alias("p"))
     sample = first.where("p IS NOT NULL").select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(limit)
     return [r["p"] for r in sample.collect()]
 

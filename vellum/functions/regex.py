@@ -31,7 +31,7 @@ INLINE_FLAGS = (
     (FLAG_UNICODE_CHARACTER_CLASS, "U"),
 )
 
-# Private-use character used as a match marker; removed from the input first.
+# Private-use character put before every match start. A text may hold it itself: see :func:`_hits_per_line`.
 MARK = "\ue000"
 
 
@@ -53,27 +53,31 @@ def with_flags(pattern: str, flags: int = 0) -> str:
 
 def match_marked(text: Column, pattern: str) -> Column:
     """Text with ``MARK`` inserted before every match start (Java find semantics, zero-width included)."""
-    clean = F.regexp_replace(text, MARK, "")
-    return F.regexp_replace(clean, F.lit(pattern), F.lit(MARK + "$0"))
+    return F.regexp_replace(text, F.lit(pattern), F.lit(MARK + "$0"))
+
+
+def _hits_per_line(text: Column, pattern: str) -> Column:
+    """Array of the number of matches that start in each line.
+
+    Marks are only ever added, and no match adds a line break: the lines of the marked text are those of the text,
+    and a line has as many matches as it has gained marks."""
+    marks = lambda line: F.size(F.split(line, MARK, -1))
+    marked = F.split(match_marked(text, pattern), "\n", -1)
+    return F.zip_with(marked, F.split(text, "\n", -1), lambda m, t: marks(m) - marks(t))
 
 
 def match_lines(text: Column, pattern: str) -> Column:
     """1-based line of every match start, in order, repeated when a line holds several matches.
 
-    The text is marked once, split into lines, and the markers in line ``i`` yield ``i`` that many
+    The text is marked once, split into lines, and the marks that line ``i`` gains yield ``i`` that many
     times. Linear in the text length, entirely inside one row (no shuffle).
     """
-    lines = F.split(match_marked(text, pattern), "\n", -1)
-    per_line = F.transform(
-        lines, lambda ln, i: F.array_repeat(i + 1, F.size(F.split(ln, MARK, -1)) - 1)
-    )
-    return F.flatten(per_line)
+    return F.flatten(F.transform(_hits_per_line(text, pattern), lambda n, i: F.array_repeat(i + 1, n)))
 
 
 def line_hits(text: Column, pattern: str) -> Column:
     """Per line with at least one match: struct(line, hits). Same work as :func:`match_lines`."""
-    lines = F.split(match_marked(text, pattern), "\n", -1)
     counted = F.transform(
-        lines, lambda ln, i: F.struct((i + 1).alias("line"), (F.size(F.split(ln, MARK, -1)) - 1).alias("hits"))
+        _hits_per_line(text, pattern), lambda n, i: F.struct((i + 1).alias("line"), n.alias("hits"))
     )
     return F.filter(counted, lambda s: s["hits"] > 0)

@@ -122,11 +122,6 @@ def millis_to_timestamp(ms: Column | str) -> Column:
     return F.timestamp_millis(_col(ms)).cast("timestamp_ntz")
 
 
-def error_struct(error_id: Column | str, message: Column | str) -> Column:
-    """An error as (error_id, message)."""
-    return F.struct(_col(error_id).alias("error_id"), _col(message).alias("message"))
-
-
 def error_id_set(errors: Column | str) -> Column:
     """Sorted distinct error ids of a result (the "error id set")."""
     return F.array_sort(F.array_distinct(F.transform(_col(errors), lambda e: e["error_id"])))
@@ -153,11 +148,6 @@ def with_field(struct_col: Column | str, name: str, value: Column) -> Column:
     return _col(struct_col).withField(name, value)
 
 
-def bool_text(flag: Column | str) -> Column:
-    """Boolean feature value as text (``true`` / ``false``)."""
-    return _col(flag).cast("string")
-
-
 def phase_durations(phases: Column | str) -> Column:
     """W3 on one result: duration of each phase = cumulative time minus the previous cumulative time.
 

@@ -21,29 +21,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import explode_rows
-from vellum.functions.scalars import short_md5
 from vellum.session import cut_lineage
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
 # ---------------------------------------------------------------------------------------------
 TRIM_WEIGHT = 3  # subtrees with weight <= 3 are dropped after hashing
-SENTENCE_END = r"([.!?])\s+"  # a sentence ends after . ! or ? followed by white space
+SENTENCE_GAP = r"(?<=[.!?])\s+"  # a sentence ends after . ! or ? followed by white space
 WORD_SPLIT = r"\s+"
-PIECE_SEP = "\u0001"  # internal separator; removed from input first
 
 # Kinds of the document tree; a node hashes "<kind>:<child hashes joined by ','>" (a word's kind is the
 # lower-cased word itself), the same text :func:`node_table_prints` hashes for :func:`document_nodes`.
 KIND_SENTENCE, KIND_LINE, KIND_ROOT = "sentence:", "line:", "root:"
 
 
+def _digest(text: Column) -> Column:
+    """Digest of a node: all 128 bits, since equal digests are taken as equal subtrees across the whole corpus."""
+    return F.md5(text)
+
+
 def _words(sentence: Column) -> Column:
     return F.filter(F.split(sentence, WORD_SPLIT, -1), lambda w: w != "")
 
 
 def _sentences(line: Column) -> Column:
-    parts = F.split(F.regexp_replace(line, SENTENCE_END, "$1" + PIECE_SEP), PIECE_SEP, -1)
-    return F.filter(F.transform(parts, _words), lambda ws: F.size(ws) > 0)
+    return F.filter(F.transform(F.split(line, SENTENCE_GAP, -1), _words), lambda ws: F.size(ws) > 0)
 
 
 def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -58,7 +60,7 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     commutative (line order does not matter). ``keep``: input columns passed through unchanged.
     """
     keep = list(keep)
-    text = F.regexp_replace(F.col(text_col), PIECE_SEP, "")
+    text = F.col(text_col)
     # Stage 1: split into lines -> sentences -> words (array<array<array<string>>>).
     s1 = docs.select(F.col(id_col).alias("doc_id"), *keep, F.transform(F.split(text, "\n", -1), _sentences).alias("t"))
     # Stage 2: sentence prints (hash, weight) per line.
@@ -70,11 +72,11 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             lambda line: F.transform(
                 line,
                 lambda ws: F.struct(
-                    short_md5(
+                    _digest(
                         F.concat(
                             F.lit(KIND_SENTENCE),
                             F.array_join(
-                                F.transform(ws, lambda w: short_md5(F.concat(F.lower(w), F.lit(":")))), ","
+                                F.transform(ws, lambda w: _digest(F.concat(F.lower(w), F.lit(":")))), ","
                             ),
                         )
                     ).alias("h"),
@@ -90,7 +92,7 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.transform(
             "t",
             lambda sents: F.struct(
-                short_md5(F.concat(F.lit(KIND_LINE), F.array_join(F.transform(sents, lambda s: s["h"]), ","))).alias(
+                _digest(F.concat(F.lit(KIND_LINE), F.array_join(F.transform(sents, lambda s: s["h"]), ","))).alias(
                     "h"
                 ),
                 (F.aggregate(sents, F.lit(0), lambda acc, s: acc + s["w"]) + 1).alias("w0"),
@@ -104,7 +106,7 @@ def document_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     s4 = s3.select(
         "doc_id",
         *keep,
-        short_md5(F.concat(F.lit(KIND_ROOT), F.array_join(F.transform(ordered, lambda x: x["h"]), ","))).alias(
+        _digest(F.concat(F.lit(KIND_ROOT), F.array_join(F.transform(ordered, lambda x: x["h"]), ","))).alias(
             "root_hash"
         ),
         (F.aggregate("t", F.lit(0), lambda acc, ln: acc + ln["w0"]) + 1).cast("bigint").alias("weight"),
@@ -198,7 +200,7 @@ def node_table_prints(nodes: DataFrame) -> DataFrame:
                 .alias("child_text"),
             )
         level = level.withColumn(
-            "hash", short_md5(F.concat(F.col("kind"), F.lit(":"), F.coalesce("child_text", F.lit(""))))
+            "hash", _digest(F.concat(F.col("kind"), F.lit(":"), F.coalesce("child_text", F.lit(""))))
         ).drop("child_text")
         prev = cut_lineage(level)
         levels.append(prev)
@@ -247,55 +249,30 @@ def occurrence_rank(prints_nodes: DataFrame) -> DataFrame:
 def document_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents as a generic node table (section 'text'): root (depth 0) -> line -> sentence -> word.
 
-    node ids are unique within a document: root 0; line i (0-based) = (i+1) * 10^10; sentence j of it adds
-    (j+1) * 10^5; word k adds k+1 (documents stay below 10^5 sentences per line and words per sentence).
+    node ids are unique within a document whatever its size: the root is 0, and lines, sentences and words are numbered
+    through the whole document, four apart, from 1, 2 and 3.
     """
-    text = F.regexp_replace(F.col(text_col), PIECE_SEP, "")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(text, "\n", -1), _sentences).alias("t"))
-    root = base.select(
-        "doc_id",
-        F.lit(0).cast("bigint").alias("node_id"),
-        F.lit(None).cast("bigint").alias("parent_id"),
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("ord"),
-        F.lit("root").alias("kind"),
-        F.lit(True).alias("commutative"),
-    )
-    lines = explode_rows(base, F.col("t"), "sents", "doc_id", pos="li")
-    line_id = (F.col("li") + 1).cast("bigint") * F.lit(10**10)
-    line_rows = lines.select(
-        "doc_id",
-        line_id.alias("node_id"),
-        F.lit(0).cast("bigint").alias("parent_id"),
-        F.lit(1).alias("depth"),
-        F.col("li").cast("int").alias("ord"),
-        F.lit("line").alias("kind"),
-        F.lit(False).alias("commutative"),
-    )
-    sents = explode_rows(lines.select("doc_id", line_id.alias("lid"), "sents"), F.col("sents"), "words", "doc_id", "lid",
-                         pos="si")
-    sent_id = F.col("lid") + (F.col("si") + 1).cast("bigint") * F.lit(10**5)
-    sent_rows = sents.select(
-        "doc_id",
-        sent_id.alias("node_id"),
-        F.col("lid").alias("parent_id"),
-        F.lit(2).alias("depth"),
-        F.col("si").cast("int").alias("ord"),
-        F.lit("sentence").alias("kind"),
-        F.lit(False).alias("commutative"),
-    )
-    words = explode_rows(sents.select("doc_id", sent_id.alias("sid"), "words"), F.col("words"), "word", "doc_id", "sid",
-                         pos="wi")
-    word_rows = words.select(
-        "doc_id",
-        (F.col("sid") + F.col("wi") + 1).alias("node_id"),
-        F.col("sid").alias("parent_id"),
-        F.lit(3).alias("depth"),
-        F.col("wi").cast("int").alias("ord"),
-        F.lower("word").alias("kind"),
-        F.lit(False).alias("commutative"),
-    )
-    out = root.unionByName(line_rows).unionByName(sent_rows).unionByName(word_rows)
-    return out.withColumn("section", F.lit("text")).select(
-        "doc_id", "section", "node_id", "parent_id", "depth", "ord", "kind", "commutative"
-    )
+    lines = F.transform(F.split(F.col(text_col), "\n", -1), _sentences)
+    base = docs.select(F.col(id_col).alias("doc_id"), lines.alias("t"))
+    sents = F.flatten(F.transform("t", lambda line, li: F.transform(
+        line, lambda words, si: F.struct(li.alias("li"), si.alias("si"), words.alias("words")))))
+    base = base.select("doc_id", F.size("t").alias("n_lines"), sents.alias("sents"))
+
+    def rows(df: DataFrame, node: Column, parent: Column, depth: int, ord_: Column, kind: Column, commutative: bool = False) -> DataFrame:
+        return df.select("doc_id", F.lit("text").alias("section"), node.cast("bigint").alias("node_id"),
+                         parent.cast("bigint").alias("parent_id"), F.lit(depth).alias("depth"), ord_.cast("int").alias("ord"),
+                         kind.alias("kind"), F.lit(commutative).alias("commutative"))
+
+    def number(i: str, kind: int) -> Column:
+        return F.col(i).cast("bigint") * 4 + kind
+
+    root = rows(base, F.lit(0), F.lit(None), 0, F.lit(0), F.lit("root"), True)
+    line_rows = explode_rows(base, F.when(F.col("n_lines") > 0, F.sequence(F.lit(0), F.col("n_lines") - 1)), "li", "doc_id")
+    line_rows = rows(line_rows, number("li", 1), F.lit(0), 1, F.col("li"), F.lit("line"))
+    sent = explode_rows(base, F.col("sents"), "s", "doc_id", pos="gi").select("doc_id", "gi", "s.li", "s.si", "s.words")
+    sent_rows = rows(sent, number("gi", 2), number("li", 1), 2, F.col("si"), F.lit("sentence"))
+    all_words = F.flatten(F.transform("sents", lambda s, gi: F.transform(
+        s["words"], lambda w, wi: F.struct(gi.alias("gi"), wi.alias("wi"), w.alias("word")))))
+    word = explode_rows(base.select("doc_id", all_words.alias("ws")), F.col("ws"), "w", "doc_id", pos="gw").select("doc_id", "gw", "w.*")
+    word_rows = rows(word, number("gw", 3), number("gi", 2), 3, F.col("wi"), F.lower("word"))
+    return root.unionByName(line_rows).unionByName(sent_rows).unionByName(word_rows)

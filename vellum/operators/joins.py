@@ -1,40 +1,19 @@
-"""Join helpers with a checked broadcast.
+"""Semi and anti joins on key tables.
 
-A side is broadcast only after a bounded count proves it small (``limit(n + 1).count()`` stops as soon
-as the bound is exceeded); otherwise the join is left to the planner (shuffle join; AQE may still turn
-it into a broadcast join from measured shuffle sizes, which is itself size-checked).
+No hint is given: the planner broadcasts the key side only if its estimated size is under
+``spark.sql.autoBroadcastJoinThreshold``, and AQE plans again from measured shuffle sizes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Largest number of key rows broadcast on an explicit hint (8-byte keys: ~16 MB with overhead).
-MAX_BROADCAST_ROWS = 1_000_000
 
+def semi_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """``df LEFT SEMI JOIN keys``."""
+    return df.join(keys, on, "left_semi")
 
-def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (a bounded scan, not a full count)."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
-
-def maybe_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
-def semi_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], checked: bool = False,
-                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df LEFT SEMI JOIN keys``.
-
-    By default no hint: the planner broadcasts the key side only when its estimated size is under
-    ``spark.sql.autoBroadcastJoinThreshold``, and AQE re-plans from the measured shuffle size (both are
-    size checks). ``checked=True`` adds an explicit bounded count first (costs one extra pass over ``keys``,
-    worth it only when ``keys`` is cheap to compute, e.g. a filtered dimension table)."""
-    return df.join(maybe_broadcast(keys, max_rows) if checked else keys, on, "left_semi")
-
-
-def anti_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str], checked: bool = False,
-                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df LEFT ANTI JOIN keys`` (NOT EXISTS); broadcast as in :func:`semi_join_ids`."""
-    return df.join(maybe_broadcast(keys, max_rows) if checked else keys, on, "left_anti")
+def anti_join_ids(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """``df LEFT ANTI JOIN keys`` (NOT EXISTS)."""
+    return df.join(keys, on, "left_anti")

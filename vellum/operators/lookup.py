@@ -126,15 +126,6 @@ def latest_per_entity(results: DataFrame) -> DataFrame:
     )
 
 
-def latest_for_entity(results: DataFrame, entity_id: int) -> DataFrame:
-    """W1 for one entity (0 or 1 row)."""
-    return (
-        results.where(F.col("entity_id") == F.lit(entity_id))
-        .orderBy(F.col("creation_date").desc(), F.col("result_id").desc())
-        .limit(1)
-    )
-
-
 def oldest(queue: DataFrame, date_col: str = "submission_date", id_col: str = "submission_id") -> DataFrame:
     """Oldest queued row (date asc, id asc); plans as a distributed top-1 (TakeOrderedAndProject)."""
     return queue.orderBy(F.col(date_col).asc(), F.col(id_col).asc()).limit(1)
@@ -145,24 +136,11 @@ def first_row(df: DataFrame, order_by: str | list[str]) -> DataFrame:
     return df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)).limit(1)
 
 
-def concat_all(*frames: DataFrame) -> DataFrame:
-    """Concatenation, duplicates kept (UNION ALL by name)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def multiset_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     """Multiset intersection (each value min(count_a, count_b) times)."""
     return a.intersectAll(b)
 
 
-def distinct_ids(df: DataFrame, id_col: str = "entity_id") -> DataFrame:
-    """U3."""
-    return df.select(id_col).distinct()
-
-
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """U4: set union."""
     return a.unionByName(b).distinct()

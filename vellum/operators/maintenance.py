@@ -14,12 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators.sequences import dense_ids
-from vellum.session import checkpoint_dir
-
-
-def append(df: DataFrame, path: str) -> None:
-    """Append rows to a parquet table."""
-    df.write.mode("append").parquet(path)
+from vellum.session import checkpoint_dir, cut_lineage
 
 
 def max_id(existing: DataFrame, id_col: str):
@@ -46,7 +41,12 @@ def propagate_keys(parent: DataFrame, children: dict[str, DataFrame], temp_key:
 
 def upsert(existing: DataFrame, updates: DataFrame, key: str, id_col: str) -> DataFrame:
     """Replace rows whose ``key`` occurs in ``updates`` (keeping their surrogate ``id_col``); insert the
-    rest of ``updates`` with new ids (S6, ordered by ``key``). Other rows stay unchanged."""
+    rest of ``updates`` with new ids (S6, ordered by ``key``). Other rows stay unchanged. Of several updates with one
+    key the greatest row (by its columns in order) holds; a null key matches nothing and is inserted."""
+    others = [c for c in updates.columns if c != key]
+    one = updates.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*others)).alias("_r"))
+    updates = one.select(key, *[F.col("_r")[c].alias(c) for c in others]).select(*updates.columns).unionByName(
+        updates.where(F.col(key).isNull()))
     kept_ids = existing.select(key, id_col)
     matched = updates.join(kept_ids, key, "inner")
     fresh = updates.join(kept_ids.select(key), key, "left_anti")
@@ -63,11 +63,6 @@ def delete_by_keys(df: DataFrame, keys: DataFrame, on: str) -> tuple[DataFrame,
     return remaining, deleted
 
 
-def cleared(df: DataFrame) -> DataFrame:
-    """An empty frame with the same schema (written over a table, it clears it)."""
-    return df.limit(0)
-
-
 def cascade_delete(
     tables: dict[str, DataFrame],
     foreign_keys: list[tuple[str, str, str, str]],
@@ -78,26 +73,68 @@ def cascade_delete(
     """Delete ``root_keys`` from ``root`` and, following ``foreign_keys`` (child, child_col, parent,
     parent_col), every row that references a deleted row, transitively. Returns the remaining tables.
 
-    The FK graph is walked on the driver (it is schema, not data); every step is a semi/anti join.
+    The FK graph is walked on the driver (it is schema, not data). A table is settled after every table it refers to
+    (parents first), so each edge is followed once with all rows that went before it; tables that refer to each other
+    in a circle, or to themselves, are repeated together until no further row goes. Every step is a semi or anti join.
     """
     keys = root_keys.select(root_key_col).distinct()
-    deleted: dict[str, DataFrame] = {root: tables[root].join(keys, root_key_col, "left_semi")}
-    remaining = dict(tables)
-    remaining[root] = tables[root].join(keys, root_key_col, "left_anti")
-    frontier, seen = [root], set()
-    while frontier:
-        parent = frontier.pop(0)
-        for edge in foreign_keys:
-            child, ccol, ptab, pcol = edge
-            if ptab != parent or edge in seen:
-                continue
-            seen.add(edge)
-            gone_keys = deleted[parent].select(F.col(pcol).alias(ccol)).distinct()
-            gone = tables[child].join(gone_keys, ccol, "left_semi")
-            deleted[child] = gone if child not in deleted else deleted[child].unionByName(gone)
-            remaining[child] = remaining[child].join(gone_keys, ccol, "left_anti")
-            frontier.append(child)
-    return remaining
+    gone: dict[str, DataFrame] = {}
+    out = dict(tables)
+
+    def settle(name: str) -> None:
+        """Splits a table by the rows that went so far: each edge takes its rows from what the others left."""
+        rest, went = tables[name], None
+        cuts = [(root_key_col, keys)] if name == root else []
+        cuts += [(ccol, gone[parent].select(F.col(pcol).alias(ccol)).distinct())
+                 for child, ccol, parent, pcol in foreign_keys if child == name and parent in gone]
+        for col, k in cuts:
+            part = rest.join(k, col, "left_semi")
+            went = part if went is None else went.unionByName(part)
+            rest = rest.join(k, col, "left_anti")
+        if went is not None:
+            gone[name], out[name] = went.select(*tables[name].columns), rest.select(*tables[name].columns)
+
+    for group in _parents_first(foreign_keys, root):
+        if len(group) == 1 and not any(c == p == group[0] for c, _, p, _ in foreign_keys):
+            settle(group[0])
+            continue
+        before = -1
+        while (now := sum(gone[t].count() for t in group if t in gone)) > before:
+            before = now
+            for t in group:
+                settle(t)
+                if t in gone:
+                    gone[t] = cut_lineage(gone[t])
+    return out
+
+
+def _parents_first(foreign_keys: list[tuple[str, str, str, str]], root: str) -> list[list[str]]:
+    """Tables that depend on ``root``, in groups that refer to each other in a circle, parents before children."""
+    children: dict[str, set[str]] = {}
+    for c, _, p, _ in foreign_keys:
+        children.setdefault(p, set()).add(c)
+
+    def below(t: str) -> set[str]:
+        seen, todo = set(), [t]
+        while todo:
+            for c in children.get(todo.pop(), ()):
+                if c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        return seen
+
+    reach = {t: below(t) for t in {root} | below(root)}
+    groups: list[list[str]] = []
+    for t in sorted(reach):
+        if not any(t in g for g in groups):
+            groups.append([t, *sorted(u for u in reach if u != t and u in reach[t] and t in reach[u])])
+    # a group comes after every group that reaches it
+    out: list[list[str]] = []
+    while groups:
+        free = next(g for g in groups if not any(g[0] in reach[o[0]] for o in groups if o is not g))
+        out.append(free)
+        groups.remove(free)
+    return out
 
 
 def snapshot(spark: SparkSession, tables: dict[str, DataFrame], base_dir: str | None = None, tag: str | None = None) -> str:

@@ -1,22 +1,19 @@
 """Ordered-sequence operators that stay correct and balanced when one key holds a large share of rows.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task. Here the rows are instead
-range-partitioned on ``(key, order...)``, so a hot key spans several consecutive partitions; each partition
-is processed as a stream of Arrow batches (state carried across batches, never the whole partition in memory),
-and values that cross a partition boundary come from a table with one row per partition (its size is bounded by
-the partition count, so broadcasting it is safe).
+range-partitioned on ``(key, order...)``, so a hot key spans several consecutive partitions; windows run over one
+partition's rows of a key, and values that cross a partition boundary come from a table with one row per partition (its
+size is bounded by the partition count, so broadcasting it is safe).
 
 Used for: previous-row differences (W3) and dense sequential ids over a total order (S6).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum.session import cut_lineage
 
@@ -34,73 +31,35 @@ def gap_to_previous(
 ) -> DataFrame:
     """``value - lag(value)`` within ``key`` ordered by ``order``; 0 for the first row of a key.
 
-    Equals ``value - coalesce(lag(value) over (partition by key order by order), value)``.
+    Equals ``value - coalesce(lag(value) over (partition by key order by order), value)``, in the type of ``value``
+    (whole numbers stay exact); rows with a null key are one group, as in a window.
     """
     ranged = _ranged(df, [key, *order], n_parts)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_prev", T.DoubleType()),
-                                                  T.StructField("_first", T.BooleanType())])
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last_val, seen = None, None, False
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key]
-            vals = pdf[value].astype("float64")
-            prev = vals.shift(1)
-            same = keys.eq(keys.shift(1))
-            prev = prev.where(same)
-            first = pd.Series(False, index=pdf.index)
-            if seen:
-                if keys.iloc[0] == last_key:
-                    prev.iloc[0] = last_val
-            else:
-                first.iloc[0] = True
-            last_key, last_val, seen = keys.iloc[-1], float(vals.iloc[-1]), True
-            yield pdf.assign(_prev=prev, _first=first)
-
-    local = ranged.mapInPandas(per_partition, schema)
+    inside = Window.partitionBy("_pid", key).orderBy(*order)
+    local = ranged.withColumn("_prev", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside))
     # Last row of every non-empty partition, and for each partition the last row of the one before it.
-    ends = ranged.groupBy("_pid").agg(
-        F.max(F.struct(*[F.col(c) for c in [key, *order]], F.col(value).cast("double").alias("_v"))).alias("_e")
-    )
+    ends = ranged.groupBy("_pid").agg(F.max(F.struct(*[F.col(c) for c in [key, *order]], F.col(value).alias("_v"))).alias("_e"))
     w = Window.orderBy("_pid")
-    bounds = ends.select(
-        "_pid",
-        F.lag(F.col(f"_e.{key}")).over(w).alias("_bkey"),
-        F.lag(F.col("_e._v")).over(w).alias("_bval"),
-    )
-    fixed = local.join(F.broadcast(bounds), "_pid", "left").withColumn(
-        "_prev",
-        F.when(F.col("_first") & (F.col(key) == F.col("_bkey")), F.col("_bval")).otherwise(F.col("_prev")),
-    )
-    gap = F.col(value) - F.coalesce(F.col("_prev"), F.col(value).cast("double"))
-    return fixed.withColumn(out, gap.cast(df.schema[value].dataType)).drop("_pid", "_prev", "_first", "_bkey", "_bval")
+    bounds = ends.select("_pid", F.lag(F.col(f"_e.{key}")).over(w).alias("_bkey"), F.lag(F.col("_e._v")).over(w).alias("_bval"),
+                         F.lag(F.lit(True)).over(w).alias("_has"))
+    fixed = local.join(F.broadcast(bounds), "_pid", "left")
+    over = (F.col("_n") == 1) & F.col("_has") & F.col(key).eqNullSafe(F.col("_bkey"))
+    prev = F.when(over, F.col("_bval")).otherwise(F.col("_prev"))
+    gap = F.col(value) - F.coalesce(prev, F.col(value))
+    return fixed.withColumn(out, gap.cast(df.schema[value].dataType)).select(*df.columns, out)
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], start: int = 1, out: str = "id", n_parts: int | None = None) -> DataFrame:
     """Dense ids ``start, start+1, ...`` following the total order ``order`` (deterministic, no single-task window).
 
-    Each partition numbers its rows locally; offsets come from per-partition counts (one row per partition).
+    Each partition numbers its rows; offsets come from per-partition counts (one row per partition).
     """
     ranged = _ranged(df, order, n_parts)
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType())])
-
-    def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = 0
-        for pdf in batches:
-            n = len(pdf)
-            yield pdf.assign(_local=pd.RangeIndex(base, base + n).astype("int64"))
-            base += n
-
-    local = ranged.mapInPandas(per_partition, schema)
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         "_pid",
         (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
     ).fillna(0, subset=["_off"])
-    return (
-        local.join(F.broadcast(offsets), "_pid", "left")
-        .withColumn(out, (F.col("_off") + F.col("_local") + F.lit(start)).cast("bigint"))
-        .drop("_pid", "_local", "_off")
-    )
+    return local.join(F.broadcast(offsets), "_pid", "left").select(
+        *df.columns, (F.col("_off") + F.col("_local") + F.lit(start)).cast("bigint").alias(out))

@@ -152,12 +152,20 @@ def is_match(pct_a: Column, pct_b: Column, same_counts: Column | None = None,
 
 def copy_groups(docs: DataFrame | PrintSet, keys: list[str] | None = None) -> DataFrame:
     """Exact structural copies: ``(doc_id, rep_id, n_copies)``; rep = smallest id with the same whole print
-    (and the same blocking keys). Accepts a print set or a frame with ``doc_id`` and ``print``/``root_hash``."""
+    (and the same blocking keys). Accepts a print set or a frame with ``doc_id`` and ``print``/``root_hash``.
+
+    A tree without kept nodes (``total`` 0) matches nothing, itself included (0 of 0 nodes is 0 %), so each such
+    document is a group of its own."""
     keys = keys or []
     d = docs.docs if isinstance(docs, PrintSet) else docs
     pcol = "print" if "print" in d.columns else "root_hash"
-    grp = d.groupBy(pcol, *keys).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
-    return d.select("doc_id", pcol, *keys).join(grp, [pcol, *keys]).select("doc_id", "rep_id", "n_copies")
+    full = d.where("total > 0")
+    grp = full.groupBy(pcol, *keys).agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
+    copies = full.select("doc_id", pcol, *keys).alias("d").join(
+        grp.alias("g"), [F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}")) for c in [pcol, *keys]]
+    ).select("doc_id", "rep_id", "n_copies")
+    alone = d.where("total = 0").select("doc_id", F.col("doc_id").alias("rep_id"), F.lit(1).cast("bigint").alias("n_copies"))
+    return copies.unionByName(alone)
 
 
 def _need(total: Column, threshold: float) -> Column:

@@ -103,11 +103,10 @@ def version_diff_summary(results: DataFrame, v1: str, v2: str, time_factor: floa
         rt = F.col("runtime").cast(dec)
         agg = df.select(F.count(F.lit(1)).alias("n"), F.sum(rt).alias("sx"), F.sum(rt * rt).alias("sxx"))
         m = F.when(F.col("n") > 0, F.expr("sx div n")).otherwise(F.lit(0))
-        var = F.when(
-            F.col("n") > 0,
-            ((F.col("sxx") - F.lit(2) * m * F.col("sx") + F.col("n") * m * m) / F.col("n")).cast("bigint"),
-        ).otherwise(F.lit(0))
-        return agg.select(m.cast("bigint").alias(f"avg_runtime{i}"), var.alias(f"var_runtime{i}"))
+        # ``div`` truncates; a decimal ``/`` keeps six digits and may round up to the next whole number
+        ss = agg.select("n", m.cast(dec).alias("m"), (F.col("sxx") - F.lit(2) * m * F.col("sx") + F.col("n") * m * m).cast(dec).alias("ss"))
+        var = F.when(F.col("n") > 0, F.expr("ss div n")).otherwise(F.lit(0))
+        return ss.select(F.col("m").cast("bigint").alias(f"avg_runtime{i}"), var.cast("bigint").alias(f"var_runtime{i}"))
 
     diffs = version_diffs(results, v1, v2, time_factor)
     pieces = [

@@ -6,7 +6,6 @@ identically in the oracle SQL. Keys are ``<inventory id>_<slug>``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -86,22 +85,8 @@ def q_s1(spark, sf_dir):
 
 @query("S2_batched_scan", "SELECT doc_id AS entity_id, CAST(length(text) AS BIGINT) AS n_chars_counted FROM documents")
 def q_s2(spark, sf_dir):
-    """Cursor-style processing in batches of at most 1000 rows (the reference's fetch size), in pandas."""
-    from vellum.sources.files import CURSOR_BATCH
-
-    def per_batch(batches):
-        for pdf in batches:
-            for start in range(0, len(pdf), CURSOR_BATCH):
-                chunk = pdf.iloc[start:start + CURSOR_BATCH]
-                yield pd.DataFrame(
-                    {"entity_id": chunk["entity_id"], "n_chars_counted": chunk["program"].str.len().astype("int64")}
-                )
-
-    return (
-        T.entities(spark, sf_dir)
-        .select("entity_id", "program")
-        .mapInPandas(per_batch, "entity_id long, n_chars_counted long")
-    )
+    """Every entity's text is processed once; Spark hands rows over in batches of its own."""
+    return T.entities(spark, sf_dir).select("entity_id", F.length("program").cast("bigint").alias("n_chars_counted"))
 
 
 @query(
@@ -209,7 +194,7 @@ def q_f12(spark, sf_dir):
 
 
 _F9_SQL = """, marked AS (
-  SELECT entity_id, regexp_replace(replace(program, chr(57344), ''), '{pat}', chr(57344) || '\\0', 'g') AS m
+  SELECT entity_id, regexp_replace(program, '{pat}', chr(57344) || '\\0', 'g') AS m
   FROM entities WHERE regexp_matches(program, '{pat}')),
 lines AS (
   SELECT entity_id, unnest(string_split(m, chr(10))) AS ln, generate_subscripts(string_split(m, chr(10)), 1) AS line

@@ -11,7 +11,15 @@ from vellum.functions import scalars as S
 from vellum.operators import fingerprint as FP
 from vellum.operators import programs as PG
 from vellum.operators import similarity as SIM
-from vellum.plans.catalog_similarity import BAND, J4_SQL, entity_prints
+from vellum.plans.catalog_similarity import (
+    BAND,
+    DIRECT_SQL,
+    ENTITY_IDS,
+    J4_SQL,
+    SAME_KEYS_IN_BAND,
+    admission_sql,
+    entity_prints,
+)
 from vellum.plans.catalog_tables import _C4_ARGS_SQL, _strip_sql
 from vellum.plans.oracle_views import (
     ENTITIES,
@@ -37,15 +45,17 @@ _SIG_CTES = """sig_sym AS (SELECT DISTINCT o_custkey AS entity_id, o_orderstatus
 sig_vcg AS (SELECT DISTINCT user_id AS entity_id, value <= 100 AS success FROM events)"""
 
 
+_SAME_RESULTS = """EXISTS (SELECT 1 FROM sig_sym x JOIN sig_sym y ON x.success = y.success AND x.errs = y.errs
+              WHERE x.entity_id = a_id AND y.entity_id = b_id)
+  AND EXISTS (SELECT 1 FROM sig_vcg x JOIN sig_vcg y ON x.success = y.success
+              WHERE x.entity_id = a_id AND y.entity_id = b_id)"""
+
+
 @query(
     "J4_with_results",
     J4_SQL.replace("SELECT a_id, b_id, matched, total_a, total_b FROM matches", "").rstrip()
     + ",\n" + _SIG_CTES + """
-SELECT a_id, b_id, matched, total_a, total_b FROM matches m
-WHERE EXISTS (SELECT 1 FROM sig_sym x JOIN sig_sym y ON x.success = y.success AND x.errs = y.errs
-              WHERE x.entity_id = m.a_id AND y.entity_id = m.b_id)
-  AND EXISTS (SELECT 1 FROM sig_vcg x JOIN sig_vcg y ON x.success = y.success
-              WHERE x.entity_id = m.a_id AND y.entity_id = m.b_id)""",
+SELECT a_id, b_id, matched, total_a, total_b FROM matches WHERE """ + _SAME_RESULTS,
 )
 def q_j4r(spark, sf_dir):
     """J4 + P10: print-similar candidate pairs whose results in both back ends are similar too (entity ids are
@@ -60,11 +70,14 @@ def q_j4r(spark, sf_dir):
     return scored.join(keep, ["a_id", "b_id"], "left_semi").select("a_id", "b_id", "matched", "total_a", "total_b")
 
 
-@query("K5_full_admission", None, note="iterative; admission with print, entity and result similarity")
+@query(
+    "K5_full_admission",
+    admission_sql(prints_ctes(), ENTITY_IDS, SAME_KEYS_IN_BAND, DIRECT_SQL, ENTITIES + ",\n" + _SIG_CTES + ",\n", _SAME_RESULTS),
+)
 def q_k5(spark, sf_dir):
-    ep = entity_prints(spark, sf_dir)
+    """Prints, entities and the results of both back ends must agree."""
     extra = PG.result_filter(T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir))
-    return K.admit(ep, None, block=KEYS, band=BAND, extra=extra, chunk_rows=K.ADMISSION_CHUNK_ROWS)
+    return K.admit(entity_prints(spark, sf_dir), None, block=KEYS, band=BAND, extra=extra, direct="direct")
 
 
 _KW = "|".join(PG.SECTION_KEYWORDS)
@@ -75,7 +88,7 @@ _KW = "|".join(PG.SECTION_KEYWORDS)
     with_(ENTITIES)
     + f""", parts AS (
   SELECT entity_id, unnest(ps) AS decl_text, generate_subscripts(ps, 1) - 1 AS decl_index FROM (
-    SELECT entity_id, string_split(regexp_replace(replace(program, chr(2), ''), '(?m)^({_KW})\\b', chr(2) || '\\1', 'g'),
+    SELECT entity_id, string_split(regexp_replace(program, '(?m)^({_KW})\\b', chr(2) || '\\1', 'g'),
                                    chr(2)) AS ps FROM entities))
 SELECT entity_id, CAST(decl_index AS INTEGER) AS decl_index,
   CASE WHEN regexp_extract(decl_text, '^({_KW})\\b', 1) = '' THEN 'extension'
@@ -248,7 +261,7 @@ def q_a2a(spark, sf_dir):
 def q_k1s(spark, sf_dir):
     """Structured Streaming over the events file: every event becomes a queued submission."""
     base = os.path.join(checkpoint_dir(spark), f"accept-{uuid.uuid4().hex}")
-    q = K.start_accept_stream(spark, sf_dir, os.path.join(base, "queue"), os.path.join(base, "ckpt"),
-                              glob="events.parquet")
+    table = f"{sf_dir}/events.parque[t]"  # as a pattern it stands for one file and for a folder of part files alike
+    q = K.start_accept_stream(spark, table, os.path.join(base, "queue"), os.path.join(base, "ckpt"))
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "queue")).select("submission_id", "loc", "submission_date", "frontend")

@@ -12,6 +12,8 @@ from vellum.plans.registry import query
 from vellum.sources import tables as T
 
 BAND = (0.5, 2.0)
+# Front ends whose items come straight from a verifier (the others' items are generated programs): the first ten sources.
+DIRECT_FRONTENDS = [f"src{i}" for i in range(10)]
 
 
 def doc_prints(spark: SparkSession, sf_dir: str):
@@ -21,8 +23,9 @@ def doc_prints(spark: SparkSession, sf_dir: str):
 def entity_prints(spark: SparkSession, sf_dir: str):
     """Prints of the entities, carrying the columns used for blocking (J4) through the same projection."""
     e = T.entities(spark, sf_dir)
+    e = e.withColumn("direct", F.col("frontend").isin(DIRECT_FRONTENDS))
     return FP.document_prints(
-        e, id_col="entity_id", text_col="program", keep=["loc", "frontend", "original_verifier", "parse_success"]
+        e, id_col="entity_id", text_col="program", keep=["loc", "frontend", "original_verifier", "parse_success", "direct"]
     )
 
 
@@ -72,7 +75,7 @@ def q_a11(spark, sf_dir):
     ).select("h", F.col("level").cast("int").alias("level"), "n_docs", "n_nodes")
 
 
-_REPS = """reps AS (SELECT min(doc_id) AS doc_id FROM prints GROUP BY root_hash),
+_REPS = """reps AS (SELECT min(doc_id) AS doc_id FROM prints WHERE total > 0 GROUP BY root_hash),
 pairs AS (
   SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM tokens a JOIN tokens b ON a.h = b.h AND a.doc_id < b.doc_id
   WHERE a.doc_id IN (SELECT doc_id FROM reps) AND b.doc_id IN (SELECT doc_id FROM reps))"""
@@ -90,7 +93,7 @@ def q_j9(spark, sf_dir):
 @query(
     "J9_copy_groups",
     "WITH " + prints_ctes() + """,
-g AS (SELECT root_hash, min(doc_id) AS rep_id, count(*) AS n_copies FROM prints GROUP BY root_hash)
+g AS (SELECT root_hash, min(doc_id) AS rep_id, count(*) AS n_copies FROM prints WHERE total > 0 GROUP BY root_hash)
 SELECT p.doc_id, g.rep_id, g.n_copies FROM prints p JOIN g USING (root_hash) WHERE g.n_copies > 1""",
 )
 def q_j9c(spark, sf_dir):
@@ -101,7 +104,7 @@ def q_j9c(spark, sf_dir):
     "J10_duplicate_members",
     "WITH " + prints_ctes() + ",\n" + _REPS + ",\n" + MATCHED_CTES + """,
 g AS (SELECT p.doc_id, x.rep_id, x.n_copies FROM prints p
-      JOIN (SELECT root_hash, min(doc_id) AS rep_id, count(*) AS n_copies FROM prints GROUP BY root_hash) x USING (root_hash))
+      JOIN (SELECT root_hash, min(doc_id) AS rep_id, count(*) AS n_copies FROM prints WHERE total > 0 GROUP BY root_hash) x USING (root_hash))
 SELECT doc_id FROM g WHERE n_copies > 1 OR rep_id IN (SELECT a_id FROM matches UNION SELECT b_id FROM matches)""",
 )
 def q_j10(spark, sf_dir):
@@ -148,7 +151,12 @@ def q_p13(spark, sf_dir):
     )
 
 
-@query("C12_match_report", None)
+@query(
+    "C12_match_report",
+    "WITH " + prints_ctes() + ",\n" + _REPS + ",\n" + MATCHED_CTES + """
+SELECT a_id, b_id, printf('Matched %d of %d nodes (%.2f%%) against %d of %d nodes (%.2f%%)', matched, total_a, pct_a,
+                          matched, total_b, pct_b) AS report FROM matches""",
+)
 def q_c12(spark, sf_dir):
     scored = SIM.with_decision(SIM.near_duplicate_pairs(doc_prints(spark, sf_dir)))
     return SIM.match_report(scored)
@@ -203,3 +211,36 @@ pairs AS (SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM q_tokens a JOI
 def q_j8(spark, sf_dir):
     probe = FP.document_prints(T.read(spark, sf_dir, "benchmark"), id_col="item_id")
     return SIM.exists_similar(probe, doc_prints(spark, sf_dir))
+
+
+def admission_sql(prints: str, ids: str, conditions: str = "TRUE", direct: str = "TRUE", ctes: str = "", keep: str = "TRUE") -> str:
+    """DuckDB: one-by-one admission. All pairs that share a node and meet ``conditions`` (aliases ea: earlier, eb: later)
+    are compared by brute force; ``direct`` is the later item's rule; the items are then walked in order of ids with
+    the list of those rejected so far."""
+    return (
+        "WITH RECURSIVE " + ctes + prints + f""",
+ep AS ({ids}),
+pairs AS (
+  SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM tokens a JOIN tokens b ON a.h = b.h AND a.doc_id < b.doc_id
+  JOIN ep ea ON ea.doc_id = a.doc_id JOIN ep eb ON eb.doc_id = b.doc_id WHERE {conditions}),
+"""
+        + MATCHED_CTES
+        + f""",
+edges AS (
+  SELECT a_id, b_id FROM decided JOIN ep eb ON eb.doc_id = b_id
+  WHERE (({direct} AND pct_a >= 70.0 AND pct_b >= 70.0) OR pct_a >= 99.0 OR pct_b >= 99.0) AND {keep}),
+nb AS (SELECT b_id AS id, list(a_id) AS es, row_number() OVER (ORDER BY b_id) AS rn FROM edges GROUP BY b_id),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, []::BIGINT[] AS rej
+  UNION ALL
+  SELECT nb.rn, CASE WHEN list_has_all(w.rej, nb.es) THEN w.rej ELSE list_append(w.rej, nb.id) END
+  FROM walk w JOIN nb ON nb.rn = w.rn + 1)
+SELECT doc_id, NOT list_contains((SELECT arg_max(rej, rn) FROM walk), doc_id) AS accepted FROM ep"""
+    )
+
+
+ENTITY_IDS = ("SELECT p.doc_id, e.loc, e.frontend, e.original_verifier, e.parse_success FROM prints p JOIN entities e "
+              "ON e.entity_id = p.doc_id")
+SAME_KEYS_IN_BAND = ("ea.frontend = eb.frontend AND ea.original_verifier = eb.original_verifier AND ea.parse_success = eb.parse_success "
+                     "AND ea.loc BETWEEN CAST(trunc(eb.loc * 0.5) AS INTEGER) AND CAST(trunc(eb.loc * 2.0) AS INTEGER)")
+DIRECT_SQL = "eb.frontend IN (" + ", ".join(f"'{f}'" for f in DIRECT_FRONTENDS) + ")"

@@ -10,21 +10,33 @@ from pyspark.sql import functions as F
 from vellum.functions import scalars as S
 from vellum.operators import maintenance as M
 from vellum.operators.fingerprint import document_prints
-from vellum.plans.oracle_views import SUBMISSIONS, prints_ctes, with_
+from vellum.plans.catalog_similarity import (
+    BAND,
+    DIRECT_SQL,
+    ENTITY_IDS,
+    SAME_KEYS_IN_BAND,
+    admission_sql,
+    doc_prints,
+    entity_prints,
+)
+from vellum.plans.oracle_views import ENTITIES, SUBMISSIONS, prints_ctes, with_
 from vellum.plans.registry import query
 from vellum.session import checkpoint_dir
 from vellum.sources import tables as T
 from vellum.streaming import admission as K
 
 
+KEYS = ["frontend", "original_verifier", "parse_success"]
+
+
 @query(
     "S6_append_with_ids",
     "SELECT event_id, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY ts, event_id) AS result_id "
-    "FROM events WHERE event_type = 'error'",
+    "FROM events",
 )
 def q_s6(spark, sf_dir):
     existing = T.results_symbolic(spark, sf_dir).select("result_id")
-    new = T.read(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", "ts")
+    new = T.read(spark, sf_dir, "events").select("event_id", "ts")
     return M.with_new_ids(existing, new, "result_id", ["ts", "event_id"]).select("event_id", "result_id")
 
 
@@ -55,7 +67,7 @@ def q_s7(spark, sf_dir):
 @query(
     "S9_upsert",
     """WITH existing AS (SELECT doc_id * 10 AS print_id, doc_id AS entity_id, CAST(quality AS BIGINT) AS value FROM labels),
-updates AS (SELECT doc_id AS entity_id, n_chars AS value FROM documents WHERE lang = 'en')
+updates AS (SELECT doc_id AS entity_id, n_chars AS value FROM documents)
 SELECT print_id, entity_id, value FROM existing WHERE entity_id NOT IN (SELECT entity_id FROM updates)
 UNION ALL
 SELECT e.print_id, u.entity_id, u.value FROM updates u JOIN existing e USING (entity_id)
@@ -67,7 +79,7 @@ def q_s9(spark, sf_dir):
     lb = T.read(spark, sf_dir, "labels")
     existing = lb.select((F.col("doc_id") * 10).alias("print_id"), F.col("doc_id").alias("entity_id"),
                          F.col("quality").cast("bigint").alias("value"))
-    updates = T.read(spark, sf_dir, "documents").where("lang = 'en'").select(
+    updates = T.read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("entity_id"), F.col("n_chars").alias("value")
     )
     return M.upsert(existing, updates, "entity_id", "print_id")
@@ -112,12 +124,10 @@ def q_s12(spark, sf_dir):
 
 @query(
     "S13_snapshot_roundtrip",
-    """SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'orders', count(*) FROM orders
-UNION ALL SELECT 'labels', count(*) FROM labels""",
+    "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in T.TABLES),
 )
 def q_s13(spark, sf_dir):
-    tabs = {n: T.read(spark, sf_dir, n) for n in ("customer", "orders", "labels")}
+    tabs = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in T.TABLES}
     snap = M.snapshot(spark, tabs, tag=f"roundtrip-{uuid.uuid4().hex}")
     back = M.restore(spark, snap, list(tabs))
     parts = [df.select(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, df in back.items()]
@@ -127,35 +137,39 @@ def q_s13(spark, sf_dir):
     return out
 
 
+_COLUMNS = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                 "l_returnflag", "l_linestatus", "l_shipdate"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+}
+
+
 @query(
     "S18_integrity",
-    """SELECT 'not_null:orders.o_orderkey' AS check_name, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_violations FROM orders
-UNION ALL SELECT 'not_null:orders.o_custkey', count(*) FILTER (WHERE o_custkey IS NULL) FROM orders
-UNION ALL SELECT 'not_null:lineitem.l_orderkey', count(*) FILTER (WHERE l_orderkey IS NULL) FROM lineitem
-UNION ALL SELECT 'not_null:lineitem.l_linenumber', count(*) FILTER (WHERE l_linenumber IS NULL) FROM lineitem
+    "\nUNION ALL ".join(f"SELECT 'not_null:{t}.{c}' AS check_name, count(*) FILTER (WHERE {c} IS NULL) AS n_violations FROM {t}"
+                        for t, cols in _COLUMNS.items() for c in cols)
+    + """
 UNION ALL SELECT 'primary_key:orders', count(*) FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
+UNION ALL SELECT 'primary_key:customer', count(*) FROM (SELECT c_custkey FROM customer GROUP BY c_custkey HAVING count(*) > 1)
 UNION ALL SELECT 'primary_key:lineitem', count(*) FROM
   (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
 UNION ALL SELECT 'foreign_key:lineitem.l_orderkey->orders.o_orderkey', count(*) FROM lineitem
   WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'foreign_key:orders.o_custkey->customer.c_custkey', count(*) FROM orders
-  WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
+  WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT 'foreign_key:orders.o_custkey->labels.doc_id', count(*) FROM orders
+  WHERE o_custkey NOT IN (SELECT doc_id FROM labels)""",
 )
 def q_s18(spark, sf_dir):
-    tabs = {
-        "orders": T.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"),
-        "lineitem": T.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"),
-        "customer": T.read(spark, sf_dir, "customer").select("c_custkey"),
-    }
-    return _integrity(tabs)
-
-
-def _integrity(tabs):
+    """The last check has violations: not every customer number is a labelled document."""
+    tabs = {t: T.read(spark, sf_dir, t).select(*cols) for t, cols in _COLUMNS.items()}
     return M.integrity_report(
-        {"orders": tabs["orders"], "lineitem": tabs["lineitem"]},
-        {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]},
-        [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey")],
-        extra_tables={"customer": tabs["customer"]},
+        tabs,
+        {"orders": ["o_orderkey"], "customer": ["c_custkey"], "lineitem": ["l_orderkey", "l_linenumber"]},
+        [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+         ("orders", "o_custkey", "labels", "doc_id")],
+        extra_tables={"labels": T.read(spark, sf_dir, "labels").select("doc_id")},
     )
 
 
@@ -180,39 +194,54 @@ def q_k2(spark, sf_dir):
     return K.queue_to_entities(q, existing).select("submission_id", "entity_id")
 
 
-@query("K3_sequential_admission", None, note="iterative; checked against a one-by-one loop in tests")
+@query("K3_sequential_admission", admission_sql(prints_ctes(), ENTITY_IDS, SAME_KEYS_IN_BAND, DIRECT_SQL, ENTITIES + ",\n"))
 def q_k3(spark, sf_dir):
-    from vellum.plans.catalog_similarity import BAND, entity_prints
+    """Total percentages for items straight from a verifier, method and function sections for generated ones."""
+    return K.admit(entity_prints(spark, sf_dir), None, block=KEYS, band=BAND, direct="direct")
 
-    ep = entity_prints(spark, sf_dir)
-    return K.admit(ep, None, block=["frontend", "original_verifier", "parse_success"], band=BAND,
-                   chunk_rows=K.ADMISSION_CHUNK_ROWS)
 
-
-@query("K4_store_only_admission", None, note="iterative; print similarity only, no blocking")
+@query("K4_store_only_admission", admission_sql(prints_ctes(), ENTITY_IDS, SAME_KEYS_IN_BAND, "TRUE", ENTITIES + ",\n"))
 def q_k4(spark, sf_dir):
-    from vellum.plans.catalog_similarity import doc_prints
+    """Prints alone decide, among items of equal verifier, front end and parse flag in the size band."""
+    return K.admit(entity_prints(spark, sf_dir), None, block=KEYS, band=BAND)
+
 
+@query("K4_unblocked_admission", admission_sql(prints_ctes(), "SELECT doc_id FROM prints"))
+def q_k4u(spark, sf_dir):
+    """Without blocking keys and band: any two documents may be similar."""
     return K.admit(doc_prints(spark, sf_dir), None)
 
 
-@query("K7_stream_admission", None, note="Structured Streaming over benchmark submissions")
+STREAM_FILES = 4
+
+
+@query("K7_stream_admission", admission_sql(prints_ctes(), "SELECT doc_id FROM prints"),
+       note="Structured Streaming; the batches' decisions together are the one-by-one admission")
 def q_k7(spark, sf_dir):
-    """Runs the streaming admission job (availableNow) over the benchmark items written as submission
-    files, and returns the per-batch status rows it produced."""
+    """Runs the streaming admission job (availableNow) over the documents as submission files in order of ids (one
+    write a file, so that the files' times follow the ids), and returns the decisions it produced."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     subs = os.path.join(base, "submissions")
-    T.read(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("submission_id"), F.col("text").alias("program"),
+    docs = T.read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("submission_id"), F.col("text").alias("program"),
         F.lit("Generic").alias("frontend"), F.lit("symbolic").alias("original_verifier"),
-    ).repartition(4).write.parquet(subs)
+    )
+    top = docs.agg(F.max("submission_id")).first()[0] or 0
+    for k in range(STREAM_FILES):
+        part = F.floor(F.col("submission_id") * STREAM_FILES / (top + 1)) == k
+        docs.where(part).coalesce(1).write.mode("append").parquet(subs)
     q = K.start_admission_stream(spark, subs, os.path.join(base, "out"), os.path.join(base, "ckpt"),
                                  max_files_per_trigger=2)
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "out", "decisions"))
+    return spark.read.parquet(os.path.join(base, "out", "decisions")).select("doc_id", "accepted")
 
 
-@query("U1_evaluate", None, note="user evaluator in Arrow batches")
+@query(
+    "U1_evaluate",
+    with_(ENTITIES) + "SELECT entity_id, 'symbolic' AS backend, loc <= 50 AS success, FALSE AS did_timeout, "
+    "CAST(length(program) AS BIGINT) AS runtime, []::VARCHAR[] AS error_ids FROM entities",
+    note="user evaluator in Arrow batches",
+)
 def q_u1(spark, sf_dir):
     def line_budget_evaluator(entity: dict, args: list[str], timeout: int) -> dict:
         n = int(entity["loc"])
@@ -228,13 +257,26 @@ def q_p11(spark, sf_dir):
     return K.recreate_prints(spark, T.read(spark, sf_dir, "documents"), out).select("doc_id", "root_hash", "total")
 
 
-@query("P12_prints_json", None, note="JSON text per entity")
+@query(
+    "P12_prints_json",
+    "WITH " + prints_ctes() + """,
+ks AS (SELECT doc_id, li, list(h ORDER BY si) AS sents FROM kept_sents GROUP BY doc_id, li),
+ls AS (SELECT k.doc_id, list({h: k.h, w: k.w, sents: coalesce(ks.sents, []::VARCHAR[])} ORDER BY k.li) AS lines
+       FROM kept_lines k LEFT JOIN ks USING (doc_id, li) GROUP BY k.doc_id)
+SELECT p.doc_id, CAST(to_json({root_hash: p.root_hash, weight: p.weight, total: p.total,
+                               lines: coalesce(ls.lines, [])}) AS VARCHAR) AS json
+FROM prints p LEFT JOIN ls USING (doc_id)""",
+)
 def q_p12(spark, sf_dir):
     p = document_prints(T.read(spark, sf_dir, "documents"))
     return p.select("doc_id", S.as_json("root_hash", "weight", "total", "lines").alias("json"))
 
 
-@query("C16_json_entries", None, note="JSON response objects (formatting differs between engines)")
+@query(
+    "C16_json_entries",
+    with_(ENTITIES) + "SELECT entity_id, CAST(to_json({entity_id: entity_id, loc: loc, frontend: frontend, "
+    "original_verifier: original_verifier}) AS VARCHAR) AS json FROM entities",
+)
 def q_c16(spark, sf_dir):
     e = T.entities(spark, sf_dir)
     return e.select("entity_id", S.as_json("entity_id", "loc", "frontend", "original_verifier").alias("json"))

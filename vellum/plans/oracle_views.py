@@ -89,7 +89,7 @@ def prints_ctes(source: str = "documents", id_col: str = "doc_id", text_col: str
     p = prefix
     return f"""{p}d_lines AS (
   SELECT {id_col} AS doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS li
-  FROM (SELECT {id_col}, string_split(replace({text_col}, chr(1), ''), chr(10)) AS ls FROM {source})),
+  FROM (SELECT {id_col}, string_split({text_col}, chr(10)) AS ls FROM {source})),
 {p}d_sents AS (
   SELECT doc_id, li, unnest(ps) AS sent, generate_subscripts(ps, 1) AS si
   FROM (SELECT doc_id, li, string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ps
@@ -101,19 +101,19 @@ def prints_ctes(source: str = "documents", id_col: str = "doc_id", text_col: str
   WHERE word <> ''),
 {p}doc_sents AS (
   SELECT doc_id, li, si,
-         substr(md5('sentence:' || string_agg(substr(md5(lower(word) || ':'), 1, 16), ',' ORDER BY wi)), 1, 16) AS h,
+         md5('sentence:' || string_agg(md5(lower(word) || ':'), ',' ORDER BY wi)) AS h,
          count(*) + 1 AS w
   FROM {p}d_words GROUP BY doc_id, li, si),
 {p}doc_lines AS (
   SELECT l.doc_id, l.li,
-         substr(md5('line:' || coalesce(string_agg(s.h, ',' ORDER BY s.si), '')), 1, 16) AS h,
+         md5('line:' || coalesce(string_agg(s.h, ',' ORDER BY s.si), '')) AS h,
          1 + coalesce(sum(s.w), 0) AS w0,
          count(s.h) FILTER (WHERE s.w > 3) AS nks
   FROM {p}d_lines l LEFT JOIN {p}doc_sents s ON s.doc_id = l.doc_id AND s.li = l.li
   GROUP BY l.doc_id, l.li),
 {p}prints AS (
   SELECT doc_id,
-         substr(md5('root:' || string_agg(h, ',' ORDER BY w0 DESC, h DESC)), 1, 16) AS root_hash,
+         md5('root:' || string_agg(h, ',' ORDER BY w0 DESC, h DESC)) AS root_hash,
          CAST(1 + sum(w0) AS BIGINT) AS weight,
          CAST(coalesce(sum(1 + nks) FILTER (WHERE w0 > 3), 0) AS BIGINT) AS total
   FROM {p}doc_lines GROUP BY doc_id),

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Set by :func:`local_session` alone: see :func:`spread`.
+SPREAD_CONF = "spark.vellum.spreadSmallInputs"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "vellum",
                   event_log_dir: str | None = None) -> SparkSession:
     """A local session configured the way the tests and the bench run.
@@ -16,7 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     settings except ``spark.checkpoint.dir`` (see :func:`checkpoint_dir`). ``event_log_dir`` turns on Spark's
     event log (stage and task times) in a scratch folder; the web UI stays off.
     """
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -29,10 +34,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-        .config("spark.eventLog.enabled", "true" if event_log_dir else "false")
-        .config("spark.eventLog.dir", event_log_dir or "file:/tmp")
-        .getOrCreate()
+        .config(SPREAD_CONF, "true")
     )
+    if event_log_dir:
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -40,11 +46,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is created and set.
+    Only a local session without one gets a fresh scratch folder; on a cluster no machine-local folder will do, so a
+    missing setting is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="vellum-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
@@ -58,11 +67,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop, each computed from the one before.
+
+    A checkpoint cuts the lineage but keeps the size estimate, and joins multiply estimates: after some dozens of rounds
+    planning alone takes minutes. Here each round is written as Parquet to the shared checkpoint folder and read back,
+    so it has its real size. Two places take turns: a round reads one and overwrites the other, which no one needs any
+    more. Use only the table returned last.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._spark = spark
+        self._base = f"{checkpoint_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+        self._turn = 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self._turn = 1 - self._turn
+        path = f"{self._base}/{self._turn}"
+        df.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than the cluster can run at once
-    (for example one large file with a single row group). Large inputs made of many files are left as they
-    are, so this never adds a shuffle at scale. Filters and column pruning still reach the scan."""
+    """For tests and the bench, whose tables are single files of one row group: round-robin repartition when the
+    input has fewer partitions than cores. Opt-in (``SPREAD_CONF``, set by :func:`local_session`); elsewhere the scan
+    is left as it is, so no shuffle of texts is ever added."""
     spark = df.sparkSession
+    if spark.conf.get(SPREAD_CONF, "false") != "true":
+        return df
     try:
         want = min_partitions or spark.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()

@@ -9,17 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The Unicode replacement character produced when undecodable bytes are read as UTF-8, and the
-# number of rows handed over per batch by cursor-style scans.
+# Fixed value: the Unicode replacement character that stands for undecodable bytes.
 REPLACEMENT_CHAR = "\ufffd"
-CURSOR_BATCH = 1000
 
 
 def read_program_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row per file ``(path, program)``: the whole file decoded as UTF-8 with malformed byte sequences
-    dropped (they decode to U+FFFD, which is removed; a genuine U+FFFD in the input is removed too)."""
+    dropped. They become U+FFFD, and texts that held any lose that character; texts of valid bytes are unchanged."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    text = F.regexp_replace(F.decode(F.col("content"), "UTF-8"), REPLACEMENT_CHAR, "")
+    raw = raw.select("path", F.col("content").cast("string").alias("s"))
+    text = F.when(F.is_valid_utf8("s"), F.col("s")).otherwise(F.regexp_replace(F.make_valid_utf8("s"), REPLACEMENT_CHAR, ""))
     return raw.select("path", text.alias("program"))
 
 

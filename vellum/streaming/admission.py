@@ -7,8 +7,10 @@ undecided earlier neighbour is accepted. Each round decides at least the earlies
 outcome equals the one-by-one loop. Every round is two joins and one aggregate over the edges; the status
 table is checkpointed to the shared checkpoint folder each round.
 
-Exact structural copies never become edges: within a copy group only the earliest member can be accepted
-(all later copies are similar to whatever the earliest is similar to), so copies are decided up front.
+Exact structural copies that agree in everything a decision looks at (blocking keys, size, rule and, where results
+count, the outcomes in every back end) never become edges: within such a group only the earliest member can be accepted
+(all later ones are similar to whatever the earliest is similar to), so they are decided up front. Copies that differ
+in any of these are compared like other items, and a tree without kept nodes is similar to nothing.
 
 Streaming: ``readStream`` over a submissions folder -> ``foreachBatch``; each batch is compared with the
 corpus stored by *earlier* batches only, and its outputs are written to ``batch_id=<n>`` folders with
@@ -28,11 +30,9 @@ from pyspark.sql import types as T
 from vellum.functions.scalars import loc as loc_expr
 from vellum.operators import similarity as SIM
 from vellum.operators.fingerprint import document_prints
-from vellum.session import cut_lineage
+from vellum.session import Rounds, cut_lineage
 
 ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
-# Arrival-ordered chunk size for batch admission (bounds pairing inside a near-copy cluster; see admit()).
-ADMISSION_CHUNK_ROWS = 1_000_000
 
 
 # ------------------------------------------------------------------------------------------------
@@ -59,28 +59,39 @@ def queue_to_entities(queue: DataFrame, existing_entities: DataFrame, stamp: Col
 # ------------------------------------------------------------------------------------------------
 def similarity_edges(prints: DataFrame | SIM.PrintSet, threshold: float = SIM.DIRECT_MATCH_THRESHOLD,
                      block: list[str] | None = None, band: tuple[float, float] | None = None,
-                     extra: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                     extra: Callable[[DataFrame], DataFrame] | None = None, direct: str | None = None) -> DataFrame:
     """Edges ``(e, l)``: earlier item ``e`` (smaller id = earlier arrival) is similar to later item ``l``.
 
-    ``extra`` may further filter the scored pairs (K5: results of both back ends must agree too).
+    ``extra`` may further filter the scored pairs (K5: results of both back ends must agree too). ``direct``: docs
+    column that says whether an item comes straight from a verifier; the later item's value picks the rule (P9).
     """
     ps = SIM.prepare(prints)
-    cand = SIM.candidate_pairs(ps, threshold, block, band)
-    scored = SIM.with_decision(SIM.matched_weight(cand, ps), threshold).where("is_match")
+    cand = SIM.candidate_pairs(ps, threshold, block, band, rule="direct" if direct is None else "any")
+    scored = _decided(SIM.matched_weight(cand, ps), ps, "b_id", threshold, direct)
     if extra is not None:
         scored = extra(scored)
     # Materialised once: every greedy round reads the edges again.
     return cut_lineage(scored.select(F.col("a_id").alias("e"), F.col("b_id").alias("l")))
 
 
-def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | None = None,
-                     max_rounds: int = 10_000) -> DataFrame:
-    """``(doc_id, accepted)`` for ``items`` given edges (earlier, later). ``stored`` items count as accepted."""
+def _decided(scored: DataFrame, ps: SIM.PrintSet, side: str, threshold: float, direct: str | None) -> DataFrame:
+    """Pairs that match, by the rule of the newer item (``side``: the pair's column that names it)."""
+    if direct is None:
+        return SIM.with_decision(scored, threshold).where("is_match")
+    rule = ps.docs.select(F.col("doc_id").alias(side), F.col(direct).alias("_direct"))
+    return SIM.with_decision(scored.join(rule, side), threshold, F.col("_direct")).where("is_match").drop("_direct")
+
+
+def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, accepted)`` for ``items`` given edges (earlier, later). ``stored`` items count as accepted.
+
+    The rounds end when every item is decided; each decides at least the earliest undecided one."""
     st = items.select("doc_id", F.lit(UNDECIDED).alias("st"))
     if stored is not None:
         st = st.unionByName(stored.select("doc_id", F.lit(ACCEPTED).alias("st")))
-    st = cut_lineage(st)
-    for _ in range(max_rounds):
+    rounds = Rounds(items.sparkSession)
+    st = rounds.cut(st)
+    while True:
         inc = edges.join(st.select(F.col("doc_id").alias("e"), F.col("st").alias("est")), "e").groupBy(
             F.col("l").alias("doc_id")
         ).agg(
@@ -95,7 +106,7 @@ def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | Non
             .otherwise(F.lit(UNDECIDED))
             .alias("st"),
         )
-        st = cut_lineage(nxt)
+        st = rounds.cut(nxt)
         if st.where(F.col("st") == UNDECIDED).limit(1).count() == 0:
             break
     out = st.join(items.select("doc_id"), "doc_id", "left_semi")
@@ -114,10 +125,12 @@ def _union_sets(a: SIM.PrintSet | None, b: SIM.PrintSet) -> SIM.PrintSet:
 def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM.PrintSet | None = None,
           threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None,
           band: tuple[float, float] | None = None, extra: Callable[[DataFrame], DataFrame] | None = None,
-          chunk_rows: int | None = None) -> DataFrame:
+          chunk_rows: int | None = None, direct: str | None = None) -> DataFrame:
     """K3/K4/K5: ``(doc_id, accepted)`` for a batch (ids in arrival order, all after the stored ones).
 
-    K4 = print similarity only (``block``/``band`` from J5); K5 = with ``extra`` result checks (P10).
+    K4 = print similarity only (``block``/``band`` from J5); K5 = with ``extra`` result checks (P10), which may have a
+    method ``key`` for (doc_id, result_key): equal non-null keys mean results that agree. ``direct``: see
+    :func:`similarity_edges`.
     The stored corpus is only probed (two-sided candidates batch x corpus), never re-fingerprinted; items
     with an accepted similar stored item are rejected before any pairing inside the batch, and only the
     survivors are paired with each other.
@@ -130,7 +143,7 @@ def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM
     b = SIM.prepare(batch_prints)
     c = None if stored_prints is None else SIM.prepare(stored_prints)
     if chunk_rows is None:
-        return _admit_one(b, c, threshold, block or [], band, extra)
+        return _admit_one(b, c, threshold, block or [], band, extra, direct)
     from vellum.operators.sequences import dense_ids
 
     seq = dense_ids(b.docs.select("doc_id"), ["doc_id"], out="_seq")
@@ -140,7 +153,7 @@ def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM
     accepted = c
     for k in range(n_chunks):
         part = SIM.subset(b, chunked.where(F.col("chunk") == k))
-        dec = cut_lineage(_admit_one(part, accepted, threshold, block or [], band, extra))
+        dec = cut_lineage(_admit_one(part, accepted, threshold, block or [], band, extra, direct))
         decided_parts.append(dec)
         accepted = _union_sets(accepted, SIM.subset(b, dec.where("accepted")))
     out = decided_parts[0]
@@ -149,29 +162,39 @@ def admit(batch_prints: DataFrame | SIM.PrintSet, stored_prints: DataFrame | SIM
     return out
 
 
+def _copy_key(ps: SIM.PrintSet, block: list[str], band: tuple[float, float] | None,
+              extra: Callable[[DataFrame], DataFrame] | None, direct: str | None) -> tuple[SIM.PrintSet, list[str]]:
+    """The print set and the docs columns in which copies must agree to be decided together."""
+    keys = [*block, *(["loc"] if band and "loc" not in block else []), *([direct] if direct and direct not in block else [])]
+    if extra is None:
+        return ps, keys
+    results = extra.key().select(F.col("doc_id").alias("_r"), "result_key")
+    # without results in every back end an item is similar to nothing: its id keeps it alone
+    docs = ps.docs.join(results, F.col("doc_id") == F.col("_r"), "left").select(
+        *ps.docs.columns, F.coalesce("result_key", F.concat(F.lit("alone:"), F.col("doc_id").cast("string"))).alias("result_key"))
+    return SIM.PrintSet(cut_lineage(docs), ps.sections, ps.tokens, ps.kids), [*keys, "result_key"]
+
+
 def _admit_one(b: SIM.PrintSet, c: SIM.PrintSet | None, threshold: float, block: list[str],
-               band: tuple[float, float] | None, extra: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
-    groups = cut_lineage(SIM.copy_groups(b, block))
+               band: tuple[float, float] | None, extra: Callable[[DataFrame], DataFrame] | None,
+               direct: str | None = None) -> DataFrame:
+    b, keys = _copy_key(b, block, band, extra, direct)
+    groups = cut_lineage(SIM.copy_groups(b, keys))
     rejected = groups.where(F.col("doc_id") != F.col("rep_id")).select("doc_id")
-    rep_ids = groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id")
+    rep_ids = cut_lineage(groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id"))
     if c is not None:
-        # exact structural copies of stored items are rejected without pairing
-        pkeys = ["print", *block]
-        copies_of_stored = b.docs.join(c.docs.select(*pkeys).distinct(), pkeys, "left_semi").select("doc_id")
-        rep_ids = cut_lineage(rep_ids.join(copies_of_stored, "doc_id", "left_anti"))
         # a similar accepted stored item rejects an item whatever happens inside the batch
         reps = SIM.subset(b, rep_ids)
-        cand = SIM.candidate_pairs(reps, threshold, block, band, other=c)
-        scored = SIM.with_decision(SIM.matched_weight(cand, reps, c), threshold).where("is_match")
+        cand = SIM.candidate_pairs(reps, threshold, block, band, other=c, rule="direct" if direct is None else "any")
+        scored = _decided(SIM.matched_weight(cand, reps, c), reps, "a_id", threshold, direct)
         if extra is not None:
             scored = extra(scored)
-        hit = scored.select(F.col("a_id").alias("doc_id")).distinct()
-        rejected = rejected.unionByName(copies_of_stored).unionByName(hit).distinct()
+        hit = cut_lineage(scored.select(F.col("a_id").alias("doc_id")).distinct())
+        # copies go with their representative: it is rejected, or they are copies of an accepted item
+        rejected = rejected.unionByName(hit)
         rep_ids = cut_lineage(rep_ids.join(hit, "doc_id", "left_anti"))
-    else:
-        rep_ids = cut_lineage(rep_ids)
     survivors = SIM.subset(b, rep_ids)
-    edges = similarity_edges(survivors, threshold, block, band, extra)
+    edges = similarity_edges(survivors, threshold, block, band, extra, direct)
     decided = greedy_admission(rep_ids, edges)
     return decided.unionByName(rejected.select("doc_id", F.lit(False).alias("accepted")))
 
@@ -240,6 +263,19 @@ PRINT_TABLES = ("docs", "sections", "tokens", "kids")
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
                   threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None) -> None:
+    """:func:`_process`, with a status row that names the error if the batch fails (the error is raised again, so the
+    stream stops and the batch is taken up again at restart)."""
+    try:
+        _process(spark, batch, batch_id, out_dir, threshold, block)
+    except Exception as e:
+        failed = spark.createDataFrame([(0, 0, 0, "failed", f"{type(e).__name__}: {str(e)[:500]}")],
+                                       "n_decided long, n_accepted long, n_quarantined long, stage string, error string")
+        failed.write.mode("overwrite").parquet(os.path.join(out_dir, "status", f"batch_id={batch_id}"))
+        raise
+
+
+def _process(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
+                  threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None) -> None:
     """One micro-batch: quarantine malformed rows (K7), fingerprint the batch, admit it against the items
     accepted by earlier batches (K3), and write under ``batch_id=<n>`` (overwrite, so replays are idempotent):
     the decisions, a status row, and the print tables of the accepted items (the corpus index later batches
@@ -250,6 +286,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
     bad = stamped.where(F.col("program").isNull() | F.col("submission_id").isNull())
     good = stamped.where(F.col("program").isNotNull() & F.col("submission_id").isNotNull())
     bad.write.mode("overwrite").parquet(os.path.join(out_dir, "quarantine", part))
+    quarantined = bad.count()
     prints = document_prints(good, id_col="submission_id", text_col="program", keep=block)
     b = SIM.prepare(prints)
     stored = _earlier_batches(spark, os.path.join(out_dir, "corpus"), batch_id)
@@ -262,10 +299,10 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir:
         tab.write.mode("overwrite").parquet(os.path.join(out_dir, "corpus", name, part))
     decided.write.mode("overwrite").parquet(os.path.join(out_dir, "decisions", part))
     status = decided.select(
-        F.lit(batch_id).cast("bigint").alias("batch_id"),
         F.count(F.lit(1)).alias("n_decided"),
         F.count_if("accepted").cast("bigint").alias("n_accepted"),
-    )
+    ).select("*", F.lit(quarantined).cast("bigint").alias("n_quarantined"), F.lit("done").alias("stage"),
+             F.lit(None).cast("string").alias("error"))
     status.write.mode("overwrite").parquet(os.path.join(out_dir, "status", part))
 
 
@@ -278,8 +315,10 @@ def _earlier_batches(spark: SparkSession, corpus_path: str, batch_id: int) -> SI
     for name in PRINT_TABLES:
         try:
             t = spark.read.parquet(os.path.join(corpus_path, name))
-        except AnalysisException:
-            return None
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND" and batch_id == 0:
+                return None  # nothing was stored before the first batch; any other fault must show
+            raise
         tabs[name] = t.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
     if tabs["docs"].limit(1).count() == 0:
         return None

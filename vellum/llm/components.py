@@ -1,7 +1,7 @@
 """Connected components of a large link table by alternating star contraction.
 
 The links never leave the executors: each round is a few aggregates and one join on the link table, and its outcome is
-written to the shared checkpoint folder. Minima are combined map-side, and the join on a node with very many links is
+written to the shared checkpoint folder and read back. Minima are combined map-side, and the join on a node with very many links is
 split by the engine's skew handling, so a star of any size is safe. The number of rounds grows with the logarithm of
 the longest chain; the loop ends when a round changes nothing, not after a fixed number.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.session import cut_lineage
+from vellum.session import Rounds
 
 
 def _state(links: DataFrame) -> tuple:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Self links and repeated links are harmless; an empty table gives an empty result.
     """
-    cur = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rounds = Rounds(links.sparkSession)
+    cur = rounds.cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(cur)
     while state[0]:
         # large star: every larger neighbour of a node is linked to the least node of its neighbourhood
@@ -34,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node, and the node itself, is linked to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = cut_lineage(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        cur = rounds.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         new = _state(cur)
         if new == state:
             break

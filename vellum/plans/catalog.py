@@ -265,9 +265,12 @@ def q_c3(spark, sf_dir):
 UNION ALL SELECT 'entities', count(*) FROM documents
 UNION ALL SELECT 'symbolic_results', count(*) FROM orders
 UNION ALL SELECT 'vcgen_results', count(*) FROM events
-UNION ALL SELECT 'const_features', count(*) * 2 FROM labels""",
+UNION ALL SELECT 'const_features', count(*) * 2 FROM labels
+UNION ALL SELECT 'prints', count(*) FROM documents
+UNION ALL SELECT 'feature_names', 2 FROM (SELECT count(*) FROM labels)""",
 )
 def q_a1(spark, sf_dir):
+    from vellum.operators.fingerprint import document_prints
     from vellum.sources.tables import label_features
 
     return counts.table_counts(
@@ -276,6 +279,8 @@ def q_a1(spark, sf_dir):
         symbolic_results=T.results_symbolic(spark, sf_dir),
         vcgen_results=T.results_vcgen(spark, sf_dir),
         const_features=label_features(spark, sf_dir),
+        prints=document_prints(T.read(spark, sf_dir, "documents")),
+        feature_names=label_features(spark, sf_dir).select("feature_name").distinct(),
     )
 
 

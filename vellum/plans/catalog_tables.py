@@ -243,14 +243,29 @@ def q_k7(spark, sf_dir):
     note="user evaluator in Arrow batches",
 )
 def q_u1(spark, sf_dir):
+    return _evaluated(spark, sf_dir).drop("features")
+
+
+def _evaluated(spark, sf_dir):
     def line_budget_evaluator(entity: dict, args: list[str], timeout: int) -> dict:
         n = int(entity["loc"])
-        return {"success": n <= 50, "did_timeout": False, "runtime": len(entity["program"]), "error_ids": []}
+        return {"success": n <= 50, "did_timeout": False, "runtime": len(entity["program"]), "error_ids": [],
+                "features": {"isLong": n > 10, "lines": n}}
 
     ents = T.entities(spark, sf_dir).select("entity_id", "program", "loc", "args")
     return K.evaluate(ents, line_budget_evaluator, "symbolic")
 
 
+@query(
+    "U1_feature_rows",
+    with_(ENTITIES) + "SELECT 'isLong' AS feature_name, 'symbolic' AS ref_kind, entity_id AS ref_id, "
+    "CASE WHEN loc > 10 THEN 'True' ELSE 'False' END AS value FROM entities "
+    "UNION ALL SELECT 'lines', 'symbolic', entity_id, CAST(loc AS VARCHAR) FROM entities",
+)
+def q_u1f(spark, sf_dir):
+    return K.evaluated_features(_evaluated(spark, sf_dir))
+
+
 @query("P11_recreate_prints", "WITH " + prints_ctes() + "\nSELECT doc_id, root_hash, total FROM prints")
 def q_p11(spark, sf_dir):
     out = os.path.join(checkpoint_dir(spark), f"prints-{uuid.uuid4().hex}")

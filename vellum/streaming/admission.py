@@ -221,13 +221,14 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("did_timeout", T.BooleanType()),
     T.StructField("runtime", T.LongType()),
     T.StructField("error_ids", T.ArrayType(T.StringType())),
+    T.StructField("features", T.MapType(T.StringType(), T.StringType())),
 ])
 
 
 def evaluate(entities: DataFrame, evaluator: Callable[[dict, list[str], int], dict], backend: str,
              timeout_col: str = "timeout_seconds") -> DataFrame:
     """U-1: run a user evaluator ``(entity row, args, timeout seconds) -> {success, did_timeout, runtime,
-    error_ids}`` on every entity, in Arrow batches on the executors. An exception becomes an error row
+    error_ids, features}`` on every entity, in Arrow batches on the executors. An exception becomes an error row
     (``error_ids = ['evaluator:<type>']``), never a failed job."""
 
     def run(batches):
@@ -239,14 +240,21 @@ def evaluate(entities: DataFrame, evaluator: Callable[[dict, list[str], int], di
                 try:
                     r = evaluator(rec, args, int(rec.get(timeout_col) or 0))
                     rows.append((rec["entity_id"], backend, bool(r["success"]), bool(r.get("did_timeout", False)),
-                                 int(r.get("runtime", 0)), list(r.get("error_ids", []))))
+                                 int(r.get("runtime", 0)), list(r.get("error_ids", [])),
+                                 {str(k): str(v) for k, v in r.get("features", {}).items()}))
                 except Exception as exc:  # captured as data
-                    rows.append((rec["entity_id"], backend, False, False, 0, [f"evaluator:{type(exc).__name__}"]))
+                    rows.append((rec["entity_id"], backend, False, False, 0, [f"evaluator:{type(exc).__name__}"], {}))
             yield pd.DataFrame(rows, columns=[f.name for f in RESULT_SCHEMA.fields])
 
     return entities.mapInPandas(run, RESULT_SCHEMA)
 
 
+def evaluated_features(results: DataFrame) -> DataFrame:
+    """The feature rows (feature_name, ref_kind, ref_id, value) of evaluated entities; ``ref_kind`` is the back end."""
+    rows = results.select("entity_id", "backend", F.explode("features").alias("feature_name", "value"))
+    return rows.select("feature_name", F.col("backend").alias("ref_kind"), F.col("entity_id").alias("ref_id"), "value")
+
+
 # ------------------------------------------------------------------------------------------------
 # Streaming job (K1, K2, K3, K7)
 # ------------------------------------------------------------------------------------------------

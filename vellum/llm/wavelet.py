@@ -45,11 +45,11 @@ from vellum.llm.common import text_key
 from vellum.session import checkpoint_dir
 
 END_ID = 1
-SHARD_TOKENS = 8 << 20
+SHARD_TOKENS = 4 << 20
 BLOCK_BITS = 1 << 16
 PUNCTUATION = ".,;:!?"
-CACHE_WORDS = 1 << 19      # of each of two generations
-GROUP_BYTES = 16 << 20
+CACHE_WORDS = 1 << 18      # of each of two generations
+GROUP_BYTES = 8 << 20
 DENSE_IDS = 1 << 20
 MAGIC = b"WVM1"
 

@@ -8,7 +8,8 @@ DataFrame functions only.
 Scale: texts are read twice, once for the hashes of long lines (two 64-bit hashes a line) and once to cut the texts.
 Counting goes through (hash, doc_id) first, combined map-side, so that a line in a third of all documents is spread over
 all tasks. Of the lines only dropped positions are joined back, as one sorted array for each document; cutting is linear
-in the lines of a text. The engine splits the join on a hot hash, whose other side has one row for each hash.
+in the lines of a text. The join on hashes has one row for each on its other side, which is broadcast behind a count;
+beyond that the engine joins by hash and splits hot ones.
 
 Defined cases: a null or empty text is one empty line; rows without a doc_id neither count nor lose lines; rows that
 share a doc_id are one document for the count, and each loses its own lines; an empty table gives an empty result;
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import SPACE_CHARS, ascii_lower, text_key
+from vellum.llm.common import SPACE_CHARS, ascii_lower, small, text_key
 from vellum.session import cut_lineage
 
 MIN_CHARS = 40
@@ -46,7 +47,8 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     lines = cut_lineage(long_lines(docs, min_chars))
     once = lines.select("h1", "h2", "doc_id").distinct()
     seen = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    gone = lines.join(seen.select("h1", "h2", "last"), ["h1", "h2"]).where("doc_id <> last")
+    seen = small(cut_lineage(seen.select("h1", "h2", "last")))
+    gone = lines.join(seen, ["h1", "h2"]).where("doc_id <> last")
     return gone.groupBy("doc_id", "k_text").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 

@@ -67,7 +67,8 @@ def version_diffs(results: DataFrame, v1: str, v2: str, time_factor: float = DEF
     """J6 in long form: ``(kind, entity_id, result_id)``, one row per v1 result that differs from some v2
     result of the same entity; kinds ``success``, ``runtime`` (C15), ``errors``. An entity with several v1
     results is listed once per result (Q2); ``distinct=True`` gives ``(kind, entity_id)`` once each."""
-    a, b = _restricted(results, v1, v2)
+    # the inner join below keeps exactly the entities that have both versions
+    a, b = _side(results, v1), _side(results, v2)
     s = _v2_summary(b)
     k = F.lit(float(time_factor))
     a_errs = error_id_set("errors")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_fixtures import odd_rows, prose, table
 from pyspark.sql import functions as F
 
@@ -75,6 +76,19 @@ def test_distances_against_plain_numpy_and_outliers(spark):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in clean}
 
 
+@pytest.mark.parametrize("share", [0.35, 0.4])
+@pytest.mark.parametrize("kind", ["symbols", "capitals"])
+def test_copies_of_one_junk_text_in_a_third_of_a_group_are_rejected(spark, share, kind):
+    clean, _ = corpus()
+    words = prose(random.Random(12), 80)
+    text = " ".join(w + "###" for w in words.split()) if kind == "symbols" else words.upper()
+    junk = [(2000 + i, text, "en", "a") for i in range(int(len(clean) * share / (1 - share)))]
+    v = {r.doc_id: r for r in quality.quality_verdicts(table(spark, clean + junk)).collect()}
+    assert not any(v[r[0]].base_failed for r in junk)
+    assert not any(v[r[0]].kept for r in junk)
+    assert all(v[r[0]].kept for r in clean)
+
+
 def test_small_groups_are_pooled_and_smaller_pools_give_no_verdict(spark):
     clean, junk = corpus()
     rows = [(d, t, "en", f"s{d % 40}") for d, t, *_ in clean + junk] + [(5000, clean[0][1], "xx", "z")]

@@ -29,7 +29,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
-SUPPORT = 0.75          # share of a group that the estimate rests on
+SUPPORT = 0.5           # share of a group that the estimate rests on: junk of one kind may fill nearly the rest
 STEPS = 3               # concentration steps
 MIN_GROUP = 60          # documents for an estimate of its own
 UNIT = 1000.0           # vectors are whole multiples of 1/UNIT: sums are exact in any order

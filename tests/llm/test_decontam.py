@@ -76,6 +76,21 @@ def test_one_changed_word_is_still_found(spark):
     assert len(got) == 1 and got[0].answer_overlap == 1.0 and 0.9 < got[0].question_overlap < 1.0
 
 
+def test_short_answers_are_found_behind_labels_and_options():
+    bench = [(1, "What is the capital of France? Paris"), (2, "What is the population of France? Some 68 million"),
+             (3, "Who wrote it? The old clerk of the town hall in Porto Novo")]
+    index = decontam.Index(bench + [(10 + i, f"What is the capital of w{i}? x{i}") for i in range(50)])
+    found = lambda t: {m[0] for m in index.matches(t, decontam.THRESHOLD, decontam.MIN_OVERLAP)}
+    fill, far = " ".join(f"f{i}" for i in range(60)), " ".join(f"g{i}" for i in range(1000))
+    assert found(f"{fill} Question: What is the capital of France? Answer: Paris {fill}") == {1}
+    assert found("What is the capital of France? A) Rome B) Lima C) Paris D) Bonn") == {1}
+    assert found(f"What is the population of France? {fill[:100]} Answer: some 68 million.") == {2}
+    assert found("Q: Who wrote it? A: the old clerk of the town hall in Porto Novo") == {3}
+    assert found("What is the capital of w7? The answer is x7") == {17}
+    assert found("What is the capital of France? Nobody knows.") == set()
+    assert found(f"What is the capital of France? {far} Paris") == set()
+
+
 def test_blocks_of_items_give_the_same_matches(spark, monkeypatch):
     rng = random.Random(9)
     bench = [(i, prose(rng, 30, 10**6)) for i in range(20)]

@@ -8,8 +8,10 @@ window. A window whose upper bound (sum of the terms' greatest impacts) stays un
 ends there; the others run block-max WAND, which returns *all* items at or above the threshold.
 
 Retrieved items are verified: shares of the question's and of the answer's words that stand in 5-word shingles that
-the passage holds too must both reach ``MIN_OVERLAP``. The answer is what follows the last question mark, or the last
-third of the words where there is none.
+the passage holds too must both reach ``MIN_OVERLAP``; a question or an answer of fewer than 5 words also counts if the
+passage holds all its words in a row. The answer is what follows the last question mark, or the last third of the words
+where there is none. Labels, options or other words may stand between question and answer: the pair of words where
+they meet is no index term, and the passage is verified together with a window's length of text before and after it.
 
 Scale: one pass over the documents, no shuffle of texts; only matches leave the tasks. Items are cut into blocks of at
 most ``INDEX_CHARS`` characters, each an index (and a broadcast) of bounded size and a pass of its own; statistics
@@ -76,8 +78,7 @@ class Index:
             self.ids.append(item)
             self.question.append(q)
             self.answer.append(a)
-            w = q + a
-            bags.append(Counter(zip(w, w[1:], strict=False)))
+            bags.append(Counter(pair for w in (q, a) for pair in zip(w, w[1:], strict=False)))
         self.words: dict[str, int] = {}
         for bag in bags:
             for pair in bag:
@@ -161,13 +162,17 @@ class Index:
             cur = [c for c in cur if c[0] is not None]
         return found
 
-    def overlap(self, item: int, passage: set) -> tuple[float, float]:
-        """Shares of the question's and the answer's words inside 5-word shingles of the passage."""
+    def overlap(self, item: int, passage: set, text: str) -> tuple[float, float]:
+        """Shares of the question's and the answer's words inside 5-word shingles of the passage; a part of fewer words
+        is inside if ``text``, the passage's words between single spaces, holds it in a row."""
         q, a = self.question[item], self.answer[item]
         w, inside = q + a, np.zeros(len(q) + len(a), dtype=bool)
         for i in range(len(w) - SHINGLE + 1):
             if tuple(w[i:i + SHINGLE]) in passage:
                 inside[i:i + SHINGLE] = True
+        for part, at in ((q, slice(0, len(q))), (a, slice(len(q), len(w)))):
+            if 0 < len(part) < SHINGLE and f" {' '.join(part)} " in text:
+                inside[at] = True
         share = lambda x: float(x.mean()) if len(x) else 1.0
         return share(inside[:len(q)]), share(inside[len(q):])
 
@@ -186,10 +191,11 @@ class Index:
             hits = self.search(sorted(set(term[lo[k]:hi[k]].tolist())), theta)
             if not hits:
                 continue
-            p = words[starts[k]:starts[k] + self.window]
+            p = words[max(starts[k] - self.window, 0):starts[k] + 2 * self.window]
             shingles = set(zip(*(p[i:] for i in range(SHINGLE)), strict=False))
+            around = f" {' '.join(p)} "
             for item, score in hits:
-                q, a = self.overlap(item, shingles)
+                q, a = self.overlap(item, shingles, around)
                 row = (min(score, 1.0), q, a, -int(starts[k]))
                 if min(q, a) >= min_overlap and row > best.get(item, ()):
                     best[item] = row

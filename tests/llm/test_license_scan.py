@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 from llm_fixtures import odd_rows, prose, table
@@ -30,6 +31,23 @@ def test_licences_are_found_and_ordinary_paragraphs_are_not(spark):
     assert all(0.5 <= r.probability <= 1 and 0.6 <= r.template_share <= 1 for r in got)
 
 
+def test_wrapped_notices_are_found_at_their_first_line(spark):
+    rng = random.Random(3)
+    model = license_scan.fit(ORDINARY + [prose(rng, 12) for _ in range(100)])
+    rows, want = [], set()
+    for i, (family, text) in enumerate((f, t) for f, texts in license_scan.NOTICES.items() for t in texts):
+        for k, (width, mark) in enumerate([(72, ""), (60, "# "), (40, " * ")]):
+            notice = [mark + x for x in textwrap.wrap(text + ".", width)]
+            d = 10 * i + k
+            rows.append((d, "\n".join([*[prose(rng, 8)] * 2, mark.strip(), *notice, mark.strip(), prose(rng, 8), prose(rng, 90)]), "en", "a"))
+            alone = {(d, 3 + n, family) for n, x in enumerate(notice) if (slow_scan(model, x) or [""])[0] == family}
+            want |= alone or {(d, 3, family)}
+    assert sum(p == 3 for _, p, _ in want) > len(want) // 2
+    rows += [(500 + i, prose(rng, 30) + "\n" + prose(rng, 30) + "\n" + line, "en", "a") for i, line in enumerate(ORDINARY)]
+    got = [(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(table(spark, rows), model).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def slow_scan(model, line):
     """The model and the comparison on one paragraph, in plain Python."""
     w = license_scan.tokens(line)

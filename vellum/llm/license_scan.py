@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier with a calibrated unknown class and template comparison.
 
-A paragraph is a line. Its features are its words and pairs of neighbouring words (lower case, split at anything but
+A paragraph is a line, or a block of neighbouring lines that have words (wrapped notices). Blocks are taken apart into
+windows of ``WINDOW`` words that overlap by half, so that each copy of a template lies whole in one; a block gives a row
+for a family that its best window has and none of its lines alone. A paragraph's features are its words and pairs of neighbouring words (lower case, split at anything but
 letters and digits). A multinomial logistic regression over licence families and the class ``unknown`` gives each
 paragraph a family and a probability; the probability is calibrated on training rows held out from the fit, and a
 prediction stands if it reaches ``MIN_PROBABILITY``. Then the paragraph is compared with the family's templates: the
@@ -86,6 +88,7 @@ def pairs(words: list[str]) -> set[str]:
 
 
 TEMPLATES = [(family, tokens(t)) for source in (NAMES, NOTICES) for family, texts in sorted(source.items()) for t in texts]
+WINDOW = 2 * max(len(w) for _, w in TEMPLATES)
 
 
 def training_rows() -> list[tuple[str, list[str]]]:
@@ -155,7 +158,8 @@ def fit(negatives: list[str]) -> Model:
     for text in sorted(negatives):
         w = tokens(text)
         p = pairs(w)
-        if w and not any(len(t & p) >= MIN_TEMPLATE * len(t) for t in template_pairs):
+        # nor lines of a wrapped notice
+        if w and not any(len(t & p) >= MIN_TEMPLATE * min(len(t), len(p)) for t in template_pairs):
             rows.append((UNKNOWN, w))
     rows.append((UNKNOWN, []))
     families = [*sorted({f for f, _ in rows} - {UNKNOWN}), UNKNOWN]
@@ -191,31 +195,48 @@ def sample_negatives(docs: DataFrame, limit: int = MAX_NEGATIVES) -> list[str]:
     return [r["p"] for r in sample.collect()]
 
 
+def _paragraphs(lines: Column) -> Column:
+    """The paragraphs (paragraph, last, w) of a text's ``lines``, each an array of words: every line (``last`` null), and
+    the windows of every block of two lines or more, with the block's first and last line."""
+    n = lambda i: F.coalesce(F.size(F.get(lines, i)), F.lit(0))
+    single = F.transform(lines, lambda w, i: F.struct(i.alias("paragraph"), F.lit(None).cast("int").alias("last"), w.alias("w")))
+    edge = lambda step: F.filter(F.transform(lines, lambda w, i: F.when((F.size(w) > 0) & (n(i + step) == 0), i)), lambda i: i.isNotNull())
+    spans = F.filter(F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] < x["b"])
+    blocks = F.transform(spans, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.flatten(F.slice(lines, x["a"] + 1, x["b"] - x["a"] + 1)).alias("w")))
+    step = WINDOW // 2
+    windows = F.transform(blocks, lambda x: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(x["w"]) - step - 1, F.lit(0)), F.lit(step)),
+        lambda k: F.struct(x["a"].alias("paragraph"), x["b"].alias("last"), F.slice(x["w"], k + 1, WINDOW).alias("w"))))
+    return F.concat(single, F.flatten(windows))
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, paragraph, family, probability, template_share): a row for each paragraph found to be a licence,
-    ``paragraph`` being its place (from 0) among the lines of the text."""
+    ``paragraph`` being its place (from 0) among the lines of the text, or that of a block's first line."""
     spark = docs.sparkSession
     model = model or fit(sample_negatives(docs))
     keys = F.array(*[F.lit(k) for k in model.keys])
     texts = docs.select("doc_id", "text").where(F.arrays_overlap(_words(F.col("text")), keys))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("w")).where(F.arrays_overlap("w", keys))
+    lines = texts.select(F.monotonically_increasing_id().alias("did"), "doc_id", F.transform(F.split("text", "\n"), _words).alias("ls"))
+    lines = lines.select("did", "doc_id", F.explode_outer(_paragraphs(F.col("ls"))).alias("p"))
+    lines = lines.select("did", "doc_id", "p.paragraph", "p.last", "p.w").where(F.arrays_overlap("w", keys))
     lines = cut_lineage(lines.select(F.monotonically_increasing_id().alias("rid"), "*"))
     two = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))),
                      lambda a, b: F.concat_ws(" ", a, b))
     two = F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>"))
-    lines = lines.select("rid", "doc_id", "paragraph", "w", F.array_distinct(two).alias("pairs"))
+    place = ["did", "doc_id", "paragraph", "last"]
+    lines = lines.select("rid", *place, "w", F.array_distinct(two).alias("pairs"))
 
     names = [f"c{k}" for k in range(len(model.families))]
     weights = spark.createDataFrame([(n, *v) for n, v in sorted(model.weights.items())], "feature string, " + ", ".join(f"{n} double" for n in names))
     found = lines.select("rid", F.explode(F.concat(F.array_distinct("w"), "pairs")).alias("feature"))
     logits = found.join(weights, "feature").groupBy("rid").agg(*[F.sum(n).alias(n) for n in names])
     z = [(F.coalesce(F.col(n), F.lit(0.0)) + b) * model.scale for n, b in zip(names, model.bias, strict=True)]
-    scored = lines.select("rid", "doc_id", "paragraph").join(logits, "rid", "left")
-    scored = scored.select("rid", "doc_id", "paragraph", F.array(*[F.struct(e.alias("z"), F.lit(f).alias("f")) for e, f in zip(z, model.families, strict=True)]).alias("z"))
+    scored = lines.select("rid", *place).join(logits, "rid", "left")
+    scored = scored.select("rid", *place, F.array(*[F.struct(e.alias("z"), F.lit(f).alias("f")) for e, f in zip(z, model.families, strict=True)]).alias("z"))
     scored = scored.withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, x: s + F.exp(x["z"] - F.col("top")["z"]))
-    scored = scored.select("rid", "doc_id", "paragraph", F.col("top.f").alias("family"), (1 / total).alias("probability"))
+    scored = scored.select("rid", *place, F.col("top.f").alias("family"), (1 / total).alias("probability"))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
 
     templates = spark.createDataFrame([(f, k, len(pairs(w)), p) for k, (f, w) in enumerate(TEMPLATES) for p in sorted(pairs(w))],
@@ -223,5 +244,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     held = lines.select("rid", F.explode(F.concat("pairs", F.when(F.size("w") == 1, F.col("w")).otherwise(F.array().cast("array<string>")))).alias("pair"))
     held = held.join(templates, "pair").groupBy("rid", "t_family", "template").agg((F.count(F.lit(1)) / F.max("size")).alias("share"))
     held = held.groupBy("rid", "t_family").agg(F.max("share").alias("template_share")).where(F.col("template_share") >= MIN_TEMPLATE)
-    out = scored.join(held.withColumnRenamed("t_family", "family"), ["rid", "family"])
-    return out.select("doc_id", "paragraph", "family", "probability", "template_share")
+    out = cut_lineage(scored.join(held.withColumnRenamed("t_family", "family"), ["rid", "family"]))
+    single = out.where("last IS NULL")
+    best = F.max(F.struct("template_share", "probability")).alias("best")
+    blocks = out.where("last IS NOT NULL").groupBy(*place, "family").agg(best)
+    alone = single.select(F.col("did").alias("k_did"), F.col("family").alias("k_family"), F.col("paragraph").alias("k_line"))
+    inside = (F.col("did") == F.col("k_did")) & (F.col("family") == F.col("k_family")) & F.col("k_line").between(F.col("paragraph"), F.col("last"))
+    blocks = blocks.join(alone, inside, "left_anti").select("doc_id", "paragraph", "family", "best.probability", "best.template_share")
+    return single.select(*blocks.columns).unionByName(blocks)

@@ -91,6 +91,16 @@ def test_short_answers_are_found_behind_labels_and_options():
     assert found(f"What is the capital of France? {far} Paris") == set()
 
 
+def test_short_items_and_scripts_without_spaces():
+    bench = [(1, "Capital of France? Paris"), (2, "法国的首都是哪里？巴黎"), (3, "ประเทศฝรั่งเศสมีเมืองหลวงชื่ออะไร? ปารีส"), (4, "word"), (5, "photosynthesis reaction")]
+    index = decontam.Index(bench)
+    found = lambda t: {m[0] for m in index.matches(t, decontam.THRESHOLD, decontam.MIN_OVERLAP)}
+    assert found("x y capital of France: PARIS, z") == {1} and found("capital of France or Paris") == set()
+    assert found("问题：法国的首都是哪里？答案：巴黎。") == {2} and found("法国的首都是哪里？不知道。") == set()
+    assert found("ก ประเทศฝรั่งเศสมีเมืองหลวงชื่ออะไร? ปารีส ข") == {3}
+    assert found("one word of the photosynthesis reaction") == {5} and found("a word and a reaction of photosynthesis") == set()
+
+
 def test_blocks_of_items_give_the_same_matches(spark, monkeypatch):
     rng = random.Random(9)
     bench = [(i, prose(rng, 30, 10**6)) for i in range(20)]

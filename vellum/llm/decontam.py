@@ -17,7 +17,10 @@ Scale: one pass over the documents, no shuffle of texts; only matches leave the
 most ``INDEX_CHARS`` characters, each an index (and a broadcast) of bounded size and a pass of its own; statistics
 (N, document frequencies, mean length) are those of the block.
 
-Defined cases: null or empty texts hold nothing; items under 5 words identify nothing and are left out; an item id that
+Words are runs of letters and digits; in scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
+character is a word. Items of 2 to 4 words match where a passage holds all their words in a row.
+
+Defined cases: null or empty texts hold nothing; items of one word identify nothing and are left out; an item id that
 occurs with several texts matches by any of them; an empty table on either side gives an empty result; repeated
 document rows give equal rows; other columns are ignored.
 """
@@ -47,7 +50,10 @@ BLOCK = 64             # postings in a block
 MIN_WINDOW = 64
 INDEX_CHARS = 32 << 20
 
-_WORD = re.compile(r"\w+")
+# Characters of scripts without spaces.
+UNSPACED = ("\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+            "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+_WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def tokens(text: str | None) -> list[str]:
@@ -56,7 +62,7 @@ def tokens(text: str | None) -> list[str]:
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
     """Words of question and answer."""
-    at = text.rfind("?") + 1
+    at = max(text.rfind(mark) for mark in "?\uff1f") + 1
     q, a = tokens(text[:at]), tokens(text[at:])
     if q and a:
         return q, a
@@ -73,8 +79,10 @@ class Index:
         bags = []
         for item, text in items:
             q, a = split_item(text or "")
-            if len(q) + len(a) < SHINGLE:
+            if len(q) + len(a) < 2:
                 continue
+            if len(q) + len(a) < SHINGLE:  # one part, matched as a whole
+                q, a = q + a, []
             self.ids.append(item)
             self.question.append(q)
             self.answer.append(a)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import (decontam, divergence, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash,
+from vellum.llm import (decontam, divergence, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash, spelling,
                         url_filter, wavelet)
 from vellum.llm.common import documents
 
@@ -177,3 +177,8 @@ SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
+
+
+@register("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))

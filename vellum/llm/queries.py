@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import (decontam, divergence, language_id, license_scan, line_dedup, mixing, quality, secret_scan, simhash, spelling,
-                        url_filter, wavelet)
+from vellum.llm import (decontam, divergence, language_id, license_scan, line_dedup, mixing, pii, quality, secret_scan, simhash,
+                        spelling, url_filter, wavelet)
 from vellum.llm.common import documents
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +179,25 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def _tagged(kind: Column, spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end by kind as listed in ``pii.KINDS``, then start; comma-joined."""
+    rank = lambda kind: F.array_position(F.array(*map(F.lit, pii.KINDS)), kind)
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(rank(x["kind"]).alias("r"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    return F.array_join(F.transform(order, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+
+
+@register("op12_pii")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pii.private_spans(documents(spark, sf_dir))
+    base = F.concat(*[_tagged(F.lit(k), F.col(k)) for k in pii.KINDS])
+    return v.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS], F.sha2(_listed(base), 256).alias("base_sha256"),
+                    _listed(F.concat(base, "added")).alias("spans"))
+
+
 @register("op13_spelling")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -70,6 +71,26 @@ def test_parts_give_the_ids_of_the_whole_text(text):
             assert got.tolist() == Tokenizer_whole(t or "")
 
 
+def test_letters_that_the_normaliser_takes_apart(library):
+    """Each before every final punctuation mark, alone, after a letter and before one."""
+    def apart(c):
+        return c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()
+    letters = [c for c in map(chr, range(0x110000)) if apart(c)]
+    assert "\u0130" in letters and "\u095c" in letters and len(letters) > 50
+    words = [w for c in letters for w in (c, "KAD" + c, c + "x")]
+    texts = [f"a {w}{p} b" for w in words for p in (*wavelet.PUNCTUATION, "?!", "")] + [f"{c}, {c.lower()}.{c}!" for c in letters]
+    ids, counts = wavelet.Encoder(PATH).encode(pa.array(texts, pa.string()))
+    for t, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.characters(categories=["L", "M", "Nd", "P"]), max_size=4) | st.sampled_from(list(wavelet.PUNCTUATION) + [" ", "\n", "\u0130", "\u093c", "\u0307"]), max_size=20).map("".join))
+def test_random_unicode_gives_the_ids_of_the_library(text):
+    ids, _ = wavelet.encoder(PATH).encode(pa.array([text], pa.string()))
+    assert ids.tolist() == Tokenizer_whole(text)
+
+
 def Tokenizer_whole(text, cache={}):
     t = cache.setdefault("t", Tokenizer.from_file(PATH))
     return t.encode(text, add_special_tokens=False).ids

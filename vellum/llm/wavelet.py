@@ -30,6 +30,7 @@ import io
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,6 +49,7 @@ END_ID = 1
 SHARD_TOKENS = 4 << 20
 BLOCK_BITS = 1 << 16
 PUNCTUATION = ".,;:!?"
+DOTTED_I = "\u0130"  # the one letter whose lower case is two characters
 CACHE_WORDS = 1 << 18      # of each of two generations
 GROUP_BYTES = 8 << 20
 DENSE_IDS = 1 << 20
@@ -234,11 +236,29 @@ def _spread(table: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return table[np.repeat(shift, lengths) + np.arange(total)], ends
 
 
+def _stays_letters(word: str) -> bool:
+    """Whether a word has letters alone once it is composed and in lower case."""
+    return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
+
+
+def _all_letters(words: pa.Array) -> pa.Array:
+    """Whether words are of letters before and after normalising (few words are beyond ASCII and looked at twice)."""
+    plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
+    odd = np.flatnonzero(plain & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+    if len(odd):
+        some = words.take(pa.array(odd))
+        stays = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(some, "NFC")), pc.invert(pc.match_substring(some, DOTTED_I)))
+        plain = plain.copy()
+        plain[odd] = stays.to_numpy(zero_copy_only=False)
+    return pa.array(plain)
+
+
 class Encoder:
     """Whole texts to ids by a vocabulary file of the tokenizers library.
 
     Texts are cut at white space, and parts of letters with final punctuation into a word (A-Z in lower case, as the
-    normaliser has it) and its punctuation, which the splitter keeps apart. What is left is different words, looked up
+    normaliser has it) and its punctuation, which the splitter keeps apart. A word in which the normaliser makes a mark of
+    a letter goes to the library with its punctuation, since a mark joins what follows. What is left is different words, looked up
     among those seen before (two generations of at most ``CACHE_WORDS``: when the young one is full it becomes the old
     one, so frequent words stay); new ones go to the library together.
     """
@@ -264,7 +284,7 @@ class Encoder:
         del whole, split
         different = parts.dictionary
         core = pc.utf8_rtrim(different, PUNCTUATION)
-        plain = pc.utf8_is_alpha(core)
+        plain = _all_letters(core)
         word = pc.if_else(plain, pc.ascii_lower(core), different)
         tail = pc.if_else(plain, pc.replace_substring_regex(different, f"^(?s:.*)[^{PUNCTUATION}]", ""), "")
         pieces = pa.concat_arrays([word, tail]).dictionary_encode()
@@ -297,7 +317,7 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words not seen before. Words of letters and runs of punctuation end with a word-end token each: they
         are encoded as one text and cut there."""
-        simple = [k for k, w in enumerate(words) if w.isalpha() or w and not w.strip(PUNCTUATION)]
+        simple = [k for k, w in enumerate(words) if w.isalpha() and _stays_letters(w) or w and not w.strip(PUNCTUATION)]
         out = [b""] * len(words)
         ids = np.frombuffer(b"".join(self._library([" ".join([words[k] for k in simple])])), dtype="<u4")
         stops = (np.flatnonzero(self._ends[ids]) + 1) * 4

@@ -5,16 +5,19 @@ from 1 to 4 that grows with its length) times a factor of its source, at most ``
 expected words meet the target. The whole part of the expectation is certain. The fraction p is an inclusion
 probability, and documents are ranked by (u / (1 - u)) / (p / (1 - p)), u being a hash of the row taken as a uniform
 number: random odds over inclusion odds. Each source takes the documents of least rank until its remaining words are
-met, so the size of the sample is fixed and inclusion is unequal.
-
-Scale: the texts are read once for their sizes; all else are aggregates over narrow rows. The cut of a source is found
-in two steps, so that a source with a third of all documents is never sorted in one task: words are summed by fine
-classes of the rank, and only the class that holds the cut is ordered row by row. What is joined back is one row for
-each source.
-
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, the last; rows that
-are equal in doc_id and text get equal decisions; ties in rank are broken by the hash; an empty table gives an empty
-result; other columns are carried along (:func:`mix`) or ignored (:func:`plan`).
+met, so the size of the sample is fixed and inclusion is unequal. Rows that are equal in all columns are numbered, and
+number and row make the hash, so each of them is drawn for itself.
+
+Scale: the texts are read once for their sizes; all else are aggregates over narrow rows. Equal rows are counted map-side, so
+a row that fills a third of the table is one row until it is dealt out again, ``BLOCK`` at a time. The cut of a source is found
+in three steps, so that a source with a third of all documents is never sorted in one task: words are summed by classes of the
+rank, then by fine classes within the one that holds the cut, and only the fine class that holds it (a few millionths of the
+source) is ordered row by row. What is joined back is one row for each source.
+
+Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, the last; repeated rows are
+drawn each for itself (which of them is taken how often makes no difference); ties in rank are broken by the hash; an empty
+table gives an empty result; other columns are carried along (:func:`mix`) or ignored (:func:`plan`) but for the hash, which
+is of all columns (maps, which have no hash, apart).
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)     # of the sources in order of code points, repeating
 SEED = 20240607
 CLASSES = 4
-RANK_STEPS = 2048.0     # classes of the rank for each factor e
+RANK_STEPS = 2048       # classes of the rank for each factor e, and fine classes of each
+BLOCK = 4096            # equal rows that one row is dealt out to at a time
 
 
 def _size(text: Column) -> Column:
@@ -41,8 +45,19 @@ def _measure(size: Column) -> Column:
     return 1 + F.when(size >= 1000, 3).when(size >= 100, 2).when(size >= 10, 1).otherwise(0)
 
 
-def _hash(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(F.lit(SEED).cast("long"), doc_id, text_key(text))
+def _hash(docs: DataFrame) -> Column:
+    """Hash of a whole row of ``docs``, the text by its key."""
+    rest = [F.col(f.name) for f in docs.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(F.lit(SEED).cast("long"), F.col("doc_id").cast("long"), text_key(F.col("text")), *rest)
+
+
+def _numbered(rows: DataFrame, n: str) -> DataFrame:
+    """Each row ``n`` times, with a hash of hash ``h`` and number for all but the first."""
+    few = rows.where(F.col(n) <= BLOCK).withColumn("from", F.lit(0).cast("long"))
+    many = rows.where(F.col(n) > BLOCK).withColumn("from", F.explode(F.expr(f"sequence(0L, {n} - 1, {BLOCK}L)")))
+    parts = few.unionByName(many.repartition("h", "from"))
+    parts = parts.withColumn("j", F.explode(F.expr(f"sequence(from, least({n}, from + {BLOCK}) - 1)")))
+    return parts.withColumn("h", F.when(F.col("j") == 0, F.col("h")).otherwise(F.xxhash64("h", "j"))).drop("from", "j", n)
 
 
 def _rank(h: Column, p: Column) -> Column:
@@ -80,11 +95,31 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return f.select("source", "source_size", target.alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, measure, h), one row for each document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"),
-                    _hash(F.col("doc_id").cast("long"), F.col("text")).alias("h"))
-    return d.select("*", _measure(F.col("size")).alias("measure"))
+def counted(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h, n): the different rows of ``docs`` and how often each stands there."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"), _hash(docs).alias("h"))
+    return d.groupBy("doc_id", "source", "size", "h").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sized(counts: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h, measure), one row for each document."""
+    return _numbered(counts, "n").select("doc_id", "source", "size", "h", _measure(F.col("size")).alias("measure"))
+
+
+def _class(rank: Column) -> Column:
+    """Fine class of a rank; ``RANK_STEPS`` of them make a class."""
+    return F.floor(rank * float(RANK_STEPS * RANK_STEPS))
+
+
+def _edge(rows: DataFrame, kind: Column) -> DataFrame:
+    """(s, edge, before): of rows (source, size, remaining, before), the class in which the remaining words of a source run
+    out, and the words before it. Windows are over classes, not rows."""
+    sums = rows.groupBy("source", kind.alias("class")).agg(F.sum("size").alias("words"), F.first("remaining").alias("remaining"),
+                                                           F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("class"))
+    found = sums.withColumn("upto", upto).where("upto >= remaining").groupBy("source")
+    found = found.agg(F.min(F.struct("class", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
+    return found.select(F.col("source").alias("s"), F.col("x.class").alias("edge"), F.col("x.before").alias("before"))
 
 
 def source_plan(sizes: DataFrame) -> DataFrame:
@@ -105,27 +140,21 @@ def source_plan(sizes: DataFrame) -> DataFrame:
     ranked = sizes.where("size > 0").join(per, F.col("source").eqNullSafe(F.col("s")))
     p = F.element_at("copies", F.col("measure")) - F.floor(F.element_at("copies", F.col("measure")))
     ranked = ranked.withColumn("p", p).where("p > 0").withColumn("rank", _rank(F.col("h"), F.col("p")))
-    ranked = ranked.select("source", "size", "h", "rank", "remaining", F.floor(F.col("rank") * RANK_STEPS).alias("class"))
-    # step 1: the class of ranks in which the remaining words run out
-    sums = ranked.groupBy("source", "class").agg(F.sum("size").alias("words"), F.first("remaining").alias("remaining"))
-    w = Window.partitionBy("source").orderBy("class")
-    sums = sums.withColumn("upto", F.sum("words").over(w))
-    edge = (sums.where("upto >= remaining").groupBy("source")
-            .agg(F.min(F.struct("class", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-            .select(F.col("source").alias("s"), F.col("x.class").alias("edge"), F.col("x.before").alias("before")))
-    last = sums.groupBy("source").agg(F.max("class").alias("last"))
-    # step 2: rows of that class in order; a row is taken if more than half of it is still wanted
-    edge = small(cut_lineage(edge))
-    rows = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("edge")))
+    ranked = ranked.select("source", "size", "h", "rank", "remaining", F.lit(0).cast("long").alias("before"), _class(F.col("rank")).alias("fine"))
+    last = ranked.groupBy("source").agg(F.max("fine").alias("last")).withColumnRenamed("source", "l")
+    for kind in (F.floor(F.col("fine") / RANK_STEPS), F.col("fine")):  # the class in which the words run out, then the fine class
+        edge = small(cut_lineage(_edge(ranked, kind)))
+        ranked = ranked.drop("before").join(edge, F.col("source").eqNullSafe(F.col("s")) & (kind == F.col("edge"))).drop("s", "edge")
+    # rows of that fine class in order; a row is taken if more than half of it is still wanted
     order = Window.partitionBy("source").orderBy("rank", "h").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.col("before") + F.sum("size").over(order))
+    rows = ranked.withColumn("upto", F.col("before") + F.sum("size").over(order))
     cut = (rows.where(F.col("upto") - F.col("size") / 2 <= F.col("remaining")).groupBy("source")
            .agg(F.max(F.struct("rank", "h")).alias("cut")).select(F.col("source").alias("c"), "cut"))
     out = targets.join(per.drop("remaining"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     out = out.join(edge.drop("before"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    out = out.join(last.withColumnRenamed("source", "l"), F.col("source").eqNullSafe(F.col("l")), "left").drop("l")
+    out = out.join(last, F.col("source").eqNullSafe(F.col("l")), "left").drop("l")
     out = out.join(cut, F.col("source").eqNullSafe(F.col("c")), "left").drop("c")
-    # classes below the edge are taken whole; without an edge the words end before the wanted ones do
+    # fine classes below the edge are taken whole; without an edge the words end before the wanted ones do
     below = F.coalesce(F.col("edge"), F.col("last") + 1)
     return out.select("source", "source_size", "target", "copies", "cut", below.alias("below"))
 
@@ -135,14 +164,14 @@ def _copies(size: Column, measure: Column, h: Column) -> Column:
     e = F.element_at("copies", measure)
     p = e - F.floor(e)
     rank = _rank(h, p)
-    extra = (p > 0) & ((F.floor(rank * RANK_STEPS) < F.col("below"))
+    extra = (p > 0) & ((_class(rank) < F.col("below"))
                        | F.coalesce(F.struct(rank.alias("rank"), h.alias("h")) <= F.col("cut"), F.lit(False)))
     return F.when(size > 0, F.floor(e).cast("int") + F.when(extra, 1).otherwise(0)).otherwise(0)
 
 
 def plan(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken), one row for each document."""
-    sizes = cut_lineage(sized(docs))
+    sizes = cut_lineage(sized(counted(docs)))
     by_source = small(cut_lineage(source_plan(sizes).withColumnRenamed("source", "s")))
     j = sizes.join(by_source, F.col("source").eqNullSafe(F.col("s")))
     n = _copies(F.col("size"), F.col("measure"), F.col("h"))
@@ -153,11 +182,16 @@ def plan(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; all columns stay, none is added."""
-    by_source = cut_lineage(source_plan(cut_lineage(sized(docs))))
+    counts = cut_lineage(counted(docs))
+    by_source = cut_lineage(source_plan(cut_lineage(sized(counts))))
     by_source = small(by_source.select(F.col("source").alias("k_source"), "copies", "cut", "below"))
     # sizes and hashes are columns of the join's input: what is filtered and repeated after it never computes them again
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _size(F.col("text")).alias("k_size"),
-                       _hash(F.col("doc_id").cast("long"), F.col("text")).alias("k_hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _size(F.col("text")).alias("k_size"), _hash(docs).alias("h"))
+    again = cut_lineage(counts.where("n > 1").select("h").distinct())
+    if not again.isEmpty():  # equal rows are made one map-side, then numbered as in the plan
+        again = small(again)
+        same = rows.join(again, "h", "left_semi").groupBy("h").agg(F.first("row").alias("row"), F.first("k_size").alias("k_size"), F.count(F.lit(1)).alias("n"))
+        rows = rows.join(again, "h", "left_anti").unionByName(_numbered(same, "n"))
     j = rows.join(by_source, F.col("row.source").eqNullSafe(F.col("k_source")))
-    n = _copies(F.col("k_size"), _measure(F.col("k_size")), F.col("k_hash"))
+    n = _copies(F.col("k_size"), _measure(F.col("k_size")), F.col("h"))
     return j.select("row", n.alias("n")).select(F.explode(F.array_repeat("row", F.col("n"))).alias("row")).select("row.*")

@@ -37,7 +37,7 @@ def slow_distances(x):
         return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov * (1 - quality.SHRINK) + target * quality.SHRINK), z)
 
     mean, cov = np.floor(np.quantile(x, 0.5, axis=0)), np.zeros((x.shape[1],) * 2)
-    for _ in range(quality.STEPS):
+    for _ in range(100):
         d2 = dist(mean, cov)
         near = x[d2 <= edge_of(d2, quality.SUPPORT)]
         mean, cov = near.mean(axis=0), np.cov(near.T, bias=True)
@@ -89,14 +89,29 @@ def test_copies_of_one_junk_text_in_a_third_of_a_group_are_rejected(spark, share
     assert all(v[r[0]].kept for r in clean)
 
 
-def test_small_groups_are_pooled_and_smaller_pools_give_no_verdict(spark):
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     clean, junk = corpus()
     rows = [(d, t, "en", f"s{d % 40}") for d, t, *_ in clean + junk] + [(5000, clean[0][1], "xx", "z")]
-    g = {r.doc_id: r.g for r in quality.grouped(quality.vectors(quality.base_stats(table(spark, rows), "doc_id", "lang", "source"))).collect()}
-    assert set(g.values()) == {'{"k":"l","l":"en"}', None} and g[5000] is None
+    sound = quality.vectors(quality.base_stats(table(spark, rows), "doc_id", "lang", "source"))
+    g = {(r.lang, r.source): (r.g, tuple(r.pools)) for r in quality.group_table(sound).collect()}
+    assert set(g.values()) == {('{"k":"l","l":"en"}', ('{"k":"l","l":"en"}', quality.ALL)), (quality.ALL, (quality.ALL,))}
     v = {r.doc_id: r for r in quality.quality_verdicts(table(spark, rows)).collect()}
-    assert v[5000].kept and v[5000].distance is None
-    assert not any(v[r[0]].kept for r in junk)
+    assert v[5000].kept and v[5000].distance is not None
+    assert not any(v[r[0]].kept for r in junk) and all(v[r[0]].kept for r in clean)
+
+
+@pytest.mark.parametrize("good", [20, 50, 51])
+def test_a_table_of_few_documents_is_judged(spark, good):
+    clean, junk = corpus()
+    v = {r.doc_id: r.kept for r in quality.quality_verdicts(table(spark, clean[:good] + junk[:9])).collect()}
+    assert all(v[r[0]] for r in clean[:good]) and not any(v[r[0]] for r in junk[:9])
+
+
+def test_a_small_source_beside_a_large_one_of_its_language(spark):
+    clean, junk = corpus()
+    rows = clean[:270] + [(d, t, "en", "small") for d, t, *_ in clean[270:] + junk[:10]]
+    v = {r.doc_id: r.kept for r in quality.quality_verdicts(table(spark, rows)).collect()}
+    assert all(v[r[0]] for r in clean) and not any(v[r[0]] for r in junk[:10])
 
 
 def test_empty_table_and_repeated_rows(spark):

@@ -3,13 +3,14 @@
 DataFrame functions only. Each document gets a few counts (:func:`base_stats`) and from them a vector of transformed
 statistics (:func:`vectors`). Documents of one language and source form a group. For each group the minimum
 covariance determinant estimate is found by concentration steps: start from medians, keep the ``SUPPORT`` share of
-documents nearest to the centre, take their mean and covariance, and repeat. Every step is two aggregates over narrow
-numeric rows, combined map-side, so a group of any size costs one row per task. The covariance is regularised towards
+documents nearest to the centre, take their mean and covariance, and repeat until the estimates of all groups stay. Every
+step is two aggregates over narrow numeric rows, combined map-side, so a group of any size costs one row per task. The covariance is regularised towards
 a diagonal target (as in the minimum regularised covariance determinant), since several statistics are zero for most
 clean documents. A document is rejected if its squared Mahalanobis distance exceeds ``CUTOFF`` times the group's median.
 
-Groups of fewer than ``MIN_GROUP`` documents are pooled over the sources of the language, then over all languages; a
-pool that stays smaller than that gives no verdict (its documents are kept unless a base rule fails).
+Documents of a group with fewer than ``MIN_GROUP`` documents of at least ``MIN_WORDS`` words are judged by the estimate of their
+whole language, and if that is smaller than ``MIN_GROUP`` too, by the estimate of all documents, however few there are: every
+document that passes the base rules has a verdict.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source is a group value of its own;
 repeated rows count as often as they occur and get equal verdicts; an empty table gives an empty result; other
@@ -30,7 +31,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 SUPPORT = 0.5           # share of a group that the estimate rests on: junk of one kind may fill nearly the rest
-STEPS = 3               # concentration steps
 MIN_GROUP = 60          # documents for an estimate of its own
 UNIT = 1000.0           # vectors are whole multiples of 1/UNIT: sums are exact in any order
 SHRINK = 0.25           # weight of the diagonal target
@@ -156,36 +156,52 @@ def estimates(rows: DataFrame) -> DataFrame:
     mid = rows.groupBy("g").agg(*[F.floor(F.percentile(X[i], F.lit(0.5))).alias(f"m{i}") for i in range(DIMS)])
     zero = [F.lit(0.0).alias(f"v{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     groups = cut_lineage(_factor(mid.select("*", *zero)))
-    for _ in range(STEPS):
+    seen = set()
+    while (state := _state(groups)) not in seen:  # ends when the estimates stay, or come back to what they were
+        seen.add(state)
         d = _distance(rows, groups)
         near = d.join(small(cut_lineage(_quantile(d, SUPPORT, "edge"))), "g").where("d2 <= edge")
         groups = cut_lineage(_factor(_moments(near)))
     return groups
 
 
-def grouped(vecs: DataFrame) -> DataFrame:
-    """Adds the group ``g`` of each row (null: no group is large enough)."""
+def _state(groups: DataFrame) -> tuple:
+    """A checksum of the estimates, to a thousandth of a unit."""
+    return tuple(groups.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", *[F.round(c, 3) for c in groups.columns if c != "g"]))).first())
+
+
+ALL = "{}"  # the group of all documents
+
+
+def group_table(rows: DataFrame) -> DataFrame:
+    """(lang, source, g, pools): for each language and source of ``rows`` the group whose estimate judges it, and the groups
+    whose estimates its documents are part of."""
     own = F.to_json(F.struct(F.lit("s").alias("k"), F.col("lang").alias("l"), F.col("source").alias("s")))
     lang = F.to_json(F.struct(F.lit("l").alias("k"), F.col("lang").alias("l")))
-    keyed = vecs.select("*", own.alias("g0"))
-    sizes = keyed.groupBy("g0", lang.alias("g1")).agg(F.count(F.lit(1)).alias("n0"))
-    # pools are sums of the sources that are too small on their own
-    pool = sizes.where(F.col("n0") < MIN_GROUP).groupBy("g1").agg(F.sum("n0").alias("n1"))
-    rest = pool.where(F.col("n1") < MIN_GROUP).agg(F.sum("n1").alias("n2")).select(F.lit("*").alias("all"), "n2")
-    m = sizes.join(pool, "g1", "left").select("*", F.lit("*").alias("all")).join(rest, "all", "left")
-    g = (F.when(F.col("n0") >= MIN_GROUP, F.col("g0")).when(F.col("n1") >= MIN_GROUP, F.col("g1"))
-         .when(F.col("n2") >= MIN_GROUP, F.lit("{}")))
-    return keyed.join(small(cut_lineage(m.select("g0", g.alias("g")))), "g0").drop("g0")
+    sizes = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n0")).select("lang", "source", "n0", own.alias("g0"), lang.alias("g1"))
+    langs = sizes.groupBy("g1").agg(F.sum("n0").alias("n1"), F.min("n0").alias("least"))
+    m = cut_lineage(sizes.join(langs, "g1"))
+    few = F.col("n1") < MIN_GROUP
+    everything = bool(m.where(few).limit(1).count())  # whether any document is judged by all
+    g = F.when(F.col("n0") >= MIN_GROUP, F.col("g0")).when(~few, F.col("g1")).otherwise(F.lit(ALL))
+    pools = F.array(F.when(F.col("n0") >= MIN_GROUP, F.col("g0")), F.when(~few & (F.col("least") < MIN_GROUP), F.col("g1")),
+                    F.lit(ALL) if everything else F.lit(None).cast("string"))
+    return m.select("lang", "source", g.alias("g"), F.filter(pools, lambda x: x.isNotNull()).alias("pools"))
 
 
 def quality_verdicts(docs: DataFrame) -> DataFrame:
     """One row for each input row: doc_id, lang, source, k_text, the counts, base_failed, distance (squared, in
     medians of the group; null without an estimate) and kept."""
-    rows = grouped(cut_lineage(vectors(base_stats(docs, "doc_id", "lang", "source"))))
-    sound = rows.where(F.col("g").isNotNull() & (F.col("n_words") >= MIN_WORDS))
-    groups = estimates(sound)
-    cols = [c for c in rows.columns if c not in (*X, "g")]
-    d = _distance(sound.select("g", *X), groups)
+    rows = cut_lineage(vectors(base_stats(docs, "doc_id", "lang", "source")))
+    sound = rows.where(F.col("n_words") >= MIN_WORDS)
+    table = small(cut_lineage(group_table(sound).select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "g", "pools")))
+    same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
+    part = sound.join(table.drop("g"), same).select(F.explode("pools").alias("g"), *X)
+    groups = estimates(part)
+    cols = rows.columns
+    rows = rows.join(table.drop("pools"), same, "left").select(*cols, "g")
+    cols = [c for c in cols if c not in X]
+    d = _distance(part, groups)
     groups = cut_lineage(groups.join(_quantile(d, 0.5, "mid"), "g"))
     left = rows.join(small(groups), "g", "left")
     z: list[str] = []

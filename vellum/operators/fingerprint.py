@@ -11,8 +11,8 @@ Two forms:
 * :func:`document_prints` - documents as fixed-depth trees (root -> line -> sentence -> word). Every step
   is a higher-order-function expression inside the document's own row: no shuffle at all.
 * :func:`node_table_prints` - any tree given as a node table ``(doc_id, section, node_id, parent_id, depth,
-  ord, kind, commutative)``; bottom-up one level per step (one aggregation + join per level), lineage cut
-  with reliable checkpoints.
+  ord, kind, commutative)``; trees are folded whole, very large ones contracted in rounds that grow with the logarithm of
+  their nodes (:mod:`vellum.operators.trees`).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import explode_rows
-from vellum.session import cut_lineage
+from vellum.operators.trees import bottom_up
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
@@ -165,69 +165,16 @@ def count_hash(prints: DataFrame, h: str) -> DataFrame:
 # Generic node tables
 # ------------------------------------------------------------------------------------------------------------
 def node_table_prints(nodes: DataFrame) -> DataFrame:
-    """P4-P6 on a node table, bottom-up, one level per step (deepest first).
+    """P4-P6 on a node table, bottom-up.
 
     Input columns: ``doc_id, section, node_id, parent_id, depth, ord, kind, commutative``.
     Output: the input plus ``weight`` (untrimmed), ``hash``, ``kept`` and ``tweight`` (weight after trim;
     null for trimmed nodes). A node's children are ordered by ``ord``, or by (weight, hash) descending when
-    the node is commutative (T4).
-
-    Each level reads only the level below it (one aggregate by parent + one join) and is materialised once, so
-    the work is linear in the number of nodes and the lineage never grows with the depth.
+    the node is commutative (T4). One shuffle for trees of usual size; see :mod:`vellum.operators.trees`.
     """
-    keys = ["doc_id", "section"]
-    nodes = cut_lineage(nodes)  # every level below reads it; derive it once
-    max_depth = nodes.agg(F.max("depth")).first()[0]
-    if max_depth is None:
-        return nodes.withColumn("weight", F.lit(None).cast("int")).withColumn("hash", F.lit(None).cast("string"))
-    levels: list[DataFrame] = []
-    prev: DataFrame | None = None
-    for d in range(max_depth, -1, -1):
-        level = nodes.where(F.col("depth") == d)
-        if prev is None:
-            level = level.withColumn("weight", F.lit(1)).withColumn("child_text", F.lit(""))
-        else:
-            agg = prev.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(
-                F.sum("weight").alias("cw"),
-                F.array_sort(F.collect_list(F.struct("ord", "hash"))).alias("by_ord"),
-                F.reverse(F.array_sort(F.collect_list(F.struct("weight", "hash")))).alias("by_fp"),
-            )
-            level = level.join(agg, [*keys, "node_id"], "left").select(
-                *nodes.columns,
-                (F.coalesce(F.col("cw"), F.lit(0)) + 1).cast("int").alias("weight"),
-                F.when(F.col("commutative"), F.array_join(F.transform("by_fp", lambda x: x["hash"]), ","))
-                .otherwise(F.array_join(F.transform("by_ord", lambda x: x["hash"]), ","))
-                .alias("child_text"),
-            )
-        level = level.withColumn(
-            "hash", _digest(F.concat(F.col("kind"), F.lit(":"), F.coalesce("child_text", F.lit(""))))
-        ).drop("child_text")
-        prev = cut_lineage(level)
-        levels.append(prev)
-    # Trim (weight <= 3, the root always stays) and recompute weights over kept nodes, bottom-up again.
-    tw_prev: DataFrame | None = None
-    tws: list[DataFrame] = []
-    for level in levels:  # deepest first
-        kept = level.where((F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull()).select(
-            *keys, "node_id", "parent_id"
-        )
-        if tw_prev is None:
-            cur = kept.withColumn("tweight", F.lit(1))
-        else:
-            kids = tw_prev.groupBy(*keys, F.col("parent_id").alias("node_id")).agg(F.sum("tweight").alias("cw"))
-            cur = kept.join(kids, [*keys, "node_id"], "left").select(
-                *keys, "node_id", "parent_id", (F.coalesce("cw", F.lit(0)) + 1).cast("int").alias("tweight")
-            )
-        tw_prev = cut_lineage(cur)
-        tws.append(tw_prev)
-    done = levels[0]
-    for lv in levels[1:]:
-        done = done.unionByName(lv)
-    tw = tws[0]
-    for t in tws[1:]:
-        tw = tw.unionByName(t)
-    out = done.withColumn("kept", (F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull())
-    return out.join(tw.select(*keys, "node_id", "tweight"), [*keys, "node_id"], "left")
+    out = bottom_up(nodes, TRIM_WEIGHT)
+    kept = (F.col("weight") > TRIM_WEIGHT) | F.col("parent_id").isNull()  # the root always stays
+    return out.withColumn("kept", kept).withColumn("tweight", F.when(F.col("kept"), F.col("tweight")))
 
 
 def subtree_weights(nodes: DataFrame) -> DataFrame:

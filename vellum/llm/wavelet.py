@@ -49,7 +49,6 @@ END_ID = 1
 SHARD_TOKENS = 4 << 20
 BLOCK_BITS = 1 << 16
 PUNCTUATION = ".,;:!?"
-DOTTED_I = "\u0130"  # the one letter whose lower case is two characters
 CACHE_WORDS = 1 << 18      # of each of two generations
 GROUP_BYTES = 8 << 20
 DENSE_IDS = 1 << 20
@@ -236,9 +235,10 @@ def _spread(table: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.nd
     return table[np.repeat(shift, lengths) + np.arange(total)], ends
 
 
-def _stays_letters(word: str) -> bool:
-    """Whether a word has letters alone once it is composed and in lower case."""
-    return word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()
+@lru_cache(maxsize=1)
+def taken_apart() -> frozenset[str]:
+    """Letters of which composing and lower case make more than letters: a letter and a mark."""
+    return frozenset(c for c in map(chr, range(0x20000)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha())
 
 
 def _all_letters(words: pa.Array) -> pa.Array:
@@ -246,10 +246,9 @@ def _all_letters(words: pa.Array) -> pa.Array:
     plain = pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False)
     odd = np.flatnonzero(plain & ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
     if len(odd):
-        some = words.take(pa.array(odd))
-        stays = pc.and_(pc.utf8_is_alpha(pc.utf8_normalize(some, "NFC")), pc.invert(pc.match_substring(some, DOTTED_I)))
+        apart = pc.match_substring_regex(words.take(pa.array(odd)), f"[{''.join(sorted(taken_apart()))}]")
         plain = plain.copy()
-        plain[odd] = stays.to_numpy(zero_copy_only=False)
+        plain[odd] = ~apart.to_numpy(zero_copy_only=False)
     return pa.array(plain)
 
 
@@ -317,7 +316,8 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words not seen before. Words of letters and runs of punctuation end with a word-end token each: they
         are encoded as one text and cut there."""
-        simple = [k for k, w in enumerate(words) if w.isalpha() and _stays_letters(w) or w and not w.strip(PUNCTUATION)]
+        apart = taken_apart()
+        simple = [k for k, w in enumerate(words) if w.isalpha() and (w.isascii() or apart.isdisjoint(w)) or w and not w.strip(PUNCTUATION)]
         out = [b""] * len(words)
         ids = np.frombuffer(b"".join(self._library([" ".join([words[k] for k in simple])])), dtype="<u4")
         stops = (np.flatnonzero(self._ends[ids]) + 1) * 4

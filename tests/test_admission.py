@@ -16,6 +16,62 @@ def test_greedy_equals_sequential_loop(spark):
         assert got == K.sequential_admission_reference(list(range(n)), edges)
 
 
+def _greedy(spark, n, edges, monkeypatch=None):
+    calls = []
+    if monkeypatch:
+        real = K._admission_round
+        monkeypatch.setattr(K, "_admission_round", lambda *a: calls.append(1) or real(*a))
+    items = spark.createDataFrame([(i,) for i in range(n)], "doc_id long")
+    e = spark.createDataFrame(sorted(edges), "e long, l long")
+    return {r.doc_id: r.accepted for r in K.greedy_admission(items, e).collect()}, len(calls)
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    edges = {(i, i + 1) for i in range(5000)} | {(5001, 5003), (5002, 5003)}
+    got, rounds = _greedy(spark, 5004, edges, monkeypatch)
+    assert got == K.sequential_admission_reference(list(range(5004)), edges)
+    assert rounds <= 30
+
+
+def test_chains_that_meet_part_and_cross(spark, monkeypatch):
+    """Ladders, chains with rungs between them and both literals of an item at one node."""
+    rng = random.Random(9)
+    edges = {(i, i + 2) for i in range(300)} | {(i, i + 1) for i in range(0, 300, 7)} | {(i, i + 9) for i in range(0, 280, 13)}
+    edges |= {(400, 401), (401, 402), (400, 403), (402, 403), (401, 404), (402, 404)}
+    edges |= {tuple(sorted(rng.sample(range(500, 560), 2))) for _ in range(70)}
+    got, rounds = _greedy(spark, 560, edges, monkeypatch)
+    assert got == K.sequential_admission_reference(list(range(560)), edges)
+    assert rounds <= 30
+
+
+def test_null_and_negative_ids_of_a_stream(spark, tmp_path):
+    from vellum.plans.catalog_tables import write_submissions
+
+    a = "One two three four five. Six seven eight nine ten.\nAlpha beta gamma delta epsilon. Zeta eta theta iota."
+    rows = [(None, a, "g", "s"), (-5, a, "g", "s"), (3, a, "g", "s"), (4, "Totally other words in here now. And more of them.", "g", "s")]
+    docs = spark.createDataFrame(rows, "submission_id long, program string, frontend string, original_verifier string")
+    write_submissions(docs, str(tmp_path / "subs"), file_rows=1)
+    assert spark.read.parquet(str(tmp_path / "subs")).count() == 4
+    K.start_admission_stream(spark, str(tmp_path / "subs"), str(tmp_path / "out"), str(tmp_path / "ckpt"), max_files_per_trigger=1).awaitTermination()
+    dec = {r.doc_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out" / "decisions")).collect()}
+    assert dec == {-5: True, 3: False, 4: True}
+    assert spark.read.parquet(str(tmp_path / "out" / "quarantine")).count() == 1
+
+
+def test_copies_of_another_size_are_no_copies_for_the_band(spark):
+    """Documents 1 and 2 have one print and 2 and 7 lines; document 3 is like both, in the band of 2 alone."""
+    from vellum.operators import similarity as SIM
+    from vellum.operators.fingerprint import document_prints
+
+    s = [f"w{i}a w{i}b w{i}c w{i}d w{i}e." for i in range(12)]
+    text = "\n".join(s)
+    rows = [(1, text, 2), (2, text, 7), (3, "\n".join(s[:11]), 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, loc int")
+    pairs, groups = SIM.similar_groups(document_prints(docs, keep=["loc"]), [], (0.5, 2.0))
+    assert {(r.a_id, r.b_id) for r in pairs.collect()} == {(2, 3)}
+    assert {(r.doc_id, r.rep_id) for r in groups.collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_stored_items_reject_later_similar(spark):
     items = spark.createDataFrame([(10,), (11,)], "doc_id long")
     stored = spark.createDataFrame([(1,)], "doc_id long")

@@ -144,3 +144,21 @@ def multiset_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     """U4: set union."""
     return a.unionByName(b).distinct()
+
+
+def print_candidates(probes: DataFrame, entities: DataFrame, keys: list[str], band: tuple[float, float]) -> DataFrame:
+    """``(probe_id, entity_id)``: stored entities of equal ``keys`` whose ``loc`` is in a probe's size band
+    ``[int(lo * loc), int(hi * loc)]``, the probe itself apart. Results play no part.
+
+    Both sides carry a size class, floor(log2 loc); the probe its own and both neighbours (all that a band up to a factor of two
+    can hold), so the join key splits a hot set of keys by size.
+    """
+    lo, hi = band
+    if lo < 0.5 or hi > 2.0:
+        raise ValueError("the size classes hold bands from 0.5 to 2 alone")
+    size = F.when(F.col("loc") <= 0, F.lit(-1)).otherwise(F.floor(F.log2(F.col("loc").cast("double")))).cast("int")
+    p = probes.select(F.col("entity_id").alias("probe_id"), F.col("loc").alias("p_loc"), *keys, size.alias("s"))
+    p = p.select("probe_id", "p_loc", *keys, F.explode(F.sequence(F.col("s") - 1, F.col("s") + 1)).alias("s"))
+    e = entities.select("entity_id", "loc", *keys, size.alias("s"))
+    j = p.join(e, [*keys, "s"]).where("entity_id <> probe_id")
+    return j.where(F.col("loc").between((F.col("p_loc") * F.lit(lo)).cast("int"), (F.col("p_loc") * F.lit(hi)).cast("int"))).select("probe_id", "entity_id")

@@ -289,6 +289,30 @@ def candidate_pairs(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATC
     return pairs
 
 
+def similar_groups(prints: DataFrame | PrintSet, keys: list[str], band: tuple[float, float], threshold: float = DIRECT_MATCH_THRESHOLD,
+                   agree: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """J4 without pairs of copies: candidates that match, between groups of copies, and the groups' members.
+
+    A group has the same print and equal ``keys``, ``loc`` and ``agree`` (whatever else a decision looks at), so what holds for
+    one member holds for all. Pairs ``(a_id, b_id, matched, total_a, total_b)`` are of the groups' smallest ids, ``a_id`` <
+    ``b_id``; groups are paired if ``keys`` are equal and some later member of one has some earlier member of the other in
+    its size band. Members are ``(doc_id, rep_id, n_copies)``.
+    """
+    ps = prepare(prints)
+    groups = cut_lineage(copy_groups(ps, [*keys, "loc", *(agree or [])]))
+    ends = groups.groupBy("rep_id").agg(F.max("doc_id").alias("last"))
+    reps = subset(ps, groups.where(F.col("doc_id") == F.col("rep_id")))
+    pairs = _candidates(reps, None, threshold, keys, None, banded=True).distinct()
+    side = reps.docs.join(ends, F.col("doc_id") == F.col("rep_id")).select("doc_id", "loc", "last")
+    name = lambda x: side.select(*[F.col(c).alias(f"{x}_{c}") for c in side.columns]).withColumnRenamed(f"{x}_doc_id", f"{x}_id")
+    pairs = pairs.join(name("a"), "a_id").join(name("b"), "b_id")
+    lo, hi = band
+    a_first = (F.col("a_id") < F.col("b_last")) & in_band(F.col("b_loc"), F.col("a_loc"), lo, hi)
+    b_first = (F.col("b_id") < F.col("a_last")) & in_band(F.col("a_loc"), F.col("b_loc"), lo, hi)
+    scored = with_decision(matched_weight(pairs.where(a_first | b_first).select("a_id", "b_id"), reps), threshold)
+    return scored.where("is_match").select("a_id", "b_id", "matched", "total_a", "total_b"), groups
+
+
 def in_band(probe_loc: Column, other_loc: Column, lo: float = 0.5, hi: float = 2.0) -> Column:
     """J4 size band: ``other`` within ``[int(lo * probe), int(hi * probe)]`` (inclusive)."""
     return other_loc.between((probe_loc * F.lit(lo)).cast("int"), (probe_loc * F.lit(hi)).cast("int"))

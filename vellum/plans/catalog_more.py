@@ -15,10 +15,11 @@ from vellum.plans.catalog_similarity import (
     BAND,
     DIRECT_SQL,
     ENTITY_IDS,
-    J4_SQL,
+    KEYS,
     SAME_KEYS_IN_BAND,
     admission_sql,
     entity_prints,
+    j4_sql,
 )
 from vellum.plans.catalog_tables import _C4_ARGS_SQL, _strip_sql
 from vellum.plans.oracle_views import (
@@ -36,8 +37,6 @@ from vellum.sources import files as FS
 from vellum.sources import tables as T
 from vellum.streaming import admission as K
 
-KEYS = ["frontend", "original_verifier", "parse_success"]
-
 _SIG_CTES = """sig_sym AS (SELECT DISTINCT o_custkey AS entity_id, o_orderstatus = 'F' AS success,
                         coalesce(e.error_ids, []::VARCHAR[]) AS errs
           FROM orders o LEFT JOIN (SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag || l_linestatus))) AS error_ids
@@ -51,23 +50,36 @@ _SAME_RESULTS = """EXISTS (SELECT 1 FROM sig_sym x JOIN sig_sym y ON x.success =
               WHERE x.entity_id = a_id AND y.entity_id = b_id)"""
 
 
+def document_results(spark, sf_dir):
+    """Results of both back ends for the documents, derived from them so that near copies often have equal outcomes."""
+    d = T.entities(spark, sf_dir)
+    err = F.when(F.col("loc") % 3 == 0, F.array(F.struct(F.col("original_verifier").alias("error_id"), F.lit("").alias("message"))))
+    none = F.array().cast(T.ERROR_TYPE)
+    a = d.select("entity_id", (F.col("loc") % 2 == 0).alias("success"), F.coalesce(err.cast(T.ERROR_TYPE), none).alias("errors"))
+    b = d.where(F.col("entity_id") % 50 != 49).select("entity_id", (F.col("loc") % 5 != 0).alias("success"), none.alias("errors"))
+    return a, b
+
+
+_DOC_RESULTS = """res_a AS (SELECT entity_id, loc % 2 = 0 AS success, CASE WHEN loc % 3 = 0 THEN [original_verifier] ELSE [] END AS errs FROM entities),
+res_b AS (SELECT entity_id, loc % 5 <> 0 AS success FROM entities WHERE entity_id % 50 <> 49),
+"""
+
+
 @query(
     "J4_with_results",
-    J4_SQL.replace("SELECT a_id, b_id, matched, total_a, total_b FROM matches", "").rstrip()
-    + ",\n" + _SIG_CTES + """
-SELECT a_id, b_id, matched, total_a, total_b FROM matches WHERE """ + _SAME_RESULTS,
+    j4_sql(
+        agree="CASE WHEN rb.entity_id IS NULL THEN 'alone' || p.doc_id ELSE ra.success || '|' || ra.errs::VARCHAR || '|' || rb.success END",
+        ctes=_DOC_RESULTS, joins="LEFT JOIN res_a ra ON ra.entity_id = p.doc_id LEFT JOIN res_b rb ON rb.entity_id = p.doc_id",
+        keep="""EXISTS (SELECT 1 FROM res_a x JOIN res_a y ON x.success = y.success AND x.errs = y.errs
+                 WHERE x.entity_id = matches.a_id AND y.entity_id = matches.b_id)
+  AND EXISTS (SELECT 1 FROM res_b x JOIN res_b y ON x.success = y.success WHERE x.entity_id = matches.a_id AND y.entity_id = matches.b_id)"""),
 )
 def q_j4r(spark, sf_dir):
-    """J4 + P10: print-similar candidate pairs whose results in both back ends are similar too (entity ids are
-    shared between documents and the result tables)."""
-    full = SIM.prepare(entity_prints(spark, sf_dir))
-    ps = SIM.subset(full, SIM.copy_groups(full, KEYS).where(F.col("doc_id") == F.col("rep_id")))
-    scored = SIM.with_decision(SIM.matched_weight(SIM.candidate_pairs(ps, block=KEYS, band=BAND), ps)).where("is_match")
-    scored = cut_lineage(scored)
-    keep = PG.pairs_with_similar_results(
-        scored.select("a_id", "b_id"), T.results_symbolic(spark, sf_dir, with_errors=True), T.results_vcgen(spark, sf_dir)
-    )
-    return scored.join(keep, ["a_id", "b_id"], "left_semi").select("a_id", "b_id", "matched", "total_a", "total_b")
+    """J4 + P10: print-similar candidate pairs whose results in both back ends are similar too."""
+    results = PG.result_filter(*document_results(spark, sf_dir))
+    ps, keys = K.with_result_key(SIM.prepare(entity_prints(spark, sf_dir)), results)
+    scored = cut_lineage(SIM.similar_groups(ps, KEYS, BAND, agree=keys)[0])
+    return results(scored).select("a_id", "b_id", "matched", "total_a", "total_b")
 
 
 @query(

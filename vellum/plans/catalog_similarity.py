@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import fingerprint as FP
+from vellum.operators import lookup as LK
 from vellum.operators import similarity as SIM
 from vellum.plans.oracle_views import ENTITIES, MATCHED_CTES, matched_ctes, prints_ctes
 from vellum.plans.registry import query
@@ -162,37 +163,67 @@ def q_c12(spark, sf_dir):
     return SIM.match_report(scored)
 
 
-J4_SQL = (
-    "WITH "
-    + ENTITIES[: -0 or None]
-    + ",\n"
-    + prints_ctes()
-    + """,
-ep AS (SELECT p.*, e.loc, e.frontend, e.original_verifier, e.parse_success FROM prints p JOIN entities e
-       ON e.entity_id = p.doc_id),
-reps AS (SELECT min(doc_id) AS doc_id FROM ep GROUP BY root_hash, frontend, original_verifier, parse_success),
+KEYS = ["frontend", "original_verifier", "parse_success"]
+
+
+def j4_sql(agree: str = "0", ctes: str = "", joins: str = "", keep: str = "TRUE") -> str:
+    """All documents against all that share a node: pairs of equal keys, the earlier in the later one's size band, that match;
+    then pairs of the groups of copies (equal print, keys, loc and ``agree``) that they belong to."""
+    return (
+        "WITH " + ENTITIES + ",\n" + ctes + prints_ctes() + f""",
+ep AS (SELECT p.*, e.loc, e.frontend, e.original_verifier, e.parse_success, {agree} AS agree FROM prints p
+       JOIN entities e ON e.entity_id = p.doc_id {joins}),
+grp AS (SELECT doc_id, CASE WHEN total = 0 THEN doc_id ELSE min(doc_id) OVER (
+          PARTITION BY root_hash, frontend, original_verifier, parse_success, loc, agree, total = 0) END AS rep_id FROM ep),
 pairs AS (
   SELECT DISTINCT a.doc_id AS a_id, b.doc_id AS b_id FROM tokens a JOIN tokens b ON a.h = b.h AND a.doc_id < b.doc_id
   JOIN ep ea ON ea.doc_id = a.doc_id JOIN ep eb ON eb.doc_id = b.doc_id
-  WHERE a.doc_id IN (SELECT doc_id FROM reps) AND b.doc_id IN (SELECT doc_id FROM reps)
-    AND ea.frontend = eb.frontend AND ea.original_verifier = eb.original_verifier
+  WHERE ea.frontend = eb.frontend AND ea.original_verifier = eb.original_verifier
     AND ea.parse_success = eb.parse_success
     AND ea.loc BETWEEN CAST(trunc(eb.loc * 0.5) AS INTEGER) AND CAST(trunc(eb.loc * 2.0) AS INTEGER)),
 """
-    + MATCHED_CTES
-    + "\nSELECT a_id, b_id, matched, total_a, total_b FROM matches"
-)
+        + MATCHED_CTES
+        + f""",
+of_groups AS (
+  SELECT least(ga.rep_id, gb.rep_id) AS a_id, greatest(ga.rep_id, gb.rep_id) AS b_id, matched,
+         CASE WHEN ga.rep_id < gb.rep_id THEN total_a ELSE total_b END AS total_a,
+         CASE WHEN ga.rep_id < gb.rep_id THEN total_b ELSE total_a END AS total_b
+  FROM matches JOIN grp ga ON ga.doc_id = a_id JOIN grp gb ON gb.doc_id = b_id WHERE ga.rep_id <> gb.rep_id AND {keep})
+SELECT DISTINCT a_id, b_id, matched, total_a, total_b FROM of_groups"""
+    )
 
 
-@query("J4_similar_candidates", J4_SQL)
+@query("J4_similar_candidates", j4_sql())
 def q_j4(spark, sf_dir):
-    keys = ["frontend", "original_verifier", "parse_success"]
-    full = SIM.prepare(entity_prints(spark, sf_dir))
-    ps = SIM.subset(full, SIM.copy_groups(full, keys).where(F.col("doc_id") == F.col("rep_id")))
-    cand = SIM.candidate_pairs(ps, block=keys, band=BAND)
-    return SIM.with_decision(SIM.matched_weight(cand, ps)).where("is_match").select(
-        "a_id", "b_id", "matched", "total_a", "total_b"
-    )
+    """Pairs of copy groups; ``J4_copy_members`` has the groups' members."""
+    return SIM.similar_groups(entity_prints(spark, sf_dir), KEYS, BAND)[0]
+
+
+@query(
+    "J4_copy_members",
+    "WITH " + ENTITIES + ",\n" + prints_ctes() + """
+SELECT * FROM (
+  SELECT p.doc_id, min(p.doc_id) OVER w AS rep_id, count(*) OVER w AS n_copies FROM prints p JOIN entities e ON e.entity_id = p.doc_id
+  WHERE p.total > 0 WINDOW w AS (PARTITION BY p.root_hash, e.frontend, e.original_verifier, e.parse_success, e.loc))
+WHERE n_copies > 1""",
+)
+def q_j4m(spark, sf_dir):
+    return SIM.copy_groups(entity_prints(spark, sf_dir), [*KEYS, "loc"]).where("n_copies > 1")
+
+
+@query(
+    "J5_print_candidates",
+    "WITH " + ENTITIES + """
+SELECT q.entity_id AS probe_id, e.entity_id FROM entities q JOIN entities e ON e.entity_id <> q.entity_id AND e.frontend = q.frontend
+  AND e.original_verifier = q.original_verifier AND e.parse_success = q.parse_success
+  AND e.loc BETWEEN CAST(trunc(q.loc * 0.5) AS INTEGER) AND CAST(trunc(q.loc * 2.0) AS INTEGER)
+WHERE q.entity_id % 100 = 0""",
+)
+def q_j5(spark, sf_dir):
+    """For every document whose id is divisible by 100: the stored entities that may be similar to it whatever the results say
+    (equal keys, size band), as an answer of its own."""
+    e = T.entities(spark, sf_dir).select("entity_id", "loc", *KEYS)
+    return LK.print_candidates(e.where(F.col("entity_id") % 100 == 0), e, KEYS, BAND)
 
 
 @query(

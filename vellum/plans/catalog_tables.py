@@ -212,24 +212,37 @@ def q_k4u(spark, sf_dir):
     return K.admit(doc_prints(spark, sf_dir), None)
 
 
-STREAM_FILES = 4
+STREAM_FILES, FILE_ROWS = 4, 100_000  # the stream's input has at least so many files, and one for so many rows
+
+
+def write_submissions(docs: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> None:
+    """Submissions as files in order of ids: one write a file, so that the files' times follow the ids. The files grow with the
+    rows, not the rows of a file; null and negative ids stand in the first."""
+    n = max(STREAM_FILES, -(-docs.count() // file_rows))
+    cuts = sorted(set(docs.where("submission_id IS NOT NULL").approxQuantile("submission_id", [k / n for k in range(1, n)], 0.1 / n)))
+    above = F.lit(0)
+    for c in cuts:
+        above = above + F.when(F.col("submission_id") > F.lit(int(c)), 1).otherwise(0)
+    staged = f"{folder}-staged"
+    part = F.when(F.col("submission_id") >= 0, above).otherwise(0)
+    docs.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(staged)
+    rows = docs.sparkSession.read.parquet(staged)
+    for k in range(len(cuts) + 1):
+        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
 
 
 @query("K7_stream_admission", admission_sql(prints_ctes(), "SELECT doc_id FROM prints"),
        note="Structured Streaming; the batches' decisions together are the one-by-one admission")
 def q_k7(spark, sf_dir):
-    """Runs the streaming admission job (availableNow) over the documents as submission files in order of ids (one
-    write a file, so that the files' times follow the ids), and returns the decisions it produced."""
+    """Runs the streaming admission job (availableNow) over the documents as submission files in order of ids, and returns
+    the decisions it produced."""
     base = os.path.join(checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
     subs = os.path.join(base, "submissions")
     docs = T.read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("submission_id"), F.col("text").alias("program"),
         F.lit("Generic").alias("frontend"), F.lit("symbolic").alias("original_verifier"),
     )
-    top = docs.agg(F.max("submission_id")).first()[0] or 0
-    for k in range(STREAM_FILES):
-        part = F.floor(F.col("submission_id") * STREAM_FILES / (top + 1)) == k
-        docs.where(part).coalesce(1).write.mode("append").parquet(subs)
+    write_submissions(docs, subs)
     q = K.start_admission_stream(spark, subs, os.path.join(base, "out"), os.path.join(base, "ckpt"),
                                  max_files_per_trigger=2)
     q.awaitTermination()

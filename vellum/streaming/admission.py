@@ -1,11 +1,9 @@
 """Admission of new items: accept an item only if no similar item was accepted before it (K1-K7, P11, U-1).
 
 The reference drains a queue one item at a time. Sequential meaning, computed in parallel (K3):
-build the similarity edges (earlier -> later) once, then repeat until every item is decided:
-an undecided item with an accepted earlier neighbour is rejected; an undecided item with no accepted or
-undecided earlier neighbour is accepted. Each round decides at least the earliest undecided item, and the
-outcome equals the one-by-one loop. Every round is two joins and one aggregate over the edges; the status
-table is checkpointed to the shared checkpoint folder each round.
+build the similarity edges (earlier -> later) once, then repeat until every item is decided
+(:func:`greedy_admission`). Rounds carry undecided items and the edges between them alone, chains of similar items are
+contracted, and the outcome equals the one-by-one loop. The tables of a round are written to the shared checkpoint folder.
 
 Exact structural copies that agree in everything a decision looks at (blocking keys, size, rule and, where results
 count, the outcomes in every back end) never become edges: within such a group only the earliest member can be accepted
@@ -32,8 +30,6 @@ from vellum.operators import similarity as SIM
 from vellum.operators.fingerprint import document_prints
 from vellum.session import Rounds, cut_lineage
 
-ACCEPTED, REJECTED, UNDECIDED = "A", "R", "U"
-
 
 # ------------------------------------------------------------------------------------------------
 # K1 / K2: accepting and converting submissions
@@ -85,32 +81,70 @@ def _decided(scored: DataFrame, ps: SIM.PrintSet, side: str, threshold: float, d
 def greedy_admission(items: DataFrame, edges: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """``(doc_id, accepted)`` for ``items`` given edges (earlier, later). ``stored`` items count as accepted.
 
-    The rounds end when every item is decided; each decides at least the earliest undecided one."""
-    st = items.select("doc_id", F.lit(UNDECIDED).alias("st"))
+    Only undecided items and the edges between them are carried from round to round. An edge is a literal: its earlier item
+    (parity 0) or the opposite of it (parity 1); an item is accepted iff none of its literals holds. In a round
+
+    * an item without literals is accepted, one with both literals of an item is rejected (one of them holds);
+    * an item with one literal left is its opposite: it is contracted, so a chain goes in one round, its ends found by
+      doubling, and the literals that name it name the end of the chain instead;
+    * literals of decided items are put in: one that holds rejects its item, others are dropped.
+
+    Contracted items get their decisions from the ends of their chains when all rounds are done.
+    """
+    spark = items.sparkSession
+    rounds, links = Rounds(spark), Rounds(spark)
+    nodes = edges.select(F.explode(F.array("e", "l")).alias("node")).distinct().withColumn("forced", F.lit(None).cast("int"))
     if stored is not None:
-        st = st.unionByName(stored.select("doc_id", F.lit(ACCEPTED).alias("st")))
-    rounds = Rounds(items.sparkSession)
-    st = rounds.cut(st)
-    while True:
-        inc = edges.join(st.select(F.col("doc_id").alias("e"), F.col("st").alias("est")), "e").groupBy(
-            F.col("l").alias("doc_id")
-        ).agg(
-            F.bool_or(F.col("est") == ACCEPTED).alias("any_acc"),
-            F.bool_or(F.col("est") == UNDECIDED).alias("any_und"),
-        )
-        nxt = st.join(inc, "doc_id", "left").select(
-            "doc_id",
-            F.when(F.col("st") != UNDECIDED, F.col("st"))
-            .when(F.coalesce("any_acc", F.lit(False)), F.lit(REJECTED))
-            .when(~F.coalesce("any_und", F.lit(False)), F.lit(ACCEPTED))
-            .otherwise(F.lit(UNDECIDED))
-            .alias("st"),
-        )
-        st = rounds.cut(nxt)
-        if st.where(F.col("st") == UNDECIDED).limit(1).count() == 0:
-            break
-    out = st.join(items.select("doc_id"), "doc_id", "left_semi")
-    return out.select("doc_id", (F.col("st") == ACCEPTED).alias("accepted"))
+        held = stored.select(F.col("doc_id").alias("node"), F.lit(1).alias("fixed"))
+        nodes = nodes.join(held, "node", "left").select("node", F.col("fixed").alias("forced"))
+        edges = edges.join(held.select(F.col("node").alias("l")), "l", "left_anti").select("e", "l")
+    nodes, live = rounds.cut(nodes), links.cut(edges.select("e", F.lit(0).alias("par"), "l").distinct())
+    decided: list[DataFrame] = []
+    contracted: list[DataFrame] = []
+    while not nodes.isEmpty():
+        done, waits, nodes, live = _admission_round(nodes, live, rounds, links)
+        decided.append(done)
+        contracted.append(waits)
+    known = items.select(F.col("doc_id").alias("node"), F.lit(1).alias("s")).limit(0) if not decided else decided[-1]
+    for done, waits in zip(decided[-2::-1], contracted[-2::-1], strict=True):
+        # the ends of a round's open chains were decided in later rounds
+        later = waits.join(known.select(F.col("node").alias("root"), "s"), "root").select("node", F.col("s").bitwiseXOR(F.col("q")).alias("s"))
+        known = cut_lineage(known.unionByName(done).unionByName(later))
+    out = items.join(known, F.col("doc_id") == F.col("node"), "left")  # an item without edges is like no other
+    return out.select("doc_id", (F.coalesce("s", F.lit(1)) == 1).alias("accepted"))
+
+
+def _admission_round(nodes: DataFrame, live: DataFrame, rounds: Rounds, links: Rounds) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One round over undecided ``nodes`` (node, forced: a decision to come into force) and ``live`` literals (e, par, l):
+    decisions (node, s), items contracted to ends that are open (node, root, q: s = s of root XOR q), and what is left."""
+    per = live.groupBy("l", "e").agg(F.min("par").alias("lo"), F.max("par").alias("hi")).groupBy(F.col("l").alias("node")).agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(F.col("lo") < F.col("hi")).alias("both"), F.min("e").alias("e"), F.min("lo").alias("par"))
+    j = nodes.join(per, "node", "left")
+    s = F.when(F.col("forced").isNotNull(), F.col("forced")).when(F.col("n").isNull(), F.lit(1)).when(F.col("both"), F.lit(0))
+    one = s.isNull() & (F.col("n") == 1)
+    state = cut_lineage(j.select("node", s.alias("s"), F.when(one, F.col("e")).alias("root"), F.when(one, F.lit(1).bitwiseXOR(F.col("par"))).alias("q")))
+    ptr, hops, open_ = state.where("root IS NOT NULL").select("node", "root", "q"), Rounds(nodes.sparkSession), True
+    while open_:
+        ahead = ptr.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("q").alias("more"))
+        ptr = hops.cut(ptr.join(ahead, "root", "left").select("node", F.coalesce("next", "root").alias("root"),
+                                                              F.col("q").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("q"), F.col("next").isNotNull().alias("moved")))
+        open_ = not ptr.where("moved").isEmpty()
+        ptr = ptr.drop("moved")
+    fixed = state.where("s IS NOT NULL").select("node", "s")
+    ends = ptr.join(fixed.select(F.col("node").alias("root"), "s"), "root", "left")
+    ends = cut_lineage(ends.select("node", "root", "q", F.col("s").bitwiseXOR(F.col("q")).alias("s")))
+    done = fixed.unionByName(ends.where("s IS NOT NULL").select("node", "s"))
+    waits = ends.where("s IS NULL").select("node", "root", "q")
+    value = done.select(F.col("node").alias("e"), "s", F.lit(None).cast(dict(waits.dtypes)["root"]).alias("root"), F.lit(0).alias("q"))
+    value = value.unionByName(waits.select(F.col("node").alias("e"), F.lit(None).cast("int").alias("s"), "root", "q"))
+    waiting = state.where("s IS NULL AND root IS NULL").select("node")
+    lits = live.join(waiting.select(F.col("node").alias("l")), "l", "left_semi").join(value, "e", "left")
+    lits = cut_lineage(lits.select(F.coalesce("root", "e").alias("e"), F.col("par").bitwiseXOR(F.coalesce("q", F.lit(0))).alias("par"), "l",
+                                   F.col("s").bitwiseXOR(F.col("par")).alias("holds")))
+    hit = lits.where("holds = 1").select(F.col("l").alias("node"), F.lit(0).alias("forced")).distinct()
+    left = rounds.cut(waiting.join(hit, "node", "left"))
+    live = links.cut(lits.where("holds IS NULL").select("e", "par", "l").distinct().join(hit.select(F.col("node").alias("l")), "l", "left_anti").select("e", "par", "l"))
+    return done, waits, left, live
 
 
 def _union_sets(a: SIM.PrintSet | None, b: SIM.PrintSet) -> SIM.PrintSet:
@@ -168,11 +202,17 @@ def _copy_key(ps: SIM.PrintSet, block: list[str], band: tuple[float, float] | No
     keys = [*block, *(["loc"] if band and "loc" not in block else []), *([direct] if direct and direct not in block else [])]
     if extra is None:
         return ps, keys
-    results = extra.key().select(F.col("doc_id").alias("_r"), "result_key")
+    ps, more = with_result_key(ps, extra)
+    return ps, [*keys, *more]
+
+
+def with_result_key(ps: SIM.PrintSet, results: Callable[[DataFrame], DataFrame]) -> tuple[SIM.PrintSet, list[str]]:
+    """The print set with the docs column ``result_key`` of a result filter: equal keys mean results that agree."""
+    keys = results.key().select(F.col("doc_id").alias("_r"), "result_key")
     # without results in every back end an item is similar to nothing: its id keeps it alone
-    docs = ps.docs.join(results, F.col("doc_id") == F.col("_r"), "left").select(
+    docs = ps.docs.join(keys, F.col("doc_id") == F.col("_r"), "left").select(
         *ps.docs.columns, F.coalesce("result_key", F.concat(F.lit("alone:"), F.col("doc_id").cast("string"))).alias("result_key"))
-    return SIM.PrintSet(cut_lineage(docs), ps.sections, ps.tokens, ps.kids), [*keys, "result_key"]
+    return SIM.PrintSet(cut_lineage(docs), ps.sections, ps.tokens, ps.kids), ["result_key"]
 
 
 def _admit_one(b: SIM.PrintSet, c: SIM.PrintSet | None, threshold: float, block: list[str],

@@ -39,6 +39,71 @@ def propagate_keys(parent: DataFrame, children: dict[str, DataFrame], temp_key:
     return {name: ch.join(keymap, temp_key).drop(temp_key) for name, ch in children.items()}
 
 
+# --- S7: a batch of entities with all that hangs on them, seen whole or not at all ----------------------------------------
+
+BATCH_TABLES = ("entities", "prints", "results_a", "results_b", "features")
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame | None:
+    """The commits below ``root`` (commit, n_entities), None before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(os.path.join(root, "commits"))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_committed(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """The rows of a batch table that commits name; what a failed batch left behind is not among them."""
+    commits = committed(spark, root)
+    if commits is None:
+        return None
+    rows = spark.read.parquet(os.path.join(root, table))
+    return rows.join(commits.select("commit"), "commit", "left_semi").drop("commit")
+
+
+def insert_batch(spark: SparkSession, root: str, commit: int, entities: DataFrame, prints: DataFrame, results: dict[str, DataFrame],
+                 temp_key: str) -> bool:
+    """S7 in three levels: entities get ids (S6, in order of ``temp_key``), prints and the results of back ends ``a`` and ``b`` get
+    them through ``temp_key``, results get ids of their own (by entity), and each result's ``features`` (a map) become rows
+    that carry the result's id.
+
+    Every table is written to a folder of the commit, and the commit's own row last, so readers see all of a batch or nothing. A
+    commit that is there is not made again: False is returned and nothing changes. One that failed is made again over what
+    it left.
+    """
+    done = committed(spark, root)
+    if done is not None and not done.where(F.col("commit") == F.lit(commit)).isEmpty():
+        return False
+
+    def numbered(new: DataFrame, table: str, id_col: str, order: list[str]) -> DataFrame:
+        old = read_committed(spark, root, table)
+        old = spark.createDataFrame([], f"{id_col} long") if old is None else old.select(id_col)
+        return cut_lineage(with_new_ids(old, new, id_col, order))
+
+    ents = numbered(entities, "entities", "entity_id", [temp_key])
+    below = propagate_keys(ents, {"prints": prints, **{f"results_{k}": r for k, r in results.items()}}, temp_key, "entity_id")
+    tables = {"entities": ents, "prints": below["prints"]}
+    feats = None
+    for k in results:
+        rows = numbered(below[f"results_{k}"], f"results_{k}", "result_id", ["entity_id"])
+        tables[f"results_{k}"] = rows.drop("features")
+        f = rows.select(F.lit(k).alias("ref_kind"), F.col("result_id").alias("ref_id"), F.explode("features").alias("feature_name", "value"))
+        feats = f if feats is None else feats.unionByName(f)
+    tables["features"] = feats
+    for name in BATCH_TABLES:
+        _write_part(tables[name], os.path.join(root, name, f"commit={commit}"))
+    _write_part(ents.agg(F.count(F.lit(1)).alias("n_entities")), os.path.join(root, "commits", f"commit={commit}"))
+    return True
+
+
+def _write_part(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
 def upsert(existing: DataFrame, updates: DataFrame, key: str, id_col: str) -> DataFrame:
     """Replace rows whose ``key`` occurs in ``updates`` (keeping their surrogate ``id_col``); insert the
     rest of ``updates`` with new ids (S6, ordered by ``key``). Other rows stay unchanged. Of several updates with one

@@ -215,13 +215,13 @@ def q_s11(spark, sf_dir):
     return spark.read.parquet(path).select(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("S15_program_files", "SELECT doc_id AS entity_id, CAST(length(text) + 1 AS INTEGER) AS n_chars FROM documents")
+@query("S15_program_files", "SELECT doc_id AS entity_id, length(text) AS n_chars, md5(text) AS md5 FROM documents")
 def q_s15(spark, sf_dir):
+    """All texts written to containers and read back byte for byte."""
     path = os.path.join(checkpoint_dir(spark), f"programs-{uuid.uuid4().hex}")
-    FS.write_program_files(T.read(spark, sf_dir, "documents"), path, "doc_id", "text")
-    files = FS.read_program_files(spark, path, "*.txt")
-    ident = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
-    return files.select(ident.alias("entity_id"), F.length("program").cast("int").alias("n_chars"))
+    FS.write_text_container(T.read(spark, sf_dir, "documents"), path, "doc_id", "text")
+    texts = FS.read_text_container(spark, path)
+    return texts.select(F.col("id").alias("entity_id"), F.length("program").cast("bigint").alias("n_chars"), F.md5("content").alias("md5"))
 
 
 @query(

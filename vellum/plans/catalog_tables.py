@@ -64,6 +64,43 @@ def q_s7(spark, sf_dir):
     )
 
 
+_BATCHES = """b AS (SELECT doc_id, doc_id % 3 AS batch, lang, n_chars FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT *, row_number() OVER (ORDER BY batch, doc_id) AS entity_id FROM b),
+ra AS (SELECT *, row_number() OVER (ORDER BY batch, entity_id) AS result_id FROM e),
+rb AS (SELECT *, row_number() OVER (ORDER BY batch, entity_id) AS result_id FROM e WHERE n_chars % 2 = 0)"""
+
+
+@query(
+    "S7_three_levels",
+    "WITH " + _BATCHES + """
+SELECT 'entities' AS part, entity_id AS id, doc_id AS ref, lang AS name, '' AS value FROM e
+UNION ALL SELECT 'prints', entity_id, n_chars, '', '' FROM e
+UNION ALL SELECT 'results_a', result_id, entity_id, '', CAST(n_chars % 3 = 0 AS VARCHAR) FROM ra
+UNION ALL SELECT 'results_b', result_id, entity_id, '', CAST(n_chars % 5 = 0 AS VARCHAR) FROM rb
+UNION ALL SELECT 'features', result_id, 0, 'a:chars', CAST(n_chars AS VARCHAR) FROM ra
+UNION ALL SELECT 'features', result_id, 0, 'b:lang', lang FROM rb""",
+)
+def q_s7_levels(spark, sf_dir):
+    """The documents as three batches: entities, prints, results of two back ends and their features, each batch committed
+    whole; then the committed tables, one below the other."""
+    root = os.path.join(checkpoint_dir(spark), f"batches-{uuid.uuid4().hex}")
+    d = T.read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    for k in range(3):
+        b = d.where(F.col("doc_id") % 3 == k)
+        res = {"a": b.select("doc_id", (F.col("n_chars") % 3 == 0).alias("success"), F.create_map(F.lit("chars"), F.col("n_chars").cast("string")).alias("features")),
+               "b": b.where("n_chars % 2 = 0").select("doc_id", (F.col("n_chars") % 5 == 0).alias("success"), F.create_map(F.lit("lang"), F.col("lang")).alias("features"))}
+        M.insert_batch(spark, root, k, b.select("doc_id", "lang"), b.select("doc_id", F.col("n_chars").alias("print")), res, "doc_id")
+    read = lambda name: M.read_committed(spark, root, name)
+    row = lambda df, part, id_, ref, name, value: df.select(
+        F.lit(part).alias("part"), F.col(id_).alias("id"), ref.cast("bigint").alias("ref"), name.alias("name"), value.alias("value"))
+    empty, ok = F.lit(""), F.col("success").cast("string")
+    out = row(read("entities"), "entities", "entity_id", F.col("doc_id"), F.col("lang"), empty)
+    out = out.unionByName(row(read("prints"), "prints", "entity_id", F.col("print"), empty, empty))
+    for k in ("results_a", "results_b"):
+        out = out.unionByName(row(read(k), k, "result_id", F.col("entity_id"), empty, ok))
+    return out.unionByName(row(read("features"), "features", "ref_id", F.lit(0), F.concat_ws(":", "ref_kind", "feature_name"), F.col("value")))
+
+
 @query(
     "S9_upsert",
     """WITH existing AS (SELECT doc_id * 10 AS print_id, doc_id AS entity_id, CAST(quality AS BIGINT) AS value FROM labels),

@@ -17,6 +17,7 @@ overwrite, so a replayed batch rewrites the same result.
 
 from __future__ import annotations
 
+import multiprocessing
 import os
 from collections.abc import Callable
 
@@ -265,26 +266,75 @@ RESULT_SCHEMA = T.StructType([
 ])
 
 
+class _Evaluator:
+    """A process of its own for the evaluator, forked from the task's, that can be ended while it works on a row."""
+
+    def __init__(self, evaluator: Callable[[dict, list[str], int], dict]):
+        self._evaluator, self._process = evaluator, None
+
+    @staticmethod
+    def _serve(evaluator, mine, theirs) -> None:
+        theirs.close()  # otherwise the end of the task would not be seen here
+        try:
+            while True:
+                rec, args, limit = mine.recv()
+                try:
+                    r = evaluator(rec, args, limit)
+                    answer = (bool(r["success"]), bool(r.get("did_timeout", False)), int(r.get("runtime", 0)), list(r.get("error_ids", [])),
+                              {str(k): str(v) for k, v in r.get("features", {}).items()})
+                except Exception as exc:  # captured as data
+                    answer = (False, False, 0, [f"evaluator:{type(exc).__name__}"], {})
+                mine.send(answer)
+        finally:
+            os._exit(0)
+
+    def __call__(self, rec: dict, args: list[str], limit: int) -> tuple:
+        if self._process is None:
+            fork = multiprocessing.get_context("fork")
+            self._pipe, theirs = fork.Pipe()
+            self._process = fork.Process(target=self._serve, args=(self._evaluator, theirs, self._pipe), daemon=True)
+            self._process.start()
+            theirs.close()
+        try:
+            self._pipe.send((rec, args, limit))
+            if self._pipe.poll(limit if limit > 0 else None):
+                return self._pipe.recv()
+            answer = (False, True, limit * 1000, ["evaluator:timeout"], {})
+        except (EOFError, OSError):
+            answer = (False, False, 0, ["evaluator:ended"], {})
+        self.close()
+        return answer
+
+    def close(self) -> None:
+        if self._process is not None:
+            self._process.kill()
+            self._process.join()
+            self._pipe.close()
+            self._process = None
+
+
 def evaluate(entities: DataFrame, evaluator: Callable[[dict, list[str], int], dict], backend: str,
              timeout_col: str = "timeout_seconds") -> DataFrame:
     """U-1: run a user evaluator ``(entity row, args, timeout seconds) -> {success, did_timeout, runtime,
     error_ids, features}`` on every entity, in Arrow batches on the executors. An exception becomes an error row
-    (``error_ids = ['evaluator:<type>']``), never a failed job."""
+    (``error_ids = ['evaluator:<type>']``), never a failed job.
+
+    The time limit is enforced: the evaluator works in a process of its own, which is ended when a row's ``timeout_col`` (whole
+    seconds; null, 0 or no such column: no limit) is over. That row is ``did_timeout`` with the limit as its run time in
+    milliseconds; the next one gets a new process. A process that ends by itself gives an error row too."""
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf.to_dict("records"):
-                raw_args = rec.get("args")
-                args = [] if raw_args is None else [str(a) for a in raw_args]
-                try:
-                    r = evaluator(rec, args, int(rec.get(timeout_col) or 0))
-                    rows.append((rec["entity_id"], backend, bool(r["success"]), bool(r.get("did_timeout", False)),
-                                 int(r.get("runtime", 0)), list(r.get("error_ids", [])),
-                                 {str(k): str(v) for k, v in r.get("features", {}).items()}))
-                except Exception as exc:  # captured as data
-                    rows.append((rec["entity_id"], backend, False, False, 0, [f"evaluator:{type(exc).__name__}"], {}))
-            yield pd.DataFrame(rows, columns=[f.name for f in RESULT_SCHEMA.fields])
+        worker = _Evaluator(evaluator)
+        try:
+            for pdf in batches:
+                rows = []
+                for rec in pdf.to_dict("records"):
+                    raw, limit = rec.get("args"), rec.get(timeout_col)
+                    args = [] if raw is None else [str(a) for a in raw]
+                    rows.append((rec["entity_id"], backend, *worker(rec, args, 0 if limit is None or limit != limit else int(limit))))
+                yield pd.DataFrame(rows, columns=[f.name for f in RESULT_SCHEMA.fields])
+        finally:
+            worker.close()
 
     return entities.mapInPandas(run, RESULT_SCHEMA)
 

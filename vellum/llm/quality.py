@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import drop_rows, small, text_key, words
+from vellum.llm.common import BROADCAST_ROWS, drop_rows, small, text_key, words
 from vellum.session import cut_lineage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -105,15 +105,13 @@ def vectors(stats: DataFrame) -> DataFrame:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor l_ij of the shrunk covariance v_ij of each group, column by column."""
-    out = groups
+    """Cholesky factor l_ij of the shrunk covariance v_ij of each group, row by row."""
     for i in range(DIMS):
         for j in range(i + 1):
-            v = F.col(f"v{i}{j}") * (1 - SHRINK) + (F.lit((TARGET_SD[i] * UNIT) ** 2 * SHRINK) if i == j else F.lit(0.0))
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(v) if i == j else v / F.col(f"l{j}{j}"))
-    return out.select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+            shrunk = f"v{i}{j} * {1 - SHRINK}" + (f" + {(TARGET_SD[i] * UNIT) ** 2 * SHRINK}D" if i == j else "")
+            v = " - ".join([shrunk, *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+            groups = groups.selectExpr("*", f"sqrt({v}) AS l{i}{j}" if i == j else f"({v}) / l{j}{j} AS l{i}{j}")
+    return groups.select("g", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -123,18 +121,17 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(*[e.alias(f"m{i}") for i, e in enumerate(m)], *cov)
 
 
+def _whitened(rows: DataFrame) -> DataFrame:
+    """Adds ``d2``, given the columns x, m and l. One projection a step: otherwise the expressions double with each dimension."""
+    for i in range(DIMS):
+        s = " - ".join([f"x{i} - m{i}", *(f"l{i}{k} * z{k}" for k in range(i))])
+        rows = rows.selectExpr("*", f"({s}) / l{i}{i} AS z{i}")
+    return rows.selectExpr("*", " + ".join(f"z{i} * z{i}" for i in range(DIMS)) + " AS d2")
+
+
 def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the squared distance d2 by the group's estimate."""
-    j = rows.join(small(groups), "g")
-    cov = [[F.col(f"l{i}{k}") for k in range(i + 1)] for i in range(DIMS)]
-    z: list[str] = []
-    for i in range(DIMS):  # one projection a step: otherwise the expressions double with each dimension
-        s = F.col(X[i]) - F.col(f"m{i}")
-        for k in range(i):
-            s = s - cov[i][k] * F.col(z[k])
-        j = j.withColumn(f"z{i}", s / cov[i][i])
-        z.append(f"z{i}")
-    return j.select(*rows.columns, sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0])).alias("d2"))
+    return _whitened(rows.join(groups, "g")).select(*rows.columns, "d2")
 
 
 def _bin(d2: Column) -> Column:
@@ -156,11 +153,12 @@ def estimates(rows: DataFrame) -> DataFrame:
     mid = rows.groupBy("g").agg(*[F.floor(F.percentile(X[i], F.lit(0.5))).alias(f"m{i}") for i in range(DIMS)])
     zero = [F.lit(0.0).alias(f"v{i}{j}") for i in range(DIMS) for j in range(i + 1)]
     groups = cut_lineage(_factor(mid.select("*", *zero)))
+    hint = F.broadcast if groups.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda x: x  # the groups stay the same
     seen = set()
     while (state := _state(groups)) not in seen:  # ends when the estimates stay, or come back to what they were
         seen.add(state)
-        d = _distance(rows, groups)
-        near = d.join(small(cut_lineage(_quantile(d, SUPPORT, "edge"))), "g").where("d2 <= edge")
+        d = _distance(rows, hint(groups))
+        near = d.join(hint(_quantile(d, SUPPORT, "edge")), "g").where("d2 <= edge")
         groups = cut_lineage(_factor(_moments(near)))
     return groups
 
@@ -196,24 +194,17 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     sound = rows.where(F.col("n_words") >= MIN_WORDS)
     table = small(cut_lineage(group_table(sound).select(F.col("lang").alias("k_lang"), F.col("source").alias("k_source"), "g", "pools")))
     same = F.col("lang").eqNullSafe(F.col("k_lang")) & F.col("source").eqNullSafe(F.col("k_source"))
-    part = sound.join(table.drop("g"), same).select(F.explode("pools").alias("g"), *X)
+    part = cut_lineage(sound.join(table.drop("g"), same).select(F.explode("pools").alias("g"), *X))  # read by every step
     groups = estimates(part)
     cols = rows.columns
     rows = rows.join(table.drop("pools"), same, "left").select(*cols, "g")
     cols = [c for c in cols if c not in X]
-    d = _distance(part, groups)
+    d = _distance(part, small(groups))
     groups = cut_lineage(groups.join(_quantile(d, 0.5, "mid"), "g"))
-    left = rows.join(small(groups), "g", "left")
-    z: list[str] = []
-    for i in range(DIMS):
-        s = F.col(X[i]) - F.col(f"m{i}")
-        for k in range(i):
-            s = s - F.col(f"l{i}{k}") * F.col(z[k])
-        left = left.withColumn(f"z{i}", s / F.col(f"l{i}{i}"))
-        z.append(f"z{i}")
+    left = _whitened(rows.join(small(groups), "g", "left"))
     # a group of near-equal documents has a median near 0: one target deviation is the least unit
     unit = F.greatest(F.col("mid"), F.lit(1.0))
-    dist = sum((F.col(c) * F.col(c) for c in z[1:]), F.col(z[0]) * F.col(z[0])) / unit
+    dist = F.col("d2") / unit
     out = left.select(*cols, dist.alias("distance"))
     return out.select("*", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"))
 

@@ -106,3 +106,19 @@ def test_query_digests(spark):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[3] == k for x in base) for k in secret_scan.KINDS)
         assert set(said.split(",")) <= set(r.spans.split(","))
+
+
+def test_very_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = " ".join(f"AKIA{i:018d}" for i in range(n))
+        docs = table(spark, [(1, text, "en", "a")])
+        start = time.time()
+        r = secret_scan.scan(docs).select("access").first()
+        assert [(x.start, x.end) for x in r.access] == [(23 * i, 23 * i + 22) for i in range(n)]
+        return time.time() - start
+
+    seconds(100)
+    few, many = seconds(5_000), seconds(20_000)
+    assert many < 8 * few + 3

@@ -56,23 +56,33 @@ ENCODINGS = (
 UNEVEN = {"decimal": 1.5, "hex": 2.0, "base32": 1.5, "base36": 1.6, "base64": 2.5}
 
 
-def _spans(text: Column, pattern: str, inner: int | None = None) -> Column:
-    """Array of (start, end, n) of the leftmost non-overlapping matches; n is the length of group ``inner`` of the
-    pattern, or of the match."""
+def _matches(text: Column, pattern: str, inner: int | None = None) -> Column:
+    """Array of (gap, hit, n) of the leftmost non-overlapping matches: the lengths of what stands before each since the last one,
+    of the match, and of group ``inner`` of the pattern (or the match). None where a plain search finds nothing."""
     whole = rf"\G(?s:(.*?))({pattern})"
     part = lambda g: F.regexp_extract_all(text, F.lit(whole), F.lit(g))
     zipped = F.arrays_zip(part(1).alias("gap"), part(2).alias("hit"), part(2 if inner is None else 2 + inner).alias("own"))
     lens = F.transform(zipped, lambda z: F.struct(F.length(z["gap"]).alias("gap"), F.length(z["hit"]).alias("hit"), F.length(z["own"]).alias("n")))
-    none = F.array().cast("array<struct<start:int,end:int,n:int>>")
+    return F.when(text.rlike(pattern), lens).otherwise(F.array().cast("array<struct<gap:int,hit:int,n:int>>"))
+
+
+CHUNK = 128  # matches that are added up one by one
+
+
+def _running(lens: Column) -> Column:
+    """(start, end, n) of matches from their (gap, hit, n), a column (an expression would be computed for each chunk). An array that grows in a fold is copied at every step, so matches are
+    added up in chunks, and the chunks' lengths before that."""
+    span = "array<struct<start:int,end:int,n:int>>"
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / CHUNK).cast("int")), lambda i: F.slice(lens, i * CHUNK + 1, CHUNK))
+    length = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + x["hit"])
+    before = F.aggregate(F.transform(chunks, length), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                         lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
     step = lambda s, x: F.struct(
         (s["at"] + x["gap"] + x["hit"]).alias("at"),
         F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["hit"]).alias("end"), x["n"].alias("n")))).alias("out"))
-    return F.aggregate(lens, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-
-
-def _where(text: Column, pattern: str, spans: Column) -> Column:
-    """Spans only for texts that a plain search finds to have any."""
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,n:int>>"))
+    spans = F.zip_with(chunks, before, lambda c, at: F.aggregate(
+        c, F.struct(at.alias("at"), F.array().cast(span).alias("out")), step, lambda s: s["out"]))
+    return F.when(F.size(lens) > 0, F.flatten(spans)).otherwise(F.array().cast(span))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -80,12 +90,11 @@ def scan(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", t.alias("t"))
     c = F.col("t")
+    rows = rows.select("rid", "doc_id", "t", _matches(c, ASSIGN, 1).alias("m_assign"), _matches(c, ACCESS).alias("m_access"),
+                       _matches(c, HEX).alias("m_hex"), _matches(c, CANDIDATE).alias("m_found"))
     rows = rows.select(
-        "rid", "doc_id", "t",
-        F.filter(_where(c, ASSIGN, _spans(c, ASSIGN, 1)), lambda x: x["n"] >= ASSIGN_CHARS).alias("assign"),
-        _where(c, ACCESS, _spans(c, ACCESS)).alias("access"),
-        _where(c, HEX, _spans(c, HEX)).alias("hex"),
-        _where(c, CANDIDATE, _spans(c, CANDIDATE)).alias("found"))
+        "rid", "doc_id", "t", F.filter(_running(F.col("m_assign")), lambda x: x["n"] >= ASSIGN_CHARS).alias("assign"),
+        _running(F.col("m_access")).alias("access"), _running(F.col("m_hex")).alias("hex"), _running(F.col("m_found")).alias("found"))
     cands = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
                                                    F.substring(F.col("t"), x["start"] + 1, x["n"]).alias("s")))
     return rows.select("rid", "doc_id", "assign", "access", "hex", cands.alias("cands"))

@@ -88,7 +88,8 @@ def test_short_answers_are_found_behind_labels_and_options():
     assert found("Q: Who wrote it? A: the old clerk of the town hall in Porto Novo") == {3}
     assert found("What is the capital of w7? The answer is x7") == {17}
     assert found("What is the capital of France? Nobody knows.") == set()
-    assert found(f"What is the capital of France? {far} Paris") == set()
+    assert found(f"What is the capital of France? {far} Paris") == {1}  # a short answer counts wherever it stands
+    assert found(f"What is the capital of France? {far}") == set()
 
 
 def test_short_items_and_scripts_without_spaces():
@@ -122,3 +123,18 @@ def test_query_finds_the_copies_in_the_small_table(spark):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
     assert {(r.doc_id, r.item_id) for r in QUERIES["op6_decontamination"](spark, sf).collect()} == slow_matches(rows, bench)
+
+
+def test_items_of_one_word_match_a_line_of_their_own(spark):
+    docs = table(spark, [(1, "first line\n  Zanzibar! \nlast", "en", "a"), (2, "we went to Zanzibar and back", "en", "a"), (3, None, "en", "a"), (4, "ZANZIBAR", "en", "a")])
+    items = spark.createDataFrame([(7, "Zanzibar"), (8, "a b c d e f g h i j"), (9, "")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.passage_start for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, 7): 2, (4, 7): 0}
+
+
+def test_a_short_answer_far_from_its_question_is_found(spark):
+    question = "Which of the seven northern rivers carries the least water in a dry summer?"
+    far = " ".join(f"w{i}" for i in range(3000))
+    docs = table(spark, [(1, f"{question} {far} Tornio", "en", "a"), (2, f"{question} {far}", "en", "a"), (3, f"Tornio {far} {question}", "en", "a")])
+    items = spark.createDataFrame([(5, question + " Tornio")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(1, 5), (3, 5)}

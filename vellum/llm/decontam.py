@@ -9,7 +9,7 @@ ends there; the others run block-max WAND, which returns *all* items at or above
 
 Retrieved items are verified: shares of the question's and of the answer's words that stand in 5-word shingles that
 the passage holds too must both reach ``MIN_OVERLAP``; a question or an answer of fewer than 5 words also counts if the
-passage holds all its words in a row. The answer is what follows the last question mark, or the last third of the words
+document holds all its words in a row, however far off. The answer is what follows the last question mark, or the last third of the words
 where there is none. Labels, options or other words may stand between question and answer: the pair of words where
 they meet is no index term, and the passage is verified together with a window's length of text before and after it.
 
@@ -18,9 +18,10 @@ most ``INDEX_CHARS`` characters, each an index (and a broadcast) of bounded size
 (N, document frequencies, mean length) are those of the block.
 
 Words are runs of letters and digits; in scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
-character is a word. Items of 2 to 4 words match where a passage holds all their words in a row.
+character is a word. Items of 2 to 4 words match where a passage holds all their words in a row, items of one word where they
+are a line of their own (anywhere else one word says nothing).
 
-Defined cases: null or empty texts hold nothing; items of one word identify nothing and are left out; an item id that
+Defined cases: null or empty texts and items hold nothing; an item id that
 occurs with several texts matches by any of them; an empty table on either side gives an empty result; repeated
 document rows give equal rows; other columns are ignored.
 """
@@ -76,9 +77,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.question, self.answer = [], [], []
+        self.single: dict[str, list[int]] = {}  # items of one word
         bags = []
         for item, text in items:
             q, a = split_item(text or "")
+            if len(q) + len(a) == 1:
+                self.single.setdefault((q + a)[0], []).append(item)
             if len(q) + len(a) < 2:
                 continue
             if len(q) + len(a) < SHINGLE:  # one part, matched as a whole
@@ -172,7 +176,7 @@ class Index:
 
     def overlap(self, item: int, passage: set, text: str) -> tuple[float, float]:
         """Shares of the question's and the answer's words inside 5-word shingles of the passage; a part of fewer words
-        is inside if ``text``, the passage's words between single spaces, holds it in a row."""
+        is inside if ``text``, the document's words between single spaces, holds it in a row."""
         q, a = self.question[item], self.answer[item]
         w, inside = q + a, np.zeros(len(q) + len(a), dtype=bool)
         for i in range(len(w) - SHINGLE + 1):
@@ -187,21 +191,23 @@ class Index:
     def matches(self, text: str | None, theta: float, min_overlap: float) -> list[tuple]:
         """(item id, score, question overlap, answer overlap, first word of the passage): the best passage of each item."""
         words = tokens(text)
+        alone = self.alone(text, words) if self.single else []
         at, term = self.terms(words)
         if not len(at):
-            return []
+            return alone
         bound = np.concatenate([[0.0], np.cumsum(self.bound[term])])
         step = self.window // 2
         starts = np.arange(0, max(len(words) - step, 1), step)
         lo, hi = np.searchsorted(at, starts), np.searchsorted(at, starts + self.window - 1)
         best: dict[int, tuple] = {}
+        around = ""
         for k in np.flatnonzero(bound[hi] - bound[lo] >= theta - 1e-9):
             hits = self.search(sorted(set(term[lo[k]:hi[k]].tolist())), theta)
             if not hits:
                 continue
             p = words[max(starts[k] - self.window, 0):starts[k] + 2 * self.window]
             shingles = set(zip(*(p[i:] for i in range(SHINGLE)), strict=False))
-            around = f" {' '.join(p)} "
+            around = around or f" {' '.join(words)} "
             for item, score in hits:
                 q, a = self.overlap(item, shingles, around)
                 row = (min(score, 1.0), q, a, -int(starts[k]))
@@ -210,7 +216,20 @@ class Index:
         out: dict[int, tuple] = {}
         for item, row in best.items():
             out[self.ids[item]] = max(row, out.get(self.ids[item], ()))
-        return [(i, s, q, a, -p) for i, (s, q, a, p) in out.items()]
+        return alone + [(i, s, q, a, -p) for i, (s, q, a, p) in out.items()]
+
+    def alone(self, text: str | None, words: list[str]) -> list[tuple]:
+        """Matches of items of one word: a line that has this word and no other."""
+        if not any(w in self.single for w in words):
+            return []
+        out, first = {}, 0
+        for line in (text or "").split("\n"):
+            w = tokens(line)
+            if len(w) == 1:
+                for item in self.single.get(w[0], ()):
+                    out.setdefault(item, (item, 1.0, 1.0, 1.0, first))
+            first += len(w)
+        return list(out.values())
 
 
 def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:

@@ -94,3 +94,11 @@ def test_query_finds_every_licence_line(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = {(r.doc_id, k) for r in docs for k, x in enumerate((r.text or "").split("\n")) if "icense" in x or "rights reserved" in x}
     assert {(r.doc_id, r.paragraph) for r in QUERIES["op10_licenses"](spark, sf).collect()} == want and want
+
+
+def test_the_sample_of_other_paragraphs_is_of_different_ones(spark):
+    """One header line in every document: the other lines are sampled too, and the header once."""
+    header = "This header stands at the top of every document of the corpus"
+    docs = table(spark, [(i, f"{header}\nThe body of document number {i} is its own and no other's", "en", "a") for i in range(3000)])
+    got = license_scan.sample_negatives(docs, limit=500)
+    assert len(got) == len(set(got)) == 500

@@ -14,7 +14,7 @@ Scoring uses DataFrame functions only and covers every paragraph of every docume
 
 Scale: a paragraph can only pass the comparison if it has one of the key words, chosen at fit time so that in every
 template enough word pairs touch one (``key_words`` checks this). Texts without a key word end at one array test; only
-the others' paragraphs are taken apart, and features meet the weights, a table of at most ``MAX_FEATURES`` rows.
+the others' paragraphs are taken apart, and features meet the weights, a table of a row for each word and word pair of the templates.
 
 Defined cases: a null or empty text has no licence; repeated rows each give their rows; a licence line that many
 documents share is found in each; with no negatives in the corpus the model rests on the templates alone; an empty
@@ -36,7 +36,6 @@ from vellum.session import cut_lineage
 UNKNOWN = "unknown"
 MAX_NEGATIVES = 2000
 MAX_TEMPLATE_ROWS = 5000
-MAX_FEATURES = 50_000
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE = 0.6
 EPOCHS, RATE, DECAY = 300, 4.0, 1e-5
@@ -165,7 +164,7 @@ def fit(negatives: list[str]) -> Model:
     families = [*sorted({f for f, _ in rows} - {UNKNOWN}), UNKNOWN]
     y = np.array([families.index(f) for f, _ in rows])
     # features that licences have: others carry no weight for any family, and the bias speaks for ``unknown``
-    own = sorted({n for f, w in rows if f != UNKNOWN for n in features(w)})[:MAX_FEATURES]
+    own = sorted({n for f, w in rows if f != UNKNOWN for n in features(w)})
     vocabulary = {n: k for k, n in enumerate(own)}
     x = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
     for k, (_, w) in enumerate(rows):
@@ -184,15 +183,16 @@ def _words(text: Column) -> Column:
 
 
 def sample_negatives(docs: DataFrame, limit: int = MAX_NEGATIVES) -> list[str]:
-    """Paragraphs of least hash among the first ones (of 20 to 1,000 characters) of documents picked by the hash of
-    their text: a sample of bounded size, equal in every run. Picking some ``4 * limit`` documents first keeps what
-    tasks send to the driver bounded however many they are."""
+    """Different paragraphs of least hash, one (of 20 to 1,000 characters) from each of the documents picked by the hash of
+    their text, any of its lines by the same hash: a sample of bounded size, equal in every run. Picking some ``4 * limit``
+    documents first keeps what tasks send to the driver bounded however many they are."""
     n = docs.count()
-    share = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < int(min(1.0, 4 * limit / max(n, 1)) * (1 << 20)) + 1
+    h = F.xxhash64(F.lit("sample"), "text")
+    share = F.pmod(h, F.lit(1 << 20)) < int(min(1.0, 4 * limit / max(n, 1)) * (1 << 20)) + 1
     lines = F.filter(F.split("text", "\n"), lambda x: (F.length(x) >= 20) & (F.length(x) <= 1000))
-    first = docs.where(F.col("text").isNotNull() & share).select(F.get(lines, F.lit(0)).alias("p"))
-    sample = first.where("p IS NOT NULL").select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(limit)
-    return [r["p"] for r in sample.collect()]
+    some = docs.where(F.col("text").isNotNull() & share).select(lines.alias("ls"), F.shiftrightunsigned(h, 20).alias("h"))
+    some = some.where(F.size("ls") > 0).select(F.get("ls", F.pmod("h", F.size("ls")).cast("int")).alias("p")).distinct()
+    return [r["p"] for r in some.select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(limit).collect()]
 
 
 def _paragraphs(lines: Column) -> Column:

@@ -13,16 +13,18 @@ def slow(captures, entries):
     events = {}
     for lst, pat, action, at in entries:
         if pat is not None and at is not None and action in ("add", "remove"):
-            held = events.setdefault((lst, pat.lower()), {})
+            held = events.setdefault((lst, pat.lower().removesuffix(".")), {})
             held[at] = max(held.get(at, "add"), action)
     for page, url, at in captures:
         hits = []
         host = None
         if url and "://" in url:
-            host = url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].rsplit("@", 1)[-1].split(":")[0].lower().removesuffix(".")
+            host = url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].rsplit("@", 1)[-1].lower()
+            host = host[:host.index("]") + 1] if host.startswith("[") else host.split(":")[0].removesuffix(".")
         if host and at is not None:
             labels = host.split(".")
-            names = {".".join(labels[i:]) for i in range(max(len(labels) - 1, 1))}
+            address = host.startswith("[") or (len(labels) == 4 and all(x.isdigit() for x in labels))
+            names = {host} if address else {".".join(labels[i:]) for i in range(len(labels))}
             for (lst, pat), held in events.items():
                 past = [x for x in held if x <= at]
                 if pat in names and past and held[max(past)] == "add":
@@ -50,6 +52,15 @@ def test_against_brute_force(spark):
     assert run(spark, captures, entries) == slow(captures, entries)
 
 
+def test_top_level_domains_addresses_and_final_dots(spark):
+    entries = [("l", p, "add", T0) for p in ("xxx", "2.3", "10.9.9.9", "[2001:db8::1]", "b.com.", "B.NET")]
+    urls = ["http://a.b.xxx/", "http://xxx/", "http://10.1.2.3/", "http://10.9.9.9:80/x", "https://[2001:DB8::1]:443/", "http://[2001:db8::2]/",
+            "http://x.b.com/", "http://b.com./", "http://y.b.net", "http://axxx/", "http://1.2.3.com/"]
+    got = {r[1]: r[3] for r in run(spark, [(i, u, T0) for i, u in enumerate(urls)], entries)}
+    assert [got[u] for u in urls] == [True, True, False, True, True, False, True, True, True, False, False]
+    assert run(spark, [(i, u, T0) for i, u in enumerate(urls)], entries) == slow([(i, u, T0) for i, u in enumerate(urls)], entries)
+
+
 def test_an_entry_holds_from_its_instant_up_to_its_removal(spark):
     day = dt.timedelta(days=1)
     entries = [("l", "h.example.com", "add", T0 + day), ("l", "h.example.com", "remove", T0 + 2 * day)]

@@ -112,7 +112,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 
 
 @register("op7_url_filter", r"""
-WITH p AS (SELECT DISTINCT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', '') AS h,
+WITH p AS (SELECT DISTINCT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '\.$', '') AS h,
              TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 7919 % 366 AS INTEGER)) + to_seconds(page_id * 104729 % 86400) AS fetched_at FROM pages),
 x AS (SELECT h AS pattern, min(page_id) AS m, 'h' AS k FROM p WHERE h <> '' GROUP BY 1
       UNION ALL SELECT array_to_string(list_slice(string_split(h, '.'), -3, -1), '.'), min(page_id), 'd' FROM p WHERE h <> '' GROUP BY 1),
@@ -123,7 +123,7 @@ e AS (SELECT list, pattern, a.action, TIMESTAMP '2024-01-01' + to_days(CAST(m %
 i AS (SELECT list, pattern, action, changed AS since,
              coalesce(lead(changed) OVER (PARTITION BY list, pattern ORDER BY changed), TIMESTAMP '9999-12-31') AS until FROM e),
 hit AS (SELECT p.page_id, p.url, i.list, i.pattern, i.since FROM p JOIN i
-        ON (p.h = i.pattern OR ends_with(p.h, '.' || i.pattern)) AND i.action = 'add' AND i.since <= p.fetched_at AND p.fetched_at < i.until),
+        ON (p.h = i.pattern OR (ends_with(p.h, '.' || i.pattern) AND NOT regexp_matches(p.h, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$'))) AND i.action = 'add' AND i.since <= p.fetched_at AND p.fetched_at < i.until),
 f AS (SELECT page_id, url, count(*) AS n, array_to_string(list_sort(list(DISTINCT list)), ',') AS lists,
              max({n: length(pattern), p: pattern, s: since}) AS best FROM hit GROUP BY 1, 2)
 SELECT p.page_id, p.url, p.fetched_at, f.n IS NOT NULL AS blocked, coalesce(f.n, 0) AS n_entries, coalesce(f.lists, '') AS lists,

@@ -1,7 +1,7 @@
 """URL filters: temporal list join.
 
 A list is a history of dated changes: (list, pattern, action 'add' or 'remove', at), the pattern being a host or a
-domain that stands for all hosts below it. Changes become validity intervals, from an ``add`` up to the next change of
+domain (of one label or more) that stands for all hosts below it. Addresses stand for themselves alone. Changes become validity intervals, from an ``add`` up to the next change of
 the same list and pattern, and every capture (page_id, url, fetched_at) is judged by the entries that were active when it
 was fetched. DataFrame functions only.
 
@@ -21,28 +21,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed value: scheme, optional user info, host (group 1).
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+# Scheme, optional user info, host (group 1); addresses.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 FOREVER = "9999-12-31 00:00:00"
 
 
-def host(url: Column) -> Column:
-    """Host in lower case without a final dot; null if there is none."""
-    h = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
+def normalised(h: Column) -> Column:
+    """A host or pattern in lower case without a final dot; null if nothing is left."""
+    h = F.regexp_replace(F.lower(h), r"\.$", "")
     return F.when(h != "", h)
 
 
+def host(url: Column) -> Column:
+    """Host of a URL (an IPv6 address with its brackets); null if there is none."""
+    return normalised(F.regexp_extract(url, HOST, 1))
+
+
 def domains(h: Column) -> Column:
-    """A host and every domain above it that has at least two labels (a host of one label: itself)."""
+    """A host and every domain above it, the last label included; an address stands for itself alone."""
     labels = F.split(h, r"\.")
     n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                       lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    every = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    return F.when(h.rlike(ADDRESS), F.array(h)).otherwise(F.when(h.isNotNull(), every))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, pattern, since, until): validity intervals, until excluded."""
-    e = entries.select("list", F.lower("pattern").alias("pattern"), F.lower("action").alias("action"),
+    e = entries.select("list", normalised(F.col("pattern")).alias("pattern"), F.lower("action").alias("action"),
                        F.col("at").cast("timestamp_ntz").alias("at"))
     e = e.where(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("action").isin("add", "remove"))
     # 'remove' sorts after 'add': of several changes at one instant the removal holds

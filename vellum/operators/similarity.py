@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.components import components
 from vellum.operators.fingerprint import line_children, print_tokens
 from vellum.session import cut_lineage
 
@@ -451,16 +452,49 @@ def near_duplicate_pairs(prints: DataFrame | PrintSet, threshold: float = DIRECT
     return scored.where("is_match").select("a_id", "b_id", "matched", "total_a", "total_b")
 
 
-def duplicate_members(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
-    """Every document that matches some other document (copy of another, or near-duplicate pair
-    member, including the copies of such a member)."""
+def near_duplicate_clusters(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
+    """J9 as membership: ``(doc_id, cluster_id, n_docs)`` for every document that matches another, directly or over others;
+    ``cluster_id`` is the smallest id of the cluster. Exact, without the pairs inside a cluster.
+
+    First every tree is compared with one leader for each of its probe nodes: the smallest id that has the node. That joins
+    near copies of one text with as many pairs as there are copies. Then only pairs that the candidate filter forms between
+    *different* clusters are compared: nodes that one cluster alone has are left out before the join, and whatever lies inside a
+    cluster can add nothing to it.
+    """
     ps = prepare(prints)
-    groups = copy_groups(ps)
-    pairs = near_duplicate_pairs(ps, threshold)
-    in_pair = pairs.select(F.explode(F.array("a_id", "b_id")).alias("rep_id")).distinct()
-    via_pair = groups.join(in_pair, "rep_id", "left_semi").select("doc_id")
-    copies = groups.where(F.col("n_copies") > 1).select("doc_id")
-    return via_pair.unionByName(copies).distinct()
+    groups = cut_lineage(copy_groups(ps))
+    reps = subset(ps, groups.where(F.col("doc_id") == F.col("rep_id")))
+    reps = PrintSet(reps.docs, reps.sections, cut_lineage(reps.tokens), reps.kids)
+    place = ["section", "h"]
+    held = reps.tokens.groupBy(*place).agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("leader"))
+    probes = cut_lineage(_probe_tokens(reps.tokens, held.select(*place, "df"), threshold))
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        scored = with_decision(matched_weight(pairs.distinct(), reps), threshold)
+        return cut_lineage(scored.where("is_match").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+
+    star = probes.join(held.select(*place, "leader"), place).where("doc_id <> leader")
+    near = matching(star.select(F.least("doc_id", "leader").alias("a_id"), F.greatest("doc_id", "leader").alias("b_id")))
+    label = components(near)
+    of = lambda c, as_: label.select(F.col("node").alias(c), F.col("root").alias(as_))
+    named = reps.tokens.select(F.col("doc_id").alias("b"), *place, F.col("total").alias("total_b")).join(of("b", "cb"), "b", "left")
+    named = named.withColumn("cb", F.coalesce("cb", "b"))
+    mixed = named.groupBy(*place).agg(F.min("cb").alias("lo"), F.max("cb").alias("hi")).where("lo < hi").select(*place)
+    pre = probes.select(F.col("doc_id").alias("a"), *place, F.col("total").alias("total_a")).join(mixed, place, "left_semi")
+    pre = pre.join(of("a", "ca"), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+    cross = pre.join(named.join(mixed, place, "left_semi"), place).where(
+        "ca <> cb AND (total_a < total_b OR (total_a = total_b AND a < b))")  # the smaller tree probes
+    far = matching(cross.select(F.least("a", "b").alias("a_id"), F.greatest("a", "b").alias("b_id")))
+    label = components(near.unionByName(far))
+    rows = groups.join(label.withColumnRenamed("node", "rep_id"), "rep_id", "left").select("doc_id", F.coalesce("root", "rep_id").alias("cluster_id"))
+    rows = cut_lineage(rows)
+    sizes = rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 1")
+    return rows.join(sizes, "cluster_id").select("doc_id", "cluster_id", "n_docs")
+
+
+def duplicate_members(prints: DataFrame | PrintSet, threshold: float = DIRECT_MATCH_THRESHOLD) -> DataFrame:
+    """Every document that matches some other document: the members of clusters."""
+    return near_duplicate_clusters(prints, threshold).select("doc_id")
 
 
 def similarity_report(scored: DataFrame, labels: DataFrame) -> DataFrame:

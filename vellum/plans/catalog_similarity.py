@@ -112,6 +112,22 @@ def q_j10(spark, sf_dir):
     return SIM.duplicate_members(doc_prints(spark, sf_dir))
 
 
+@query(
+    "J9_clusters",
+    "WITH RECURSIVE " + prints_ctes() + ",\n" + _REPS + ",\n" + MATCHED_CTES + """,
+links AS (SELECT a_id AS a, b_id AS b FROM matches UNION ALL SELECT b_id, a_id FROM matches),
+reach AS (SELECT doc_id AS id, doc_id AS root FROM reps UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+g AS (SELECT p.doc_id, x.rep_id FROM prints p
+      JOIN (SELECT root_hash, min(doc_id) AS rep_id FROM prints WHERE total > 0 GROUP BY root_hash) x USING (root_hash) WHERE p.total > 0)
+SELECT * FROM (SELECT g.doc_id, roots.root AS cluster_id, count(*) OVER (PARTITION BY roots.root) AS n_docs FROM g JOIN roots ON roots.id = g.rep_id)
+WHERE n_docs > 1""",
+)
+def q_j9k(spark, sf_dir):
+    """Near-duplicate clusters as membership rows; the SQL walks all pairs."""
+    return SIM.near_duplicate_clusters(doc_prints(spark, sf_dir))
+
+
 @query(
     "C10_match_percentages",
     "WITH " + prints_ctes() + ",\n" + _REPS + ",\n" + MATCHED_CTES + """

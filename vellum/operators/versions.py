@@ -8,10 +8,11 @@ third of all results is pre-aggregated map-side before any shuffle instead of be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.scalars import error_id_set, rerun_budget
+from vellum.session import cut_lineage
 
 DEFAULT_TIME_FACTOR = 1.5
 
@@ -40,25 +41,28 @@ def shared_entities(results: DataFrame, v1: str, v2: str) -> DataFrame:
     return _side(results, v1).select("entity_id").intersectAll(_side(results, v2).select("entity_id"))
 
 
-def _restricted(results: DataFrame, v1: str, v2: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides restricted to entities present in both versions (J7's restriction step)."""
-    a = _side(results, v1)
-    b = _side(results, v2)
-    a_ids = a.select("entity_id").distinct()
-    b_ids = b.select("entity_id").distinct()
-    return a.join(b_ids, "entity_id", "left_semi"), b.join(a_ids, "entity_id", "left_semi")
-
-
-def _v2_summary(b: DataFrame) -> DataFrame:
-    """One row per entity of v2: everything the three "exists" tests need."""
-    errs = error_id_set("errors")
-    return b.groupBy("entity_id").agg(
-        F.bool_or("success").alias("b_any_success"),
-        F.bool_or(~F.col("success")).alias("b_any_failure"),
-        F.min("runtime").alias("b_min_rt"),
-        F.max("runtime").alias("b_max_rt"),
+def _v2_summary(results: DataFrame, in2: Column | None = None, *more: Column) -> DataFrame:
+    """One row per entity: everything the three "exists" tests need from its v2 results (those ``in2``, or all), and ``more``."""
+    of2 = (lambda c: c) if in2 is None else (lambda c: F.when(in2, c))
+    errs, success, runtime = of2(error_id_set("errors")), of2(F.col("success")), of2(F.col("runtime"))
+    return results.groupBy("entity_id").agg(
+        F.bool_or(success).alias("b_any_success"),
+        F.bool_or(~success).alias("b_any_failure"),
+        F.min(runtime).alias("b_min_rt"),
+        F.max(runtime).alias("b_max_rt"),
         F.min(errs).alias("b_min_errs"),
         F.max(errs).alias("b_max_errs"),
+        *more,
+    )
+
+
+def _differs(time_factor: float) -> tuple[Column, Column, Column]:
+    """Whether a v1 result (success, runtime, a_errs) differs from some v2 result of its entity (:func:`_v2_summary`)."""
+    k = F.lit(float(time_factor))
+    return (
+        F.when(F.col("success"), F.col("b_any_failure")).otherwise(F.col("b_any_success")),
+        (F.col("runtime") <= F.col("b_max_rt") / k) | (F.col("runtime") >= F.col("b_min_rt") * k),
+        (F.col("b_min_errs") != F.col("b_max_errs")) | (F.col("a_errs") != F.col("b_min_errs")),
     )
 
 
@@ -70,12 +74,9 @@ def version_diffs(results: DataFrame, v1: str, v2: str, time_factor: float = DEF
     # the inner join below keeps exactly the entities that have both versions
     a, b = _side(results, v1), _side(results, v2)
     s = _v2_summary(b)
-    k = F.lit(float(time_factor))
     a_errs = error_id_set("errors")
     joined = a.select("entity_id", "result_id", "success", "runtime", a_errs.alias("a_errs")).join(s, "entity_id")
-    success_diff = F.when(F.col("success"), F.col("b_any_failure")).otherwise(F.col("b_any_success"))
-    runtime_diff = (F.col("runtime") <= F.col("b_max_rt") / k) | (F.col("runtime") >= F.col("b_min_rt") * k)
-    error_diff = (F.col("b_min_errs") != F.col("b_max_errs")) | (F.col("a_errs") != F.col("b_min_errs"))
+    success_diff, runtime_diff, error_diff = _differs(time_factor)
     tagged = joined.select(
         "entity_id",
         "result_id",
@@ -96,44 +97,27 @@ def version_diff_summary(results: DataFrame, v1: str, v2: str, time_factor: floa
     Means are ``sum div count`` (truncated, Q1); variances are around that truncated mean and truncated,
     computed in exact decimal arithmetic. Empty sides give 0.
     """
-    a, b = _restricted(results, v1, v2)
     dec = "decimal(38,0)"
-
-    def moments(df: DataFrame, i: int) -> DataFrame:
-        # One pass: n, sum x, sum x^2; then sum (x - m)^2 = Sxx - 2 m Sx + n m^2 with m = Sx div n (exact).
-        rt = F.col("runtime").cast(dec)
-        agg = df.select(F.count(F.lit(1)).alias("n"), F.sum(rt).alias("sx"), F.sum(rt * rt).alias("sxx"))
-        m = F.when(F.col("n") > 0, F.expr("sx div n")).otherwise(F.lit(0))
-        # ``div`` truncates; a decimal ``/`` keeps six digits and may round up to the next whole number
-        ss = agg.select("n", m.cast(dec).alias("m"), (F.col("sxx") - F.lit(2) * m * F.col("sx") + F.col("n") * m * m).cast(dec).alias("ss"))
-        var = F.when(F.col("n") > 0, F.expr("ss div n")).otherwise(F.lit(0))
-        return ss.select(F.col("m").cast("bigint").alias(f"avg_runtime{i}"), var.cast("bigint").alias(f"var_runtime{i}"))
-
-    diffs = version_diffs(results, v1, v2, time_factor)
-    pieces = [
-        shared_entities(results, v1, v2).select(F.count(F.lit(1)).alias("n_shared")),
-        diffs.select(
-            F.count_if(F.col("kind") == "success").cast("bigint").alias("n_success_diff"),
-            F.count_if(F.col("kind") == "runtime").cast("bigint").alias("n_runtime_diff"),
-            F.count_if(F.col("kind") == "errors").cast("bigint").alias("n_error_diff"),
-        ),
-        moments(a, 1),
-        moments(b, 2),
-    ]
-    # Each piece is a one-row global aggregate; stack them and fold to one row (no cross join).
-    stacked = pieces[0]
-    for p in pieces[1:]:
-        stacked = stacked.unionByName(p, allowMissingColumns=True)
-    cols = [
-        "n_shared",
-        "n_success_diff",
-        "n_runtime_diff",
-        "n_error_diff",
-        "avg_runtime1",
-        "avg_runtime2",
-        "var_runtime1",
-        "var_runtime2",
-    ]
-    return stacked.select(
-        F.lit(v1).alias("v1"), F.lit(v2).alias("v2"), *[F.max(c).cast("bigint").alias(c) for c in cols]
+    in1, in2 = F.col("version_hash") == F.lit(v1), F.col("version_hash") == F.lit(v2)
+    both = results.where(in1 | in2)
+    # one row for each entity, written once: it answers for the shared entities and meets the rows again
+    per_entity = cut_lineage(_v2_summary(both, in2, F.count_if(in1).alias("n1"), F.count_if(in2).alias("n2")).where("n1 > 0 AND n2 > 0"))
+    rows = both.select("entity_id", "success", F.col("runtime"), error_id_set("errors").alias("a_errs"), in1.alias("in1"), in2.alias("in2"))
+    rt = F.col("runtime").cast(dec)
+    # one pass: n, sum x, sum x^2 of each side; then sum (x - m)^2 = Sxx - 2 m Sx + n m^2 with m = Sx div n (exact)
+    sums = rows.join(per_entity, "entity_id").agg(
+        *[F.count_if(F.col("in1") & d).alias(f"n_{kind}_diff") for kind, d in zip(("success", "runtime", "error"), _differs(time_factor), strict=True)],
+        *[x for i in (1, 2) for x in (F.count_if(f"in{i}").alias(f"n{i}"), F.sum(F.when(F.col(f"in{i}"), rt)).alias(f"sx{i}"),
+                                      F.sum(F.when(F.col(f"in{i}"), rt * rt)).alias(f"sxx{i}"))],
     )
+    for i in (1, 2):
+        n, sx, sxx, m = (F.col(f"{c}{i}") for c in ("n", "sx", "sxx", "avg_runtime"))
+        # ``div`` truncates; a decimal ``/`` keeps six digits and may round up to the next whole number
+        sums = sums.withColumn(f"avg_runtime{i}", F.when(n > 0, F.expr(f"sx{i} div n{i}")).otherwise(F.lit(0)).cast(dec))
+        sums = sums.withColumn(f"ss{i}", (sxx - F.lit(2) * m * sx + n * m * m).cast(dec))
+        sums = sums.withColumn(f"var_runtime{i}", F.when(n > 0, F.expr(f"ss{i} div n{i}")).otherwise(F.lit(0)))
+    shared = per_entity.agg(F.coalesce(F.sum(F.least("n1", "n2")), F.lit(0)).alias("n_shared"))
+    cols = ["n_shared", "n_success_diff", "n_runtime_diff", "n_error_diff", "avg_runtime1", "avg_runtime2", "var_runtime1", "var_runtime2"]
+    # two rows, folded into one (no cross join)
+    stacked = shared.unionByName(sums.select(*cols[1:]), allowMissingColumns=True)
+    return stacked.select(F.lit(v1).alias("v1"), F.lit(v2).alias("v2"), *[F.max(c).cast("bigint").alias(c) for c in cols])

@@ -20,6 +20,7 @@ from __future__ import annotations
 import multiprocessing
 import os
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,7 +63,7 @@ def similarity_edges(prints: DataFrame | SIM.PrintSet, threshold: float = SIM.DI
     ``extra`` may further filter the scored pairs (K5: results of both back ends must agree too). ``direct``: docs
     column that says whether an item comes straight from a verifier; the later item's value picks the rule (P9).
     """
-    ps = SIM.prepare(prints)
+    ps, _ = SIM.with_shared(SIM.prepare(prints), block=block)
     cand = SIM.candidate_pairs(ps, threshold, block, band, rule="direct" if direct is None else "any")
     scored = _decided(SIM.matched_weight(cand, ps), ps, "b_id", threshold, direct)
     if extra is not None:
@@ -151,6 +152,8 @@ def _admission_round(nodes: DataFrame, live: DataFrame, rounds: Rounds, links: R
 def _union_sets(a: SIM.PrintSet | None, b: SIM.PrintSet) -> SIM.PrintSet:
     if a is None:
         return b
+    if a.packed is not None and b.packed is not None:
+        return replace(SIM.from_packed(a.packed.unionByName(b.packed)), docs=a.docs.unionByName(b.docs))
     return SIM.PrintSet(
         a.docs.unionByName(b.docs), a.sections.unionByName(b.sections), a.tokens.unionByName(b.tokens),
         a.kids.unionByName(b.kids).distinct(),
@@ -213,7 +216,7 @@ def with_result_key(ps: SIM.PrintSet, results: Callable[[DataFrame], DataFrame])
     # without results in every back end an item is similar to nothing: its id keeps it alone
     docs = ps.docs.join(keys, F.col("doc_id") == F.col("_r"), "left").select(
         *ps.docs.columns, F.coalesce("result_key", F.concat(F.lit("alone:"), F.col("doc_id").cast("string"))).alias("result_key"))
-    return SIM.PrintSet(cut_lineage(docs), ps.sections, ps.tokens, ps.kids), ["result_key"]
+    return replace(ps, docs=cut_lineage(docs)), ["result_key"]
 
 
 def _admit_one(b: SIM.PrintSet, c: SIM.PrintSet | None, threshold: float, block: list[str],
@@ -225,7 +228,7 @@ def _admit_one(b: SIM.PrintSet, c: SIM.PrintSet | None, threshold: float, block:
     rep_ids = cut_lineage(groups.where(F.col("doc_id") == F.col("rep_id")).select("doc_id"))
     if c is not None:
         # a similar accepted stored item rejects an item whatever happens inside the batch
-        reps = SIM.subset(b, rep_ids)
+        reps, c = SIM.with_shared(SIM.subset(b, rep_ids), c, block)
         cand = SIM.candidate_pairs(reps, threshold, block, band, other=c, rule="direct" if direct is None else "any")
         scored = _decided(SIM.matched_weight(cand, reps, c), reps, "a_id", threshold, direct)
         if extra is not None:
@@ -356,9 +359,6 @@ SUBMISSION_SCHEMA = T.StructType([
 ])
 
 
-PRINT_TABLES = ("docs", "sections", "tokens", "kids")
-
-
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
                   threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None) -> None:
     """:func:`_process`, with a status row that names the error if the batch fails (the error is raised again, so the
@@ -376,8 +376,8 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
                   threshold: float = SIM.DIRECT_MATCH_THRESHOLD, block: list[str] | None = None) -> None:
     """One micro-batch: quarantine malformed rows (K7), fingerprint the batch, admit it against the items
     accepted by earlier batches (K3), and write under ``batch_id=<n>`` (overwrite, so replays are idempotent):
-    the decisions, a status row, and the print tables of the accepted items (the corpus index later batches
-    probe; the corpus is never fingerprinted twice)."""
+    the decisions, a status row, and the packed prints of the accepted items (which later batches are compared with; the
+    corpus is never fingerprinted twice)."""
     block = block or []
     part = f"batch_id={batch_id}"
     stamped = accept_submissions(batch)
@@ -390,11 +390,7 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
     stored = _earlier_batches(spark, os.path.join(out_dir, "corpus"), batch_id)
     decided = cut_lineage(admit(b, stored, threshold, block))
     accepted = decided.where("accepted").select("doc_id")
-    for name in PRINT_TABLES:
-        tab = getattr(b, name)
-        if name != "kids":
-            tab = tab.join(accepted, "doc_id", "left_semi")
-        tab.write.mode("overwrite").parquet(os.path.join(out_dir, "corpus", name, part))
+    b.packed.join(accepted, "doc_id", "left_semi").write.mode("overwrite").parquet(os.path.join(out_dir, "corpus", "prints", part))
     decided.write.mode("overwrite").parquet(os.path.join(out_dir, "decisions", part))
     status = decided.select(
         F.count(F.lit(1)).alias("n_decided"),
@@ -405,22 +401,20 @@ def _process(spark: SparkSession, batch: DataFrame, batch_id: int, out_dir: str,
 
 
 def _earlier_batches(spark: SparkSession, corpus_path: str, batch_id: int) -> SIM.PrintSet | None:
-    """Print tables of the items accepted by batches before ``batch_id`` (None when nothing is stored yet).
+    """Print set of the items accepted by batches before ``batch_id`` (None when nothing is stored yet).
     Asks Spark, so it works on any shared file system; a replayed batch never sees its own earlier output."""
     from pyspark.errors import AnalysisException
 
-    tabs = {}
-    for name in PRINT_TABLES:
-        try:
-            t = spark.read.parquet(os.path.join(corpus_path, name))
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND" and batch_id == 0:
-                return None  # nothing was stored before the first batch; any other fault must show
-            raise
-        tabs[name] = t.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
-    if tabs["docs"].limit(1).count() == 0:
+    try:
+        t = spark.read.parquet(os.path.join(corpus_path, "prints"))
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND" and batch_id == 0:
+            return None  # nothing was stored before the first batch; any other fault must show
+        raise
+    stored = t.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
+    if stored.limit(1).count() == 0:
         return None
-    return SIM.PrintSet(tabs["docs"], tabs["sections"], tabs["tokens"], tabs["kids"].distinct())
+    return SIM.from_packed(stored)
 
 
 def start_admission_stream(spark: SparkSession, submissions_dir: str, out_dir: str, checkpoint_location: str,

@@ -250,11 +250,12 @@ def q_k4u(spark, sf_dir):
 
 
 STREAM_FILES, FILE_ROWS = 4, 100_000  # the stream's input has at least so many files, and one for so many rows
+ROW_GROUP = 16 << 20  # bytes of a row group of these files
 
 
 def write_submissions(docs: DataFrame, folder: str, file_rows: int = FILE_ROWS) -> None:
     """Submissions as files in order of ids: one write a file, so that the files' times follow the ids. The files grow with the
-    rows, not the rows of a file; null and negative ids stand in the first."""
+    rows, not the rows of a file; null and negative ids stand in the first. Row groups are small: several tasks read a file."""
     n = max(STREAM_FILES, -(-docs.count() // file_rows))
     cuts = sorted(set(docs.where("submission_id IS NOT NULL").approxQuantile("submission_id", [k / n for k in range(1, n)], 0.1 / n)))
     above = F.lit(0)
@@ -265,7 +266,7 @@ def write_submissions(docs: DataFrame, folder: str, file_rows: int = FILE_ROWS)
     docs.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(staged)
     rows = docs.sparkSession.read.parquet(staged)
     for k in range(len(cuts) + 1):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(folder)
 
 
 @query("K7_stream_admission", admission_sql(prints_ctes(), "SELECT doc_id FROM prints"),
